@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pantrygrid.llm import exact_dedup, quality, tokens, toxicity
+from pantrygrid.llm import exact_dedup, html_text, mixing, quality, tokens, top_inner, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_inner.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -35,8 +44,22 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Target weights of the languages' tokens.
+MIX = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents with their language as domain."""
+    return docs.select("doc_id", docs["lang"].alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), MIX)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op5_exact_dedup, op7_toxicity, op8_quality_classifier, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_html_text, op3_token_counts, op4_top_inner, op5_exact_dedup, op7_toxicity, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,6 +67,13 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_top_inner": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                       WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+                  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
         "op5_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
