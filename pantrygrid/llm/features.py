@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pantrygrid.llm import shared
 
 #: Hash bits and n-gram lengths of the features.
-BITS, GRAMS = 13, (1, 2, 3)
+BITS, GRAMS = 12, (1, 2, 3)
 
 
 def gram_codes(data: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
@@ -70,8 +70,11 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     got = sample.select("text", "y").mapInArrow(run, "at array<int>, x array<float>, y array<double>").toArrow()
     x = np.zeros((len(got), len(GRAMS) << BITS), np.float32)
-    for i, (at, v) in enumerate(zip(got["at"].to_pylist(), got["x"].to_pylist())):
-        x[i, at] = v
+    row = 0
+    for part in got.to_batches():
+        size = np.diff(np.asarray(part["at"].offsets))
+        x[row + np.repeat(np.arange(len(size)), size), np.asarray(part["at"].flatten())] = np.asarray(part["x"].flatten())
+        row += len(size)
     return x, np.asarray(got["y"].to_pylist(), float)
 
 
@@ -86,19 +89,20 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 def fit_softmax(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> np.ndarray:
     """Weights (features, classes) of softmax regression on soft targets y (rows of classes), by Nesterov's gradient steps.
 
-    Features are scaled to unit root mean square first; the scale is folded into the weights. No rows: zero weights.
+    Features are scaled to unit root mean square first, in place; the scale is folded into the weights. No rows: zero weights.
     """
     if not len(x):
         return np.zeros((x.shape[1], y.shape[1] if y.ndim == 2 else 1))
-    scale = 1 / (np.sqrt((x**2).mean(0)) + 1e-3)
-    x = x * scale.astype(np.float32)
-    size = float((x**2).sum(1).mean())
-    w, v, rate = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros((x.shape[1], y.shape[1]), np.float32), 2.0 / max(size * 0.5, 1e-9)
+    scale = (1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-3)).astype(np.float32)
+    x *= scale  # in place: the sample is the largest thing that the driver holds
+    y = y.astype(np.float32)
+    size = float(np.einsum("ij,ij->", x, x)) / len(x)
+    w, v, rate = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros((x.shape[1], y.shape[1]), np.float32), np.float32(2.0 / max(size * 0.5, 1e-9))
     for k in range(steps):
         z = x @ v
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        new = v - rate * (x.T @ (p - y).astype(np.float32) / len(x) + ridge * v)
-        v = new + k / (k + 3) * (new - w)
+        new = v - rate * (x.T @ (p - y) / np.float32(len(x)) + np.float32(ridge) * v)
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w * scale[:, None]
