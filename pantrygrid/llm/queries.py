@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pantrygrid.llm import exact_dedup, html_text, mixing, quality, tokens, top_inner, toxicity
+from pantrygrid.llm import exact_dedup, html_text, mixing, quality, repeats, tokens, top_inner, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_html_text, op3_token_counts, op4_top_inner, op5_exact_dedup, op7_toxicity, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_repeats, op2_html_text, op3_token_counts, op4_top_inner, op5_exact_dedup, op7_toxicity, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
