@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pantrygrid.llm import exact_dedup, html_text, mixing, quality, repeats, tokens, top_inner, toxicity
+from pantrygrid.llm import exact_dedup, html_text, mixing, ngram_join, quality, repeats, tokens, top_inner, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repeats, op2_html_text, op3_token_counts, op4_top_inner, op5_exact_dedup, op7_toxicity, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_repeats, op2_html_text, op3_token_counts, op4_top_inner, op5_exact_dedup, op6_ngram_join, op7_toxicity, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
