@@ -1,11 +1,13 @@
 """N-gram Jaccard join by prefixes of token combinations.
 
-A document is the set of its word n-grams (tokens). Tokens have one order over all documents: rare ones first, then the
-frequent class. Two sets that are similar enough share so many tokens that a prefix of either, in that order, must hold
-a shared signature: a single token of the rare class, or a pair of tokens of one subclass of the frequent class. A prefix
-ends where its rare tokens, plus its frequent ones less one for each subclass, outnumber the tokens that may differ; so
-it extends a little where tokens are frequent, and pairs stand for them there. Pairs depend on the sizes' band: a set
-writes those of its own band and of the next, so that sets whose sizes allow a link have a band in common.
+A document is the set of its word n-grams (tokens). Its sample is the first tokens by fingerprint, so many that samples of
+linked sets share a known number of tokens. Buckets of tokens find those that two sets or more have, with their counts; a
+set with fewer such tokens than a link needs is out. The others' shared tokens have one order over all documents: by
+count, the frequent class last. A prefix in that order must hold a signature that linked sets share: a single token of
+the rare class, or a pair of tokens of one subclass of the frequent class. The prefix ends where its rare tokens, plus its
+frequent ones less one for each subclass, outnumber the tokens that may differ; so it extends a little where tokens are
+frequent, and pairs stand for them there. Pairs depend on the sizes' band: a set writes those of its own band and of the
+next, so that sets whose sizes allow a link have a band in common.
 
 Sets that are equal are one node. Signatures go to buckets, packed; a bucket links each node to the first one with the
 same signature. What these candidates connect is a cluster; inside it, blocks of nodes are verified exactly by the sizes
@@ -26,8 +28,8 @@ from pantrygrid.llm.components import components
 
 #: Bytes of text in a shard; rows that make a token frequent in a shard and overall, and the most that are so (the most frequent ones).
 SHARD_BYTES, FREQUENT_IN_SHARD, FREQUENT, MOST_FREQUENT = 8 << 20, 8, 64, 1 << 17
-#: Signatures in a bucket; nodes in a block; bytes of sets in a bundle of blocks.
-BUCKET_SIGNATURES, BLOCK_NODES, BUNDLE_BYTES = 400_000, 1000, 8 << 20
+#: Tokens of samples in a bucket; nodes in a block; bytes of sets in a bundle of blocks.
+BUCKET_TOKENS, BLOCK_NODES, BUNDLE_BYTES = 400_000, 1000, 8 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 U = np.uint64
@@ -115,24 +117,51 @@ def _survey(n: int):
     return run
 
 
-def least_shared(size: np.ndarray | int, percent: int):
+def least_shared(size, percent: int):
     """The fewest tokens that a set of this size shares with any set that is similar enough."""
     return -(-size * percent // 100)
 
 
+def in_sample(size):
+    """The fewest tokens that a set's sample shares with that of a similar enough set whose sample does not reach further."""
+    return np.maximum(size // 6, 1)
+
+
+def sure(size, percent: int):
+    """The fewest tokens that the samples of a set of at least this size and of any similar enough set share."""
+    return in_sample(least_shared(size, percent))
+
+
+def size_code(size: np.ndarray) -> np.ndarray:
+    """Sizes as one byte, by sixths of a tenth; from_code gives the least size of a code."""
+    return np.minimum(np.log(np.maximum(size, 1)) / np.log(1.06) + 1e-9, 255).astype(np.uint8)
+
+
+def from_code(code: np.ndarray) -> np.ndarray:
+    return np.maximum(np.floor(1.06 ** code.astype(float) - 1e-6), 1).astype(np.int64)
+
+
 def band(size: int, percent: int) -> int:
-    return int(np.log(size) / np.log(100 / percent))
+    """Sizes of linked sets are in the same band or in neighbouring ones, also when taken from their codes."""
+    return int(np.log(size) / np.log(1.13 * 100 / percent) + 1e-9)
 
 
-def pair_signatures(frequent: np.ndarray, missing: int, size: int, percent: int) -> list[int]:
-    """Signatures of the frequent tokens (in order) of a set whose rare tokens fall short of its prefix by missing."""
+def pair_signatures(frequent: list[int], missing: int, size: int, percent: int) -> list[int]:
+    """Signatures of the frequent tokens (in order) of a set whose rare tokens fall short of its prefix by missing.
+
+    The subclasses of a band are fewer than the tokens that its sets surely share; where those are too few for pairs, the
+    band has single tokens.
+    """
     out = []
     for b in (band(size, percent), band(size, percent) + 1):
-        classes = max(1, int((100 / percent) ** b * (100 - percent) / 300))
+        spare = int(sure(int((1.13 * 100 / percent) ** max(b - 1, 0)), percent)) - 1
+        if not spare:
+            out += [(t * 0xC2B2AE3D27D4EB4F + b) & (2**64 - 1) for t in frequent[:missing]]
+            continue
+        classes, have = max(1, spare // 3), 0
         held: dict[int, list[int]] = {}
-        have = 0
-        for t in frequent.tolist():
-            own = held.setdefault((t >> 17) % classes, [])
+        for t in frequent:
+            own = held.setdefault((t >> 37) % classes, [])
             out += [(x * 0x9E3779B97F4A7C15 + t * 0xC2B2AE3D27D4EB4F + b) & (2**64 - 1) for x in own]
             have += bool(own)
             own.append(t)
@@ -141,10 +170,22 @@ def pair_signatures(frequent: np.ndarray, missing: int, size: int, percent: int)
     return out
 
 
-def signatures(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of sets; frequent: the sorted tokens of the frequent class."""
-    size = np.diff(bounds)
-    row = np.repeat(np.arange(len(size)), size)
+_FIELDS = {"tokens": np.uint64, "nodes": np.uint64, "counts": np.uint16, "codes": np.uint8}
+_PACKED = "bucket long, tokens binary, nodes binary, counts binary, codes binary"
+#: The count of a token of the frequent class.
+OFTEN = 0xFFFF
+
+
+def _by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray], shift: int = 0) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    found, at = np.unique(bucket[order], return_index=True)
+    edge = np.append(at, len(order))
+    cut = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())
+    return pa.RecordBatch.from_pydict({"bucket": pa.array((found + shift).astype(np.int64))} | {k: cut(np.ascontiguousarray(v[order])) for k, v in columns.items()})
+
+
+def _among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which tokens are in the sorted table frequent."""
     common = np.zeros(len(tokens), bool)
     if len(frequent):
         table = np.zeros(1 << 20, bool)
@@ -152,38 +193,84 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, per
         maybe = np.flatnonzero(table[(tokens >> U(44)).astype(np.int64)])
         at = np.minimum(np.searchsorted(frequent, tokens[maybe]), len(frequent) - 1)
         common[maybe] = frequent[at] == tokens[maybe]
-    rare = np.append(0, np.cumsum(~common))
-    need = size - least_shared(size, percent) + 1
-    rank = rare[:-1] - rare[bounds[:-1]][row]
-    single = ~common & (rank < need[row]) & (size[row] > 1)
-    rows, sigs = [row[single]], [shared.mix(tokens[single])]
-    missing = need - (rare[bounds[1:]] - rare[bounds[:-1]])
-    for r in np.flatnonzero((missing > 0) & (size > 1)).tolist():
-        own = slice(bounds[r], bounds[r + 1])
-        got = pair_signatures(tokens[own][common[own]], int(missing[r]), int(size[r]), percent)
-        rows.append(np.full(len(got), r))
-        sigs.append(shared.mix(np.array(got, U)))
-    return np.concatenate(rows), np.concatenate(sigs)
-
-
-def _signed(n: int, percent: int, frequent: np.ndarray, buckets: int):
-    """Documents to their signatures by bucket, packed; a shard sends equal sets once."""
-    schema = pa.schema([("bucket", pa.int64()), ("signatures", pa.binary()), ("nodes", pa.binary())])
+    return common
+
+
+def _sampled(n: int, percent: int, frequent: np.ndarray, buckets: int):
+    """Documents to the samples of their sets, packed: rare tokens by bucket, frequent ones under buckets beyond. A shard sends equal sets once."""
 
     def run(batches):
         for held in _shards(batches):
             _, tokens, bounds = _sets_of(held, n)
-            own = nodes(tokens, bounds)
-            row, sig = signatures(tokens, bounds, frequent, percent)
+            own, size = nodes(tokens, bounds), np.diff(bounds)
             first = np.zeros(len(own), bool)
             first[np.unique(own, return_index=True)[1]] = True
-            row, sig = row[first[row]], sig[first[row]]
-            bucket = (sig % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            found, at = np.unique(bucket[order], return_index=True)
-            edge = np.append(at, len(order))
-            s, v = (sig[order] >> U(32)).astype(np.uint32), own[row[order]]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary()) for x in (s, v)]], schema=schema)
+            length = np.where(first & (size > 1), size - least_shared(size, percent) + in_sample(size), 0)
+            row = np.repeat(np.arange(len(size)), size)
+            inside = np.arange(len(tokens)) - bounds[row] < length[row]
+            tokens, row = tokens[inside], row[inside]
+            common, code = _among(tokens, frequent), size_code(size)
+            bucket = (tokens % U(buckets)).astype(np.int64)
+            for which, shift in ((~common, 0), (common, buckets)):
+                if which.any():
+                    t = tokens[which]
+                    packed = (t >> U(32)).astype(np.uint32) if not shift else t
+                    yield _by_bucket(bucket[which], {"tokens": packed, "nodes": own[row[which]], "counts": np.empty((len(t), 0), np.uint16), "codes": code[row[which]]}, shift)
+
+    return run
+
+
+def _shared_tokens(buckets: int, node_buckets: int):
+    """One bucket's tokens to those that two nodes or more have, with the number of nodes, packed by bucket of the node."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, kind = int(pdf["bucket"].iloc[0]), np.uint32 if pdf["bucket"].iloc[0] < buckets else np.uint64
+        token, node, code = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("tokens", kind), ("nodes", U), ("codes", np.uint8)))
+        if k < buckets:
+            order = np.lexsort((node, token))
+            token, node, code = token[order], node[order], code[order]
+            new = np.append(True, token[1:] != token[:-1])
+            keep = new | np.append(True, node[1:] != node[:-1])
+            token, node, code, new = token[keep], node[keep], code[keep], new[keep]
+            count = np.diff(np.append(np.flatnonzero(new), len(new)))
+            count = np.repeat(count, count)
+            keep = count > 1
+            token, node, code, count = (token[keep].astype(U) << U(32)) | U(k), node[keep], code[keep], np.minimum(count[keep], OFTEN - 1).astype(np.uint16)
+        else:
+            count = np.full(len(token), OFTEN, np.uint16)
+        return _by_bucket((node % U(node_buckets)).astype(np.int64), {"tokens": token, "nodes": node, "counts": count, "codes": code}).to_pandas()
+
+    return run
+
+
+def _signed(percent: int, buckets: int):
+    """The shared tokens of one bucket of nodes to the nodes' signatures, packed by bucket of the signature.
+
+    A node goes if it has fewer shared tokens than its sample surely shares with a linked one.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        token, node, count, code = (np.frombuffer(b"".join(pdf[c]), t) for c, t in _FIELDS.items())
+        order = np.lexsort((token, count, node))
+        token, node, count, code = token[order], node[order], count[order], code[order]
+        again = np.append(False, (node[1:] == node[:-1]) & (token[1:] == token[:-1]))  # a frequent token, from several shards
+        token, node, count, code = token[~again], node[~again], count[~again], code[~again]
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        length = np.diff(np.append(first, len(node)))
+        size = from_code(code[first])
+        need = length - sure(size, percent) + 1
+        often = count == OFTEN
+        rank = np.arange(len(node)) - np.repeat(first, length)
+        single = ~often & (rank < np.repeat(need, length))
+        rare = np.add.reduceat(~often, first) if len(first) else np.empty(0, np.int64)
+        sigs, owners = [shared.mix(token[single])], [node[single]]
+        for r in np.flatnonzero(need > rare).tolist():
+            if need[r] > 0:
+                got = pair_signatures(token[first[r] + rare[r] : first[r] + length[r]].tolist(), int(need[r] - rare[r]), int(size[r]), percent)
+                sigs.append(shared.mix(np.array(got, U)))
+                owners.append(np.full(len(got), node[first[r]]))
+        sig, node = np.concatenate(sigs), np.concatenate(owners)
+        return _by_bucket((sig % U(buckets)).astype(np.int64), {"signatures": (sig >> U(32)).astype(np.uint32), "nodes": node}).to_pandas()
 
     return run
 
@@ -274,9 +361,11 @@ def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, perce
     """Links (a, b) of nodes whose components are those of all links."""
     spark: SparkSession = own.sparkSession
     total = known.agg(F.sum("size").alias("n")).first()["n"] or 0
-    buckets = max(8, total * (100 - percent) // 100 // BUCKET_SIGNATURES + 1)
-    sent = own.mapInArrow(_signed(n, percent, frequent, buckets), "bucket long, signatures binary, nodes binary")
-    found = sent.groupBy("bucket").applyInPandas(_candidates, "a long, b long")
+    buckets = max(8, total * (116 - percent) // 100 // BUCKET_TOKENS + 1)
+    sample = own.mapInArrow(_sampled(n, percent, frequent, buckets), _PACKED)
+    tokens = sample.groupBy("bucket").applyInPandas(_shared_tokens(buckets, buckets), _PACKED)
+    signed = tokens.groupBy("bucket").applyInPandas(_signed(percent, buckets), "bucket long, signatures binary, nodes binary")
+    found = signed.groupBy("bucket").applyInPandas(_candidates, "a long, b long")
     clusters = components(found)
     counted = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("nodes")), "component")
     which = known.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("size").alias("size")).where("id is not null")
