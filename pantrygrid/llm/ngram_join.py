@@ -373,7 +373,7 @@ def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, perce
     chosen = shared.written(counted.join(which, "node").select("id", "node", "size", F.col("component").alias("cluster"), spread.alias("blocks")))
     tokens = chosen.agg(F.sum(F.col("size") * F.col("blocks")).alias("n")).first()["n"] or 0
     bundles = max(8, int(tokens * 8 / BUNDLE_BYTES) + 1)
-    with_sets = own.join(chosen, "id").select("id", "text", "node", "cluster", "blocks").mapInArrow(_token_rows(n), "node long, cluster long, blocks int, tokens binary")
+    with_sets = own.join(chosen.hint("merge"), "id").select("id", "text", "node", "cluster", "blocks").mapInArrow(_token_rows(n), "node long, cluster long, blocks int, tokens binary")
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     dealt = with_sets.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "cluster", "tokens", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
