@@ -1 +1,42 @@
+"""Column functions: tokens, ordered rules, formulas."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Word characters in any script, the same for Spark and for DuckDB.
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def tokens(text: Column, least: int = 3, cut: int = 6) -> Column:
+    """Words of at least so many characters, cut to a stem."""
+    return F.transform(F.filter(words(text), lambda w: F.length(w) >= least), lambda w: F.substring(w, 1, cut))
+
+
+def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:
+    """The value of the first rule that holds."""
+    return F.coalesce(*[F.when(c, F.lit(v)) for c, v in rules], F.lit(otherwise))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def clamp(value: Column, low, high) -> Column:
+    return F.least(F.greatest(value, F.lit(low) if not isinstance(low, Column) else low), F.lit(high) if not isinstance(high, Column) else high)
+
+
+def bmr(male: Column, kg: Column, cm: Column, years: Column) -> Column:
+    """Resting energy by Mifflin and St Jeor."""
+    return 10 * kg + 6.25 * cm - 5 * years + F.when(male, 5.0).otherwise(-161.0)
+
+
+def all_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)

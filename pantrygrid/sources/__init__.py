@@ -1 +1,20 @@
+"""Tables and logs that the operators read."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a fixed schema; blank and malformed lines are left out."""
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)
+    return rows.where(F.col("_bad").isNull()).drop("_bad")
+
+
+def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
