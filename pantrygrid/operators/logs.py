@@ -23,7 +23,7 @@ def filled(points: DataFrame) -> DataFrame:
     return days.join(points, ["key", "day"], "left").select("key", "day", F.last("y", ignorenulls=True).over(so_far).alias("y"))
 
 
-def _limit(times: list[float], hits: list[float], limit: int, window: float) -> list[tuple[bool, float]]:
+def decide(times: list[float], hits: list[float], limit: int, window: float) -> list[tuple[bool, float]]:
     """Decisions at times given the accepted hits still in the window (changed in place): rejected ones are not kept."""
     out = []
     for t in times:
@@ -44,7 +44,7 @@ def rate_limited(events: DataFrame, limit: int, window: float) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "id"])
-        ok, wait = zip(*_limit(pdf["t"].tolist(), [], limit, window))
+        ok, wait = zip(*decide(pdf["t"].tolist(), [], limit, window))
         return pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "accepted": ok, "wait": wait})
 
     return events.select("key", "id", "t").groupBy("key").applyInPandas(run, "key long, id long, accepted boolean, wait double")

@@ -1,11 +1,13 @@
 """Named queries over the tables, and the SQL that says the same."""
 
-FLAGSHIP = ""
+from pantrygrid.plans import journal, kitchen, search
+
+FLAGSHIP = "bm25_topk"
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in (search, kitchen, journal) for f in m.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in (search, kitchen, journal) for k, v in m.SQL.items()}

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrygrid.operators.logs import _limit
+from pantrygrid.operators.logs import decide
 
 
 def daily_counts(events: DataFrame, time_col: str = "ts", late: str = "1 day") -> DataFrame:
@@ -20,7 +20,7 @@ def rate_limited(events: DataFrame, limit: int, window: float) -> DataFrame:
     def run(key, batches, state):
         hits = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values(["t", "id"])
-        ok, wait = zip(*_limit(pdf["t"].tolist(), hits, limit, window))
+        ok, wait = zip(*decide(pdf["t"].tolist(), hits, limit, window))
         state.update((hits,))
         yield pd.DataFrame({"key": key[0], "id": pdf["id"], "accepted": ok, "wait": wait})
 
