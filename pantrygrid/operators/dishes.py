@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pantrygrid import functions as fn
+from pantrygrid.sources import shared_checkpoints
 
 SHARE, SERVINGS = 0.01, (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
 #: Factors of activity, grams of protein for a kilogram by goal, kilograms a week by goal.
@@ -23,11 +24,11 @@ def shares(lines: DataFrame, least: float = SHARE) -> DataFrame:
 
 
 def cost(parts: DataFrame, prices: DataFrame) -> DataFrame:
-    """dish, coverage, cost of 100 g: known prices (item, price of a kilogram) carried on to the whole; null where less than half is priced."""
+    """dish, coverage, cost of 100 g: known prices (item, price of a kilogram) carried on to the whole; null where less than half is priced (but for rounding of sums)."""
     known = parts.join(prices, "item", "left")
     cover = F.sum(F.when(F.col("price").isNotNull(), F.col("share")).otherwise(0.0))
     paid = F.sum(F.col("share") * F.col("price"))
-    return known.groupBy("dish").agg(cover.alias("coverage"), paid.alias("paid")).select("dish", "coverage", F.when(F.col("coverage") >= 0.5, F.col("paid") / F.col("coverage") / 10).alias("cost"))
+    return known.groupBy("dish").agg(cover.alias("coverage"), paid.alias("paid")).select("dish", "coverage", F.when(F.col("coverage") >= 0.499999999, F.col("paid") / F.col("coverage") / 10).alias("cost"))
 
 
 def without_items(dishes: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
@@ -36,15 +37,19 @@ def without_items(dishes: DataFrame, lines: DataFrame, items: DataFrame) -> Data
     return dishes.join(bad, "dish", "left_anti")
 
 
-def leaves(spark, edges: DataFrame, depth: int = 8) -> DataFrame:
-    """root, node: all that a node is made of, by edges (parent, child); cycles end, as a pair is met once."""
-    found = edges.select(F.col("parent").alias("root"), F.col("child").alias("node")).distinct()
-    front = found
-    for _ in range(depth):
+def leaves(spark, edges: DataFrame) -> DataFrame:
+    """root, node: all that a node is made of, by edges (parent, child); cycles end, as a pair is met once.
+
+    Each round goes one step deeper from the pairs that the last one found. Rounds are checkpointed, in the shared folder
+    that the session names.
+    """
+    shared_checkpoints(spark)
+    found = front = edges.select(F.col("parent").alias("root"), F.col("child").alias("node")).distinct().checkpoint()
+    while not front.isEmpty():
         step = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        front = step.join(found, ["root", "node"], "left_anti")
+        front = step.join(found, ["root", "node"], "left_anti").checkpoint()
         found = found.unionByName(front)
-    return found.distinct()
+    return found
 
 
 def targets(people: DataFrame) -> DataFrame:

@@ -27,12 +27,12 @@ def daily_budget_counter(spark, d):
 
 
 def sliding_window_count(spark, d):
-    hour = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
+    hour = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
     return table(spark, d, "events").select("event_id", F.count("*").over(hour).alias("n"))
 
 
 def rate_limit_decisions(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("t"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return g.rate_limited(e, 2, 86400.0)
 
 

@@ -39,7 +39,7 @@ def nutrient_pivot(spark, d):
 
 
 def portion_pick(spark, d):
-    first = Window.partitionBy("l_orderkey").orderBy("rank", "l_linenumber")
+    first = Window.partitionBy("l_orderkey").orderBy("rank", "l_linenumber", "l_partkey", "l_quantity")
     rank = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     return table(spark, d, "lineitem").withColumn("rank", rank).withColumn("k", F.row_number().over(first)).where("k = 1").select("l_orderkey", "l_linenumber", "l_quantity")
 
@@ -66,7 +66,7 @@ def composition_shares(spark, d):
 
 
 def dish_cost(spark, d):
-    return k.cost(k.shares(_lines(spark, d)), _prices(spark, d)).select("dish", F.round("coverage", 6).alias("coverage"), F.round("cost", 4).alias("cost"))
+    return k.cost(k.shares(_lines(spark, d)), _prices(spark, d)).select("dish", F.round("coverage", 6).alias("coverage"), F.round("cost", 9).alias("cost"))
 
 
 def exclude_by_ingredient_anti(spark, d):
@@ -82,13 +82,13 @@ def only_priced_semi(spark, d):
 def recipe_leaves_recursive(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("parent"))
     edges = parts.withColumn("child", F.explode(F.array((F.col("parent") / 2).cast("long"), (F.col("parent") / 3).cast("long")))).where("child > 0")
-    return k.leaves(spark, edges, 20)
+    return k.leaves(spark, edges)
 
 
 def shopping_list(spark, d):
     lines = _lines(spark, d).join(_prices(spark, d), "item", "left")
     got = lines.groupBy("item").agg(F.sum("grams").cast("long").alias("grams"), F.count("*").alias("times"), F.max("price").alias("price"))
-    return got.select("item", "grams", "times", F.round(F.col("grams") * F.col("price") / 1000, 2).alias("cost"))
+    return got.select("item", "grams", "times", (F.col("grams") * F.round(F.col("price") * 100).cast("long") / F.lit(100000.0)).alias("cost"))
 
 
 def _people(spark, d):
@@ -119,18 +119,18 @@ QUERIES = [star_assembly, nutrient_pivot, portion_pick, role_classify, mainstrea
 SQL = {
     "star_assembly": "SELECT r_name, p_brand, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "nutrient_pivot": "SELECT user_id, " + ", ".join(f"arg_min(value, event_id) FILTER (WHERE event_type = '{x}') AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
-    "portion_pick": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_linenumber) AS k FROM lineitem) WHERE k = 1",
+    "portion_pick": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem) WHERE k = 1",
     "role_classify": f"SELECT p_partkey, {_ROLE} AS role FROM part",
     "mainstream_flag": "SELECT p_partkey, NOT regexp_matches(lower(p_name), '(^|[^a-z])(raw|baby|game)|1[0-9]*5') AS mainstream FROM part",
     "catalog_quality": "SELECT count(*) AS n, count(DISTINCT p_type) AS types, CAST(sum(CASE WHEN p_retailprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, round(median(p_retailprice), 6) AS median, round(avg(CASE WHEN p_retailprice BETWEEN 1000 AND 1500 THEN 1 ELSE 0 END), 6) AS near FROM part",
     "food_search": f"SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') AND {_ROLE} = 'main' ORDER BY p_name, p_partkey LIMIT 20",
     "composition_shares": f"WITH {_SHARES} SELECT dish, item, share FROM sh",
     "dish_cost": f"""WITH {_SHARES}, c AS (SELECT dish, sum(CASE WHEN p_partkey IS NOT NULL THEN share ELSE 0 END) AS coverage, sum(share * p_retailprice) AS paid FROM sh LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON item = p_partkey GROUP BY 1)
-        SELECT dish, round(coverage, 6) AS coverage, round(CASE WHEN coverage >= 0.5 THEN paid / coverage / 10 END, 4) AS cost FROM c""",
+        SELECT dish, round(coverage, 6) AS coverage, round(CASE WHEN coverage >= CAST(0.499999999 AS DOUBLE) THEN paid / coverage / 10 END, 9) AS cost FROM c""",
     "exclude_by_ingredient_anti": "SELECT o_orderkey AS dish FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(p_type, 'TIN'))",
     "only_priced_semi": "SELECT o_orderkey AS dish, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 4 <> 0 AND l_partkey IN (SELECT p_partkey FROM part))",
     "recipe_leaves_recursive": "WITH RECURSIVE e AS (SELECT p_partkey AS parent, unnest([p_partkey // 2, p_partkey // 3]) AS child FROM part), x AS (SELECT parent AS root, child AS node FROM e WHERE child > 0 UNION SELECT x.root, e.child FROM x JOIN e ON x.node = e.parent WHERE e.child > 0) SELECT root, node FROM x",
-    "shopping_list": "SELECT l_partkey AS item, CAST(sum(l_quantity) AS BIGINT) AS grams, count(*) AS times, round(sum(l_quantity) * max(p_retailprice) / 1000, 2) AS cost FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey GROUP BY 1",
+    "shopping_list": "SELECT l_partkey AS item, CAST(sum(l_quantity) AS BIGINT) AS grams, count(*) AS times, CAST(sum(l_quantity) AS BIGINT) * CAST(round(max(p_retailprice) * 100) AS BIGINT) / CAST(100000 AS DOUBLE) AS cost FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey GROUP BY 1",
     "targets_formula": f"WITH {_PEOPLE} SELECT person, round_even(k, 0) AS kcal, round_even(p, 0) AS protein_g, round_even(f, 0) AS fat_g, round_even(greatest((k - p * 4 - f * 9) / 4, 0), 0) AS carb_g, round_even(k / 1000 * 14, 0) AS fiber_g FROM g",
     "candidates_x_servings": "SELECT p_partkey AS dish, serving, p_size * 10 * serving AS grams, p_retailprice * serving AS kcal FROM part, (SELECT unnest(CAST([0.5, 0.75, 1, 1.25, 1.5, 2] AS DOUBLE[])) AS serving) WHERE p_size * 10 * serving BETWEEN 30 AND 600",
     "plan_checks": "SELECT l_orderkey AS plan, round(sum(l_extendedprice), 4) AS kcal, abs(sum(l_extendedprice) - max(o_totalprice)) <= CAST(0.06 AS DOUBLE) * max(o_totalprice) AS kcal_ok, count(*) = count(DISTINCT l_partkey) AS no_repeats, min(l_quantity) * 10 >= 30 AND max(l_quantity) * 10 <= 600 AS portions_ok FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",

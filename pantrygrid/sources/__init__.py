@@ -18,3 +18,10 @@ def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; only where that is unset, as in tests, to a folder beside the warehouse."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
