@@ -1,13 +1,13 @@
 """Named queries over the tables, and the SQL that says the same."""
 
-from pantrygrid.plans import journal, kitchen, search
+from pantrygrid.plans import journal, kitchen, menus, search
 
 FLAGSHIP = "bm25_topk"
 
 
 def queries() -> dict:
-    return {f.__name__: f for m in (search, kitchen, journal) for f in m.QUERIES}
+    return {f.__name__: f for m in (search, kitchen, journal, menus) for f in m.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in (search, kitchen, journal) for k, v in m.SQL.items()}
+    return {k: v for m in (search, kitchen, journal, menus) for k, v in m.SQL.items()}
