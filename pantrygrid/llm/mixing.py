@@ -2,15 +2,18 @@
 
 A classifier, fitted on a bounded sample of a labelled table, gives every document a distribution over domains. Then
 every document gets a rate, how often it is to be seen in training, so that the expected tokens of each domain (over
-documents: rate x tokens x chance of the domain) match its target. The rates are the nonnegative least-squares solution
-that projected gradient steps reach from rates of one. There is a rate for each document, yet a step needs only as many
-numbers as there are domains: a document's rate follows from its distribution and the gradients so far, so each step is
-one pass over a narrow table that sums expected tokens, and only those sums reach the driver.
+documents: rate x tokens x chance of the domain) match its target. Of the rates that do and are not below the least one,
+these are the nearest to one, weighed by tokens. Such a rate is one plus the product of the document's distribution with
+a vector of one number for each domain, or the least rate if that is larger. Newton steps find the vector, each scaled
+by the moments of the documents above the least rate: a pass over a narrow table sums expected tokens and moments for
+several lengths of the step at once, and only those sums reach the driver. Steps go on until the targets are met. Where
+no rates meet them, the squared gap is least, but for a small weight on the rates' distance from one, and is reported.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import warnings
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,8 +23,12 @@ from pyspark.sql import functions as F
 
 from pantrygrid.llm import features, shared
 
-#: Rows of the sample that trains the classifier; most steps, and the relative error at which they end.
-SAMPLE_ROWS, STEPS, TOLERANCE = 3000, 60, 1e-7
+#: Rows of the sample that trains the classifier, and the relative error of the tokens at which steps end.
+SAMPLE_ROWS, TOLERANCE = 3000, 1e-7
+#: Weights on the rates' distance from one, each solved from the last, as far as it takes to meet the targets; a solve of more steps has stalled.
+RIDGES, STALLED = (1e-3, 1e-6, 1e-9, 1e-12), 100
+#: Lengths of a step that a pass tries.
+LENGTHS = 2.0 ** np.arange(3, -9, -1)
 
 
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -35,15 +42,18 @@ def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Mixer:
-    """Classifier, targets and the gradients of the steps so far; its size does not depend on the input."""
+    """Classifier, targets and what the rates follow from; its size does not depend on the input.
+
+    targets, and the gap that the rates leave to them, are in shares of the tokens that the input has.
+    """
 
     domains: tuple[str, ...]
     targets: np.ndarray
     weights: np.ndarray
     prior: np.ndarray
     least: float = 0.0
-    rate: float = 1.0
-    gradients: tuple[np.ndarray, ...] = field(default=())
+    pull: np.ndarray | None = None
+    gap: np.ndarray | None = None
 
     def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows by domains; the prior for an empty text."""
@@ -52,46 +62,85 @@ class Mixer:
         p /= p.sum(axis=1, keepdims=True)
         return np.where((np.diff(offsets) == 0)[:, None], self.prior, p)
 
-    def rates(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
-        """The rates after all steps; with ahead, the point from which the next step starts (Nesterov's)."""
-        before = now = np.full(len(p), max(1.0, self.least))
-        for k, g in enumerate(self.gradients):
-            start = now + k / (k + 3) * (now - before)
-            before, now = now, np.maximum(self.least, start - self.rate * (p @ g))
-        k = len(self.gradients)
-        return now + k / (k + 3) * (now - before) if ahead else now
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return np.maximum(self.least, max(1.0, self.least) + p @ self.pull)
 
 
-def _sums(narrow: DataFrame, mixer: Mixer, ahead: bool) -> np.ndarray:
-    """Expected tokens of each domain at the mixer's rates; each partition sends one row."""
+def _passed(narrow: DataFrame, least: float, pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of pulls, sums over documents: the function whose gradient expected tokens are, these tokens, and the moments of the documents above the least rate. Each partition sends a bounded number of rows."""
+    k, n = pulls.shape
+    width = 1 + n + n * n
 
     def run(batches):
-        total = np.zeros(len(mixer.domains))
+        total = np.zeros((k, width))
         for b in batches:
-            p = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            total += (mixer.rates(p, ahead) * np.asarray(b.column(0), float)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["domain", "tokens"])
-
-    got = narrow.select("tokens", "p").mapInArrow(run, "domain long, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).toArrow()
-    out = np.zeros(len(mixer.domains))
-    out[np.asarray(got["domain"], int)] = np.asarray(got["tokens"], float)
-    return out
+            p, tokens = np.asarray(b.column(1).flatten()).reshape(-1, n), np.asarray(b.column(0), float)[:, None]
+            free = max(1.0, least) + p @ pulls.T
+            rate = np.maximum(least, free)
+            total[:, 0] += (tokens * rate * (free - rate / 2)).sum(0)
+            total[:, 1 : n + 1] += (tokens * rate).T @ p
+            total[:, n + 1 :] += (tokens * (free > least)).T @ (p[:, :, None] * p[:, None, :]).reshape(-1, n * n)
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int64()), pa.array(total.ravel())], names=["cell", "v"])
 
+    got = narrow.select("tokens", "p").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(k * width)
+    out[np.asarray(got["cell"], int)] = np.asarray(got["v"], float)
+    out = out.reshape(k, width)
+    return out[:, 0], out[:, 1 : n + 1], out[:, n + 1 :].reshape(k, n, n)
 
-def _moments(narrow: DataFrame, n: int) -> np.ndarray:
-    """Sum over documents of tokens x outer product of the distribution with itself."""
 
-    def run(batches):
-        total = np.zeros((n, n))
-        for b in batches:
-            p = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            total += (p * np.asarray(b.column(0), float)[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(n * n), pa.int64()), pa.array(total.ravel())], names=["cell", "v"])
+def _solved(passed, share: np.ndarray, total: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pull, targets, gap. passed: as _passed over pulls, in shares of the input's tokens. Without a total, the one with the least change of rates.
 
-    got = narrow.select("tokens", "p").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(n * n)
-    out[np.asarray(got["cell"], int)] = np.asarray(got["v"], float)
-    return out.reshape(n, n)
+    Without a total the tokens may lie anywhere along share, so only directions across it are solved.
+    """
+    n = len(share)
+    axes = np.linalg.svd(share[None])[2][1:].T if total is None else np.eye(n)
+    aim = share * (total or 0.0)
+
+    def look(points: np.ndarray, ridge: float):
+        value, tokens, moments = passed(points @ axes.T)
+        slope = (tokens - aim) @ axes + ridge * points
+        return value - points @ (aim @ axes) + ridge / 2 * (points**2).sum(1), slope, axes.T @ moments @ axes + ridge * np.eye(axes.shape[1]), tokens
+
+    def gap_of(tokens: np.ndarray):
+        goal = share * (share @ tokens / (share @ share)) if total is None else aim
+        return goal, tokens - goal, TOLERANCE * max(goal.max(), 1e-9)
+
+    def newton(point: np.ndarray, ridge: float):
+        value, slope, bend, tokens = (x[0] for x in look(point[None], ridge))
+        for _ in range(STALLED):
+            if np.abs(slope).max(initial=0.0) <= gap_of(tokens)[2] / 4:
+                return point, tokens
+            step, lengths = np.linalg.solve(bend, -slope), LENGTHS
+            while True:
+                values, slopes, bends, many = look(point + lengths[:, None] * step, ridge)
+                best = int(values.argmin())
+                plain = int(np.abs(lengths - 1).argmin())
+                if np.abs(slopes[plain]).max() <= np.abs(slope).max() / 10:  # near the end values differ by rounding only
+                    best = plain
+                elif values[best] >= value:
+                    lengths = lengths * LENGTHS[-1] / 2 / LENGTHS[0]
+                    if lengths[0] < 1e-12:
+                        return None
+                    continue
+                break
+            point, value, slope, bend, tokens = point + lengths[best] * step, values[best], slopes[best], bends[best], many[best]
+        return None
+
+    point, tokens = np.zeros(axes.shape[1]), None
+    for ridge in RIDGES:
+        found = newton(point, ridge)
+        if found is None:
+            break
+        point, tokens = found
+        goal, gap, enough = gap_of(tokens)
+        if np.abs(gap).max() <= enough:
+            return axes @ point, goal, gap
+    if tokens is None:
+        raise RuntimeError("the rates of the mix did not converge")
+    warnings.warn(f"no rates meet the mix's targets {goal.tolist()}: tokens differ by {gap.tolist()} (shares of the input's)", stacklevel=2)
+    return axes @ point, goal, gap
 
 
 def narrow_table(docs: DataFrame, mixer: Mixer, id_col: str, text_col: str) -> DataFrame:
@@ -111,8 +160,9 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     """The mixer, and the narrow table that its steps ran over.
 
     targets: weights of the domains (scaled to sum to one). total_tokens: expected tokens of the whole mix; unset, as
-    many as docs has. least: the least rate. With never_less, the total is as large as it takes for no domain to have
-    fewer expected tokens than it has now (and the least rate is one): documents repeat, and none goes.
+    many as docs has. least: the least rate. With never_less, the least rate is one (documents repeat, and none goes, so
+    that no domain has fewer expected tokens than it has now), and the total is as large as it takes to meet the weights.
+    Where no rates meet the targets, a warning has the gap that is left, and so has the mixer.
     """
     shared.small_batches(docs.sparkSession)
     domains = tuple(sorted(targets))
@@ -125,18 +175,13 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     x, target = features.sample_features(sample.select("text", y.alias("y")))
     target = target.reshape(-1, len(domains))
     prior = (target.sum(axis=0) + 1) / (len(target) + len(domains))
-    mixer = Mixer(domains, share, features.fit_softmax(x, target), prior, 1.0 if never_less else least)
+    mixer = Mixer(domains, share, features.fit_softmax(x, target), prior, max(1.0, least) if never_less else least)
     narrow = shared.written(narrow_table(docs, mixer, id_col, text_col))
-    now = _sums(narrow, replace(mixer, least=0.0), False)
-    whole = max(now.sum(), 1.0)
-    mixer = replace(mixer, targets=share * (float((now / share).max()) if never_less else (total_tokens or whole)) / whole)
-    most = float(np.linalg.eigvalsh(_moments(narrow, len(domains)) / whole)[-1])
-    mixer = replace(mixer, rate=1 / max(most, 1e-9))
-    for _ in range(STEPS):
-        gap = _sums(narrow, mixer, True) / whole - mixer.targets
-        if np.abs(gap).max() <= TOLERANCE * max(mixer.targets.max(), 1e-9):
-            break
-        mixer = replace(mixer, gradients=(*mixer.gradients, gap))
+    have = float(_passed(narrow, 0.0, np.zeros((1, len(domains))))[1].sum())
+    whole = max(have, 1.0)
+    total = None if never_less else (total_tokens or have) / whole
+    pull, aim, gap = _solved(lambda pulls: tuple(x / whole for x in _passed(narrow, mixer.least, pulls)), share, total)
+    mixer = replace(mixer, targets=aim, pull=pull, gap=gap)
     return mixer, narrow
 
 

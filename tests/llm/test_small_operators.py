@@ -131,3 +131,25 @@ def test_mixing_meets_targets(spark, none):
     assert mixing.mix(none, none.selectExpr("doc_id", "source as domain"), {"en": 1.0}).collect() == []
     more = mixing.mixed_documents(df, df, {"en": 0.5, "fr": 0.5}, never_less=True)
     assert more.columns == df.columns and {r["doc_id"] for r in more.collect()} == {k for k, *_ in rows}
+
+
+def test_mixing_meets_targets_of_a_domain_of_a_thousandth(spark):
+    say = ["the house and the river were there", "der Hund und die Katze sind nicht", "el perro y los gatos que viven", "la maison est dans le jardin avec elle"]
+    kind = lambda k: 3 if k % 1000 == 0 else 2 if k % 1000 < 10 else 1 if k % 1000 < 30 else 0
+    df = spark.createDataFrame([(k, f"{say[kind(k)]} {k}", "abcd"[kind(k)]) for k in range(2000)], "doc_id long, text string, domain string").repartition(3)
+    share = np.array([0.4, 0.2, 0.2, 0.2])
+    targets = dict(zip("abcd", share))
+    got = mixing.mix(df, df, targets).collect()
+    total = np.sum([r["rate"] * r["n_tokens"] * np.array(r["posteriors"]) for r in got], axis=0)
+    assert np.abs(total / sum(r["n_tokens"] for r in got) - share).max() < 1e-5
+    mixer, narrow = mixing.fit(df, df, targets, never_less=True)
+    p, n = (np.array(x) for x in zip(*((r["p"], r["tokens"]) for r in narrow.collect())))
+    total = (mixer.rates(p) * n) @ p
+    assert mixer.rates(p).min() >= 1 and np.abs(total / total.sum() - share).max() < 1e-5
+
+
+def test_mixing_says_when_no_rates_meet_the_targets(spark):
+    df = spark.createDataFrame([(k, "the same words") for k in range(20)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        got = mixing.mix(df, df.limit(0).selectExpr("doc_id", "text as domain"), {"a": 0.75, "b": 0.25}).collect()
+    assert all(abs(r["rate"] - 1) < 1e-6 for r in got)  # half the tokens to each domain is the nearest
