@@ -108,10 +108,11 @@ def ranking_measures(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     )
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 500) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, resamples: int = 5000) -> DataFrame:
     """mean, low, high of the paired differences (id, a, b) by resampling; pairs with a null are left out.
 
-    Draws come from a hash of id and resample, Poisson-weighted, so they do not depend on how rows are dealt.
+    Draws come from a hash of id and resample, Poisson-weighted, so they do not depend on how rows are dealt. Each partition
+    sums its pairs for each resample before the shuffle. A resample that draws no pair (few have any chance of it) has no mean.
     """
     known = pairs.where("a is not null and b is not null").select("id", (F.col("a") - F.col("b")).cast("double").alias("d"))
     u = F.pmod(F.xxhash64("id", "r"), F.lit(1 << 40)) / float(1 << 40)
@@ -121,5 +122,5 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 500) -> DataFrame:
         steps.append(total)
         p /= k + 1
     times = sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
-    means = known.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", times).groupBy("r").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    means = known.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", times).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
     return known.agg(F.avg("d").alias("mean")).join(means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")), how="cross")
