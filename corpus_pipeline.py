@@ -1,8 +1,8 @@
 """A training corpus from raw documents: quality, exact copies, near copies, mixing, tokens.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A row
-without an id cannot be named by a decision of the two dedup stages, so it stays there; of an id that repeats, all rows
-stay where one does. Null texts are empty texts, and an empty table stays empty.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The two
+dedup stages number the rows and decide by row, so that rows without an id, or with one that repeats, go like any other.
+Null texts are empty texts, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,10 +14,17 @@ from pantrygrid.llm import exact_dedup, mixing, ngram_join, quality, shared, tok
 from pantrygrid.llm.queries import MIX, labelled_domains
 
 
-def _without(docs: DataFrame, decided: DataFrame, stays) -> DataFrame:
-    """docs without the ids of which no row stays."""
-    gone = decided.groupBy("doc_id").agg(F.max(stays).alias("stays")).where(~F.col("stays")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+#: The column of row numbers inside a dedup stage.
+ROW = "_corpus_row"
+
+
+def _one_of_each(docs: DataFrame, grouped, best) -> DataFrame:
+    """Of each group of rows, the one that the aggregate best picks. grouped: numbered docs to ROW, group."""
+    numbered = shared.written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    groups = shared.written(grouped(numbered))
+    stays = groups.join(numbered.select(ROW, "doc_id"), ROW).groupBy("group").agg(best.alias("best")).select(f"best.{ROW}")
+    gone = groups.select(ROW).join(stays, ROW, "left_anti")
+    return numbered.join(gone, ROW, "left_anti").select(*[numbered[f"`{c}`"] for c in docs.columns])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +33,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
-    return _without(docs, exact_dedup.exact_dedup(docs), F.col("kept"))
+    """Of equal texts, one row with the largest doc_id; a null one is below any other."""
+    return _one_of_each(docs, lambda rows: exact_dedup.exact_dedup(rows, id_col=ROW).where("group_size > 1").select(ROW, F.col("keep_id").alias("group")), F.max(F.struct("doc_id", ROW)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that similarity links connect, the one with the smallest doc_id."""
-    return _without(docs, ngram_join.ngram_join(docs), F.col("doc_id") == F.col("component_id"))
+    """Of each group of documents that similarity links connect, one row with the smallest doc_id; a null one is above any other."""
+    return _one_of_each(docs, lambda rows: ngram_join.ngram_join(rows, id_col=ROW).select(ROW, F.col("component_id").alias("group")), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

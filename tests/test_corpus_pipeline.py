@@ -1,0 +1,51 @@
+"""The dedup stages of the pipeline next to plain versions, with null and repeated ids."""
+
+from collections import Counter
+
+import corpus_pipeline
+import pytest
+
+SCHEMA = "doc_id long, text string, source string"
+A, B = "the quick brown fox jumps over the lazy dog near the old river bank today", "nothing in this line of words is shared with any other line of the table"
+NEAR = A + " again"
+ROWS = [(5, A, "a"), (5, B, "b"), (9, A, "c"), (7, B, "d"), (7, B, "e"), (None, A.upper(), "f"), (None, "alone", "g"), (None, "alone", "h"), (3, None, "i"), (2, "", "j"), (1, NEAR, "k"), (1, NEAR, "l"), (None, NEAR, "m")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+def left(df):
+    assert df.columns == ["doc_id", "text", "source"]
+    return Counter((r["doc_id"], (r["text"] or "").lower()) for r in df.collect())
+
+
+def test_exact_copies(spark, docs):
+    want = {}
+    for k, t, _ in ROWS:
+        t = (t or "").lower()
+        want[t] = max(want.get(t, -1), -1 if k is None else k)
+    assert left(corpus_pipeline.drop_exact_copies(spark, docs, "")) == Counter((None if k < 0 else k, t) for t, k in want.items())
+    assert corpus_pipeline.drop_exact_copies(spark, docs.limit(0), "").collect() == []
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_near_copies(spark, docs):
+    group = list(range(len(ROWS)))
+    sets = [shingles(t or "") for _, t, _ in ROWS]
+    for i in range(len(ROWS)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    big = 1 << 40
+    best = {g: min(big if ROWS[i][0] is None else ROWS[i][0] for i in range(len(ROWS)) if group[i] == g) for g in group}
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    kept = [next(i for i, r in enumerate(ROWS) if r[2] == x["source"]) for x in got]
+    assert Counter(group[i] for i in kept) == Counter(set(group))
+    assert all((big if ROWS[i][0] is None else ROWS[i][0]) == best[group[i]] for i in kept)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").collect() == []
