@@ -1,17 +1,19 @@
 """Token counts, and byte-level BPE encoding and decoding.
 
 Both run in Arrow functions. A batch of rows is cut into slices of at most a set number of bytes, so that a slice costs
-the same whether its texts are many or long, and a long text is cut at safe boundaries into parts that the library
-handles one by one. A boundary is safe where the pre-splitting pattern of the vocabulary ends a match whatever stands on
-either side: before a single space between two letters or digits (a space opens the match that follows it), before a
-run of white space, and before the last character of such a run when it has two or more (the run without its last
-character is a match of its own if anything follows). A text without such a place stays whole.
+the same whether its texts are many or long, and texts are cut at safe boundaries: for counts at spaces, so that a piece
+that comes again is counted once, for encoding into parts that the library handles one by one. A boundary is safe where
+the pre-splitting pattern of the vocabulary ends a match whatever stands on either side: before a single space between
+two letters or digits (a space opens the match that follows it), before a run of white space, and before the last
+character of such a run when it has two or more (the run without its last character is a match of its own if anything
+follows). A text without such a place stays whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -22,9 +24,16 @@ from pantrygrid.llm import shared
 
 #: Bytes of a part of a long text, and of a slice of a batch.
 PART_CHARS, SLICE_BYTES = 1 << 16, 1 << 20
+#: Bytes of pieces whose token counts a task remembers.
+MEMO_BYTES = 64 << 20
 #: White space as the pattern's \s takes it (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
 _BETWEEN_WORDS = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+#: A space that something other than white space follows, and two white characters; both take more for white than the pattern does.
+_SAFE_SPACE = re.compile("[ ](?=[^\\s\u180e\u200b-\u200d\u2060\ufeff])")
+_ONE_WHITE, _TWO_WHITE = (re.compile("[\\s\u180e\u200b-\u200d\u2060\ufeff]" + n) for n in ("", "{2}"))
+#: How vocabulary files of this kind write a space at a token's start.
+_SPACE_TOKEN = "\u0120"
 _LONG_WHITE = re.compile(f"[{WHITE}]{{256,}}")
 
 
@@ -45,6 +54,7 @@ def _library_counter(path: str):
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         t = Tokenizer.from_file(path)
         return lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     if path.endswith(".model"):
@@ -55,32 +65,73 @@ def _library_counter(path: str):
     raise ValueError(f"neither a .json nor a .model file: {path}")
 
 
+class _PieceCounter:
+    """Token counts of texts as sums over the pieces that spaces begin; each distinct piece goes to the library once.
+
+    A cut before a space is safe for the byte-level pattern unless white space stands on both sides: a match that holds
+    the character before never goes on into the space, and a run of white space before it is a match of its own either
+    way. Strings of special tokens hold no space, so no cut is inside one. Pieces without white space go to the library
+    many in one text: tokens that begin with a space tell where each piece starts. What is remembered is bounded by bytes.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.count, self.known, self.held = _library_counter(path), {}, 0
+        self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(_SPACE_TOKEN)]] = True
+
+    def pieces(self, text: str) -> list[str]:
+        """text cut before spaces; each piece but the first is without its space."""
+        if _TWO_WHITE.search(text):
+            return _SAFE_SPACE.split(text)
+        return text.split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w and not _ONE_WHITE.search(w)]
+        alone = [w for w in new if not w or _ONE_WHITE.search(w)]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids)
+            start = np.flatnonzero(self.opens[ids])
+            if len(start) == len(part):
+                self.known.update(zip(part, np.diff(np.append(start, len(ids))).tolist()))
+            else:
+                alone += part
+        for i in range(0, len(alone), 4096):
+            self.known.update(zip(alone[i : i + 4096], self.count([" " + w for w in alone[i : i + 4096]])))
+        self.held += sum(map(len, new)) + 100 * len(new)
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        cut = [self.pieces(t) for t in texts]
+        heads = self.count([c[0] for c in cut])
+        if self.held > MEMO_BYTES:
+            self.known, self.held = {}, 0
+        self._learn([w for w in set().union(*(c[1:] for c in cut)) if w not in self.known])
+        return [h + sum(map(self.known.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every row of docs: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the library for the vocabulary file, without begin, end or added special tokens; the string of
     a special token inside a text counts as the library takes it by default. Null texts are empty: 0 bytes, 0 tokens.
     A null id stays null; repeated rows each give a row; an empty table gives an empty result; other columns are not
-    read. vocabulary: a path on every executor. Long texts are cut only for vocabularies (.json) that have the byte-level
-    pattern; others count whole texts.
+    read. vocabulary: a path on every executor. Texts are cut only for vocabularies (.json) that have the byte-level
+    pattern and special tokens without spaces; others count whole texts.
     """
     shared.small_batches(docs.sparkSession)
     schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
-        count = _library_counter(vocabulary)
-        parts_of = safe_parts if _has_byte_pattern(vocabulary) else lambda t: [t]
+        count = _PieceCounter(vocabulary) if _has_byte_pattern(vocabulary) else _library_counter(vocabulary)
         for batch in batches:
             _, offsets = shared.buffers(batch.column(1))
             tokens = np.zeros(batch.num_rows, np.int64)
             for a, b in shared.slices(offsets, SLICE_BYTES):
-                parts = [parts_of(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
-                owner = np.repeat(np.arange(a, b), [len(p) for p in parts])
-                flat = [x for p in parts for x in p]
-                got: list[int] = []
-                for i in range(0, len(flat), 256):
-                    got += count(flat[i : i + 256])
-                np.add.at(tokens, owner, got)
+                tokens[a:b] = count(batch.column(1).slice(a, b - a).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)], schema=schema)
 
     return shared.texts(docs, id_col, text_col).mapInArrow(run, f"{_quoted(id_col)} long, n_bytes long, n_tokens long, over_limit boolean")
@@ -98,7 +149,9 @@ def _has_byte_pattern(path: str) -> bool:
     with open(path) as f:
         made = json.load(f)
     step = made.get("pre_tokenizer") or {}
-    return made.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
+    if any(" " in t["content"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in made.get("added_tokens") or []):
+        return False
+    return made.get("normalizer") is None and made.get("post_processor") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
 
 
 def encoding(ranks_path: str, pattern: str):
