@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from pantrygrid.llm import shared
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and those that have one are nobody's."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that links reach) of every node of edges (a, b: long).
 
@@ -16,8 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     node with very many links is one row after a partial minimum; the joins back are ones that Spark can split.
     """
     now = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    while not _only_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -26,8 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         now = shared.written(small.where("a <> b").distinct())
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 30)).alias("h")).first()
-        if state == seen:
-            break
-        seen = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def contracted(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of what groups (node, component) and links (a, b) between their components, or nodes in none, connect."""
+    outer = components(links)
+    alone = outer.join(groups, "node", "left_anti").select("node", F.col("node").alias("component"))
+    further = outer.select(F.col("node").alias("component"), F.col("component").alias("outer"))
+    return groups.unionByName(alone).join(further, "component", "left").select("node", F.coalesce("outer", "component").alias("component"))

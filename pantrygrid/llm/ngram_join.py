@@ -10,9 +10,13 @@ frequent, and pairs stand for them there. Pairs depend on the sizes' band: a set
 next, so that sets whose sizes allow a link have a band in common.
 
 Sets that are equal are one node. Signatures go to buckets, packed; a bucket links each node to the first one with the
-same signature. What these candidates connect is a cluster; inside it, blocks of nodes are verified exactly by the sizes
-of their intersections, and each pair of blocks hands on only links that connect something new. Pairs of documents are
-never rows. A large cluster is dealt over many pairs of blocks.
+same signature. That happens twice: first for the few signatures of each node that have the least hash, which gives most
+of a group of near copies one head, then for all signatures, where a node stands under its head, so that only links
+between different heads are left. What all of them connect is a cluster.
+
+Sets are compared exactly, also twice: first each node with the first node of its group, then, in clusters that this did
+not make one class, blocks of nodes of different classes by the sizes of their intersections. A pair of blocks hands on
+only links that connect something new. Pairs of documents are never rows, and blocks of one class never meet.
 """
 
 from __future__ import annotations
@@ -20,16 +24,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pantrygrid.llm import shared
-from pantrygrid.llm.components import components
+from pantrygrid.llm.components import components, contracted
 
 #: Bytes of text in a shard; rows that make a token frequent in a shard and overall, and the most that are so (the most frequent ones).
 SHARD_BYTES, FREQUENT_IN_SHARD, FREQUENT, MOST_FREQUENT = 8 << 20, 8, 64, 1 << 17
 #: Tokens of samples in a bucket; nodes in a block; bytes of sets in a bundle of blocks.
 BUCKET_TOKENS, BLOCK_NODES, BUNDLE_BYTES = 400_000, 1000, 8 << 20
+#: Signatures of a node in the first round.
+FIRST = 3
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 U = np.uint64
@@ -172,8 +178,8 @@ def pair_signatures(frequent: list[int], missing: int, size: int, percent: int)
 
 _FIELDS = {"tokens": np.uint64, "nodes": np.uint64, "counts": np.uint16, "codes": np.uint8}
 _PACKED = "bucket long, tokens binary, nodes binary, counts binary, codes binary"
-#: The count of a token of the frequent class.
-OFTEN = 0xFFFF
+#: The count of a token of the frequent class; the kind of the blocks that classes share.
+OFTEN, _SHARED = 0xFFFF, -1
 
 
 def _by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray], shift: int = 0) -> pa.RecordBatch:
@@ -238,13 +244,13 @@ def _shared_tokens(buckets: int, node_buckets: int):
             token, node, code, count = (token[keep].astype(U) << U(32)) | U(k), node[keep], code[keep], np.minimum(count[keep], OFTEN - 1).astype(np.uint16)
         else:
             count = np.full(len(token), OFTEN, np.uint16)
-        return _by_bucket((node % U(node_buckets)).astype(np.int64), {"tokens": token, "nodes": node, "counts": count, "codes": code}).to_pandas()
+        return _by_bucket(node.view(np.int64) % node_buckets, {"tokens": token, "nodes": node, "counts": count, "codes": code}).to_pandas()
 
     return run
 
 
 def _signed(percent: int, buckets: int):
-    """The shared tokens of one bucket of nodes to the nodes' signatures, packed by bucket of the signature.
+    """The shared tokens of one bucket of nodes to the nodes' signatures: all under the bucket, and the first ones by bucket of the signature, beyond.
 
     A node goes if it has fewer shared tokens than its sample surely shares with a linked one.
     """
@@ -270,14 +276,37 @@ def _signed(percent: int, buckets: int):
                 sigs.append(shared.mix(np.array(got, U)))
                 owners.append(np.full(len(got), node[first[r]]))
         sig, node = np.concatenate(sigs), np.concatenate(owners)
-        return _by_bucket((sig % U(buckets)).astype(np.int64), {"signatures": (sig >> U(32)).astype(np.uint32), "nodes": node}).to_pandas()
+        order = np.lexsort((sig, node))
+        rank = np.arange(len(order)) - np.searchsorted(node[order], node[order])
+        few = order[rank < FIRST]
+        whole = _by_bucket(np.full(len(sig), int(pdf["bucket"].iloc[0])), {"signatures": sig, "nodes": node})
+        return pd.concat([whole.to_pandas(), _by_bucket((sig[few] % U(buckets)).astype(np.int64), {"signatures": sig[few], "nodes": node[few]}, buckets).to_pandas()])
+
+    return run
+
+
+def _regrouped(buckets: int):
+    """All signatures of one bucket of nodes, and the nodes' heads, to the signatures of the heads (of a node without one, its own), packed by bucket of the signature."""
+
+    def run(pdf: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        sig, node = np.frombuffer(b"".join(pdf["signatures"]), U), np.frombuffer(b"".join(pdf["nodes"]), np.int64)
+        groups = groups.sort_values("node")
+        known, group = groups["node"].to_numpy(), groups["head"].to_numpy()
+        if len(known):
+            at = np.minimum(np.searchsorted(known, node), len(known) - 1)
+            node = np.where(known[at] == node, group[at], node)
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])) if len(sig) else np.empty(0, bool)
+        sig, node = sig[new], node[new]
+        return _by_bucket((sig % U(buckets)).astype(np.int64), {"signatures": sig, "nodes": node}).to_pandas()
 
     return run
 
 
 def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links from each node of a bucket to the least node with the same signature."""
-    sig, node = np.frombuffer(b"".join(pdf["signatures"]), np.uint32), np.frombuffer(b"".join(pdf["nodes"]), np.int64)
+    sig, node = np.frombuffer(b"".join(pdf["signatures"]), U), np.frombuffer(b"".join(pdf["nodes"]), np.int64)
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     new = np.append(True, sig[1:] != sig[:-1])
@@ -286,15 +315,18 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.stack([head[link], node[link]], axis=1), axis=0), columns=["a", "b"])
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sorted sets: (i, j) whose intersection is percent of the union or more."""
+def linked(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sorted sets: (i, j) whose intersection is percent of the union or more.
+
+    known: of each set the first one that it is known to be connected with.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets])
     if m <= 24:
         pairs = [(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True))) for i in range(m) for j in range(i + 1, m) if 100 * min(size[i], size[j]) >= percent * max(size[i], size[j])]
     else:
         pairs = _dense(sets, size, percent)
-    parent = list(range(m))
+    parent = list(known or range(m))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -327,13 +359,39 @@ def _dense(sets, size, percent):
     return zip(i.tolist(), j.tolist(), both[i, j].astype(np.int64).tolist())
 
 
+def _head_verified(percent: int):
+    """Sets of nodes under their head (the row whose node is the head has its set) to the links between the two."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (head, _), part in pdf.groupby(["head", "part"], sort=False):
+            own = (part["node"] == head).to_numpy()
+            one = np.frombuffer(part["tokens"][own].iloc[0], U)
+            rest = part[~own]
+            size = rest["tokens"].str.len().to_numpy() // 8
+            tokens = np.frombuffer(b"".join(rest["tokens"]), U)
+            same = one[np.minimum(np.searchsorted(one, tokens), len(one) - 1)] == tokens
+            total = np.append(0, np.cumsum(same))
+            stop = np.cumsum(size)
+            both = total[stop] - total[stop - size]
+            out.append(rest["node"].to_numpy()[100 * both >= percent * (size + len(one) - both)])
+            out.append(np.full(len(out[-1]), head))
+        return pd.DataFrame({"a": np.concatenate(out[1::2] or [[]]).astype(np.int64), "b": np.concatenate(out[::2] or [[]]).astype(np.int64)})
+
+    return run
+
+
 def _verified(percent: int):
+    """Pairs of blocks to links between the classes of their nodes."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby(["cluster", "i", "j"], sort=False):
-            part = part.sort_values("node")
-            node = part["node"].to_numpy()
-            out += [(node[a], node[b]) for a, b in linked([np.frombuffer(s, U) for s in part["tokens"]], percent)]
+            part = part.drop_duplicates("node").sort_values("node")
+            kind = part["class"].to_numpy()
+            first = np.unique(kind, return_index=True, return_inverse=True)
+            known = first[1][first[2]].tolist()
+            out += [(kind[a], kind[b]) for a, b in linked([np.frombuffer(s, U) for s in part["tokens"]], percent, known)]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
@@ -345,7 +403,7 @@ def _token_rows(n: int):
             data, at = shared.buffers(b.column("text"))
             t, bounds = token_sets(data, at, n)
             sets = pa.array([t[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), b.column("blocks"), sets], names=["node", "cluster", "blocks", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), sets], names=["node", "cluster", "tokens"])
 
     return run
 
@@ -357,28 +415,68 @@ def _frequent_tokens(survey: DataFrame) -> np.ndarray:
     return np.sort(np.asarray(got["node"]).view(U))
 
 
+def _bundle(bundles: int, *key) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(bundles))
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """node, cluster, class of clusters with several classes to node, cluster, class, i, j: the pairs of blocks that a node is in.
+
+    A class of BLOCK_NODES or more has blocks of its own, which never meet one another; the others of a cluster share
+    some. Blocks have numbers in their cluster.
+    """
+    sizes = nodes.groupBy("cluster", "class").agg(F.count("*").alias("n"))
+    large = F.col("n") >= BLOCK_NODES
+    sizes = sizes.withColumn("own", F.when(large, F.col("class")))
+    kinds = sizes.groupBy("cluster", "own").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_NODES)).cast("int"))
+    before = Window.partitionBy("cluster").orderBy(F.asc_nulls_first("own")).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int"))
+    spans = kinds.groupBy("cluster").agg(F.sum("blocks").cast("int").alias("all"))
+    placed = kinds.join(spans, "cluster")
+    dealt = nodes.join(sizes.select("cluster", "class", "own"), ["cluster", "class"]).withColumn("own", F.coalesce("own", F.lit(_SHARED)))
+    dealt = dealt.join(placed.select("cluster", F.coalesce("own", F.lit(_SHARED)).alias("own"), "blocks", "first", "all"), ["cluster", "own"])
+    block = (F.col("first") + F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("all") - 1)
+    same = lambda x: (F.col("own") != _SHARED) & (x >= F.col("first")) & (x < F.col("first") + F.col("blocks"))
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.filter(others, lambda x: ~same(x))))
+    return dealt.select("node", "cluster", "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Links (a, b) of nodes whose components are those of all links."""
-    spark: SparkSession = own.sparkSession
+    """node, component of the nodes that links connect with others."""
     total = known.agg(F.sum("size").alias("n")).first()["n"] or 0
     buckets = max(8, total * (116 - percent) // 100 // BUCKET_TOKENS + 1)
     sample = own.mapInArrow(_sampled(n, percent, frequent, buckets), _PACKED)
     tokens = sample.groupBy("bucket").applyInPandas(_shared_tokens(buckets, buckets), _PACKED)
-    signed = tokens.groupBy("bucket").applyInPandas(_signed(percent, buckets), "bucket long, signatures binary, nodes binary")
-    found = signed.groupBy("bucket").applyInPandas(_candidates, "a long, b long")
-    clusters = components(found)
-    counted = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("nodes")), "component")
+    signatures = "bucket long, signatures binary, nodes binary"
+    signed = shared.written(tokens.groupBy("bucket").applyInPandas(_signed(percent, buckets), signatures))
+    first = signed.where(F.col("bucket") >= buckets).groupBy("bucket").applyInPandas(_candidates, "a long, b long")
+    heads = shared.written(first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head")))
+    by_bucket = heads.withColumn("bucket", F.pmod("node", F.lit(buckets))).groupBy("bucket")
+    regrouped = signed.where(F.col("bucket") < buckets).groupBy("bucket").cogroup(by_bucket).applyInPandas(_regrouped(buckets), signatures)
+    between = regrouped.groupBy("bucket").applyInPandas(_candidates, "a long, b long")
+    clusters = components(heads.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(between))
+
     which = known.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("size").alias("size")).where("id is not null")
-    spread = F.ceil(F.col("nodes") / F.lit(BLOCK_NODES)).cast("int")
-    chosen = shared.written(counted.join(which, "node").select("id", "node", "size", F.col("component").alias("cluster"), spread.alias("blocks")))
-    tokens = chosen.agg(F.sum(F.col("size") * F.col("blocks")).alias("n")).first()["n"] or 0
-    bundles = max(8, int(tokens * 8 / BUNDLE_BYTES) + 1)
-    with_sets = own.join(chosen.hint("merge"), "id").select("id", "text", "node", "cluster", "blocks").mapInArrow(_token_rows(n), "node long, cluster long, blocks int, tokens binary")
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    dealt = with_sets.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "cluster", "tokens", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.withColumn("bundle", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(bundles)))
-    return dealt.groupBy("bundle").applyInPandas(_verified(percent), "a long, b long")
+    chosen = shared.written(clusters.join(which, "node").select("id", "node", "size", F.col("component").alias("cluster")))
+    size = chosen.agg(F.sum("size").alias("n")).first()["n"] or 0
+    bundles = max(8, int(size * 8 / BUNDLE_BYTES) + 1)
+    sets = shared.written(own.join(chosen.hint("merge"), "id").select("text", "node", "cluster").mapInArrow(_token_rows(n), "node long, cluster long, tokens binary"))
+
+    # Every node with its head.
+    parts = heads.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK_NODES)).cast("int").alias("parts"))
+    follow = heads.join(parts, "head").select("node", "head", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"))
+    lead = parts.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    meeting = sets.select("node", "tokens").join(follow.unionByName(lead), "node").withColumn("bundle", _bundle(bundles, "head", "part"))
+    near = shared.written(meeting.groupBy("bundle").applyInPandas(_head_verified(percent), "a long, b long"))
+    classes = components(near)
+
+    # What is still apart in a cluster.
+    nodes = chosen.select("node", "cluster").join(classes, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("class"))
+    several = nodes.groupBy("cluster").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("cluster")
+    dealt = _blocks(shared.written(nodes.join(several, "cluster")))
+    apart = sets.select("node", "tokens").join(dealt, "node").withColumn("bundle", _bundle(bundles, "cluster", "i", "j"))
+    return contracted(classes, apart.groupBy("bundle").applyInPandas(_verified(percent), "a long, b long"))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,11 +494,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
     known = survey.where("size is not null")
     frequent = _frequent_tokens(survey)
     if known.where("size > 0 and id is not null").groupBy("id").count().where("count > 1").isEmpty() and known.where("id is null").isEmpty():
-        links = _links(own, known, frequent, n, percent)
+        joined = _links(own, known, frequent, n, percent)
     else:  # ids that repeat or are null: numbers stand for them, in written order
         numbered = shared.written(own.select(F.monotonically_increasing_id().alias("id"), "text"))
-        links = _links(numbered, numbered.mapInArrow(_survey(n), "id long, node long, size long").where("size is not null"), frequent, n, percent)
-    joined = components(links)
+        joined = _links(numbered, numbered.mapInArrow(_survey(n), "id long, node long, size long").where("size is not null"), frequent, n, percent)
     least = known.where("size > 0").groupBy("node").agg(F.min("id").alias("least"))
     labelled = least.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
