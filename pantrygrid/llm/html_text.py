@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. A block has its text, its words, its words inside links, and what encloses
 it. The tree is Spark ML's, trained on a small labelled table of blocks (from generated pages whose parts are known); it
-sees word count and link density of a block and of the ones before and after it, and the enclosing elements. The trained
+sees word count and link density of a block and of the ones before and after it, and the enclosing elements (outside: the
+page has a main container, and the block is not in it). The trained
 tree becomes a Column expression over the page's array of blocks, so pages are never split over rows or shuffled.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,21 +27,33 @@ MAIN = {"article", "main"}
 AROUND = set("nav header footer aside form menu dialog button select fieldset search".split())
 HINTS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side widget cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar footer header masthead copyright legal search pagination pager".split())
 TALK = set("comment comments commentlist disqus discussion replies reply respond responses reviews".split())
-_TRACKED = BLOCK | SILENT | {"a", "button"}
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: What a head holds (anything else ends it), elements without content, and foreign ones, which a slash closes.
+IN_HEAD = set("base basefont bgsound link meta title script style noscript template".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end tag is often left out: their class words hold for the block that follows.
+_LOOSE = set("p li dt dd option tr td th".split())
+_TRACKED = (BLOCK | SILENT | {"button"}) - _LOOSE - VOID - {"body", "html"}
+#: A quote opens a value only behind an equals sign. Quantifiers never give back, so that no tag costs more than its length.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</[^a-zA-Z>][^>]*+>?|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LABEL = re.compile(r"data-label=\"(\d)\"")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _FIELDS = "text string, words int, linked int, main int, around int, hint int, talk int, heading int, label int"
 #: What the tree sees of a block; of the two neighbours it sees the first two.
-FEATURES = ["words", "density", "before_words", "before_density", "after_words", "after_density", "main", "around", "hint", "talk", "heading", "has_main"]
+FEATURES = ["words", "density", "before_words", "before_density", "after_words", "after_density", "main", "around", "hint", "talk", "heading", "outside"]
+
+
+def _class_words(attributes: str) -> set[str]:
+    return set(_SPLIT.split(" ".join(x for t in _NAMES.findall(attributes) for x in t if x).lower())) if "=" in attributes else set()
 
 
 def blocks(page: str) -> list[tuple]:
     """The text blocks of a page in order, as tuples of _FIELDS."""
     out: list[tuple] = []
     stack: list[tuple[str, int, int, int, int, int]] = []  # tag, main, around, hint, talk, label
+    open_: Counter[str] = Counter()  # tags on the stack
     silent, links, heading = 0, 0, 0
+    said: set[str] = set()  # class words of the open element whose end tag may be left out
     parts: list[str] = []
     linked: list[str] = []
 
@@ -47,8 +61,8 @@ def blocks(page: str) -> list[tuple]:
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                top = stack[-1][1:] if stack else (0, 0, 0, 0, -1)
-                out.append((" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), *top[:4], heading, top[4]))
+                main, around, hint, talk, label = stack[-1][1:] if stack else (0, 0, 0, 0, -1)
+                out.append((" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), main, around, int(hint or bool(said & HINTS)), int(talk or bool(said & TALK)), heading, label))
             parts.clear()
             linked.clear()
 
@@ -58,45 +72,63 @@ def blocks(page: str) -> list[tuple]:
             if links:
                 linked.append(piece)
 
+    def close(name: str):
+        nonlocal silent
+        while open_[name]:
+            gone = stack.pop()[0]
+            open_[gone] -= 1
+            silent -= gone in SILENT
+            if gone == name:
+                break
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
-        text(page[at : m.start()] if m else page[at:])
+        piece = page[at : m.start()] if m else page[at:]
+        if open_["head"] and stack[-1][0] == "head" and piece.strip():
+            close("head")
+        text(piece)
         if not m:
             break
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if name in BLOCK:
                 flush()
-                heading = 0
+                heading, said = 0, set()
             if name == "a":
                 links = 0
-            elif any(s[0] == name for s in reversed(stack)):
-                while stack:
-                    gone = stack.pop()[0]
-                    silent -= gone in SILENT
-                    if gone == name:
-                        break
+            close(name)
             continue
+        if open_["head"] and name not in IN_HEAD and name != "head":
+            close("head")  # its end tag may be left out
+        if name in BLOCK and (open_["svg"] or open_["math"]):
+            close("svg")
+            close("math")
         if name in BLOCK:
             flush()
-            heading = int(len(name) == 2 and name[0] == "h" and name[1] in "123456")
+            heading, said = int(len(name) == 2 and name[0] == "h" and name[1] in "123456"), set()
         elif name == "br":
             text(" ")
+        attributes = m[3]
         if name == "a":
             links = 1
         elif name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+>?", re.I).search(page, at)
             at = end.end() if end else size
-        elif name in _TRACKED and name not in ("p", "hr", "li", "dt", "dd", "option", "tr", "td", "th", "body", "html"):
+        elif name in _LOOSE:
+            said = _class_words(attributes)
+        elif name in _TRACKED and not (name in SILENT and attributes.endswith("/")):
             above = stack[-1] if stack else ("", 0, 0, 0, 0, -1)
-            attributes = m[3] or m[6] or ""
-            said = set(_SPLIT.split(" ".join(x for t in _NAMES.findall(attributes) for x in t if x).lower())) if attributes else set()
+            words = _class_words(attributes)
+            around, hint, talk = int(above[2] or name in AROUND), int(above[3] or bool(words & HINTS)), int(above[4] or bool(words & TALK))
+            if name in MAIN and not above[1]:
+                hint, talk = 0, above[4]  # class words tell nothing against a page's main container
             label = _LABEL.search(attributes)
-            stack.append((name, int(above[1] or name in MAIN), int(above[2] or name in AROUND), int(above[3] or bool(said & HINTS)), int(above[4] or bool(said & TALK)), int(label[1]) if label else above[5]))
+            stack.append((name, int(above[1] or name in MAIN), around, hint, talk, int(label[1]) if label else above[5]))
+            open_[name] += 1
             silent += name in SILENT
     flush()
     return out
@@ -120,30 +152,45 @@ def with_blocks(pages: DataFrame, html_col: str) -> DataFrame:
             near(i + 1, "words").alias("after_words"),
             rate(i + 1).alias("after_density"),
             *[b[f].cast("double").alias(f) for f in ("main", "around", "hint", "talk", "heading")],
-            F.exists("blocks", lambda x: x["main"] > 0).cast("double").alias("has_main"),
+            (F.exists("blocks", lambda x: x["main"] > 0) & (b["main"] == 0)).cast("double").alias("outside"),
         ),
     )
     return got.withColumn("blocks", full)
 
 
-def labelled_pages() -> list[tuple[int, str]]:
-    """The small labelled table: pages put together from parts that are known to be main text (data-label 1) or not (0)."""
+def labelled_pages(n: int = 360) -> list[tuple[int, str]]:
+    """The small labelled table: pages put together from parts that are known to be main text (data-label 1) or not (0).
+
+    Two of three have a main container. In the others text of any length stands in plain divs, now and then with a class
+    word that speaks against it, and what surrounds it often has no class: there, words and links must tell.
+    """
     words = "rain fell on the quiet harbour while boats came home and people talked about bread prices near old stone walls".split()
     say = lambda n, k: " ".join(words[(i * 7 + k) % len(words)] for i in range(n)).capitalize() + "."
     links = lambda n, k: "".join(f'<li><a href="/{i}">{say(1 + (i + k) % 3, i)}</a></li>' for i in range(n))
+    off = lambda tag, inner: f'<{tag} data-label="0">{inner}</{tag.split()[0]}>'
     out = []
-    for k in range(48):
-        has_main, tag = k % 4 != 3, ("article", "main", "article")[k % 3]
-        body = f'<h1>{say(2 + k % 7, k)}</h1>' + "".join(f"<p>{say((3, 8, 25, 60, 120)[(k + i) % 5] if has_main else 30 + 17 * ((k + i) % 5), i)}</p>" for i in range(1 + k % 6))
-        if k % 5 == 1:
+    for k in range(n):
+        has_main, tag, r = k % 3 != 2, ("article", "main")[k % 2], k // 3
+        many = 1 + r % 6
+        sizes = [(3, 8, 25, 60, 120, 14, 200)[(r + i * (1 + r % 5)) % 7] for i in range(many)]
+        if not has_main:
+            sizes = [max(x, 25) if i % 3 == 0 else x for i, x in enumerate(sizes)]
+        body = f"<h1>{say(2 + r % 23, k)}</h1>" + "".join(f"<h2>{say(2 + i, k)}</h2>" * (i == 3) + f"<p>{say(x, i + k)}</p>" for i, x in enumerate(sizes))
+        if r % 5 == 1:
             body += f'<p>{say(12, k)} <a href="/x">{say(3, k)}</a> {say(14, k + 1)}</p>'
-        if k % 6 == 2 and has_main:
-            body += f"<ul><li>{say(4, k)}</li><li>{say(9, k)}</li></ul>"
-        inner = [f'<div class="ad" data-label="0">{say(6 + k % 30, k)}</div>', f'<div class="share" data-label="0">{say(3, k)}</div>', f'<aside data-label="0"><p>{say(20 + k % 40, k)}</p></aside>', f'<section id="comments" data-label="0"><p>{say(10 + k % 50, k)}</p><p>{say(30, k)}</p></section>', f'<form data-label="0"><p>{say(8, k)}</p></form>', f'<footer data-label="0">{say(9 + k % 20, k)}</footer>', f'<header data-label="0">{say(5, k)}</header>', ""][k % 8]
-        top = [f'<nav data-label="0"><ul>{links(6, k)}</ul></nav>', f'<header data-label="0"><p>{say(4, k)}</p><ul>{links(5, k)}</ul></header>', f'<div class="menu" data-label="0"><ul>{links(7, k)}</ul></div>', f'<div data-label="0"><ul>{links(8, k)}</ul></div>'][k % 4]
-        note = [f'<div class="cookie-notice" data-label="0">{say(14 + k % 60, k)}</div>', f'<div class="ad" data-label="0">{say(4 + k % 40, k)}</div>', ""][k % 3]
-        low = [f'<footer data-label="0">&copy; {say(6 + k % 25, k)}</footer>', f'<div class="comments" data-label="0"><p>{say(25, k)}</p><p>{say(50, k + 2)}</p></div><footer data-label="0">{say(5, k)}</footer>', f'<aside class="sidebar" data-label="0"><p>{say(12 + k % 50, k)}</p><ul>{links(4, k)}</ul></aside>', f'<div data-label="0"><p>{say(3, k)}</p><ul>{links(5, k)}</ul><p>{say(4, k)}</p></div>', f'<form data-label="0"><p>{say(7, k)}</p></form>'][k % 5]
-        open_tag, close_tag = (f'<{tag} data-label="1">', f"</{tag}>") if has_main else ('<div data-label="1">', "</div>")
+        if r % 4 == 2:
+            body += f"<ul><li>{say(4 + r % 9, k)}</li><li>{say(9, k)}</li></ul><p>{say(30, k)}</p>"
+        if has_main and r % 7 == 3:
+            body += f'<p><a href="/x">{say(1 + r % 12, k)}</a></p>'
+        inner = [off('div class="ad"', say(6 + r % 90, k)), off('div class="share"', say(3, k)), off("aside", f"<p>{say(20 + r % 80, k)}</p>"), off('section id="comments"', f"<p>{say(10 + r % 90, k)}</p><p>{say(30, k)}</p>"), off("form", f"<p>{say(8, k)}</p>"), off("footer", say(9 + r % 20, k)), off("header", say(5, k)), "", off('div class="related"', f"<ul>{links(5, k)}</ul>"), off("nav", f"<ul>{links(3, k)}</ul>")][r % 10]
+        top = [off("nav", f"<ul>{links(6, k)}</ul>"), off("header", f"<p>{say(4, k)}</p><ul>{links(5, k)}</ul>"), off('div class="menu"', f"<ul>{links(7, k)}</ul>"), off("div", f"<ul>{links(8, k)}</ul>"), off("div", f"<p>{say(3, k)}</p><p><a href='/'>{say(4, k)}</a> {say(1, k)}</p>"), ""][r % 6]
+        note = [off('div class="cookie-notice"', say(14 + r % 60, k)), off('div class="ad"', say(4 + r % 40, k)), ""][r % 3]
+        low = [off("footer", f"&copy; {say(6 + r % 25, k)}"), off('div class="comments"', f"<p>{say(25 + r % 60, k)}</p><p>{say(50, k + 2)}</p>") + off("footer", say(5, k)), off('aside class="sidebar"', f"<p>{say(12 + r % 50, k)}</p><ul>{links(4, k)}</ul>"), off("div", f"<p>{say(3, k)}</p><ul>{links(5, k)}</ul><p>{say(4, k)}</p>"), off("form", f"<p>{say(7, k)}</p>"), off("div", f"<p><a href='/'>{say(9, k)}</a></p><p><a href='/'>{say(14, k)}</a></p>"), ""][r % 7]
+        if r % 9 == 4:  # a page with nothing but its text
+            top, note, low, inner = "", "", "", ""
+            body = body if r % 2 else f"<p>{say(1 + r % 40, k)}</p>"
+        marked = ' class="post search"' * (not has_main and r % 6 == 1)
+        open_tag, close_tag = (f'<{tag} data-label="1">', f"</{tag}>") if has_main else (f'<div{marked} data-label="1">', "</div>")
         out.append((k, f"<html><head><title>{say(4, k)}</title></head><body>{top}{note}{open_tag}{body}{inner if has_main else ''}{close_tag}{low}</body></html>"))
     return out
 
