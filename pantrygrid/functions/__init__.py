@@ -25,18 +25,10 @@ def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     return F.coalesce(*[F.when(c, F.lit(v)) for c, v in rules], F.lit(otherwise))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def clamp(value: Column, low, high) -> Column:
-    return F.least(F.greatest(value, F.lit(low) if not isinstance(low, Column) else low), F.lit(high) if not isinstance(high, Column) else high)
-
-
 def bmr(male: Column, kg: Column, cm: Column, years: Column) -> Column:
     """Resting energy by Mifflin and St Jeor."""
     return 10 * kg + 6.25 * cm - 5 * years + F.when(male, 5.0).otherwise(-161.0)
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)

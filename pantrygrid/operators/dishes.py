@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pantrygrid import functions as fn
+from pantrygrid.functions import restrictions as rs
+from pantrygrid.functions import rules as ru
 from pantrygrid.sources import shared_checkpoints
 
 SHARE, SERVINGS = 0.01, (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
@@ -76,6 +78,17 @@ def plan_checks(plans: DataFrame) -> DataFrame:
     return got.select("plan", F.round("kcal", 4).alias("kcal"), (F.abs(F.col("kcal") - F.col("target")) <= 0.06 * F.col("target")).alias("kcal_ok"), (F.col("items") == F.col("dishes")).alias("no_repeats"), ((F.col("least") >= 30) & (F.col("most") <= 600)).alias("portions_ok"))
 
 
-def role(kind: Column) -> Column:
-    """The part of a meal that a kind of dish plays."""
-    return fn.first_rule([(kind.contains("STEEL"), "main"), (kind.contains("BRASS"), "side"), (kind.contains("TIN"), "drink"), (kind.contains("COPPER"), "snack")], "other")
+def candidates(dishes: DataFrame, terms: list[str], priced: DataFrame | None, lines: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """The dishes (dish, name, section, size: tens of grams, known, sold) that may be offered under restrictions.
+
+    The portion is sane, the dish mainstream, known and sold (null counts as yes), priced where prices matter, and no term
+    hits its name, its section, or what it is made of: lines (dish, item) with one of ingredients (item). Prices that
+    matter and are empty raise.
+    """
+    out = dishes.where((F.col("size") * 10).between(30, 600)).where(F.coalesce("known", F.lit(True)) & F.coalesce("sold", F.lit(True)))
+    out = out.where(ru.mainstream(F.col("name"), F.col("section"))).where(~rs.matches(F.col("name"), terms) & ~rs.in_section(F.col("section"), terms))
+    if priced is not None:
+        if priced.isEmpty():
+            raise ValueError("no dish has a price")
+        out = out.join(priced, "dish", "left_semi")
+    return without_items(out, lines, ingredients)

@@ -39,15 +39,24 @@ def decide(times: list[float], hits: list[float], limit: int, window: float) ->
 def rate_limited(events: DataFrame, limit: int, window: float) -> DataFrame:
     """key, id, accepted, wait of events (key, id, t: seconds): at most limit accepted in any window; a rejected event does not count.
 
-    The rule feeds back, so a key's events are met in order, one key at a time.
+    The rule feeds back, so a key's events are met in order. They stream through a task batch by batch; all that is kept
+    of them is the accepted hits of the last window, so a key of any size is met in little memory.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        ok, wait = zip(*decide(pdf["t"].tolist(), [], limit, window))
-        return pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "accepted": ok, "wait": wait})
+    def run(batches):
+        key, hits = None, []
+        for pdf in batches:
+            out = []
+            for k, part in pdf.groupby("key", sort=False, dropna=False):
+                if k != key and not (pd.isna(k) and pd.isna(key) and key is not None):
+                    key, hits = k, []
+                ok, wait = zip(*decide(part["t"].tolist(), hits, limit, window))
+                out.append(pd.DataFrame({"key": part["key"], "id": part["id"], "accepted": ok, "wait": wait}))
+            if out:
+                yield pd.concat(out)
 
-    return events.select("key", "id", "t").groupBy("key").applyInPandas(run, "key long, id long, accepted boolean, wait double")
+    ordered = events.select("key", "id", "t").repartition("key").sortWithinPartitions("key", "t", "id")
+    return ordered.mapInPandas(run, "key long, id long, accepted boolean, wait double")
 
 
 def transcript(turns: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pantrygrid.functions import text as t
+from pantrygrid.sources import shared_checkpoints
 
 #: How far a plan may be off, in parts of the target; least share of fibre; most sodium; sane portions.
 TOLERANCES = {"kcal": (-0.06, 0.06), "protein_g": (-0.12, 0.60), "fat_g": (-0.35, 0.35), "carb_g": (-0.35, 0.35)}
@@ -88,16 +89,19 @@ def corpus_chunks(docs: DataFrame, size: int = 900, overlap: int = 150) -> DataF
     return each.select("doc_id", "pos", F.coalesce(F.last(t.section(F.col("text")), ignorenulls=True).over(so_far), F.lit(t.FIRST_SECTION)).alias("section"), "text")
 
 
-def numbered(rows: DataFrame, key: str, name: str, width: int = 4096) -> DataFrame:
-    """rows with a number from 0 in the order of key, an integer that does not repeat.
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a number from 0 in the order of key, null keys first; of rows with one key, any order.
 
-    Ranges of keys are numbered side by side, then moved by the rows of the ranges before: the one ordered pass is over one row a range.
+    Partitions hold ranges of keys and are numbered side by side, then moved by the rows of the partitions before: the one
+    ordered pass is over one row a partition. Ranges are checkpointed in the shared folder, so that they do not change.
     """
-    ranged = rows.withColumn("_range", F.floor(F.col(key) / width))
-    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return ranged.withColumn("_at", at).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_at") - 1).drop("_range", "_at", "_start")
+    shared_checkpoints(rows.sparkSession)
+    order = F.col(key).asc_nulls_first()
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place in the partition
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", at).checkpoint()
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 def pooled(rankings: list[DataFrame], depth: int = 10) -> DataFrame:

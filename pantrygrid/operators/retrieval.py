@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pantrygrid import functions as fn
@@ -26,14 +26,14 @@ def idf(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents (doc_id, text) for each query (item_id, text) with a score above 0; ties to the smaller id.
 
-    Work is in proportion to the postings of the queries' tokens. A token that a query repeats counts each time.
+    Documents are read once for their lengths and once for the postings of the queries' tokens; other postings never
+    move. A token that a query repeats counts each time.
     """
-    posts = postings(docs, "doc_id", "text")
-    length = posts.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    stats = docs.agg(F.count("*").alias("n")).join(length.agg(F.avg("dl").alias("avgdl")), how="cross")  # one row
+    own = docs.select(F.col("doc_id").alias("doc"), fn.tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    stats = own.agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))  # one row
     asked = queries.select("item_id", F.explode(fn.tokens(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
-    weights = idf(posts.join(asked.select("token").distinct(), "token", "left_semi"), stats)
-    hit = posts.join(weights, "token").join(length, "doc").join(F.broadcast(stats.select("avgdl")), how="cross")
+    posts = own.select("doc", "dl", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "doc", "dl").agg(F.count("*").alias("tf"))
+    hit = posts.join(idf(posts, stats), "token").join(F.broadcast(stats.select("avgdl")), how="cross")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hit.select("doc", "token", part.alias("part")).join(asked, "token").groupBy("item_id", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("s")).where("s > 0")
     best = Window.partitionBy("item_id").orderBy(F.round("s", 9).desc(), "doc")
@@ -43,33 +43,42 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: str = "l2", same: str | None = None, rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest vectors: least squared distance ("l2") or largest product ("dot"); a query never finds itself.
 
-    same: a column that both must share (a filter before the search). Blocks of the stated queries meet blocks of
-    vectors as matrices; a block hands on k rows for each query.
+    same: a column (a whole number) that both must share; blocks hold one value of it, and only blocks of one value meet.
+    Rows are packed into blocks where they lie. Blocks of the stated queries meet blocks of vectors as matrices; a pair of
+    blocks hands on k rows for each query.
     """
-    extra = [same] if same else []
+    value = F.col(same).cast("long") if same else F.lit(0).cast("long")
 
-    def packed(df: DataFrame, size: int) -> DataFrame:
-        return df.select("vec_id", "embedding", *extra).withColumn("block", F.floor(F.monotonically_increasing_id() / size)).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding", *extra)).alias("x")).select("x")
+    def packed(df: DataFrame, size: int, ids: str, x: str) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                for v, part in pdf.groupby("value"):
+                    for i in range(0, len(part), size):
+                        own = part.iloc[i : i + size]
+                        yield pd.DataFrame({"value": [v], ids: [own["vec_id"].to_numpy(np.int64).tobytes()], x: [np.stack(own["embedding"].to_numpy()).astype(float).tobytes()]})
+
+        return df.select("vec_id", "embedding", value.alias("value")).where("value is not null").mapInPandas(run, f"value long, {ids} binary, {x} binary")
 
     def run(batches):
         for pdf in batches:
-            for q, x in zip(pdf["q"], pdf["x"]):
-                ids, asked = np.array([r["vec_id"] for r in x]), np.array([r["vec_id"] for r in q])
-                v, w = np.array([r["embedding"] for r in x], float), np.array([r["embedding"] for r in q], float)
+            for q_ids, q, c_ids, c in zip(pdf["q_ids"], pdf["q"], pdf["c_ids"], pdf["c"]):
+                asked, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
+                w, v = np.frombuffer(q).reshape(len(asked), -1), np.frombuffer(c).reshape(len(ids), -1)
                 if by == "dot":
                     near = w @ v.T
                 else:  # differences, not norms: equal vectors must have a distance of exactly 0
                     near = -np.stack([((v - one) ** 2).sum(1) for one in w])
                 near[asked[:, None] == ids] = -np.inf
-                if same:
-                    near[np.array([r[same] for r in q])[:, None] != np.array([r[same] for r in x])] = -np.inf
-                for i in range(len(asked)):
-                    top = np.lexsort((ids, -np.round(near[i], 9)))[:k]
-                    top = top[np.isfinite(near[i][top])]
-                    yield pd.DataFrame({"query_id": asked[i], "vec_id": ids[top], "s": near[i][top]})
-
-    pairs = packed(queries, 256).withColumnRenamed("x", "q").crossJoin(packed(vectors, rows))  # blocks of stated queries with blocks of all rows
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, s double")
+                key = -np.round(near, 9)
+                last = np.partition(key, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                qi, vi = np.nonzero((key <= last[:, None]) & np.isfinite(key))
+                order = np.lexsort((ids[vi], key[qi, vi], qi))
+                qi, vi = qi[order], vi[order]
+                first = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+                yield pd.DataFrame({"query_id": asked[qi[first]], "vec_id": ids[vi[first]], "s": near[qi[first], vi[first]]})
+
+    pairs = packed(queries, 256, "q_ids", "q").join(packed(vectors, rows, "c_ids", "c"), "value")  # blocks of stated queries with blocks of all rows
+    found = pairs.select("q_ids", "q", "c_ids", "c").mapInPandas(run, "query_id long, vec_id long, s double")
     best = Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), "vec_id")
     score = F.col("s") if by == "dot" else -F.col("s")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.round(score, 6).alias("score"))
@@ -86,6 +95,21 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("s", 6).alias("score"))
 
 
+def hybrid(dense: DataFrame, lexical: DataFrame, k: int, weight: float = 1.0) -> DataFrame:
+    """query_id, rank, doc_id, score, distance of a dense and a lexical ranking (query_id, rank, doc_id, score), fused: the distance of the dense hit, else 1 / (1 + score) of the lexical one."""
+    far = dense.select("query_id", "doc_id", F.col("score").alias("far"))
+    said = lexical.select("query_id", "doc_id", F.col("score").alias("said"))
+    met = fuse([(dense, 1.0), (lexical, weight)], k).join(far, ["query_id", "doc_id"], "left").join(said, ["query_id", "doc_id"], "left")
+    return met.select("query_id", "rank", "doc_id", "score", F.round(F.coalesce("far", 1 / (1 + F.col("said"))), 6).alias("distance"))
+
+
+def interval(mean: Column, spread: Column, n: Column, z: float) -> Column:
+    """low and high of a mean of values from 0 to 1: the normal interval, cut at 0 and 1; null for fewer than two values."""
+    half = F.lit(z) * spread / F.sqrt(n)
+    cut = lambda x: F.when(n > 1, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    return F.struct(cut(mean - half).alias("low"), cut(mean + half).alias("high"))
+
+
 def ranking_measures(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """Measures of each query of relevant (query_id, total): hits at ranks (query_id, rank, rel). A query without a ranking has nulls."""
     run = Window.partitionBy("query_id").orderBy("rank")

@@ -64,11 +64,6 @@ def section_carry_forward(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.last(head, ignorenulls=True).over(so_far), F.lit("Introduction")).alias("section"))
 
 
-def refusal_markers(spark, d):
-    text = F.lower("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", (text.contains("sorry") | text.contains("cannot") | text.contains("can't")).alias("refusal"))
-
-
 def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
@@ -79,7 +74,7 @@ def dedup_union_first(spark, d):
     return first.select("digest", "f.src", "f.id")
 
 
-QUERIES = [theil_sen_slope, intake_forward_fill, daily_budget_counter, sliding_window_count, rate_limit_decisions, ttl_active_sessions, retention_by_day, transcript, history_last_k, section_carry_forward, refusal_markers, json_props, dedup_union_first]
+QUERIES = [theil_sen_slope, intake_forward_fill, daily_budget_counter, sliding_window_count, rate_limit_decisions, ttl_active_sessions, retention_by_day, transcript, history_last_k, section_carry_forward, json_props, dedup_union_first]
 _DAILY = "p AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, max(value) AS y FROM events GROUP BY 1, 2)"
 SQL = {
     "theil_sen_slope": f"WITH {_DAILY} SELECT a.key, round(median((b.y - a.y) / date_diff('day', a.day, b.day)), 6) AS slope FROM p a JOIN p b ON a.key = b.key AND a.day < b.day GROUP BY 1",
@@ -91,7 +86,6 @@ SQL = {
     "transcript": "SELECT conv_id, count(*) AS n, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY 1",
     "history_last_k": "SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 6",
     "section_carry_forward": "SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'Introduction') AS section FROM conversations",
-    "refusal_markers": "SELECT conv_id, turn, contains(lower(text), 'sorry') OR contains(lower(text), 'cannot') OR contains(lower(text), 'can''t') AS refusal FROM conversations",
     "json_props": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "dedup_union_first": "SELECT digest, CAST(min(src * 1000000000000 + id) // 1000000000000 AS INTEGER) AS src, CAST(min(src * 1000000000000 + id) % 1000000000000 AS BIGINT) AS id FROM (SELECT 0 AS src, item_id AS id, sha256(text) AS digest FROM benchmark UNION ALL SELECT 1, doc_id, sha256(text) FROM documents) GROUP BY 1",
 }

@@ -10,7 +10,6 @@ from pantrygrid.sources import table
 
 _SHARES = """m AS (SELECT l_orderkey AS dish, l_partkey AS item, sum(l_quantity) AS grams FROM lineitem GROUP BY 1, 2), w AS (SELECT *, sum(grams) OVER (PARTITION BY dish) AS total FROM m),
     k AS (SELECT * FROM w WHERE total > 0 AND grams / total >= 0.01), sh AS (SELECT dish, item, grams / sum(grams) OVER (PARTITION BY dish) AS share FROM k)"""
-_ROLE = "CASE WHEN contains(p_type, 'STEEL') THEN 'main' WHEN contains(p_type, 'BRASS') THEN 'side' WHEN contains(p_type, 'TIN') THEN 'drink' WHEN contains(p_type, 'COPPER') THEN 'snack' ELSE 'other' END"
 _PEOPLE = """w AS (SELECT c_custkey AS person, c_custkey % 2 = 1 AS male, CAST(50 + c_custkey % 60 AS DOUBLE) AS kg, CAST(150 + c_custkey % 50 AS DOUBLE) AS cm, CAST(15 + c_custkey % 60 AS DOUBLE) AS years,
         ['sedentary', 'light', 'moderate', 'high', 'athlete'][1 + c_custkey % 5] AS activity, ['lose', 'keep', 'gain'][1 + c_custkey % 3] AS goal FROM customer),
     e AS (SELECT *, greatest((CAST(10 AS DOUBLE) * kg + CAST(6.25 AS DOUBLE) * cm - CAST(5 AS DOUBLE) * years + CASE WHEN male THEN CAST(5 AS DOUBLE) ELSE CAST(-161 AS DOUBLE) END) * CAST([1.2, 1.375, 1.55, 1.725, 1.9][1 + person % 5] AS DOUBLE)
@@ -44,23 +43,11 @@ def portion_pick(spark, d):
     return table(spark, d, "lineitem").withColumn("rank", rank).withColumn("k", F.row_number().over(first)).where("k = 1").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-def role_classify(spark, d):
-    return table(spark, d, "part").select("p_partkey", k.role(F.col("p_type")).alias("role"))
-
-
-def mainstream_flag(spark, d):
-    return table(spark, d, "part").select("p_partkey", (~F.lower("p_name").rlike("(^|[^a-z])(raw|baby|game)|1[0-9]*5")).alias("mainstream"))
-
-
 def catalog_quality(spark, d):
     p = F.col("p_retailprice")
     return table(spark, d, "part").agg(F.count("*").alias("n"), F.count_distinct("p_type").alias("types"), F.sum((p < 0).cast("int")).alias("negative"), F.round(F.percentile(p, F.lit(0.5)), 6).alias("median"), F.round(F.avg(p.between(1000, 1500).cast("int")), 6).alias("near"))
 
 
-def food_search(spark, d):
-    return table(spark, d, "part").where(F.lower("p_name").contains("1")).where(k.role(F.col("p_type")) == "main").orderBy("p_name", "p_partkey").limit(20).select("p_partkey", "p_name")
-
-
 def composition_shares(spark, d):
     return k.shares(_lines(spark, d))
 
@@ -69,11 +56,6 @@ def dish_cost(spark, d):
     return k.cost(k.shares(_lines(spark, d)), _prices(spark, d)).select("dish", F.round("coverage", 6).alias("coverage"), F.round("cost", 9).alias("cost"))
 
 
-def exclude_by_ingredient_anti(spark, d):
-    bad = table(spark, d, "part").where(F.col("p_type").contains("TIN")).select(F.col("p_partkey").alias("item"))
-    return k.without_items(table(spark, d, "orders").select(F.col("o_orderkey").alias("dish")), _lines(spark, d), bad)
-
-
 def only_priced_semi(spark, d):
     priced = _lines(spark, d).join(_prices(spark, d), "item", "left_semi").select("dish").distinct()
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("dish"), "o_orderstatus").join(priced, "dish", "left_semi")
@@ -115,19 +97,15 @@ def ids_digest(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ","), 256).alias("digest"))
 
 
-QUERIES = [star_assembly, nutrient_pivot, portion_pick, role_classify, mainstream_flag, catalog_quality, food_search, composition_shares, dish_cost, exclude_by_ingredient_anti, only_priced_semi, recipe_leaves_recursive, shopping_list, targets_formula, candidates_x_servings, plan_checks, ids_digest]
+QUERIES = [star_assembly, nutrient_pivot, portion_pick, catalog_quality, composition_shares, dish_cost, only_priced_semi, recipe_leaves_recursive, shopping_list, targets_formula, candidates_x_servings, plan_checks, ids_digest]
 SQL = {
     "star_assembly": "SELECT r_name, p_brand, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "nutrient_pivot": "SELECT user_id, " + ", ".join(f"arg_min(value, event_id) FILTER (WHERE event_type = '{x}') AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
     "portion_pick": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem) WHERE k = 1",
-    "role_classify": f"SELECT p_partkey, {_ROLE} AS role FROM part",
-    "mainstream_flag": "SELECT p_partkey, NOT regexp_matches(lower(p_name), '(^|[^a-z])(raw|baby|game)|1[0-9]*5') AS mainstream FROM part",
     "catalog_quality": "SELECT count(*) AS n, count(DISTINCT p_type) AS types, CAST(sum(CASE WHEN p_retailprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, round(median(p_retailprice), 6) AS median, round(avg(CASE WHEN p_retailprice BETWEEN 1000 AND 1500 THEN 1 ELSE 0 END), 6) AS near FROM part",
-    "food_search": f"SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') AND {_ROLE} = 'main' ORDER BY p_name, p_partkey LIMIT 20",
     "composition_shares": f"WITH {_SHARES} SELECT dish, item, share FROM sh",
     "dish_cost": f"""WITH {_SHARES}, c AS (SELECT dish, sum(CASE WHEN p_partkey IS NOT NULL THEN share ELSE 0 END) AS coverage, sum(share * p_retailprice) AS paid FROM sh LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON item = p_partkey GROUP BY 1)
         SELECT dish, round(coverage, 6) AS coverage, round(CASE WHEN coverage >= CAST(0.499999999 AS DOUBLE) THEN paid / coverage / 10 END, 9) AS cost FROM c""",
-    "exclude_by_ingredient_anti": "SELECT o_orderkey AS dish FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(p_type, 'TIN'))",
     "only_priced_semi": "SELECT o_orderkey AS dish, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 4 <> 0 AND l_partkey IN (SELECT p_partkey FROM part))",
     "recipe_leaves_recursive": "WITH RECURSIVE e AS (SELECT p_partkey AS parent, unnest([p_partkey // 2, p_partkey // 3]) AS child FROM part), x AS (SELECT parent AS root, child AS node FROM e WHERE child > 0 UNION SELECT x.root, e.child FROM x JOIN e ON x.node = e.parent WHERE e.child > 0) SELECT root, node FROM x",
     "shopping_list": "SELECT l_partkey AS item, CAST(sum(l_quantity) AS BIGINT) AS grams, count(*) AS times, CAST(sum(l_quantity) AS BIGINT) * CAST(round(max(p_retailprice) * 100) AS BIGINT) / CAST(100000 AS DOUBLE) AS cost FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey GROUP BY 1",

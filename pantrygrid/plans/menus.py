@@ -43,14 +43,6 @@ def adaptive_expenditure(spark, d):
     return m.expenditure(weights, eaten, 2000.0, 1900.0).select("key", "tdee", F.round("kg_per_week", 6).alias("kg_per_week"))
 
 
-def departments(spark, d):
-    return table(spark, d, "part").select("p_partkey", t.department(F.concat_ws(", ", "p_name", "p_type")).alias("department"))
-
-
-def requested_days(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", t.days(F.col("text")).alias("days"), t.goal(F.col("text")).alias("goal"))
-
-
 def cleaned_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(t.clean(F.col("text")), 256).alias("digest"))
 
@@ -139,7 +131,7 @@ def sessions_by_gap(spark, d):
     return table(spark, d, "events").withColumn("new", new).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("start"))
 
 
-QUERIES = [day_plan_checks, day_plan_loss, cycled_targets, adaptive_expenditure, departments, requested_days, cleaned_text, corpus_chunks, document_numbers, relevance_pool, parent_expansion, nearest_servings, daily_pivot_mean, macro_average, judge_noise, wins_and_losses, breadth_buckets, priced_share, median_latency, bounded_store, sessions_by_gap]
+QUERIES = [day_plan_checks, day_plan_loss, cycled_targets, adaptive_expenditure, cleaned_text, corpus_chunks, document_numbers, relevance_pool, parent_expansion, nearest_servings, daily_pivot_mean, macro_average, judge_noise, wins_and_losses, breadth_buckets, priced_share, median_latency, bounded_store, sessions_by_gap]
 
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 _DAY = f"""i AS (SELECT l_orderkey AS plan, l_partkey AS dish, l_quantity * 10 AS grams, {", ".join(f"{_D(e)} AS {n}" for n, e in _NUTRIENTS.items())} FROM lineitem),
@@ -166,10 +158,6 @@ SQL = {
         c AS (SELECT key, CAST(unnest(generate_series(a, b - 1, INTERVAL 1 DAY)) AS DATE) AS day FROM sp),
         f AS (SELECT c.key, avg(coalesce(v.kcal, 1900)) AS intake FROM c ASOF LEFT JOIN v ON c.key = v.key AND c.day >= v.day GROUP BY 1)
         SELECT key, round_even(least(greatest(intake - slope * 7700, {_D(2000)} * (1 - {_D(0.1)})), {_D(2000)} * (1 + {_D(0.1)})), 0) AS tdee, round(slope * 7, 6) AS kg_per_week FROM f JOIN sl USING (key)""",
-    "departments": f"SELECT p_partkey, CASE {_RULES} ELSE '{t.OTHER_DEPARTMENT}' END AS department FROM (SELECT p_partkey, lower(regexp_replace(concat_ws(', ', p_name, p_type), '{t.ABSENT}', '')) AS x FROM part)",
-    "requested_days": f"""WITH x AS (SELECT conv_id, turn, role, lower(text) AS x FROM conversations), n AS (SELECT *, regexp_extract(x, '{t.COUNTED}', 2) AS u, TRY_CAST(regexp_extract(x, '{t.COUNTED}', 1) AS INTEGER) AS k FROM x)
-        SELECT conv_id, turn, role, CASE WHEN regexp_matches(x, '{t.COUNTED}') THEN CASE WHEN k * CASE u WHEN 'недел' THEN 7 WHEN 'месяц' THEN 30 ELSE 1 END BETWEEN 1 AND 31 THEN k * CASE u WHEN 'недел' THEN 7 WHEN 'месяц' THEN 30 ELSE 1 END END ELSE CASE {_WORDS} END END AS days,
-        CASE WHEN regexp_matches(x, '{t.RECOMP}') OR (regexp_matches(x, '{t.LOSING}') AND regexp_matches(x, '{t.KEEPING}')) THEN 'recomp' END AS goal FROM n""",
     "document_numbers": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents WHERE n_chars >= 300",
     "relevance_pool": f"WITH {_POOL}, u AS (SELECT query_id, vec_id, 0 AS source, rank FROM a WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, 1, rank FROM b WHERE rank <= 10), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY source, rank) AS n FROM u) SELECT query_id, vec_id AS doc_id, source, CAST(rank AS INTEGER) AS rank FROM k WHERE n = 1",
     "parent_expansion": f"WITH {_POOL}, h AS (SELECT query_id, v.label AS parent, min(rank) AS first FROM a JOIN v USING (vec_id) WHERE rank <= 10 GROUP BY 1, 2) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, parent) AS INTEGER) AS rank, CAST(parent AS BIGINT) AS parent FROM h",

@@ -72,11 +72,6 @@ def ir_metrics(spark, d):
     return r.ranking_measures(rel, total)
 
 
-def corpus_gap(spark, d):
-    v = table(spark, d, "embeddings")
-    return r.nearest(_asked(v), v, 1).select("query_id", F.col("score").alias("distance"), F.when(F.col("score") > 0.85, "corpus gap").otherwise("pipeline fault").alias("cause"))
-
-
 def mean_ci(spark, d):
     got = table(spark, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     half = 1.96 * F.col("s") / F.sqrt("n")
@@ -102,7 +97,7 @@ def paired_bootstrap(spark, d):
     return r.paired_bootstrap(table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("a"), F.col("toxic").alias("b")))
 
 
-QUERIES = [bm25_topk, bm25_idf, vocabulary_by_tokenizer, vector_topk, vector_topk_filtered, name_nearest_dot, rrf_fusion, ir_metrics, corpus_gap, mean_ci, judge_agreement, judged_coverage, value_counts_levels, paired_bootstrap]
+QUERIES = [bm25_topk, bm25_idf, vocabulary_by_tokenizer, vector_topk, vector_topk_filtered, name_nearest_dot, rrf_fusion, ir_metrics, mean_ci, judge_agreement, judged_coverage, value_counts_levels, paired_bootstrap]
 SQL = {
     "bm25_topk": f"WITH {_BM25}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s WHERE s > 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 6) AS score FROM t WHERE rank <= 5",
     "bm25_idf": f"WITH {_POSTINGS}, n AS (SELECT count(*) AS n FROM documents) SELECT token, count(*) AS df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, n GROUP BY token",
@@ -119,7 +114,6 @@ SQL = {
         x AS (SELECT *, hit / n AS p, CASE WHEN total > 0 THEN hit / total ELSE 0 END AS r, list_sum(list_transform(range(1, greatest(least(n, total), 1) + 1), lambda i: 1 / log2(i + 1.0))) AS ideal FROM w LEFT JOIN m USING (query_id))
         SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN hit > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(coalesce(1 / first, 0), 6) AS mrr, round(CASE WHEN total > 0 THEN ap / total ELSE 0 END, 6) AS map,
         round(CASE WHEN total > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg, round(CASE WHEN total > 0 THEN least(n, total) / total END, 6) AS ceiling FROM x""",
-    "corpus_gap": f"WITH {_NEAR} SELECT query_id, round(min(s), 6) AS distance, CASE WHEN round(min(s), 6) > 0.85 THEN 'corpus gap' ELSE 'pipeline fault' END AS cause FROM s GROUP BY 1",
     "mean_ci": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS low, round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS high FROM events GROUP BY 1",
     "judge_agreement": "SELECT count(*) AS n, round(avg(CASE WHEN quality <> toxic THEN 1 ELSE 0 END), 6) AS agreement FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
     "judged_coverage": "SELECT source, count(*) AS n, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) THEN 1 ELSE 0 END), 6) AS judged FROM documents GROUP BY 1",
