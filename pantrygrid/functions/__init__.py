@@ -20,6 +20,16 @@ def tokens(text: Column, least: int = 3, cut: int = 6) -> Column:
     return F.transform(F.filter(words(text), lambda w: F.length(w) >= least), lambda w: F.substring(w, 1, cut))
 
 
+#: Endings that a stem loses, the longest that fits first; letters that a stem keeps at least.
+ENDINGS, LEAST_STEM = "ational ization iveness fulness ousness ations ities ively ement ation ingly edly ism ness ment ity ies ing ers ive al ic ed es s".split(), 4
+
+
+def stems(text: Column) -> Column:
+    """Words of three letters or more without their English ending, then without a last e."""
+    bare = lambda w: F.regexp_replace(w, f"^(.{{{LEAST_STEM},}}?)(?:{'|'.join(ENDINGS)})$", "$1")
+    return F.transform(F.filter(words(text), lambda w: F.length(w) > 2), lambda w: F.regexp_replace(bare(w), f"^(.{{{LEAST_STEM},}})e$", "$1"))
+
+
 def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     """The value of the first rule that holds."""
     return F.coalesce(*[F.when(c, F.lit(v)) for c, v in rules], F.lit(otherwise))

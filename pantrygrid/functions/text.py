@@ -105,11 +105,11 @@ def packed(parts: list[str], size: int, overlap: int) -> list[str]:
     return [c for c in out if c]
 
 
-def chunks(size: int = 900, overlap: int = 150):
-    """A column function: the chunks of a text."""
+def chunks(size: int = 900, overlap: int = 150, separators: list[str] = SEPARATORS):
+    """A column function: the chunks of a text. With only empty lines as separators, and the empty one, paragraphs are packed as they are, and cut where one is too long."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split(t, size, overlap) if t else [])
+        return text.map(lambda t: split(t, size, overlap, separators) if t else [])
 
     return run

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pantrygrid.operators.menus import numbered
 
 def slopes(points: DataFrame) -> DataFrame:
     """key, slope: the median of the slopes between all pairs of a key's points (key, day: date, y), by Theil and Sen. Points of a key and day are one, by their mean."""
@@ -63,3 +64,18 @@ def transcript(turns: DataFrame) -> DataFrame:
     """conv_id, n, transcript: the turns in order, one line each. A conversation is one row, as long as it is."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda t: F.concat(t["role"], F.lit(": "), F.coalesce(t["text"], F.lit("")))), "\n").alias("transcript"))
+
+
+def markdown(turns: DataFrame) -> DataFrame:
+    """conv_id, number, markdown of turns (conv_id, turn, role, text): conversations numbered in order of their first turn, turns under headings. A conversation is one row, as long as it is."""
+    quoted = lambda text: F.concat(F.lit("> "), F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit("\n> ")))
+    said = lambda t: F.concat(F.lit("### "), t["turn"].cast("string"), F.lit(". "), t["role"], F.lit("\n\n"), F.when(t["role"] == "user", quoted(t["text"])).otherwise(F.coalesce(t["text"], F.lit("—"))))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    got = numbered(whole.select("conv_id", F.array_join(F.transform("x", said), "\n\n").alias("body")), "conv_id", "number")
+    return got.select("conv_id", (F.col("number") + 1).alias("number"), F.concat(F.lit("## Conversation "), (F.col("number") + 1).cast("string"), F.lit("\n\n"), "body").alias("markdown"))
+
+
+def window_view(events: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """id, n, retry_after of events (key, id, t: microseconds): all events of the last window, and, over the limit, seconds until the first of them leaves it. An upper bound only: the limiter does not count what it rejects."""
+    last = Window.partitionBy("key").orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
+    return events.select("id", F.count("*").over(last).alias("n"), F.when(F.count("*").over(last) > limit, seconds - (F.col("t") - F.min("t").over(last)) / 1e6).otherwise(0.0).alias("retry_after"))

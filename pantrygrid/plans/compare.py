@@ -271,10 +271,11 @@ def weekly_targets(spark, d):
 
 
 def chunk_sweep(spark, d):
-    """The corpus cut at several sizes: chunks and their mean length."""
+    """The corpus cut at several sizes, and at a fixed one (below 0): chunks and the longest."""
     docs = table(spark, d, "documents")
     parts = [m.corpus_chunks(docs, size, size // 6).agg(F.lit(size).alias("size"), F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest")) for size in (300, 900)]
-    return parts[0].unionByName(parts[1])
+    fixed = docs.select(F.explode(t.chunks(900, 150, ["\n\n", ""])("text")).alias("text")).agg(F.lit(-900).alias("size"), F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"))
+    return parts[0].unionByName(parts[1]).unionByName(fixed)
 
 
 QUERIES = [

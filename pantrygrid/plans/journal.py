@@ -36,6 +36,14 @@ def rate_limit_decisions(spark, d):
     return g.rate_limited(e, 2, 86400.0)
 
 
+def window_retry_after(spark, d):
+    return g.window_view(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")), 2, 86400)
+
+
+def transcript_markdown(spark, d):
+    return g.markdown(table(spark, d, "conversations")).select("conv_id", "number", F.sha2("markdown", 256).alias("digest"))
+
+
 def ttl_active_sessions(spark, d):
     e = table(spark, d, "events")
     end = e.agg(F.max("ts").alias("now"))
@@ -74,13 +82,16 @@ def dedup_union_first(spark, d):
     return first.select("digest", "f.src", "f.id")
 
 
-QUERIES = [theil_sen_slope, intake_forward_fill, daily_budget_counter, sliding_window_count, rate_limit_decisions, ttl_active_sessions, retention_by_day, transcript, history_last_k, section_carry_forward, json_props, dedup_union_first]
+QUERIES = [theil_sen_slope, intake_forward_fill, daily_budget_counter, sliding_window_count, rate_limit_decisions, window_retry_after, transcript_markdown, ttl_active_sessions, retention_by_day, transcript, history_last_k, section_carry_forward, json_props, dedup_union_first]
 _DAILY = "p AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, max(value) AS y FROM events GROUP BY 1, 2)"
 SQL = {
     "theil_sen_slope": f"WITH {_DAILY} SELECT a.key, round(median((b.y - a.y) / date_diff('day', a.day, b.day)), 6) AS slope FROM p a JOIN p b ON a.key = b.key AND a.day < b.day GROUP BY 1",
     "intake_forward_fill": f"WITH {_DAILY}, r AS (SELECT key, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p GROUP BY key) SELECT r.key, r.day, last_value(p.y IGNORE NULLS) OVER (PARTITION BY r.key ORDER BY r.day) AS y FROM r LEFT JOIN p ON p.key = r.key AND p.day = r.day",
     "daily_budget_counter": "SELECT event_id, CAST(used AS INTEGER) AS used, used <= 2 AS accepted FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS used FROM events)",
     "sliding_window_count": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n FROM events",
+    "window_retry_after": "WITH e AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t, count(*) OVER w AS n, min(epoch_us(ts)) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)) SELECT id, n, CASE WHEN n > 2 THEN 86400 - (t - f) / CAST(1000000 AS DOUBLE) ELSE 0 END AS retry_after FROM e",
+    "transcript_markdown": """WITH t AS (SELECT conv_id, '## Conversation ' || dense_rank() OVER (ORDER BY conv_id) AS h, dense_rank() OVER (ORDER BY conv_id) AS number, turn, role, '### ' || turn || '. ' || role || chr(10) || chr(10) || CASE WHEN role = 'user' THEN '> ' || replace(coalesce(text, ''), chr(10), chr(10) || '> ') ELSE coalesce(text, '—') END AS b, text FROM conversations)
+        SELECT conv_id, number, sha256(h || chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY turn, role, text)) AS digest FROM t GROUP BY conv_id, number, h""",
     "ttl_active_sessions": "SELECT user_id, max(ts) AS updated FROM events GROUP BY 1 HAVING (SELECT max(ts) FROM events) - max(ts) <= INTERVAL 1 DAY",
     "retention_by_day": "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 7 FROM events) GROUP BY 1",
     "transcript": "SELECT conv_id, count(*) AS n, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY 1",

@@ -38,6 +38,12 @@ def vocabulary_by_tokenizer(spark, d):
     return parts[0].unionByName(parts[1]).groupBy("tokenizer").agg(F.count_distinct("token").alias("n_tokens"))
 
 
+def stem_vocabulary(spark, d):
+    """Documents that each stem is in."""
+    got = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(fn.stems(F.col("text")))).alias("stem"))
+    return got.groupBy("stem").agg(F.count("*").alias("n"))
+
+
 def _asked(v):
     return v.where("vec_id % 20 = 0")
 
@@ -97,11 +103,12 @@ def paired_bootstrap(spark, d):
     return r.paired_bootstrap(table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("a"), F.col("toxic").alias("b")))
 
 
-QUERIES = [bm25_topk, bm25_idf, vocabulary_by_tokenizer, vector_topk, vector_topk_filtered, name_nearest_dot, rrf_fusion, ir_metrics, mean_ci, judge_agreement, judged_coverage, value_counts_levels, paired_bootstrap]
+QUERIES = [bm25_topk, bm25_idf, vocabulary_by_tokenizer, stem_vocabulary, vector_topk, vector_topk_filtered, name_nearest_dot, rrf_fusion, ir_metrics, mean_ci, judge_agreement, judged_coverage, value_counts_levels, paired_bootstrap]
 SQL = {
     "bm25_topk": f"WITH {_BM25}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s WHERE s > 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 6) AS score FROM t WHERE rank <= 5",
     "bm25_idf": f"WITH {_POSTINGS}, n AS (SELECT count(*) AS n FROM documents) SELECT token, count(*) AS df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, n GROUP BY token",
     "vocabulary_by_tokenizer": f"SELECT 'plain' AS tokenizer, count(DISTINCT t) AS n_tokens FROM (SELECT unnest({_WORDS}) AS t FROM documents) UNION ALL SELECT 'cut', count(DISTINCT t) FROM (SELECT unnest({_TOKENS}) AS t FROM documents)",
+    "stem_vocabulary": f"SELECT stem, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(list_transform(list_filter({_WORDS}, lambda w: length(w) > 2), lambda w: regexp_replace(regexp_replace(w, '^(.{{4,}}?)(?:{'|'.join(fn.ENDINGS)})$', '\\1'), '^(.{{4,}})e$', '\\1')))) AS stem FROM documents) GROUP BY 1",
     "vector_topk": f"WITH {_NEAR}, t AS (SELECT *, {_TOP} AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM t WHERE rank <= 5",
     "vector_topk_filtered": f"WITH {_NEAR}, t AS (SELECT *, {_TOP} AS rank FROM s WHERE ql = cl) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM t WHERE rank <= 5",
     "name_nearest_dot": f"WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS s FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM t WHERE rank <= 12",

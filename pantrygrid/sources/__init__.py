@@ -21,9 +21,11 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset, as in tests, to a folder beside the warehouse."""
+    """Checkpoints go to spark.checkpoint.dir; only where that is unset and all run on one machine, as in tests, to a folder beside the warehouse."""
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
 
 

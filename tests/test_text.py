@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+from pantrygrid import functions as fn
 from pantrygrid.functions import text as t
 from pantrygrid.operators import menus as m
 from pyspark.sql import functions as F
@@ -45,3 +46,12 @@ def test_sections_carry_on(spark):
     docs = spark.createDataFrame([(1, "# Head one\n" + "a " * 40 + "\n\n" + "b " * 40), (2, "plain"), (3, None), (4, "")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["pos"], r["section"]) for r in m.corpus_chunks(docs, 100, 10).collect())
     assert got == [(1, 0, "Head one"), (1, 1, "Head one"), (2, 0, t.FIRST_SECTION)]
+
+
+def test_stems_and_fixed_chunks(spark):
+    words = "studies studied obesity obese nationals organization bed beds running happiness"
+    got = spark.createDataFrame([(words,)], "x string").select(fn.stems(F.col("x"))).first()[0]
+    assert got == ["stud", "studi", "obes", "obes", "national", "organ", "bed", "beds", "runn", "happi"]
+    text = "\n\n".join(["a" * 40, "b" * 40, "c" * 250])
+    got = t.split(text, 100, 0, ["\n\n", ""])
+    assert got[0] == "a" * 40 + "\n\n" + "b" * 40 and all(len(x) <= 100 for x in got) and sum(x.count("c") for x in got) == 250
