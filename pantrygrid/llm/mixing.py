@@ -7,7 +7,8 @@ these are the nearest to one, weighed by tokens. Such a rate is one plus the pro
 a vector of one number for each domain, or the least rate if that is larger. Newton steps find the vector, each scaled
 by the moments of the documents above the least rate: a pass over a narrow table sums expected tokens and moments for
 several lengths of the step at once, and only those sums reach the driver. Steps go on until the targets are met. Where
-no rates meet them, the squared gap is least, but for a small weight on the rates' distance from one, and is reported.
+no rates meet them, the squared gap plus a weight on the rates' distance from one is least, for the last weight that
+still halved the gap, so that rates do not grow without an end; the gap is reported.
 """
 
 from __future__ import annotations
@@ -128,14 +129,15 @@ def _solved(passed, share: np.ndarray, total: float | None) -> tuple[np.ndarray,
             point, value, slope, bend, tokens = point + lengths[best] * step, values[best], slopes[best], bends[best], many[best]
         return None
 
-    point, tokens = np.zeros(axes.shape[1]), None
+    point, tokens, least_gap = np.zeros(axes.shape[1]), None, np.inf
     for ridge in RIDGES:
         found = newton(point, ridge)
-        if found is None:
+        if found is None or np.abs(gap_of(found[1])[1]).max() > least_gap / 2:  # rates that no longer help only grow
             break
         point, tokens = found
         goal, gap, enough = gap_of(tokens)
-        if np.abs(gap).max() <= enough:
+        least_gap = np.abs(gap).max()
+        if least_gap <= enough:
             return axes @ point, goal, gap
     if tokens is None:
         raise RuntimeError("the rates of the mix did not converge")
@@ -205,7 +207,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
 
 def _copies(rate: Column, key: Column) -> Column:
     draw = F.pmod(F.xxhash64(F.coalesce(key.cast("long"), F.lit(-1)), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return F.floor(rate + draw).cast("int")
+    return F.floor(rate + draw).cast("long")
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", **how) -> DataFrame:
@@ -221,5 +223,5 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, flo
     renamed = docs.toDF(*[f"c{i}" for i in range(len(own))])
     at = {c: f"c{i}" for i, c in enumerate(own)}
     rate = F.pandas_udf(rates, "double")(F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")))
-    copies = renamed.withColumn("rate", rate).withColumn("times", F.explode(F.sequence(F.lit(1), F.lit(1) + _copies(F.col("rate"), F.col(at[id_col]))))).where("times > 1")
+    copies = renamed.withColumn("rate", rate).withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(1) + _copies(F.col("rate"), F.col(at[id_col]))))).where("times > 1")
     return copies.drop("rate", "times").toDF(*own)

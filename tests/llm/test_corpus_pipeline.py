@@ -49,3 +49,50 @@ def test_near_copies(spark, docs):
     assert Counter(group[i] for i in kept) == Counter(set(group))
     assert all((big if ROWS[i][0] is None else ROWS[i][0]) == best[group[i]] for i in kept)
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").collect() == []
+
+
+def test_every_stage_of_a_whole_run(spark, tmp_path):
+    """Stages next to the operators and to plain rules, over a table with null and repeated ids, empty texts and junk."""
+    import hashlib
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from pantrygrid.llm import mixing, quality, shared, tokens
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(("ri", "ver", "sto", "ne", "mor", "ning", "ho", "use", "le", "tter")) for _ in range(rng.randint(1, 3)))
+    say = lambda n: " ".join(" ".join(word() for _ in range(rng.randint(5, 12))).capitalize() + "." for _ in range(n))
+    prose = [say(8) for _ in range(40)]
+    rows = [(k, t, "en" if k % 4 else "de", f"s{k % 3}", len(t)) for k, t in enumerate(prose)]
+    rows += [(100 + k, prose[k].upper().lower(), "en", "c", 0) for k in range(5)] + [(7, prose[1] + " again", "en", "n", 0), (None, prose[2], "de", "n", 0), (8, None, None, None, None), (9, "", "en", "e", 0)]
+    rows += [(200 + k, "CLICK!!! $$$ ### BUY!!! " * (20 + k), "en", "j", 0) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    at = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, at = at, shared.written(stage(spark, at, str(tmp_path)))
+        texts = Counter((r["text"] or "").lower() for r in before.collect())
+        if name == "quality classifier":
+            ok = {r["doc_id"]: r["accepted"] for r in quality.quality_classifier(docs).where("doc_id is not null").collect()}
+            assert {r["doc_id"] for r in at.collect()} - {None} == {k for k, v in ok.items() if v} and not any(ok[200 + k] for k in range(12)) and all(ok[k] for k in range(40) if k not in (7, 8, 9))
+        elif name == "exact dedup":
+            assert Counter((r["text"] or "").lower() for r in at.collect()) == Counter(set(texts))
+        elif name == "n-gram Jaccard join":
+            kept = [shingles(r["text"] or "") for r in at.collect()]
+            assert all(100 * len(a & b) < 75 * len(a | b) for i, a in enumerate(kept) for b in kept[:i] if a and b) and len(kept) == len(texts) - 1
+        elif name == "mixing sources to target weights":
+            assert set(Counter((r["text"] or "").lower() for r in at.collect())) == set(texts) and at.columns == docs.columns
+        else:
+            enc = tokens.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+            want = Counter(hashlib.sha256(np.asarray(enc.encode_ordinary(r["text"] or ""), "<u4").tobytes()).hexdigest() for r in before.collect())
+            assert Counter(r["ids_sha256"] for r in at.collect()) == want
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r["ids_sha256"] for r in whole) == sorted(r["ids_sha256"] for r in at.collect())
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
