@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 #: Rows that Spark puts into one Arrow batch. Texts differ in length by four orders of magnitude.
 BATCH_ROWS = 512
 #: Bytes of text that a kernel handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 U = np.uint64
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run on one machine, the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir")
 
 
