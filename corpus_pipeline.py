@@ -7,7 +7,8 @@ Null texts are empty texts, and an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pantrygrid.llm import exact_dedup, mixing, ngram_join, quality, shared, tokens
@@ -18,9 +19,23 @@ from pantrygrid.llm.queries import MIX, labelled_domains
 ROW = "_corpus_row"
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row that is the same whenever it is read: that of its file, and its place in it. Rows that come from no files are written first."""
+    place = "struct(_metadata.file_path AS file, _metadata.row_index AS at)"
+    try:
+        placed = docs.withColumn(ROW, F.expr(place))
+    except AnalysisException:
+        docs = shared.written(docs)
+        placed = docs.withColumn(ROW, F.expr(place))
+    files = placed.select(F.col(f"{ROW}.file").alias("_file")).distinct()
+    files = shared.written(files.withColumn("_no", F.row_number().over(Window.orderBy("_file")).cast("long")))  # one row a file
+    met = placed.join(F.broadcast(files), placed[f"{ROW}.file"] == files["_file"])
+    return met.withColumn(ROW, F.shiftleft("_no", 40) + F.col(f"{ROW}.at")).drop("_file", "_no")
+
+
 def _one_of_each(docs: DataFrame, grouped, best) -> DataFrame:
     """Of each group of rows, the one that the aggregate best picks. grouped: numbered docs to ROW, group."""
-    numbered = shared.written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    numbered = _numbered(docs)
     groups = shared.written(grouped(numbered))
     stays = groups.join(numbered.select(ROW, "doc_id"), ROW).groupBy("group").agg(best.alias("best")).select(f"best.{ROW}")
     gone = groups.select(ROW).join(stays, ROW, "left_anti")
