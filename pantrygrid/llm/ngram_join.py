@@ -467,7 +467,7 @@ def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, perce
     parts = heads.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK_NODES)).cast("int").alias("parts"))
     follow = heads.join(parts, "head").select("node", "head", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"))
     lead = parts.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    meeting = sets.select("node", "tokens").join(follow.unionByName(lead), "node").withColumn("bundle", _bundle(bundles, "head", "part"))
+    meeting = sets.select("node", "tokens").join(follow.unionByName(lead).hint("merge"), "node").withColumn("bundle", _bundle(bundles, "head", "part"))
     near = shared.written(meeting.groupBy("bundle").applyInPandas(_head_verified(percent), "a long, b long"))
     classes = components(near)
 
@@ -475,7 +475,7 @@ def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, perce
     nodes = chosen.select("node", "cluster").join(classes, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("class"))
     several = nodes.groupBy("cluster").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("cluster")
     dealt = _blocks(shared.written(nodes.join(several, "cluster")))
-    apart = sets.select("node", "tokens").join(dealt, "node").withColumn("bundle", _bundle(bundles, "cluster", "i", "j"))
+    apart = sets.select("node", "tokens").join(dealt.hint("merge"), "node").withColumn("bundle", _bundle(bundles, "cluster", "i", "j"))
     return contracted(classes, apart.groupBy("bundle").applyInPandas(_verified(percent), "a long, b long"))
 
 
