@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained apart: one on ordinary text, one on what toxic text has and ordinary text lacks
-(runs of byte n-grams that no ordinary sample holds). A text is cut into overlapping windows at word boundaries, each
-compressed twice: with the ordinary dictionary, and with the toxic one before it. Both see the same ordinary part, so a
-window's two lengths differ by what the toxic dictionary explains. Four figures of these differences over all windows of
-a text go through a logistic calibration, fitted on labelled rows that trained no dictionary.
+Two zstandard dictionaries are trained apart: one on ordinary text, one on the marks of toxic text (runs of byte n-grams
+that a share of the toxic samples hold, and ordinary ones hardly ever). A-Z are lower-cased. A text is cut into
+overlapping windows at word boundaries, each compressed twice: with the ordinary dictionary, and with the toxic one
+before it. Both see the same ordinary part, so a window's two lengths differ by what the toxic dictionary explains
+(dictionaries used quite apart tell less: a toxic one alone explains no ordinary word, which hides its marks). Four
+figures of these differences over all windows of a text go through a logistic calibration, fitted on labelled rows that
+trained no dictionary.
 """
 
 from __future__ import annotations
@@ -18,13 +20,18 @@ from pyspark.sql import functions as F
 
 from pantrygrid.llm import shared
 
-#: Bounds of the training sample: labelled rows for either dictionary and for calibration, and bytes of a sample text.
-TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS, SAMPLE_BYTES = 1500, 3000, 4000, 20_000
+#: Bounds of the training sample: labelled rows for either dictionary and for calibration. A longer text of a dictionary's sample gives pieces of PIECE_BYTES, so many, spread over all of it.
+TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS, PIECES, PIECE_BYTES = 1500, 3000, 4000, 20, 1000
+#: Marks: toxic samples that hold an n-gram, at least, as a share and as a number; times that it is likelier in a toxic sample than in an ordinary one.
+MARK_SHARE, MARK_TEXTS, MARK_RATIO = 0.03, 3, 20.0
 #: Bytes of either dictionary; least bytes of a window and of the way to the next; length of the n-grams.
 TOXIC_BYTES, ORDINARY_BYTES, WINDOW, STEP, GRAM = 2048, 16 << 10, 48, 24, 6
 THRESHOLD = 0.7
 
 
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
 def windows(text: bytes) -> list[bytes]:
     """Overlapping windows that cover the whole text, cut at spaces where there are any near enough."""
     out, n, i = [], len(text), 0
@@ -48,16 +55,41 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def unseen_parts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The maximal runs of n-grams in the toxic texts that no ordinary text holds."""
-    have = np.unique(np.concatenate([_grams(np.frombuffer(d, np.uint8).astype(np.uint64)) for d in ordinary] or [np.empty(0, np.uint64)]))
+def lowered(text: str) -> bytes:
+    return text.encode().translate(_LOWER)
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """A short text whole; of a longer one PIECES pieces, spread over all of it."""
+    if len(text) <= PIECES * PIECE_BYTES:
+        return [text]
+    return [text[i : i + PIECE_BYTES] for i in np.linspace(0, len(text) - PIECE_BYTES, PIECES).astype(int)]
+
+
+def _counted(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of texts (in pieces), and how many texts hold each."""
+    own = [np.unique(np.concatenate([_grams(np.frombuffer(p, np.uint8).astype(np.uint64)) for p in t])) for t in texts]
+    return np.unique(np.concatenate(own or [np.empty(0, np.uint64)]), return_counts=True)
+
+
+def toxic_marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """The maximal runs, in the toxic texts, of n-grams that mark them; each run once for each text."""
+    found, n = _counted(toxic)
+    keep = n >= max(MARK_TEXTS, MARK_SHARE * len(toxic))
+    found, n = found[keep], n[keep]
+    have, m = _counted(ordinary)
+    at = np.minimum(np.searchsorted(have, found), max(len(have) - 1, 0))
+    plain = np.where(have[at] == found, m[at], 0) if len(have) else np.zeros(len(found))
+    found = found[n / max(len(toxic), 1) >= MARK_RATIO * (plain + 0.5) / max(len(ordinary), 1)]
     out = []
-    for d in toxic:
-        own = _grams(np.frombuffer(d, np.uint8).astype(np.uint64))
-        at = np.searchsorted(have, own)
-        new = have[np.minimum(at, len(have) - 1)] != own if len(have) else np.ones(len(own), bool)
-        edge = np.diff(np.concatenate([[0], new.astype(np.int8), [0]]))
-        out += [d[a : b + GRAM - 1] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if b - a >= 3]
+    for text in toxic if len(found) else ():
+        runs = set()
+        for p in text:
+            own = _grams(np.frombuffer(p, np.uint8).astype(np.uint64))
+            marked = found[np.minimum(np.searchsorted(found, own), len(found) - 1)] == own
+            edge = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
+            runs |= {p[a : b + GRAM - 1] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))}
+        out += sorted(runs)
     return out
 
 
@@ -130,15 +162,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.create_map(*[F.lit(v) for r, n in bound.items() for v in (r, min(1.0, n / max(sizes.get(r, 0), 1)))])
     draw = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = marked.withColumn("role", role).where(draw < share[F.col("role")])
-    few = F.broadcast(chosen)  # at most the sum of the three bounds, but for the spread of the hash
-    got = shared.texts(docs, id_col, text_col).where((F.octet_length("text") <= SAMPLE_BYTES) & (F.length("text") > 0)).join(few, "id").dropDuplicates(["id"]).orderBy("id").select("role", "y", "text").toArrow()
-    rows = [(r, y, t.encode()) for r, y, t in zip(got["role"].to_pylist(), got["y"].to_pylist(), got["text"].to_pylist())]
-    toxic, ordinary = [t for r, _, t in rows if r == "toxic"], [t for r, _, t in rows if r == "ordinary"]
-    model = ToxicityModel(_trained(TOXIC_BYTES, unseen_parts(toxic, ordinary), 6, 16), _trained(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)[::2]], 8, 64))
-    held = [(y, t) for r, y, t in rows if r == "calibration"]
-    if not held:
+    few = F.broadcast(chosen.limit(2 * sum(bound.values())))  # about the sum of the three bounds, and never over twice that
+    got = shared.texts(docs, id_col, text_col).where(F.length("text") > 0).join(few, "id").dropDuplicates(["id"])
+    cut = F.pandas_udf(lambda s: s.map(lambda t: pieces(lowered(t))), "array<binary>")
+    rows = got.where("role <> 'calibration'").select("id", "role", cut("text").alias("pieces")).orderBy("id").toArrow()
+    rows = list(zip(rows["role"].to_pylist(), rows["pieces"].to_pylist()))
+    toxic, ordinary = [p for r, p in rows if r == "toxic"], [p for r, p in rows if r == "ordinary"]
+    model = ToxicityModel(_trained(TOXIC_BYTES, toxic_marks(toxic, ordinary), 6, 16), _trained(ORDINARY_BYTES, [w for t in ordinary for p in t for w in windows(p)[::2]], 8, 64))
+    figures = F.pandas_udf(lambda s: pd.Series(model.features([lowered(t) for t in s]).tolist()), "array<double>")
+    held = got.where("role = 'calibration'").select("id", "y", figures("text").alias("x")).orderBy("id").toArrow()  # four figures a row
+    if not held.num_rows:
         return model
-    return ToxicityModel(model.toxic, model.ordinary, _fit_logistic(model.features([t for _, t in held]), np.array([float(y == 1) for y, _ in held])))
+    return ToxicityModel(model.toxic, model.ordinary, _fit_logistic(np.array(held["x"].to_pylist(), float), np.array([float(y == 1) for y in held["y"].to_pylist()])))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -153,7 +188,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col, label_col)
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([t.encode() for t in texts]))
+        return pd.Series(model.scores([lowered(t) for t in texts]))
 
     own = shared.texts(docs, id_col, text_col)
     out = own.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), F.pandas_udf(run, "double")("text").alias("score"))
