@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pantrygrid.llm import shared
@@ -78,12 +78,13 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x, np.asarray(got["y"].to_pylist(), float)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The rows of df whose hashed key is smallest: about rows of them, the same ones at every run."""
+def bounded_sample(df: DataFrame, key: str | Column, rows: int) -> DataFrame:
+    """About rows of the rows of df, by a hash of key, the same ones at every run; never over twice as many, even where all keys are one."""
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(rows / n * (1 << 30))))
+    drawn = df.where(F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(rows / n * (1 << 30)))).limit(2 * rows)
+    return df.limit(rows) if drawn.isEmpty() else drawn
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> np.ndarray:

@@ -4,8 +4,8 @@ Every labeller votes 0 (poor), 1 (good) or abstains. Expectation-maximisation ov
 each labeller's accuracy and the share of good documents (labellers are taken as independent, given the class). It needs
 only how often each pattern of votes occurs, and there are at most 3 ** labellers patterns, whatever the input. The
 posterior of a document's pattern is its soft label; soft labels of a bounded sample train a linear model on hashed byte
-n-grams, which scores every document. A document is rejected where its score, the posterior of its votes joined in, is
-below the threshold.
+n-grams. That scorer's own score decides on every document: it is rejected where the score is below the threshold. Votes
+and posteriors only train.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from pantrygrid.llm import features, shared
 
-#: Rows of the sample that trains the scorer, and the score from which a document is accepted.
-SAMPLE_ROWS, THRESHOLD = 4000, 0.5
+#: Rows of the sample that trains the scorer, and the score from which a document is accepted: it goes where the scorer is fairly sure.
+SAMPLE_ROWS, THRESHOLD = 4000, 0.3
 #: Times by which a vote of poor is likelier under the poor class, at least.
 BETTER = 100.0
 #: Labeller, its statistic, votes poor above, votes good up to (None: it never votes good).
@@ -149,13 +149,11 @@ class QualityModel:
     weights: np.ndarray
     threshold: float = THRESHOLD
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of texts, and the posteriors of their votes. The score weighs the scorer's log odds by one third and the posterior's by two."""
-        weak = posteriors(votes(statistics(data, offsets)), self.chances, self.share)
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Scores of texts by the linear scorer; 0.5 for an empty text."""
         z = features.linear_scores(data, offsets, self.weights)
-        line = np.clip(z[:, 1] - z[:, 0], -6, 6) if z.shape[1] == 2 else np.zeros(len(weak))
-        odds = np.clip(np.log(weak / (1 - weak)), -6, 6)
-        return 1 / (1 + np.exp(-(line + 2 * odds) / 3)), weak
+        line = np.clip(z[:, 1] - z[:, 0], -30, 30) if z.shape[1] == 2 else np.zeros(len(z))
+        return 1 / (1 + np.exp(-line))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> QualityModel:
@@ -177,34 +175,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         good = posteriors(votes(statistics(data, at)), chances, share)
         return pd.Series([[1 - g, g] for g in good])
 
-    sample = features.bounded_sample(own.withColumn("id", F.coalesce("id", F.lit(-1))), "id", sample_rows)
+    sample = features.bounded_sample(own, F.xxhash64("id", "text"), sample_rows)
     x, y = features.sample_features(sample.withColumn("y", F.pandas_udf(label, "array<double>")("text")))
     return QualityModel(chances, share, features.fit_softmax(x, y.reshape(-1, 2)), threshold)
 
 
 def scored(text: Column, model: QualityModel) -> Column:
-    """struct<score, posterior> of a text column."""
+    """The score of a text column."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series) -> pd.Series:
         data, at = shared.buffers(pa.array(texts, pa.string()))
-        got = [model.score(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in shared.slices(at)]
-        return pd.DataFrame({"score": np.concatenate([g[0] for g in got] or [[]]), "posterior": np.concatenate([g[1] for g in got] or [[]])})
+        return pd.Series(np.concatenate([model.score(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in shared.slices(at)] or [np.empty(0)]))
 
-    return F.pandas_udf(run, "score double, posterior double")(F.coalesce(text.cast("string"), F.lit("")))
+    return F.pandas_udf(run, "double")(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for every row of docs: id_col, score (0 to 1), posterior (of the votes alone), accepted.
+    """One row for every row of docs: id_col, score (0 to 1), accepted.
 
-    Null texts are empty texts; no labeller speaks against an empty text, so it is accepted. A null id stays null;
+    Null texts are empty texts; the scorer knows nothing against an empty text, so it is accepted. A null id stays null;
     repeated rows each give a row with the same score; an empty table gives an empty result; other columns are not read.
     """
     model = fit(docs, id_col, text_col, sample_rows, threshold)
-    got = docs.select(F.col(id_col).cast("long").alias(id_col), scored(F.col(text_col), model).alias("q"))
-    return got.select(id_col, "q.score", "q.posterior", (F.col("q.score") >= threshold).alias("accepted"))
+    got = docs.select(F.col(id_col).cast("long").alias(id_col), scored(F.col(text_col), model).alias("score"))
+    return got.select(id_col, "score", (F.col("score") >= threshold).alias("accepted"))
 
 
 def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
     model = fit(docs, id_col, text_col, **how)
-    return docs.where(scored(F.col(text_col), model)["score"] >= model.threshold)
+    return docs.where(scored(F.col(text_col), model) >= model.threshold)
