@@ -3,9 +3,10 @@
 Vectors have integer components. Candidates lie in blocks by descending length. A rotation from the singular vectors of
 all candidates puts most of a vector's length into its first coordinates, so a partial product over those, plus the
 product of the two residual lengths, is a tight upper bound (Cauchy-Schwarz). A candidate is scored in full, in
-integers, only where that bound reaches the k-th best score so far; a block whose longest vector cannot reach it is
-skipped. Blocks of the stated queries meet blocks of candidates; a task keeps one running list of k for each query and
-hands on only that.
+integers, only where that bound reaches the k-th best score so far. First every query meets the block of the longest
+vectors; its k-th best score there is its floor. Then blocks of the stated queries meet the other blocks of candidates:
+pairs of blocks in which no product of lengths reaches a floor are never formed, and all other work starts from the
+floors. A task keeps one running list of k for each query and hands on only that.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pantrygrid.llm import shared
 #: Rows of a block of candidates and of queries, candidates looked at in one go, coordinates of the partial sums.
 CANDIDATES, QUERIES, STRIDE, PARTIAL = 8192, 256, 1024, (16, 32)
 _BLOCK = "longest double, ids binary, vectors binary"
+#: Largest size of a component that is held in 32 bits, and of an inner product that doubles add up exactly.
+NARROW, EXACT = 1 << 31, 1 << 53
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -59,15 +62,15 @@ def _gram(vectors: DataFrame, n: int) -> np.ndarray:
     return out.reshape(n, n)
 
 
-def _packed(vectors: DataFrame, n: int, rows: int) -> DataFrame:
-    """Rows (id, v, length), in the order that they have, as blocks of at most so many."""
+def _packed(vectors: DataFrame, n: int, rows: int, kind=np.int32) -> DataFrame:
+    """Rows (id, v, length), in the order that they have, as blocks of at most so many; components as kind."""
     schema = pa.schema([("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
     def run(batches):
         ids, vecs, have = [], [], 0
         def block():
             i, m = np.concatenate(ids), np.concatenate(vecs)
-            return shared.packed([(float(np.sqrt((m.astype(float) ** 2).sum(1)).max()), i.tobytes(), m.astype(np.int32).tobytes())], schema)
+            return shared.packed([(float(np.sqrt((m.astype(float) ** 2).sum(1)).max()), i.tobytes(), m.astype(kind).tobytes())], schema)
         for b in batches:
             i, m = np.asarray(b.column(0), np.int64), _matrix(b, 1, n)
             while len(i):
@@ -86,15 +89,16 @@ def _packed(vectors: DataFrame, n: int, rows: int) -> DataFrame:
 
 
 class _Best:
-    """The k best so far of a block of queries."""
+    """The k best so far of a block of queries. Where doubles would not add up exactly, scores are products of whole numbers of any size."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, rotation: np.ndarray):
-        self.ids, self.whole, self.k = ids, vectors.astype(float), k
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, rotation: np.ndarray, exact: bool, floor: np.ndarray | None = None):
+        self.ids, self.whole, self.k, self.exact = ids, vectors.astype(float), k, exact
+        self.numbers = None if exact else vectors.astype(object)
         self.turned = self.whole @ rotation
         self.length = np.sqrt((self.whole**2).sum(1))
         self.rest = [np.sqrt((self.turned[:, d:] ** 2).sum(1)) for d in PARTIAL]
         self.q, self.score, self.id = (np.empty(0, np.int64) for _ in range(3))
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), np.iinfo(np.int64).min) if floor is None else floor.copy()
 
     def see(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray) -> None:
         whole = vectors.astype(float)
@@ -102,33 +106,38 @@ class _Best:
         for a in range(0, len(ids), STRIDE):
             part = slice(a, a + STRIDE)
             slack = 1e-9 * (1 + self.length.max(initial=0) * length[part].max())
-            live = np.flatnonzero(self.length * length[part].max() + slack >= self.floor)
+            floor = self.floor.astype(float)
+            live = np.flatnonzero(self.length * length[part].max() + slack >= floor)
             if not len(live):
                 continue
             open_ = np.ones((len(live), len(ids[part])), bool)
             for d, rest in zip(PARTIAL, self.rest):
                 tail = np.sqrt((turned[part, d:] ** 2).sum(1))
                 bound = self.turned[live, :d] @ turned[part, :d].T + rest[live][:, None] * tail + slack
-                open_ &= bound >= self.floor[live][:, None]
+                open_ &= bound >= floor[live][:, None]
                 if open_.mean() < 0.05:
                     break
             qi, vi = np.nonzero(open_ & (self.ids[live][:, None] != ids[part]))
-            if len(qi) > 0.2 * open_.size:
-                score = (self.whole[live] @ whole[part].T)[qi, vi]
-            else:
-                score = np.concatenate([np.einsum("ij,ij->i", self.whole[live[qi[s : s + 65536]]], whole[part][vi[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [np.empty(0)])
+            score = self._scores(live, qi, whole[part], vectors[part], vi, open_.size)
             keep = score >= self.floor[live[qi]]
-            self._add(live[qi[keep]], score[keep].astype(np.int64), ids[part][vi[keep]])
+            self._add(live[qi[keep]], score[keep], ids[part][vi[keep]])
+
+    def _scores(self, live, qi, whole, vectors, vi, size: int) -> np.ndarray:
+        if not self.exact:  # an inner product beyond 64 bits raises here
+            return np.array([int((self.numbers[q] * v).sum()) for q, v in zip(live[qi], vectors[vi].astype(object))], np.int64)
+        if len(qi) > 0.2 * size:
+            return (self.whole[live] @ whole.T)[qi, vi].astype(np.int64)
+        return np.concatenate([np.einsum("ij,ij->i", self.whole[live[qi[s : s + 65536]]], whole[vi[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [np.empty(0)]).astype(np.int64)
 
     def _add(self, q, score, vec):
         q, score, vec = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.id, vec])
-        order = np.lexsort((vec, -score, q))
+        order = np.lexsort((vec, ~score, q))
         q, score, vec = q[order], score[order], vec[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
         self.q, self.score, self.id = q[keep], score[keep], vec[keep]
         full = rank[keep] == self.k - 1
-        self.floor[self.q[full]] = self.score[full]
+        self.floor[self.q[full]] = np.maximum(self.floor[self.q[full]], self.score[full])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -137,32 +146,37 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: int = 6
     Components x become floor(scale * x). A candidate with the query's id is the query itself and takes no part. Vectors
     null or holding null or non-finite components, and rows with a null id, take no part on either side. A query id that
     repeats is one query, with its least vector; candidates that repeat count one by one. Shorter vectors end in zeros.
-    Fewer candidates than k give them all; no queries or no candidates give an empty result. Components must be below
-    2 ** 31 in size once scaled, and inner products below 2 ** 53. Columns beside the two named ones are not read.
+    Fewer candidates than k give them all; no queries or no candidates give an empty result. Components may be of any
+    size that fits 62 bits once scaled, and scores of any that fits 64; larger ones raise. Columns beside the two named
+    ones are not read.
     """
     vectors = integer_vectors(candidates, id_col, vec_col, scale)
     asked = integer_vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    size = vectors.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("n")).first()
-    n = max(size["n"] or 1, (asked.agg(F.max(F.size("v"))).first()[0] or 1))
+    largest = F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))).alias("largest")
+    size, other = vectors.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("n"), largest).first(), asked.agg(F.max(F.size("v")).alias("n"), largest).first()
+    n, most = max(size["n"] or 1, other["n"] or 1), (size["largest"] or 0, other["largest"] or 0)
+    if max(most) >= 1 << 62:
+        raise ValueError("a component does not fit 62 bits once scaled")
+    exact, kind = n * most[0] * most[1] < EXACT, np.int32 if max(most) < NARROW else np.int64
     rotation = np.linalg.eigh(_gram(vectors, n))[1][:, ::-1]
     parts = max(1, -(-size["rows"] // CANDIDATES))
     ranged = vectors.withColumn("length", _length(F.col("v"))).repartitionByRange(parts, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
-    blocks = shared.written(_packed(ranged, n, CANDIDATES))
-    heads = shared.written(_packed(asked.select("id", "v"), n, QUERIES)).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = heads.crossJoin(blocks)  # blocks of the stated queries with blocks of all candidates
+    blocks = shared.written(_packed(ranged, n, CANDIDATES, kind))
+    heads = shared.written(_packed(asked.select("id", "v"), n, QUERIES, kind)).select(F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    read = lambda raw, rows: np.frombuffer(raw, np.int32).reshape(rows, n)
+    read = lambda raw, rows: np.frombuffer(raw, kind).reshape(rows, n)
+    found_fields = "query_id long, vec_id long, score long"
 
     def run(batches):
         best: dict[bytes, _Best] = {}
         for b in batches:
-            for q_ids, q_vectors, ids, vecs in zip(*(b.column(c).to_pylist() for c in range(4))):
+            for q_ids, q_vectors, floors, ids, vecs in zip(*(b.column(c).to_pylist() for c in range(5))):
                 i, j = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
                 if q_ids not in best:
                     if len(best) > 16:
                         yield from out(best)
                         best = {}
-                    best[q_ids] = _Best(i, read(q_vectors, len(i)), k, rotation)
+                    best[q_ids] = _Best(i, read(q_vectors, len(i)), k, rotation, exact, None if floors is None else np.frombuffer(floors, np.int64))
                 best[q_ids].see(j, read(vecs, len(j)), rotation)
         yield from out(best)
 
@@ -170,7 +184,26 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: int = 6
         for x in best.values():
             yield pa.RecordBatch.from_arrays([pa.array(x.ids[x.q]), pa.array(x.id), pa.array(x.score)], schema=schema)
 
+    def floors_of(batches):
+        """The k-th score of each query of a block from the found ones, packed; the least of them."""
+        for b in batches:
+            rows = []
+            for q_longest, q_ids, q_vectors, have in zip(*(b.column(c).to_pylist() for c in range(4))):
+                known = {x["query_id"]: x["floor"] for x in have or ()}
+                floor = np.array([known.get(i, np.iinfo(np.int64).min) for i in np.frombuffer(q_ids, np.int64).tolist()], np.int64)
+                rows.append((q_longest, q_ids, q_vectors, floor.tobytes(), float(floor.min())))
+            yield shared.packed(rows, pa.schema([("q_longest", pa.float64()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("floors", pa.binary()), ("least", pa.float64())]))
+
     shared.small_batches(queries.sparkSession)
-    found = pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = blocks.agg(F.max("longest").alias("longest"))
+    longest = blocks.join(F.broadcast(top), "longest").select("ids", "vectors")  # one block, or those that tie
+    first = shared.written(heads.withColumn("floors", F.lit(None).cast("binary")).crossJoin(longest).select("q_ids", "q_vectors", "floors", "ids", "vectors").mapInArrow(run, found_fields))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kth = first.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    members = heads.select("q_ids").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q, np.int64)), pa.array([q] * (len(q) // 8), pa.binary())], names=["query_id", "q_ids"]) for b in bs for q in b.column(0).to_pylist()), "query_id long, q_ids binary")
+    by_block = members.join(kth, "query_id").groupBy("q_ids").agg(F.collect_list(F.struct("query_id", "floor")).alias("have"))  # QUERIES of a block at most
+    floored = shared.written(heads.join(by_block, "q_ids", "left").select("q_longest", "q_ids", "q_vectors", "have").mapInArrow(floors_of, "q_longest double, q_ids binary, q_vectors binary, floors binary, least double"))
+    others = blocks.join(F.broadcast(top.withColumnRenamed("longest", "most")), F.col("longest") < F.col("most")).select("longest", "ids", "vectors")
+    pairs = floored.join(others, F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least"))  # blocks of the stated queries with blocks of all candidates
+    found = first.unionByName(pairs.select("q_ids", "q_vectors", "floors", "ids", "vectors").mapInArrow(run, found_fields))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
