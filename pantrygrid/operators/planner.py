@@ -1,8 +1,8 @@
 """Day and menu plans: servings by role, greedy picks, search under targets, swaps, the rest of a day, menus that do not repeat.
 
-A catalogue (dish, role, name, grams, nutrients of one portion, cost of a gram or null) is a small table by nature; what the
-search holds of it is bounded by POOL dishes for each role. People are many: each of them, with each attempt, is a row, and
-rows are searched side by side. Which attempt wins is decided by DataFrame operations over the checks of day plans.
+A person's day, or whole menu, is planned in one place: attempts, checks and the days before are state of a small loop in
+numpy. Spark deals people and catalogue to cells: a cell has about ASKS people and one shard of the catalogue, of about
+HELD dishes, so that neither grows with its table. One job plans all people and all days.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from pantrygrid.operators import menus as m
 from pantrygrid.operators.dishes import SERVINGS
-from pantrygrid.sources import shared_checkpoints
 
 #: The meals of a day with the role that each takes and its share of the day's energy.
 MEALS = [("breakfast", "breakfast", 0.25), ("lunch", "main", 0.24), ("lunch, side", "side", 0.09), ("dinner", "main", 0.21), ("dinner, side", "side", 0.09), ("snack", "snack", 0.07), ("snack", "snack", 0.05)]
@@ -22,10 +21,14 @@ MEALS = [("breakfast", "breakfast", 0.25), ("lunch", "main", 0.24), ("lunch, sid
 STRICT, RELAXED, MEAL_WEIGHT, WISH_WEIGHT, WISHES, MONEY_WEIGHT = 2.0, 2.5, 1.5, 0.9, 0.4, 2.2
 #: Further attempts, the least energy left that is worth planning, swaps offered and how far they may be from the best, days without repeats.
 RETRIES, LEAST_REST, SWAPS, SWAP_MARGIN, VARIETY = 4, 150.0, 5, 1.2, 2
-#: Dishes of a role that the search looks at (by a hash of the dish, the same ones at every run), dishes seen by a greedy pick and by a step, steps of a search.
-POOL, GREEDY_SAMPLE, STEP_SAMPLE, STEPS = 2000, 120, 40, 150
+#: Dishes of a shard and people of a cell (dealt by hash: about), portions of an array that swaps are looked for in (about).
+HELD, ASKS, OFFERS = 50_000, 512, 4096
+#: Dishes seen by a greedy pick and by a step, steps of a search.
+GREEDY_SAMPLE, STEP_SAMPLE, STEPS = 120, 40, 150
 GOALS = ["kcal", "protein_g", "fat_g", "carb_g", "fiber_g"]
-_PLAN = "ask long, meal int, dish long, serving double"
+_ONE = ["grams", *m.NUTRIENTS]
+_ASK = [*GOALS, "sodium", "budget", "shares", "avoid", "liked", "seed"]
+_PLAN = "person long, day int, meal int, dish long, serving double, attempt int, failed int"
 
 
 def meals() -> Column:
@@ -60,11 +63,9 @@ class Pool:
             self.roles[role] = (part["dish"].to_numpy(np.int64), part[["grams", *m.NUTRIENTS]].to_numpy(float), part["cost"].to_numpy(float))
 
 
-def pool(dishes: DataFrame) -> Pool:
-    """At most POOL dishes of each role."""
-    pick = Window.partitionBy("role").orderBy(F.xxhash64("dish"), "dish")
-    few = dishes.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= POOL)
-    return Pool(few.select("dish", "role", "grams", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in m.NUTRIENTS], F.col("cost").cast("double").alias("cost")).toPandas())
+def known(dishes: DataFrame) -> DataFrame:
+    """The columns of dishes that a search reads."""
+    return dishes.select("dish", "role", "grams", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in m.NUTRIENTS], F.col("cost").cast("double").alias("cost"))
 
 
 def losses(totals: np.ndarray, goals: np.ndarray, sodium: float) -> np.ndarray:
@@ -81,8 +82,9 @@ def losses(totals: np.ndarray, goals: np.ndarray, sodium: float) -> np.ndarray:
 class _Search:
     """One attempt at one day: a greedy start, then steps that keep what is better."""
 
-    def __init__(self, known: Pool, ask: dict):
-        self.known, self.ask, self.rng = known, ask, np.random.default_rng(ask["seed"] & (2**63 - 1))
+    def __init__(self, pool: Pool, ask: dict, attempt: int):
+        self.known, self.ask = pool, ask
+        self.rng = np.random.default_rng([x & (2**63 - 1) for x in (ask["seed"], ask["person"], attempt)])
         self.goals = np.array([ask[g] for g in GOALS], float)
         self.meals = [(i, MEALS[i][1], s) for i, s in enumerate(ask["shares"]) if s]
         self.avoid, self.liked = np.array(ask["avoid"], np.int64), np.array(ask["liked"], np.int64)
@@ -140,9 +142,10 @@ class _Search:
             loss += np.maximum((self.cost[rest].sum() + cost) / self.ask["budget"] - 1, 0) * MONEY_WEIGHT
         return totals[:, 6] <= self.ask["sodium"], loss
 
-    def run(self, steps: int) -> list[tuple]:
+    def run(self, steps: int) -> bool:
+        """Whether there is a day; it is in dish, serving, x and cost."""
         if not self.meals or not self.start():
-            return []
+            return False
         ok, loss = self.judged(0, self.dish[:1], self.x[:1], self.cost[:1])
         best = (bool(ok[0]), -float(loss[0]))
         for _ in range(steps):
@@ -163,21 +166,89 @@ class _Search:
             if (bool(ok[i]), -float(loss[i])) > best:
                 best = (bool(ok[i]), -float(loss[i]))
                 self.put(k, dish[fits[i]], s[fits[i]], x[fits[i]], cost[fits[i]])
-        return [(self.ask["ask"], meal, int(d), float(s)) for (meal, _, _), d, s in zip(self.meals, self.dish, self.serving)]
+        return True
 
+    def checked(self) -> dict:
+        """What judged() says of the day: failed checks, gap of the energy, whether energy and protein are in range."""
+        total = self.x[:, 1:].sum(0)
+        off = {n: total[GOALS.index(n)] / self.goals[GOALS.index(n)] - 1 if self.goals[GOALS.index(n)] > 0 else np.inf for n in m.TOLERANCES}
+        fits = {n: low <= off[n] <= high for n, (low, high) in m.TOLERANCES.items()}
+        fiber = self.goals[4] <= 0 or total[4] >= self.goals[4] * m.FIBER
+        sane = (self.x[:, 0] >= m.PORTION[0]).all() and (self.x[:, 0] <= m.PORTION[1]).all()
+        others = [fiber, total[6] <= self.ask["sodium"], len(set(self.dish.tolist())) == len(self.dish), sane]
+        return {"failed": int(sum(not x for x in [*fits.values(), *others])), "gap": abs(off["kcal"]), "kcal_ok": fits["kcal"], "protein_ok": fits["protein_g"]}
 
-def searched(known: Pool, asks: DataFrame, steps: int = STEPS) -> DataFrame:
-    """ask, meal, dish, serving: a day for each ask (ask, goals, sodium, budget or null, shares, tolerance, avoid, liked, seed); none where dishes run out."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for ask in pdf.to_dict("records"):
-                budget = ask["budget"]
-                rows += _Search(known, ask | {"budget": None if budget is None or np.isnan(budget) else budget}).run(steps)
-            yield pd.DataFrame(rows, columns=["ask", "meal", "dish", "serving"])
+def best_day(pool: Pool, ask: dict, retries: int, steps: int) -> tuple[int, int, list[tuple]] | None:
+    """(attempt, failed checks, [(meal, dish, serving)]) of the best day for an ask (person, GOALS, sodium, budget or None, shares, avoid, liked, seed); None where dishes run out.
+
+    An attempt is searched strictly and with larger meals; the strict day counts if its energy is right, else the nearer
+    one. With a budget it is also searched without; that day counts if the other one misses energy or protein. Who fails a
+    check is searched again, up to retries times; the day with the fewest failed checks stays, then the nearest, then the
+    earliest.
+    """
+    best = None
+    for attempt in range(retries + 1):
+        tries = []
+        for tolerance in (STRICT, RELAXED):
+            for budget in (ask["budget"], None) if ask["budget"] and ask["budget"] > 0 else (None,):
+                one = _Search(pool, ask | {"tolerance": tolerance, "budget": budget}, attempt)
+                if one.run(steps):
+                    c = one.checked()
+                    broken = 1 if budget is None else 0 if c["kcal_ok"] and c["protein_ok"] else 2
+                    tries.append(((broken, not (tolerance == STRICT and c["kcal_ok"]), c["gap"], tolerance), c, one))
+        if not tries:
+            continue
+        _, c, one = min(tries, key=lambda t: t[0])
+        if best is None or (c["failed"], c["gap"], attempt) < best[0]:
+            best = (c["failed"], c["gap"], attempt), [(meal, int(d), float(s)) for (meal, _, _), d, s in zip(one.meals, one.dish, one.serving)]
+        if not c["failed"]:
+            break
+    return (best[0][2], best[0][0], best[1]) if best else None
+
+
+def next_day(pool: Pool, ask: dict, day: int, recent: list[set[int]], window: int, retries: int, steps: int) -> tuple[int, int, list[tuple]] | None:
+    """The day of a menu after the recent ones: a dish does not come again within window days, but for liked ones; where that leaves too few dishes, the day is planned without it."""
+    own = ask | {"seed": ask["seed"] + day}
+    gone = set().union(*recent[-window:]) - set(ask["liked"]) if window and recent else set()
+    got = best_day(pool, own | {"avoid": [*ask["avoid"], *sorted(gone)]}, retries, steps) if gone else None
+    return got or best_day(pool, own, retries, steps)
+
+
+def ask_of(row: dict) -> dict:
+    """A row of people as an ask: lists, and None for no budget."""
+    budget = row["budget"]
+    return row | {"budget": None if budget is None or np.isnan(budget) else float(budget), **{c: [int(x) for x in row[c]] for c in ("avoid", "liked")}, "seed": int(row["seed"]), "person": int(row["person"])}
 
-    return asks.select("ask", *GOALS, "sodium", "budget", "shares", "tolerance", "avoid", "liked", "seed").mapInPandas(run, _PLAN)
+
+def menu(dishes: DataFrame, people: DataFrame, days: int, window: int = VARIETY, retries: int = RETRIES, steps: int = STEPS) -> DataFrame:
+    """person, day, meal, dish, serving, attempt, failed: for each of people (person, GOALS; if wanted sodium, budget, shares, avoid, liked, seed) a menu of so many days.
+
+    Nobody gets a day where a role has too few dishes. Plans do not depend on how rows are dealt. With over HELD dishes
+    each person is planned from one shard of the catalogue, by hash of the person.
+    """
+    whole = with_defaults(people).select("person", *_ASK)
+    spark = people.sparkSession
+    many, asks = dishes.count(), whole.count()
+    shards = max(1, -(-many // HELD))
+    slices = max(1, min(asks, max(2 * spark.sparkContext.defaultParallelism, -(-asks // ASKS))) // shards)
+    cell = lambda shard, slice_: shard * F.lit(slices) + slice_
+    part = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n))
+    rows = known(dishes).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda x: cell(part("dish", shards, "shard"), x))))
+    dealt = whole.withColumn("cell", cell(part("person", shards, "shard"), part("person", slices, "slice")))
+
+    def run(mine: pd.DataFrame, catalogue: pd.DataFrame) -> pd.DataFrame:
+        pool, out = Pool(catalogue), []
+        for row in mine.sort_values("person").to_dict("records"):
+            ask, recent = ask_of(row), []
+            for day in range(days):
+                got = next_day(pool, ask, day, recent, window, retries, steps)
+                recent.append({d for _, d, _ in got[2]} if got else set())
+                out += [(ask["person"], day, meal, d, s, got[0], got[1]) for meal, d, s in got[2]] if got else []
+        return pd.DataFrame(out, columns=["person", "day", "meal", "dish", "serving", "attempt", "failed"])
+
+    deal = lambda df: df.repartition(shards * slices, "cell").groupBy("cell")
+    return deal(dealt).cogroup(deal(rows)).applyInPandas(run, _PLAN)
 
 
 def items(plan: DataFrame, dishes: DataFrame, key: str) -> DataFrame:
@@ -199,62 +270,15 @@ def judged(plan: DataFrame, dishes: DataFrame, goals: DataFrame, key: str) -> Da
     return met.select(F.col("plan").alias(key), failed.alias("failed"), F.try_divide(F.abs(F.col("kcal") - F.col("goal")), "goal").alias("gap"), F.col("kcal_in_range").alias("kcal_ok"), F.col("protein_g_in_range").alias("protein_ok"), "cost")
 
 
-def _with_defaults(people: DataFrame) -> DataFrame:
+def with_defaults(people: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<long>")
     ask = {"sodium": F.lit(m.SODIUM), "budget": F.lit(None).cast("double"), "shares": F.array(*[F.lit(s) for *_, s in MEALS]), "avoid": nothing, "liked": nothing, "seed": F.lit(0)}
     return people.withColumns({k: v for k, v in ask.items() if k not in people.columns})
 
 
-def day_plans(dishes: DataFrame, people: DataFrame, retries: int = RETRIES, steps: int = STEPS, known: Pool | None = None) -> DataFrame:
-    """person, meal, dish, serving, attempt, failed: the best day of each of people (person, GOALS; if wanted sodium, budget, shares, avoid, liked, seed).
-
-    An attempt is searched strictly and with larger meals; the strict day counts if its energy is right, else the nearer
-    one. With a budget it is also searched without; that day counts if the other one misses energy or protein. Who fails a
-    check is searched again, up to retries times; the day with the fewest failed checks stays, then the nearest, then the
-    earliest. Nobody gets a day where a role has too few dishes. Rounds are checkpointed in the shared folder.
-    """
-    shared_checkpoints(people.sparkSession)
-    known = known or pool(dishes)
-    whole = _with_defaults(people)
-    left, kept = whole, None
-    for attempt in range(retries + 1):
-        tries = left.withColumn("tolerance", F.explode(F.array(F.lit(STRICT), F.lit(RELAXED))))
-        money = F.when(F.col("budget") > 0, F.array(F.col("budget"), F.lit(None).cast("double"))).otherwise(F.array(F.lit(None).cast("double")))
-        tries = tries.withColumn("free", F.explode(money)).withColumn("wanted", F.col("budget")).withColumn("budget", F.col("free"))
-        tries = tries.withColumn("seed", F.xxhash64("seed", "person", F.lit(attempt))).withColumn("ask", F.xxhash64("person", "tolerance", F.coalesce("budget", F.lit(-1.0))))
-        plans = searched(known, tries, steps).checkpoint()
-        rank = judged(plans, dishes, tries, "ask").join(tries.select("ask", "person", "tolerance", "budget", "wanted"), "ask")
-        broken = F.when(F.col("budget").isNotNull(), F.when(F.col("kcal_ok") & F.col("protein_ok"), 0).otherwise(2)).otherwise(1)
-        order = F.struct(broken.alias("broken"), (~((F.col("tolerance") == STRICT) & F.col("kcal_ok"))).alias("loose"), "gap", "tolerance", "ask", "failed")
-        best = rank.groupBy("person").agg(F.min(order).alias("b")).select("person", "b.ask", "b.gap", "b.failed")
-        got = plans.join(best, "ask").select("person", "meal", "dish", "serving", F.lit(attempt).alias("attempt"), "failed", "gap").checkpoint()
-        kept = got if kept is None else kept.unionByName(got)
-        left = left.join(got.where("failed = 0").select("person").distinct(), "person", "left_anti")
-        if attempt == retries or left.isEmpty():
-            break
-        left = left.checkpoint()
-    first = kept.groupBy("person").agg(F.min(F.struct("failed", "gap", "attempt")).alias("b")).select("person", "b.attempt")
-    return kept.join(first, ["person", "attempt"]).drop("gap")
-
-
-def menu(dishes: DataFrame, people: DataFrame, days: int, window: int = VARIETY, **how) -> DataFrame:
-    """person, day, meal, dish, serving, failed: menus of so many days; a dish does not come again within window days, but for liked ones.
-
-    Days follow each other, people side by side. Where the window leaves too few dishes, the day is planned without it.
-    """
-    known = pool(dishes)
-    whole = _with_defaults(people)
-    made = None
-    for day in range(days):
-        asks = whole.withColumn("seed", F.col("seed") + day)
-        if made is not None and window:
-            recent = made.where(F.col("day") >= day - window).groupBy("person").agg(F.collect_set("dish").alias("recent"))
-            asks = asks.join(recent, "person", "left").withColumn("avoid", F.array_union("avoid", F.array_except(F.coalesce("recent", F.array().cast("array<long>")), "liked"))).drop("recent")
-        got = day_plans(dishes, asks, known=known, **how)
-        missing = asks.join(got.select("person").distinct(), "person", "left_anti").drop("avoid").join(whole.select("person", "avoid"), "person")
-        got = got.unionByName(day_plans(dishes, missing, known=known, **how)).withColumn("day", F.lit(day)).drop("attempt").checkpoint()
-        made = got if made is None else made.unionByName(got)
-    return made
+def day_plans(dishes: DataFrame, people: DataFrame, retries: int = RETRIES, steps: int = STEPS) -> DataFrame:
+    """person, meal, dish, serving, attempt, failed: a day for each of people, as in a menu of one day."""
+    return menu(dishes, people, 1, retries=retries, steps=steps).drop("day")
 
 
 def residual(people: DataFrame, eaten: DataFrame) -> DataFrame:
@@ -282,21 +306,23 @@ def swaps(dishes: DataFrame, plan: DataFrame, goals: DataFrame, meal: int, tune:
     """person, rank, dish, serving, loss: what may stand for the dish of one meal of plans (person, meal, dish, serving).
 
     Every other dish of the role in every serving, not over RELAXED times the meal's share, that leaves all eight checks
-    passed (of at most POOL dishes of the role); of a dish the best serving; at most SWAPS, none over SWAP_MARGIN times the best loss. With tune, the servings
+    passed; of a dish the best serving; at most SWAPS, none over SWAP_MARGIN times the best loss. With tune, the servings
     of the other dishes may move too (one after another, while the day gets better), for those whose best swap is worse
     than SWAP_MARGIN times the day as it is, or who have none.
     """
     made = items(plan, dishes, "person").where(F.col("meal").isNotNull())
     role, share = MEALS[meal][1:]
     sums = [F.sum(F.when(F.col("meal") != meal, F.col(n)).otherwise(0.0)).alias(f"r_{n}") for n in m.NUTRIENTS]
-    rest = made.groupBy("person").agg(*sums, F.collect_set("dish").alias("taken"), F.min(F.when(F.col("meal") != meal, F.col("grams"))).alias("low"), F.max(F.when(F.col("meal") != meal, F.col("grams"))).alias("high"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("meal") != meal, F.col("dish"))).alias("kinds"), F.collect_list(F.struct("meal", "dish", "serving")).alias("day"))
+    rest = made.groupBy("person").agg(*sums, F.collect_set("dish").alias("taken"), F.min(F.when(F.col("meal") != meal, F.col("grams"))).alias("low"), F.max(F.when(F.col("meal") != meal, F.col("grams"))).alias("high"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("meal") != meal, F.col("dish"))).alias("kinds"), F.collect_list(F.struct("meal", "dish", "serving", *[F.try_divide(F.col(n), "serving").alias(n) for n in _ONE])).alias("day"))
     goals = goals.select("person", *[F.col(g).alias(f"target_{g}") for g in GOALS])
-    pick = Window.partitionBy("role").orderBy(F.xxhash64("dish"), "dish")
-    few = dishes.where(F.col("role") == role).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= POOL)
     fields = ["dish", "serving", "grams", *m.NUTRIENTS]
-    offers = portions(few).groupBy("role").agg(F.collect_list(F.struct(*fields)).alias("offers"))  # one row of bounded size
-    met = rest.join(goals, "person").withColumn("role", F.lit(role)).join(offers, "role")
-    fits = F.filter("offers", lambda o: ~F.array_contains("taken", o["dish"]) & (o["kcal"] <= F.col("target_kcal") * share * RELAXED))
+    own = portions(dishes.where(F.col("role") == role))
+    parts = max(1, -(-own.count() // OFFERS))  # arrays of about OFFERS portions; every person meets each of them
+    offers = own.withColumn("part", F.pmod(F.xxhash64("dish", "serving"), F.lit(parts)).cast("int")).groupBy("part").agg(F.collect_list(F.struct(*fields)).alias("offers"))
+    met = rest.join(goals, "person").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(offers, "part")
+    energy = [F.col("target_kcal") * (1 + x) - F.col("r_kcal") for x in m.TOLERANCES["kcal"]]  # nothing beyond it passes; a little more than that goes on to the checks
+    near = lambda o: F.lit(True) if tune else o["kcal"].between(energy[0] - 1e-6 * F.col("target_kcal"), energy[1] + 1e-6 * F.col("target_kcal"))
+    fits = F.filter("offers", lambda o: near(o) & (o["kcal"] <= F.col("target_kcal") * share * RELAXED) & ~F.array_contains("taken", o["dish"]))
     met = met.withColumn("o", F.explode(fits)).select("*", *[F.col(f"o.{c}").alias(c) for c in fields])
     day = met.select("person", "dish", "serving", "day", *[(F.col(f"r_{n}") + F.col(n)).alias(n) for n in m.NUTRIENTS], F.least("low", "grams").alias("least"), F.greatest("high", "grams").alias("most"), (F.col("n") - 1 == F.col("kinds")).alias("distinct"), *[f"target_{g}" for g in GOALS])
     passed = day.where(_passes()).select("person", "dish", "serving", _loss().alias("loss"))
@@ -305,7 +331,7 @@ def swaps(dishes: DataFrame, plan: DataFrame, goals: DataFrame, meal: int, tune:
         poor = own.join(passed.groupBy("person").agg(F.min("loss").alias("best")), "person", "left").where("best is null or best > bar").select("person")
         closest = Window.partitionBy("person").orderBy(_loss(), "dish", "serving")
         trials = day.join(poor, "person", "left_semi").withColumn("k", F.row_number().over(closest)).where("k <= 30")
-        passed = passed.unionByName(_tuned(pool(dishes), trials, meal))
+        passed = passed.unionByName(_tuned(trials.join(dishes.select(F.col("dish"), F.struct(*_ONE).alias("one")), "dish"), meal))
     unique = passed.groupBy("person", "dish").agg(F.min(F.struct("loss", "serving")).alias("b")).select("person", "dish", "b.serving", "b.loss")
     ranked = unique.withColumn("best", F.min("loss").over(Window.partitionBy("person"))).where(F.col("loss") <= F.col("best") * SWAP_MARGIN)
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("person").orderBy(F.round("loss", 9), "dish"))).where(F.col("rank") <= SWAPS).select("person", "rank", "dish", "serving", "loss")
@@ -328,19 +354,17 @@ def _loss() -> Column:
     return out + 3 * F.greatest(F.col("sodium_mg") - m.SODIUM, F.lit(0.0)) / m.SODIUM + 3 * F.greatest(F.col("sugar_g") * 4 / F.greatest("kcal", F.lit(1.0)) - m.SUGAR, F.lit(0.0))
 
 
-def _tuned(known: Pool, trials: DataFrame, meal: int) -> DataFrame:
-    """person, dish, serving, loss of trials whose other servings were moved until all checks pass."""
-    where = {int(d): (role, i) for role, (dish, *_) in known.roles.items() for i, d in enumerate(dish)}
+def _tuned(trials: DataFrame, meal: int) -> DataFrame:
+    """person, dish, serving, loss of trials (with one, the figures of a portion of the dish) whose other servings were moved until all checks pass."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for t in pdf.to_dict("records"):
                 goals = np.array([t[f"target_{g}"] for g in GOALS], float)
-                day = [(t["dish"], t["serving"], True)] + [(x["dish"], x["serving"], False) for x in t["day"] if x["meal"] != meal]
-                if any(d not in where for d, *_ in day):
-                    continue
-                one = np.array([known.roles[where[d][0]][1][where[d][1]] for d, *_ in day])
+                others = [x for x in t["day"] if x["meal"] != meal]
+                day = [(t["dish"], t["serving"])] + [(x["dish"], x["serving"]) for x in others]
+                one = np.array([[float(x[n] or 0) for n in _ONE] for x in (t["one"], *others)])
                 s = np.array([x[1] for x in day])
                 best = losses((one[:, 1:] * s[:, None]).sum(0)[None], goals, m.SODIUM)[0]
                 for _ in range(3):
@@ -360,7 +384,7 @@ def _tuned(known: Pool, trials: DataFrame, meal: int) -> DataFrame:
                     out.append((t["person"], t["dish"], t["serving"], best))
             yield pd.DataFrame(out, columns=["person", "dish", "serving", "loss"])
 
-    return trials.select("person", "dish", "serving", "day", *[f"target_{g}" for g in GOALS]).mapInPandas(run, "person long, dish long, serving double, loss double")
+    return trials.select("person", "dish", "serving", "day", "one", *[f"target_{g}" for g in GOALS]).mapInPandas(run, "person long, dish long, serving double, loss double")
 
 
 def repeats_within(eaten: DataFrame, days: int = VARIETY) -> DataFrame:

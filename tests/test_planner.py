@@ -33,6 +33,36 @@ def test_days_pass_all_checks_and_repeat(spark, tables):
     assert by_person(p.day_plans(dishes, people.repartition(3))) == got
 
 
+def test_plans_do_not_depend_on_cells_and_shards_cover_the_catalogue(spark, tables, monkeypatch):
+    dishes, people = tables
+    whole = by_person(p.day_plans(dishes, people, retries=0))
+    monkeypatch.setattr(p, "ASKS", 1)
+    assert by_person(p.day_plans(dishes, people, retries=0)) == whole
+    monkeypatch.setattr(p, "HELD", 100)
+    assert set(by_person(p.day_plans(dishes, people, retries=0))) == set(whole)
+
+
+def test_one_job_plans_all_days(spark, tables):
+    dishes, people = tables
+    three = p.menu(dishes, people, 3, retries=0).collect()
+    seven = p.menu(dishes, people, 7, retries=0)
+    assert sorted(r for r in seven.collect() if r["day"] < 3) == sorted(three)
+    jobs = lambda days: [j for j in spark.sparkContext.statusTracker().getJobIdsForGroup(f"menu {days}")]
+    for days in (2, 7):
+        spark.sparkContext.setJobGroup(f"menu {days}", "")
+        p.menu(dishes, people, days, retries=0).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs(2)) == len(jobs(7))
+
+
+def test_checks_in_numpy_are_those_of_the_tables(spark, tables):
+    dishes, people = tables
+    plan = p.day_plans(dishes, people.withColumn("protein_g", F.col("protein_g") * 3), retries=0, steps=10)
+    rank = p.judged(plan.select("person", "meal", "dish", "serving"), dishes, people.withColumn("protein_g", F.col("protein_g") * 3).withColumn("sodium", F.lit(m.SODIUM)), "person")
+    want = {r["person"]: r["failed"] for r in rank.collect()}
+    assert {r["person"]: r["failed"] for r in plan.collect()} == want and set(want.values()) != {0}
+
+
 def test_menus_keep_the_window_but_for_liked_dishes(spark, tables):
     dishes, people = tables
     rows = p.menu(dishes, people.where("person = 1"), 4, retries=0).collect()
