@@ -21,6 +21,8 @@ only links that connect something new. Pairs of documents are never rows, and bl
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +44,18 @@ U = np.uint64
 _STEP = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], U)
 
 
+def word_prints(lower: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit cryptographic fingerprint of each word; words are told apart byte by byte, and each distinct one is hashed once."""
+    inside = np.zeros(len(lower) + 1, np.int8)
+    inside[start] += 1
+    inside[stop] -= 1
+    packed = lower[np.cumsum(inside[:-1]) > 0]
+    at = np.append(0, np.cumsum(stop - start)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(packed))]).dictionary_encode()
+    distinct = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist())
+    return np.frombuffer(distinct, U)[np.asarray(words.indices)]
+
+
 def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram tokens (64-bit fingerprints) of the rows of a buffer, by row and in order, and their bounds."""
     rows = len(offsets) - 1
@@ -52,7 +66,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     edge[offsets] = True
     start = np.flatnonzero(~white & (edge[:-1] | np.append(True, white[:-1])))
     stop = np.flatnonzero(~white & (edge[1:] | np.append(white[1:], True))) + 1
-    word = shared.span_hashes(shared.prefix_hashes(lower), start, stop)
+    word = word_prints(lower, start, stop)
     bounds = np.searchsorted(start, offsets)
     words = np.diff(bounds)
     m = max(len(word) - n + 1, 0)
