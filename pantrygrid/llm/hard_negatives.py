@@ -27,7 +27,7 @@ from pantrygrid.llm import shared
 from pantrygrid.llm.top_inner import EXACT, NARROW, _matrix
 
 #: Rows of the sample that the groups are fitted on (about; twice that at most); most groups; anchors of a group that are aimed at.
-SAMPLE, GROUPS, GROUP_ANCHORS = 16384, 1024, 64
+SAMPLE, GROUPS, GROUP_ANCHORS = 16384, 1024, 256
 #: Rows of a chunk, a leaf and a slice (slices are dealt by hash: about); chunks that one task meets (about).
 CHUNK, LEAF, SLICE, CHUNKS = 2048, 256, 256, 256
 _LOWEST = np.iinfo(np.int64).min

@@ -82,3 +82,12 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_words_that_defeat_linear_hashes_are_told_apart(spark):
+    word, other = "a", "b"
+    for _ in range(11):  # a word and its complement, doubled each time: sums over powers of one odd base agree on them
+        word, other = word + other, other + word
+    rows = [(1, word), (2, other), (3, word.upper()), (4, f"{word} {other}"), (5, f"{other} {word}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nj.ngram_join(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
