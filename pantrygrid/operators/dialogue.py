@@ -113,18 +113,28 @@ def memory(turns: DataFrame, days: int = MEMORY_DAYS) -> DataFrame:
     return rest.join(profile, "session", "left").select("session", "profile", "plan", "eaten")
 
 
+def next_target(found: float, day: int, before: tuple[float, int] | None, formula: float, step: float, days: int) -> tuple[float, int]:
+    """(tdee, day of its change) after an estimate: at most step from the last target (the formula's, if there was none), changed at most every so many days."""
+    if before and day - before[1] < days:
+        return before
+    base = before[0] if before else formula
+    return float(round(min(max(found, base * (1 - step)), base * (1 + step)))), day
+
+
 def adapted(estimates: DataFrame, formula: float, step: float = 0.10, days: int = CHANGE_DAYS) -> DataFrame:
-    """key, day, tdee: the target after each estimate (key, day, tdee), never more than step from the formula's, and changed at most every so many days."""
-    near = F.bround(F.least(F.greatest("tdee", F.lit(formula * (1 - step))), F.lit(formula * (1 + step))))
-    lists = estimates.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("day", near.alias("t")))).alias("x"))
+    """key, day, tdee: the target after each estimate (key, day, tdee), never more than step from the target before it (the formula's, if there was none), and changed at most every so many days."""
+    lists = estimates.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("day", F.col("tdee").alias("t")))).alias("x"))
     start = F.array().cast("array<struct<day:date,t:double,since:date>>")
 
     def step_(seen: Column, x: Column) -> Column:
         before = F.element_at(seen, -1)
         keep = (F.size(seen) > 0) & (F.datediff(x["day"], before["since"]) < days)
-        return F.concat(seen, F.array(F.struct(x["day"].alias("day"), F.when(keep, before["t"]).otherwise(x["t"]).alias("t"), F.when(keep, before["since"]).otherwise(x["day"]).alias("since"))))
+        base = F.when(F.size(seen) > 0, before["t"]).otherwise(F.lit(formula))
+        near = F.bround(F.least(F.greatest(x["t"], base * (1 - step)), base * (1 + step)))
+        return F.concat(seen, F.array(F.struct(x["day"].alias("day"), F.when(keep, before["t"]).otherwise(near).alias("t"), F.when(keep, before["since"]).otherwise(x["day"]).alias("since"))))
 
-    guarded = F.aggregate("x", start, lambda seen, x: F.when(F.size(seen) == 0, F.array(F.struct(x["day"].alias("day"), x["t"].alias("t"), x["day"].alias("since")))).otherwise(step_(seen, x)))
+    first = lambda x: F.array(F.struct(x["day"].alias("day"), F.bround(F.least(F.greatest(x["t"], F.lit(formula * (1 - step))), F.lit(formula * (1 + step)))).alias("t"), x["day"].alias("since")))
+    guarded = F.aggregate("x", start, lambda seen, x: F.when(F.size(seen) == 0, first(x)).otherwise(step_(seen, x)))
     return lists.select("key", F.explode(guarded).alias("r")).select("key", "r.day", F.col("r.t").alias("tdee"))
 
 

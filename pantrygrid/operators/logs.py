@@ -79,3 +79,12 @@ def window_view(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """id, n, retry_after of events (key, id, t: microseconds): all events of the last window, and, over the limit, seconds until the first of them leaves it. An upper bound only: the limiter does not count what it rejects."""
     last = Window.partitionBy("key").orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
     return events.select("id", F.count("*").over(last).alias("n"), F.when(F.count("*").over(last) > limit, seconds - (F.col("t") - F.min("t").over(last)) / 1e6).otherwise(0.0).alias("retry_after"))
+
+
+def sessions(events: DataFrame, hours: float) -> DataFrame:
+    """session, first, updated, events: stretches of a key's events (session, ts) with no pause of over so many hours; times to the millisecond."""
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    order = Window.partitionBy("session").orderBy("ms")
+    opens = F.coalesce(F.col("ms") - F.lag("ms").over(order) > int(hours * 3_600_000), F.lit(True))
+    cut = events.select("session", ms.alias("ms")).withColumn("opens", opens).withColumn("part", F.sum(F.col("opens").cast("int")).over(order))
+    return cut.groupBy("session", "part").agg(F.timestamp_millis(F.min("ms")).alias("first"), F.timestamp_millis(F.max("ms")).alias("updated"), F.count("*").alias("events")).drop("part")
