@@ -113,3 +113,25 @@ def chunks(size: int = 900, overlap: int = 150, separators: list[str] = SEPARATO
         return text.map(lambda t: split(t, size, overlap, separators) if t else [])
 
     return run
+
+
+#: Fixed value: characters from which a chunk is kept.
+LEAST_CHUNK = 120
+
+
+class _Chunks:
+    def eval(self, text: str, size: int, overlap: int, title: str = None):
+        """One row for each chunk of a text: number, section, title and chunk. Chunks under LEAST_CHUNK characters go, but their headings count for what follows."""
+        where, n = FIRST_SECTION, 0
+        for chunk in split(text, size, overlap) if text else ():
+            found = next((m for m in (re.search(p, chunk) for p, _ in HEADINGS) if m), None)
+            if found:
+                where = found.group(next(g for p, g in HEADINGS if re.search(p, chunk)))
+            if len(chunk.strip()) >= LEAST_CHUNK:
+                yield n, where, chunk.strip() if title is None else f"{title}\n\n{chunk.strip()}"
+                n += 1
+
+
+def register_chunks(spark, name: str = "chunks") -> None:
+    """The table function chunks(text, size, overlap[, title]) for SQL, to be used with LATERAL: rows (pos, section, text) of each text."""
+    spark.udtf.register(name, F.udtf(_Chunks, returnType="pos int, section string, text string", useArrow=True))

@@ -54,6 +54,28 @@ def leaves(spark, edges: DataFrame) -> DataFrame:
     return found
 
 
+def expanded(edges: DataFrame, stop: list | None = None) -> DataFrame:
+    """root, node, leaf: all that a node is made of, by edges (parent, child), in recursive SQL.
+
+    Parts that are recipes themselves are listed and opened; those of stop are listed and stay closed. A path never opens
+    a node twice, so that cycles end. leaf: whether nothing stands below, or it stays closed. Recipes are shallow: each path
+    is a row on the way, and more than 100 steps raise.
+    """
+    spark = edges.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    closed = spark.createDataFrame([(x,) for x in stop or []], f"child {dict(edges.dtypes)['child']}")
+    return spark.sql(
+        """WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM {edges} WHERE parent IS NOT NULL AND child IS NOT NULL),
+        t AS (SELECT e.*, c.child IS NULL AS opens FROM e LEFT JOIN {closed} c ON e.child = c.child),
+        walk(root, node, opens, path) AS (
+            SELECT parent, child, opens AND child <> parent, array(parent, child) FROM t
+            UNION ALL SELECT w.root, t.child, t.opens AND NOT array_contains(w.path, t.child), array_append(w.path, t.child) FROM walk w JOIN t ON w.opens AND w.node = t.parent),
+        met AS (SELECT DISTINCT root, node FROM walk)
+        SELECT m.root, m.node, p.parent IS NULL OR c.child IS NOT NULL AS leaf FROM met m LEFT JOIN (SELECT DISTINCT parent FROM e) p ON m.node = p.parent LEFT JOIN {closed} c ON m.node = c.child""",
+        edges=edges, closed=closed,
+    )
+
+
 def targets(people: DataFrame) -> DataFrame:
     """person, kcal, protein_g, fat_g, carb_g, fiber_g of people (person, male, kg, cm, years, activity, goal); under 18 has none."""
     of = lambda table, key: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(key)]

@@ -88,3 +88,23 @@ def sessions(events: DataFrame, hours: float) -> DataFrame:
     opens = F.coalesce(F.col("ms") - F.lag("ms").over(order) > int(hours * 3_600_000), F.lit(True))
     cut = events.select("session", ms.alias("ms")).withColumn("opens", opens).withColumn("part", F.sum(F.col("opens").cast("int")).over(order))
     return cut.groupBy("session", "part").agg(F.timestamp_millis(F.min("ms")).alias("first"), F.timestamp_millis(F.max("ms")).alias("updated"), F.count("*").alias("events")).drop("part")
+
+
+def trace_steps(turns: DataFrame) -> DataFrame:
+    """turn, pos, node, seconds, calls of turns (turn, trace): a trace is a JSON array of {node, seconds, llm: answers of a model, if there were any}.
+
+    Traces are parsed once, to variants; one that is no JSON, or no array, has no steps, and a field of another kind is null.
+    """
+    return turns.sparkSession.sql(
+        """SELECT t.turn, s.pos, try_variant_get(s.value, '$.node', 'string') AS node, try_variant_get(s.value, '$.seconds', 'double') AS seconds,
+                  coalesce(size(try_variant_get(s.value, '$.llm', 'array<variant>')), 0) AS calls
+           FROM (SELECT turn, try_parse_json(trace) AS trace FROM {turns}) t, LATERAL variant_explode(t.trace) s
+           WHERE schema_of_variant(t.trace) LIKE 'ARRAY%'""",
+        turns=turns,
+    )
+
+
+def step_medians(steps: DataFrame) -> DataFrame:
+    """node, turns, seconds, calls of steps (turn, pos, node, seconds, calls): the median of a node's seconds in a turn (they add up), and the mean of its calls."""
+    each = steps.groupBy("turn", "node").agg(F.sum("seconds").alias("seconds"), F.sum("calls").alias("calls"))
+    return each.groupBy("node").agg(F.count("*").alias("turns"), F.percentile("seconds", F.lit(0.5)).alias("seconds"), F.avg("calls").alias("calls"))

@@ -72,6 +72,22 @@ def section_carry_forward(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.last(head, ignorenulls=True).over(so_far), F.lit("Introduction")).alias("section"))
 
 
+def idle_sessions(spark, d):
+    """Stretches of a user's events without a day's pause."""
+    return g.sessions(table(spark, d, "events").select(F.col("user_id").alias("session"), "ts"), 24)
+
+
+def step_medians(spark, d):
+    """Traces of conversations, written as text and read back: a step for each turn, with an answer of a model where the assistant spoke; every ninth trace is torn."""
+    c = table(spark, d, "conversations")
+    step = F.struct("turn", F.col("role").alias("node"), (F.length("text") / 64).alias("seconds"), F.when(F.col("role") == "assistant", F.array(F.substring("text", 1, 5))).alias("llm"))
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    text = F.to_json(F.transform("steps", lambda x: F.struct(x["node"].alias("node"), x["seconds"].alias("seconds"), x["llm"].alias("llm"))))
+    torn = F.when(F.col("conv_id") % 9 == 0, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    got = g.step_medians(g.trace_steps(whole.select("conv_id", text.alias("text")).select(F.col("conv_id").alias("turn"), torn.alias("trace"))))
+    return got.select("node", "turns", F.round("seconds", 6).alias("seconds"), F.round("calls", 6).alias("calls"))
+
+
 def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
@@ -82,7 +98,7 @@ def dedup_union_first(spark, d):
     return first.select("digest", "f.src", "f.id")
 
 
-QUERIES = [theil_sen_slope, intake_forward_fill, daily_budget_counter, sliding_window_count, rate_limit_decisions, window_retry_after, transcript_markdown, ttl_active_sessions, retention_by_day, transcript, history_last_k, section_carry_forward, json_props, dedup_union_first]
+QUERIES = [theil_sen_slope, intake_forward_fill, daily_budget_counter, sliding_window_count, rate_limit_decisions, window_retry_after, transcript_markdown, ttl_active_sessions, retention_by_day, transcript, history_last_k, section_carry_forward, json_props, dedup_union_first, idle_sessions, step_medians]
 _DAILY = "p AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, max(value) AS y FROM events GROUP BY 1, 2)"
 SQL = {
     "theil_sen_slope": f"WITH {_DAILY} SELECT a.key, round(median((b.y - a.y) / date_diff('day', a.day, b.day)), 6) AS slope FROM p a JOIN p b ON a.key = b.key AND a.day < b.day GROUP BY 1",
@@ -97,6 +113,10 @@ SQL = {
     "transcript": "SELECT conv_id, count(*) AS n, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY 1",
     "history_last_k": "SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 6",
     "section_carry_forward": "SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'Introduction') AS section FROM conversations",
+    "idle_sessions": """WITH e AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms FROM events), o AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 86400000 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY session ORDER BY ms)),
+        p AS (SELECT *, sum(opens) OVER (PARTITION BY session ORDER BY ms) AS part FROM o) SELECT session, make_timestamp(min(ms) * 1000) AS first, make_timestamp(max(ms) * 1000) AS updated, count(*) AS events FROM p GROUP BY session, part""",
+    "step_medians": """WITH e AS (SELECT conv_id, role, sum(length(text) / CAST(64 AS DOUBLE)) AS s, count(*) FILTER (role = 'assistant') AS c FROM conversations WHERE conv_id % 9 <> 0 GROUP BY 1, 2)
+        SELECT role AS node, count(*) AS turns, round(median(s), 6) AS seconds, round(avg(c), 6) AS calls FROM e GROUP BY 1""",
     "json_props": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "dedup_union_first": "SELECT digest, CAST(min(src * 1000000000000 + id) // 1000000000000 AS INTEGER) AS src, CAST(min(src * 1000000000000 + id) % 1000000000000 AS BIGINT) AS id FROM (SELECT 0 AS src, item_id AS id, sha256(text) AS digest FROM benchmark UNION ALL SELECT 1, doc_id, sha256(text) FROM documents) GROUP BY 1",
 }

@@ -67,6 +67,13 @@ def recipe_leaves_recursive(spark, d):
     return k.leaves(spark, edges)
 
 
+def recipe_expanded(spark, d):
+    """Parts are made of a fifth and a seventh of their number; the first two of each other; sevens stay closed."""
+    part = table(spark, d, "part")
+    below = part.select(F.col("p_partkey").alias("parent"), F.explode(F.array(F.expr("p_partkey div 5"), F.expr("p_partkey div 7"), F.expr("if(p_partkey <= 2, 3 - p_partkey, 0)"))).alias("child")).where("child > 0")
+    return k.expanded(below, [x for x in range(7, 400, 7)])
+
+
 def shopping_list(spark, d):
     lines = _lines(spark, d).join(_prices(spark, d), "item", "left")
     got = lines.groupBy("item").agg(F.sum("grams").cast("long").alias("grams"), F.count("*").alias("times"), F.max("price").alias("price"))
@@ -97,7 +104,7 @@ def ids_digest(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ","), 256).alias("digest"))
 
 
-QUERIES = [star_assembly, nutrient_pivot, portion_pick, catalog_quality, composition_shares, dish_cost, only_priced_semi, recipe_leaves_recursive, shopping_list, targets_formula, candidates_x_servings, plan_checks, ids_digest]
+QUERIES = [star_assembly, nutrient_pivot, portion_pick, catalog_quality, composition_shares, dish_cost, only_priced_semi, recipe_leaves_recursive, recipe_expanded, shopping_list, targets_formula, candidates_x_servings, plan_checks, ids_digest]
 SQL = {
     "star_assembly": "SELECT r_name, p_brand, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "nutrient_pivot": "SELECT user_id, " + ", ".join(f"arg_min(value, event_id) FILTER (WHERE event_type = '{x}') AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
@@ -107,6 +114,9 @@ SQL = {
     "dish_cost": f"""WITH {_SHARES}, c AS (SELECT dish, sum(CASE WHEN p_partkey IS NOT NULL THEN share ELSE 0 END) AS coverage, sum(share * p_retailprice) AS paid FROM sh LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON item = p_partkey GROUP BY 1)
         SELECT dish, round(coverage, 6) AS coverage, round(CASE WHEN coverage >= CAST(0.499999999 AS DOUBLE) THEN paid / coverage / 10 END, 9) AS cost FROM c""",
     "only_priced_semi": "SELECT o_orderkey AS dish, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 4 <> 0 AND l_partkey IN (SELECT p_partkey FROM part))",
+    "recipe_expanded": """WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM (SELECT p_partkey AS parent, unnest([p_partkey // 5, p_partkey // 7, CASE WHEN p_partkey <= 2 THEN 3 - p_partkey ELSE 0 END]) AS child FROM part) WHERE child > 0),
+        x AS (SELECT parent AS root, child AS node FROM e UNION SELECT x.root, e.child FROM x JOIN e ON x.node = e.parent AND NOT (x.node % 7 = 0 AND x.node < 400))
+        SELECT root, node, (node % 7 = 0 AND node < 400) OR node NOT IN (SELECT parent FROM e) AS leaf FROM x""",
     "recipe_leaves_recursive": "WITH RECURSIVE e AS (SELECT p_partkey AS parent, unnest([p_partkey // 2, p_partkey // 3]) AS child FROM part), x AS (SELECT parent AS root, child AS node FROM e WHERE child > 0 UNION SELECT x.root, e.child FROM x JOIN e ON x.node = e.parent WHERE e.child > 0) SELECT root, node FROM x",
     "shopping_list": "SELECT l_partkey AS item, CAST(sum(l_quantity) AS BIGINT) AS grams, count(*) AS times, CAST(sum(l_quantity) AS BIGINT) * CAST(round(max(p_retailprice) * 100) AS BIGINT) / CAST(100000 AS DOUBLE) AS cost FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey GROUP BY 1",
     "targets_formula": f"WITH {_PEOPLE} SELECT person, round_even(k, 0) AS kcal, round_even(p, 0) AS protein_g, round_even(f, 0) AS fat_g, round_even(greatest((k - p * 4 - f * 9) / 4, 0), 0) AS carb_g, round_even(k / 1000 * 14, 0) AS fiber_g FROM g",

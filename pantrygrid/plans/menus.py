@@ -131,7 +131,15 @@ def sessions_by_gap(spark, d):
     return table(spark, d, "events").withColumn("new", new).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("start"))
 
 
-QUERIES = [day_plan_checks, day_plan_loss, cycled_targets, adaptive_expenditure, cleaned_text, corpus_chunks, document_numbers, relevance_pool, parent_expansion, nearest_servings, daily_pivot_mean, macro_average, judge_noise, wins_and_losses, breadth_buckets, priced_share, median_latency, bounded_store, sessions_by_gap]
+def chunk_table(spark, d):
+    """Chunks of cleaned documents as a table function in SQL, under the document's source as title, numbered over the corpus."""
+    t.register_chunks(spark)
+    docs = table(spark, d, "documents").select("doc_id", "source", t.clean(F.col("text")).alias("text"))
+    each = spark.sql("SELECT d.doc_id, c.pos, c.section, c.text FROM {docs} d, LATERAL chunks(d.text, 900, 150, d.source) c", docs=docs)
+    return m.numbered(each.withColumn("key", F.struct("doc_id", "pos")), "key", "chunk_id").select("chunk_id", "doc_id", "pos", "section", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
+
+
+QUERIES = [day_plan_checks, day_plan_loss, cycled_targets, adaptive_expenditure, cleaned_text, corpus_chunks, chunk_table, document_numbers, relevance_pool, parent_expansion, nearest_servings, daily_pivot_mean, macro_average, judge_noise, wins_and_losses, breadth_buckets, priced_share, median_latency, bounded_store, sessions_by_gap]
 
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 _DAY = f"""i AS (SELECT l_orderkey AS plan, l_partkey AS dish, l_quantity * 10 AS grams, {", ".join(f"{_D(e)} AS {n}" for n, e in _NUTRIENTS.items())} FROM lineitem),
