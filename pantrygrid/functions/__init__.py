@@ -11,13 +11,26 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 
 
+#: Words that say nothing of a text's subject.
+STOP_WORDS = """
+и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь
+опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому этого какой совсем ним здесь
+этом один почти мой тем чтобы нее были куда зачем всех никогда можно при наконец два об другой хоть после над больше тот через эти нас про всего них какая много разве три эту моя впрочем хорошо свою этой
+перед иногда лучше чуть том нельзя такой им более всегда конечно всю между
+the and for with that this was were are from have has had not but all can may its our their these those there than then when which who whom been being into over under more most such some any each both
+between during after before while about against among also however although therefore thus study studies results conclusion conclusions background methods objective aim significant significantly associated
+compared using used based
+""".split()
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def tokens(text: Column, least: int = 3, cut: int = 6) -> Column:
-    """Words of at least so many characters, cut to a stem."""
-    return F.transform(F.filter(words(text), lambda w: F.length(w) >= least), lambda w: F.substring(w, 1, cut))
+    """Words of at least so many characters that are no stop words, cut to a stem."""
+    stop = [w for w in STOP_WORDS if len(w) >= least]
+    return F.transform(F.filter(words(text), lambda w: (F.length(w) >= least) & ~w.isin(stop)), lambda w: F.substring(w, 1, cut))
 
 
 #: Endings that a stem loses, the longest that fits first; letters that a stem keeps at least.

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: What ends a name but does not belong to the food, and the mark of raw food, which loses nothing by cooking.
 TAILS, RAW = [r"(?i),?\s*\b(?:excludes|excluding|not)\b.*$", r"(?i),\s*(?:with|without)(?: added)? salt.*$"], r"(?i)\braw\b|\buncooked\b|\bdry\b"
-#: Price of a kilogram below which food is as good as free.
-NEAR_FREE = 1.0
 
 
 def plain(name: Column) -> Column:

@@ -11,10 +11,12 @@ from pantrygrid.functions import rules as ru
 from pantrygrid.sources import shared_checkpoints
 
 SHARE, SERVINGS = 0.01, (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
-#: Factors of activity, grams of protein for a kilogram by goal, kilograms a week by goal.
+#: Factors of activity, grams of protein for a kilogram by goal, kilograms a week by goal unless said.
 ACTIVITY = {"sedentary": 1.2, "light": 1.375, "moderate": 1.55, "high": 1.725, "athlete": 1.9}
-PROTEIN = {"lose": 1.8, "keep": 1.4, "gain": 1.6}
-RATE = {"lose": -0.5, "keep": 0.0, "gain": 0.25}
+PROTEIN = {"lose": 1.8, "maintain": 1.4, "gain": 1.8, "recomp": 2.0}
+RATE = {"lose": 0.5, "maintain": 0.0, "gain": 0.25, "recomp": 0.0}
+#: The most that a loss may be a week, in kilograms and as a share of the weight; shares of the energy: protein at most, fat; price of a kilogram below which food is as good as free.
+LOSS_KG, LOSS_SHARE, PROTEIN_SHARE, FAT_SHARE, NEAR_FREE = 1.0, 0.01, 0.35, 0.28, 1.0
 
 
 def shares(lines: DataFrame, least: float = SHARE) -> DataFrame:
@@ -26,11 +28,19 @@ def shares(lines: DataFrame, least: float = SHARE) -> DataFrame:
 
 
 def cost(parts: DataFrame, prices: DataFrame) -> DataFrame:
-    """dish, coverage, cost of 100 g: known prices (item, price of a kilogram) carried on to the whole; null where less than half is priced (but for rounding of sums)."""
+    """dish, coverage, cost of 100 g by shares (dish, item, share) and prices (item, price of a kilogram).
+
+    What is as good as free (water) costs what it costs, but is not carried on to the rest: of the other food half at
+    least must be priced (but for rounding of sums), and stands for all of it. A dish of nothing else has its own cost.
+    Null where too little is priced.
+    """
+    free = F.col("price") < NEAR_FREE
     known = parts.join(prices, "item", "left")
-    cover = F.sum(F.when(F.col("price").isNotNull(), F.col("share")).otherwise(0.0))
-    paid = F.sum(F.col("share") * F.col("price"))
-    return known.groupBy("dish").agg(cover.alias("coverage"), paid.alias("paid")).select("dish", "coverage", F.when(F.col("coverage") >= 0.499999999, F.col("paid") / F.col("coverage") / 10).alias("cost"))
+    sums = {"free": F.when(free, F.col("share")), "free_paid": F.when(free, F.col("share") * F.col("price")), "cover": F.when(~free, F.col("share")), "paid": F.when(~free, F.col("share") * F.col("price"))}
+    met = known.groupBy("dish").agg(*[F.sum(F.coalesce(c, F.lit(0.0))).alias(n) for n, c in sums.items()]).withColumn("food", 1.0 - F.col("free"))
+    enough = (F.col("cover") > 0) & (F.col("cover") >= 0.5 * F.col("food") - 1e-9)
+    cost_ = F.when(F.col("food") <= 1e-9, F.col("free_paid")).when(enough, F.col("free_paid") + F.col("paid") * F.col("food") / F.col("cover")) / 10
+    return met.select("dish", F.when(enough | (F.col("food") <= 1e-9), F.col("free") + F.col("cover")).otherwise(F.col("cover")).alias("coverage"), cost_.alias("cost"))
 
 
 def without_items(dishes: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
@@ -77,13 +87,20 @@ def expanded(edges: DataFrame, stop: list | None = None) -> DataFrame:
 
 
 def targets(people: DataFrame) -> DataFrame:
-    """person, kcal, protein_g, fat_g, carb_g, fiber_g of people (person, male, kg, cm, years, activity, goal); under 18 has none."""
+    """person, kcal, protein_g, fat_g, carb_g, fiber_g of people (person, male, kg, cm, years, activity, goal; if wanted rate, kilograms a week, and tdee, energy spent as measured); under 18 has none.
+
+    A loss is at most LOSS_KG and LOSS_SHARE of the weight a week; energy has a floor. Protein and fat take
+    PROTEIN_SHARE + FAT_SHARE of the energy at most, so carbohydrates never run out.
+    """
     of = lambda table, key: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(key)]
-    spent = fn.bmr(F.col("male"), F.col("kg"), F.col("cm"), F.col("years")) * of(ACTIVITY, "activity")
-    kcal = F.greatest(spent + of(RATE, "goal") * 7700 / 7, F.when(F.col("male"), 1500.0).otherwise(1200.0))
-    protein = F.least(of(PROTEIN, "goal") * F.col("kg"), F.col("k") * 0.35 / 4)
+    said = lambda name: F.col(name) if name in people.columns else F.lit(None).cast("double")
+    spent = F.coalesce(said("tdee"), fn.bmr(F.col("male"), F.col("kg"), F.col("cm"), F.col("years")) * of(ACTIVITY, "activity"))
+    rate = F.coalesce(said("rate"), of(RATE, "goal"))
+    shift = F.when(F.col("goal") == "lose", -F.least(rate, F.lit(LOSS_KG), F.col("kg") * LOSS_SHARE)).when(F.col("goal") == "gain", rate).otherwise(0.0)
+    kcal = F.greatest(spent + shift * 7700 / 7, F.when(F.col("male"), 1500.0).otherwise(1200.0))
+    protein = F.least(of(PROTEIN, "goal") * F.col("kg"), F.col("k") * PROTEIN_SHARE / 4)
     with_kcal = people.where("years >= 18").withColumn("k", kcal)
-    out = with_kcal.withColumn("p", protein).withColumn("f", F.col("k") * 0.28 / 9)
+    out = with_kcal.withColumn("p", protein).withColumn("f", F.col("k") * FAT_SHARE / 9)
     carb = F.greatest((F.col("k") - F.col("p") * 4 - F.col("f") * 9) / 4, F.lit(0.0))
     return out.select("person", F.bround("k").alias("kcal"), F.bround("p").alias("protein_g"), F.bround("f").alias("fat_g"), F.bround(carb).alias("carb_g"), F.bround(F.col("k") / 1000 * 14).alias("fiber_g"))
 

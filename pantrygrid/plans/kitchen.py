@@ -11,10 +11,10 @@ from pantrygrid.sources import table
 _SHARES = """m AS (SELECT l_orderkey AS dish, l_partkey AS item, sum(l_quantity) AS grams FROM lineitem GROUP BY 1, 2), w AS (SELECT *, sum(grams) OVER (PARTITION BY dish) AS total FROM m),
     k AS (SELECT * FROM w WHERE total > 0 AND grams / total >= 0.01), sh AS (SELECT dish, item, grams / sum(grams) OVER (PARTITION BY dish) AS share FROM k)"""
 _PEOPLE = """w AS (SELECT c_custkey AS person, c_custkey % 2 = 1 AS male, CAST(50 + c_custkey % 60 AS DOUBLE) AS kg, CAST(150 + c_custkey % 50 AS DOUBLE) AS cm, CAST(15 + c_custkey % 60 AS DOUBLE) AS years,
-        ['sedentary', 'light', 'moderate', 'high', 'athlete'][1 + c_custkey % 5] AS activity, ['lose', 'keep', 'gain'][1 + c_custkey % 3] AS goal FROM customer),
+        ['sedentary', 'light', 'moderate', 'high', 'athlete'][1 + c_custkey % 5] AS activity, ['lose', 'maintain', 'gain', 'recomp'][1 + c_custkey % 4] AS goal, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 7 AS DOUBLE) / 4 END AS rate FROM customer),
     e AS (SELECT *, greatest((CAST(10 AS DOUBLE) * kg + CAST(6.25 AS DOUBLE) * cm - CAST(5 AS DOUBLE) * years + CASE WHEN male THEN CAST(5 AS DOUBLE) ELSE CAST(-161 AS DOUBLE) END) * CAST([1.2, 1.375, 1.55, 1.725, 1.9][1 + person % 5] AS DOUBLE)
-        + CAST([-0.5, 0.0, 0.25][1 + person % 3] AS DOUBLE) * 7700 / 7, CASE WHEN male THEN CAST(1500 AS DOUBLE) ELSE CAST(1200 AS DOUBLE) END) AS k FROM w WHERE years >= 18),
-    g AS (SELECT *, least(CAST([1.8, 1.4, 1.6][1 + person % 3] AS DOUBLE) * kg, k * CAST(0.35 AS DOUBLE) / 4) AS p, k * CAST(0.28 AS DOUBLE) / 9 AS f FROM e)"""
+        + CASE goal WHEN 'lose' THEN -least(coalesce(rate, CAST(0.5 AS DOUBLE)), CAST(1 AS DOUBLE), kg * CAST(0.01 AS DOUBLE)) WHEN 'gain' THEN coalesce(rate, CAST(0.25 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END * 7700 / 7, CASE WHEN male THEN CAST(1500 AS DOUBLE) ELSE CAST(1200 AS DOUBLE) END) AS k FROM w WHERE years >= 18),
+    g AS (SELECT *, least(CAST([1.8, 1.4, 1.8, 2.0][1 + person % 4] AS DOUBLE) * kg, k * CAST(0.35 AS DOUBLE) / 4) AS p, k * CAST(0.28 AS DOUBLE) / 9 AS f FROM e)"""
 
 
 def _lines(spark, d):
@@ -53,7 +53,9 @@ def composition_shares(spark, d):
 
 
 def dish_cost(spark, d):
-    return k.cost(k.shares(_lines(spark, d)), _prices(spark, d)).select("dish", F.round("coverage", 6).alias("coverage"), F.round("cost", 9).alias("cost"))
+    """Every other part with a price is as good as free."""
+    prices = _prices(spark, d).withColumn("price", F.when(F.col("item") % 8 < 4, F.lit(0.5)).otherwise(F.col("price")))
+    return k.cost(k.shares(_lines(spark, d)), prices).select("dish", F.round("coverage", 6).alias("coverage"), F.round("cost", 6).alias("cost"))
 
 
 def only_priced_semi(spark, d):
@@ -83,7 +85,7 @@ def shopping_list(spark, d):
 def _people(spark, d):
     c = F.col("c_custkey")
     pick = lambda *v: F.array(*[F.lit(x) for x in v])[(c % len(v)).cast("int")]
-    return table(spark, d, "customer").select(c.alias("person"), (c % 2 == 1).alias("male"), (50 + c % 60).cast("double").alias("kg"), (150 + c % 50).cast("double").alias("cm"), (15 + c % 60).cast("double").alias("years"), pick("sedentary", "light", "moderate", "high", "athlete").alias("activity"), pick("lose", "keep", "gain").alias("goal"))
+    return table(spark, d, "customer").select(c.alias("person"), (c % 2 == 1).alias("male"), (50 + c % 60).cast("double").alias("kg"), (150 + c % 50).cast("double").alias("cm"), (15 + c % 60).cast("double").alias("years"), pick("sedentary", "light", "moderate", "high", "athlete").alias("activity"), pick("lose", "maintain", "gain", "recomp").alias("goal"), F.when(c % 3 == 0, (c % 7).cast("double") / 4).alias("rate"))
 
 
 def targets_formula(spark, d):
@@ -111,8 +113,11 @@ SQL = {
     "portion_pick": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem) WHERE k = 1",
     "catalog_quality": "SELECT count(*) AS n, count(DISTINCT p_type) AS types, CAST(sum(CASE WHEN p_retailprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, round(median(p_retailprice), 6) AS median, round(avg(CASE WHEN p_retailprice BETWEEN 1000 AND 1500 THEN 1 ELSE 0 END), 6) AS near FROM part",
     "composition_shares": f"WITH {_SHARES} SELECT dish, item, share FROM sh",
-    "dish_cost": f"""WITH {_SHARES}, c AS (SELECT dish, sum(CASE WHEN p_partkey IS NOT NULL THEN share ELSE 0 END) AS coverage, sum(share * p_retailprice) AS paid FROM sh LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON item = p_partkey GROUP BY 1)
-        SELECT dish, round(coverage, 6) AS coverage, round(CASE WHEN coverage >= CAST(0.499999999 AS DOUBLE) THEN paid / coverage / 10 END, 9) AS cost FROM c""",
+    "dish_cost": f"""WITH {_SHARES}, pr AS (SELECT p_partkey, CASE WHEN p_partkey % 8 < 4 THEN CAST(0.5 AS DOUBLE) ELSE p_retailprice END AS price FROM part WHERE p_partkey % 4 <> 0),
+        c AS (SELECT dish, sum(CASE WHEN price < 1 THEN share ELSE 0 END) AS free, sum(CASE WHEN price < 1 THEN share * price ELSE 0 END) AS free_paid, sum(CASE WHEN price >= 1 THEN share ELSE 0 END) AS cover, sum(CASE WHEN price >= 1 THEN share * price ELSE 0 END) AS paid
+              FROM sh LEFT JOIN pr ON item = p_partkey GROUP BY 1), o AS (SELECT *, cover > 0 AND cover >= 0.5 * (1 - free) - 1e-9 AS enough FROM c)
+        SELECT dish, round(CASE WHEN 1 - free <= 1e-9 OR enough THEN free + cover ELSE cover END, 6) AS coverage,
+               round(CASE WHEN 1 - free <= 1e-9 THEN free_paid WHEN enough THEN free_paid + paid * (1 - free) / cover END / 10, 6) AS cost FROM o""",
     "only_priced_semi": "SELECT o_orderkey AS dish, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 4 <> 0 AND l_partkey IN (SELECT p_partkey FROM part))",
     "recipe_expanded": """WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM (SELECT p_partkey AS parent, unnest([p_partkey // 5, p_partkey // 7, CASE WHEN p_partkey <= 2 THEN 3 - p_partkey ELSE 0 END]) AS child FROM part) WHERE child > 0),
         x AS (SELECT parent AS root, child AS node FROM e UNION SELECT x.root, e.child FROM x JOIN e ON x.node = e.parent AND NOT (x.node % 7 = 0 AND x.node < 400))

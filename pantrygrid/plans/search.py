@@ -9,7 +9,8 @@ from pantrygrid.operators import retrieval as r
 from pantrygrid.sources import table
 
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
-_TOKENS = f"list_transform(list_filter({_WORDS}, lambda w: length(w) >= 3), lambda w: w[1:6])"
+_STOP = ", ".join(f"'{w}'" for w in fn.STOP_WORDS)
+_TOKENS = f"list_transform(list_filter({_WORDS}, lambda w: length(w) >= 3 AND NOT list_contains([{_STOP}], w)), lambda w: w[1:6])"
 _POSTINGS = f"p AS (SELECT doc_id AS doc, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY 1, 2)"
 _BM25 = f"""{_POSTINGS},
     dl AS (SELECT doc, sum(tf) AS dl FROM p GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS n, avg(dl) AS avgdl FROM dl),
