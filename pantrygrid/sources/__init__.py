@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pantrygrid.sinks import versioned
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,9 +61,13 @@ def missing_files(spark: SparkSession, folder: str, names: list[str]) -> list[st
 
 def vectors(spark: SparkSession, path: str, with_vector: bool = False, ids: list[int] | None = None) -> DataFrame | None:
     """The vector table (chunk_id, vector, others), without its vectors unless asked for, all rows or those of ids; None where there is no table."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    rows = versioned.read(spark, path)
+    if rows is None:
         return None
-    rows = spark.read.parquet(path)
     rows = rows if ids is None else rows.where(F.col("chunk_id").isin(ids))
     return rows if with_vector else rows.drop("vector")
+
+
+def log(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame | None:
+    """The records of a log, or those of some UTC days; None where there is no log."""
+    return versioned.read(spark, path, days)

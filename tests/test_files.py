@@ -3,7 +3,9 @@
 import datetime as dt
 import json
 
+import pytest
 from pantrygrid import sinks, sources
+from pantrygrid.sinks import versioned
 
 LOG = "session_id string, ts timestamp, text string"
 
@@ -17,22 +19,86 @@ def test_tables_are_written_again_added_to_and_cut(spark, tmp_path):
     assert sources.vectors(spark, at).columns == ["chunk_id", "doc_id"] and sources.vectors(spark, at, True, [12]).collect()[0]["vector"] == [1.5]
     sinks.delete_documents(spark, at, spark.createDataFrame([(7,), (7,)], "doc_id int"))
     assert sorted(r["chunk_id"] for r in sources.vectors(spark, at).collect()) == [2, 12]
-    sinks.overwrite(rows.limit(0), at)
+    sinks.vectors(rows.limit(0), at)
     assert sources.vectors(spark, at).count() == 0
     sinks.report(rows.drop("vector"), f"file://{tmp_path}/r")
     assert sources.csv(spark, f"file://{tmp_path}/r", "chunk_id int, doc_id int").count() == 2
 
 
+def log_rows():
+    day = lambda d, h: dt.datetime(2024, 5, d, h)
+    return [("a", day(1, 3), "x"), ("b", day(1, 4), "y"), ("b", day(2, 1), "z"), ("a", day(3, 1), "w"), (None, day(1, 1), "n")]
+
+
+def said(df):
+    return sorted((r["session_id"] or "", r["text"], r["day"]) for r in df.collect())
+
+
 def test_a_session_is_erased_everywhere(spark, tmp_path):
     at = f"file://{tmp_path}/log"
-    day = lambda d, h: dt.datetime(2024, 5, d, h)
-    rows = [("a", day(1, 3), "x"), ("b", day(1, 4), "y"), ("b", day(2, 1), "z"), ("a", day(3, 1), "w"), (None, day(1, 1), "n")]
-    sinks.append_log(spark.createDataFrame(rows, LOG), at)
-    untouched = sorted(p.name for p in (tmp_path / "log" / "day=2024-05-02").iterdir())
-    assert sinks.forget(spark, at, LOG, "nobody") == 0 and sinks.forget(spark, at, LOG, "a") == 2
-    left = spark.read.schema(f"{LOG}, day date").json(at).collect()
-    assert sorted((r["session_id"] or "", r["text"], str(r["day"])) for r in left) == [("", "n", "2024-05-01"), ("b", "y", "2024-05-01"), ("b", "z", "2024-05-02")]
-    assert sorted(p.name for p in (tmp_path / "log" / "day=2024-05-02").iterdir()) == untouched
+    assert sources.log(spark, at) is None
+    sinks.append_log(spark.createDataFrame(log_rows()[:3], LOG), at)
+    sinks.append_log(spark.createDataFrame(log_rows()[3:], LOG), at)
+    second = versioned.pointer(spark, at)["live"]["2024-05-02"]
+    assert len(versioned.pointer(spark, at)["live"]["2024-05-01"]) == 2
+    assert sinks.forget(spark, at, "nobody") == 0 and sinks.forget(spark, at, "a") == 2
+    assert said(sources.log(spark, at)) == [("", "n", "2024-05-01"), ("b", "y", "2024-05-01"), ("b", "z", "2024-05-02")]
+    assert versioned.pointer(spark, at)["live"]["2024-05-02"] == second
+    assert said(sources.log(spark, at, ["2024-05-02"])) == [("b", "z", "2024-05-02")]
+    assert versioned.sweep(spark, at) == 3 and len(said(sources.log(spark, at))) == 3 and versioned.sweep(spark, at) == 0
+    assert sinks.retain(spark, at, "2024-05-02") == ["2024-05-01"] and said(sources.log(spark, at)) == [("b", "z", "2024-05-02")]
+    assert sinks.forget(spark, at, "b") == 1 and said(sources.log(spark, at)) == []
+
+
+def test_a_writer_that_is_lost_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/v"
+    rows = spark.createDataFrame([(1, 7, [0.5]), (2, 8, [1.5])], "chunk_id int, doc_id int, vector array<double>")
+    sinks.vectors(rows, at)
+    log = f"file://{tmp_path}/log"
+    sinks.append_log(spark.createDataFrame(log_rows(), LOG), log)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(versioned, "_renamed", lost)  # all is written but the pointer
+        for act in (lambda: sinks.delete_documents(spark, at, rows.select("doc_id")), lambda: sinks.forget(spark, log, "a"), lambda: sinks.vectors(rows.limit(0), at)):
+            with pytest.raises(RuntimeError, match="lost"):
+                act()
+        assert sources.vectors(spark, at).count() == 2 and len(said(sources.log(spark, log))) == 5
+    with monkeypatch.context() as m:
+        m.setattr(versioned, "_point", lost)  # between the files and the pointer
+        with pytest.raises(RuntimeError, match="lost"):
+            sinks.forget(spark, log, "a")
+    assert len(said(sources.log(spark, log))) == 5
+    sinks.delete_documents(spark, at, spark.createDataFrame([(7,)], "doc_id int"))
+    assert [r["chunk_id"] for r in sources.vectors(spark, at).collect()] == [2] and versioned.sweep(spark, at) > 0
+    assert [r["chunk_id"] for r in sources.vectors(spark, at).collect()] == [2]
+
+
+def test_the_slower_of_two_writers_is_told(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/v"
+    rows = spark.createDataFrame([(1, 7, [0.5])], "chunk_id int, doc_id int, vector array<double>")
+    sinks.vectors(rows, at)
+    seen = versioned.pointer(spark, at)
+    sinks.vectors(rows, at, add=True)
+    with pytest.raises(versioned.Changed):
+        versioned._point(spark, at, seen | {"version": "x"}, seen)
+    assert sources.vectors(spark, at).count() == 2
+
+
+def test_values_by_key_touch_their_buckets_only(spark, tmp_path):
+    at = f"file://{tmp_path}/kv"
+    kv = lambda rows: spark.createDataFrame(rows, "key string, v int")
+    sinks.upsert(kv([(f"k{i}", i) for i in range(40)]), at, "key")
+    before = versioned.pointer(spark, at)["live"]
+    sinks.upsert(kv([("k3", 300), ("new", 1)]), at, "key")
+    after = versioned.pointer(spark, at)["live"]
+    assert len({b for b in after if after[b] != before.get(b)}) <= 2
+    got = {r["key"]: r["v"] for r in versioned.read(spark, at).collect()}
+    assert got == {f"k{i}": i for i in range(40)} | {"k3": 300, "new": 1}
+    with pytest.raises(ValueError):
+        sinks.upsert(kv([("a", 1), ("a", 2)]), at, "key")
 
 
 def test_counters_and_values(spark):
