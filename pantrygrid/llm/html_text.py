@@ -26,6 +26,7 @@ RAW = set("script style title textarea noscript iframe".split())
 MAIN = {"article", "main"}
 AROUND = set("nav header footer aside form menu dialog button select fieldset search".split())
 HINTS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side widget cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar footer header masthead copyright legal search pagination pager".split())
+CONSENT = set("cookie cookies consent gdpr".split())
 TALK = set("comment comments commentlist disqus discussion replies reply respond responses reviews".split())
 #: What a head holds (anything else ends it), elements without content, and foreign ones, which a slash closes.
 IN_HEAD = set("base basefont bgsound link meta title script style noscript template".split())
@@ -36,9 +37,10 @@ _TRACKED = (BLOCK | SILENT | {"button"}) - _LOOSE - VOID - {"body", "html"}
 #: A quote opens a value only behind an equals sign. Quantifiers never give back, so that no tag costs more than its length.
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</[^a-zA-Z>][^>]*+>?|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?\s*main\s*(?:[\"'\s/>]|$)", re.I)
 _LABEL = re.compile(r"data-label=\"(\d)\"")
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_FIELDS = "text string, words int, linked int, main int, around int, hint int, talk int, heading int, label int"
+_FIELDS = "text string, words int, linked int, main int, around int, hint int, talk int, heading int, label int, consent int"
 #: What the tree sees of a block; of the two neighbours it sees the first two.
 FEATURES = ["words", "density", "before_words", "before_density", "after_words", "after_density", "main", "around", "hint", "talk", "heading", "outside"]
 
@@ -47,10 +49,16 @@ def _class_words(attributes: str) -> set[str]:
     return set(_SPLIT.split(" ".join(x for t in _NAMES.findall(attributes) for x in t if x).lower())) if "=" in attributes else set()
 
 
+def _is_comment(attributes: str) -> bool:
+    """Whether a whole name of an element's classes, or its id, says that it is a comment: comment or comment-7, not comments-open."""
+    names = {n for t in _NAMES.findall(attributes) for x in t if x for n in x.lower().split()} if "=" in attributes else set()
+    return any(n in TALK or n.startswith(("comment-", "comment_", "reply-", "reply_")) for n in names)
+
+
 def blocks(page: str) -> list[tuple]:
     """The text blocks of a page in order, as tuples of _FIELDS."""
     out: list[tuple] = []
-    stack: list[tuple[str, int, int, int, int, int]] = []  # tag, main, around, hint, talk, label
+    stack: list[tuple[str, int, int, int, int, int, int]] = []  # tag, main, around, hint, talk, label, consent
     open_: Counter[str] = Counter()  # tags on the stack
     silent, links, heading = 0, 0, 0
     said: set[str] = set()  # class words of the open element whose end tag may be left out
@@ -61,8 +69,8 @@ def blocks(page: str) -> list[tuple]:
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                main, around, hint, talk, label = stack[-1][1:] if stack else (0, 0, 0, 0, -1)
-                out.append((" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), main, around, int(hint or bool(said & HINTS)), int(talk or bool(said & TALK)), heading, label))
+                main, around, hint, talk, label, consent = stack[-1][1:] if stack else (0, 0, 0, 0, -1, 0)
+                out.append((" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), main, around, int(hint or bool(said & HINTS)), int(talk or bool(said & TALK)), heading, label, int(consent or bool(said & CONSENT))))
             parts.clear()
             linked.clear()
 
@@ -121,13 +129,15 @@ def blocks(page: str) -> list[tuple]:
         elif name in _LOOSE:
             said = _class_words(attributes)
         elif name in _TRACKED and not (name in SILENT and attributes.endswith("/")):
-            above = stack[-1] if stack else ("", 0, 0, 0, 0, -1)
+            above = stack[-1] if stack else ("", 0, 0, 0, 0, -1, 0)
             words = _class_words(attributes)
             around, hint, talk = int(above[2] or name in AROUND), int(above[3] or bool(words & HINTS)), int(above[4] or bool(words & TALK))
-            if name in MAIN and not above[1]:
-                hint, talk = 0, above[4]  # class words tell nothing against a page's main container
+            holds = name in MAIN and not (name == "article" and (above[4] or _is_comment(attributes))) or "=" in attributes and bool(_ROLE_MAIN.search(attributes))
+            consent = int(above[6] or bool(words & CONSENT))
+            if holds and not above[1]:
+                hint, talk, consent = 0, above[4], 0  # class words tell nothing against a page's main container, unless it is a comment
             label = _LABEL.search(attributes)
-            stack.append((name, int(above[1] or name in MAIN), around, hint, talk, int(label[1]) if label else above[5]))
+            stack.append((name, int(above[1] or holds), around, hint, talk, int(label[1]) if label else above[5], consent))
             open_[name] += 1
             silent += name in SILENT
     flush()
@@ -152,6 +162,7 @@ def with_blocks(pages: DataFrame, html_col: str) -> DataFrame:
             near(i + 1, "words").alias("after_words"),
             rate(i + 1).alias("after_density"),
             *[b[f].cast("double").alias(f) for f in ("main", "around", "hint", "talk", "heading")],
+            b["consent"].alias("consent"),
             (F.exists("blocks", lambda x: x["main"] > 0) & (b["main"] == 0)).cast("double").alias("outside"),
         ),
     )
@@ -218,6 +229,13 @@ def tree_column(model, block: Column) -> Column:
     return walk(model._java_obj.rootNode())
 
 
+def is_main(model, block: Column) -> Column:
+    """What the tree says, but for two kinds of block: inside the main container one leaves only by a sign of its own or around it, however short or linked it is, and outside of it what asks for consent never stays."""
+    inside = block["main"] > 0
+    signs = (block["around"] > 0) | (block["hint"] > 0) | (block["talk"] > 0)
+    return F.when(inside & ~signs, F.lit(True)).when(~inside & (block["consent"] > 0), F.lit(False)).otherwise(tree_column(model, block))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", table: list[tuple[int, str]] | None = None) -> DataFrame:
     """One row for every row of pages: id_col, url_col, text, n_chars, n_blocks.
 
@@ -231,6 +249,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     shared.small_batches(spark)
     model = fit_tree(spark, table)
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    kept = F.transform(F.filter("blocks", lambda b: tree_column(model, b)), lambda b: b["text"])
+    kept = F.transform(F.filter("blocks", lambda b: is_main(model, b)), lambda b: b["text"])
     out = with_blocks(own, "html").select("id", "url", F.size("blocks").alias("n_blocks"), F.array_join(kept, "\n").alias("text"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")

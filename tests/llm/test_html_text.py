@@ -98,3 +98,21 @@ def test_rows_that_repeat_nulls_and_other_columns(spark):
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect())
     assert got == [(0, "", 0), (1, "Some words of the page.", 23), (1, "Some words of the page.", 23)]
     assert html_text.extract_text(df.limit(0)).collect() == []
+
+
+BODY = "<p>" + "The council met on Tuesday and agreed to repair the bridge before winter comes to the valley. " * 4 + "</p>"
+TEXT = ("The council met on Tuesday and agreed to repair the bridge before winter comes to the valley. " * 4).strip()
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<html><body><article><h1>Bridge</h1>{BODY}</article><div><article class="comment"><p>{"I do not agree with the council at all, it costs too much. " * 4}</p></article></div></body></html>', f"Bridge\n{TEXT}"),
+        (f'<html><body><div class="cookie-banner"><p>{"We use cookies to make this site better and to measure how it is used by all who visit. " * 5}</p></div><div><h1>Bridge</h1>{BODY}{BODY}</div></body></html>', f"Bridge\n{TEXT}\n{TEXT}"),
+        (f'<html><body><div role="main"><h1>Bridge</h1>{BODY}</div><div>Copyright 2024 by the valley herald and its owners, all rights are reserved.</div></body></html>', f"Bridge\n{TEXT}"),
+        (f'<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>Bridge</h1>{BODY}<ul><li><a href="/a">First report</a></li><li><a href="/b">Second report</a></li></ul></article></body></html>', f"Bridge\n{TEXT}\nFirst report\nSecond report"),
+        (f'<html><body><main><article><h1>Bridge</h1>{BODY}<nav><a href="/n">Next</a></nav><div class="share"><a href="/s">Share this</a></div></article><section id="comments"><article><p>{"No, never, not with my money. " * 6}</p></article></section></main></body></html>', f"Bridge\n{TEXT}"),
+    ],
+)
+def test_pages_written_by_hand(spark, html, want):
+    assert html_text.extract_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()["text"] == want
