@@ -163,20 +163,42 @@ def embedded(docs: DataFrame, cache: DataFrame, model: str, embed=hashed_vectors
     return keyed.select("id", "key").join(cache.select("key", "vector").unionByName(new), "key").select("id", "vector"), new
 
 
+def halved(ask, texts: list[str]) -> list:
+    """The answers of a model to texts, one each. Where it fails or answers another number, each half is asked by itself, so that a text that cannot be answered costs only its own answer (None)."""
+    try:
+        said = list(ask(texts))
+        if len(said) == len(texts):
+            return said
+    except Exception:  # noqa: BLE001 - whatever a model does wrong, its batch is split
+        pass
+    if len(texts) == 1:
+        return [None]
+    middle = len(texts) // 2
+    return halved(ask, texts[:middle]) + halved(ask, texts[middle:])
+
+
+def answered(rows: DataFrame, ask, size: int = 60) -> DataFrame:
+    """id, answer of rows (id, text) by a model that takes a list of texts, size at once; null where a text alone is not answered."""
+
+    def run(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), size):
+                part = pdf.iloc[i : i + size]
+                said = halved(ask, part["text"].tolist())
+                yield pd.DataFrame({"id": part["id"], "answer": pd.Series([None if x is None else str(x).strip() for x in said], index=part.index, dtype=object)})
+
+    return rows.select("id", "text").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, answer string")
+
+
 def judged(pairs: DataFrame, judge, size: int = JUDGED) -> DataFrame:
-    """pairs (query_id, chunk_id, text) with the verdicts of a judge, which sees at most size texts of a query at once; a batch that fails has null verdicts, not wrong ones."""
+    """pairs (query_id, chunk_id, text) with the verdicts of a judge, which sees at most size texts of a query at once; a batch that fails is halved, and a text that fails alone has a null verdict."""
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")) - 1
     batches = pairs.withColumn("batch", F.floor(order / size))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_id")
-        try:
-            said = [None if v is None else bool(v) for v in judge(int(pdf["query_id"].iloc[0]), pdf["text"].tolist())]
-            if len(said) != len(pdf):
-                raise ValueError("as many verdicts as texts")
-        except Exception:  # noqa: BLE001 - whatever a model does wrong, its batch is unjudged
-            said = [None] * len(pdf)
-        return pd.DataFrame({"query_id": pdf["query_id"], "chunk_id": pdf["chunk_id"], "relevant": pd.Series(said, index=pdf.index, dtype="boolean")})
+        said = halved(lambda texts: judge(int(pdf["query_id"].iloc[0]), texts), pdf["text"].tolist())
+        return pd.DataFrame({"query_id": pdf["query_id"], "chunk_id": pdf["chunk_id"], "relevant": pd.Series([None if v is None else bool(v) for v in said], index=pdf.index, dtype="boolean")})
 
     return batches.groupBy("query_id", "batch").applyInPandas(run, "query_id long, chunk_id long, relevant boolean")
 

@@ -108,3 +108,24 @@ def step_medians(steps: DataFrame) -> DataFrame:
     """node, turns, seconds, calls of steps (turn, pos, node, seconds, calls): the median of a node's seconds in a turn (they add up), and the mean of its calls."""
     each = steps.groupBy("turn", "node").agg(F.sum("seconds").alias("seconds"), F.sum("calls").alias("calls"))
     return each.groupBy("node").agg(F.count("*").alias("turns"), F.percentile("seconds", F.lit(0.5)).alias("seconds"), F.avg("calls").alias("calls"))
+
+
+def slots(events: list[tuple], leases: dict[str, float], limit: int, length: float) -> list[bool | None]:
+    """Whether each acquire of a key's events (t, kind: acquire or release, lease), in their order, gets one of limit places; None for a release.
+
+    leases: places taken, with the time that each ends at, which this changes. A lease that nobody releases ends by itself
+    after length; who holds it and asks again keeps it for longer. Releasing what is not held does nothing.
+    """
+    out = []
+    for t, kind, lease in events:
+        for gone in [x for x, end in leases.items() if end <= t]:
+            del leases[gone]
+        if kind == "release":
+            leases.pop(lease, None)
+            out.append(None)
+            continue
+        free = lease in leases or len(leases) < limit
+        if free:
+            leases[lease] = t + length
+        out.append(free)
+    return out

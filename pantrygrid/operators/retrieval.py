@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pantrygrid import functions as fn
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Parts that blocks of vectors are dealt to.
+DEALT = 16
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,7 +47,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: str = "l2", same
 
     same: a column (a whole number) that both must share; blocks hold one value of it, and only blocks of one value meet.
     Rows are packed into blocks where they lie. Blocks of the stated queries meet blocks of vectors as matrices; a pair of
-    blocks hands on k rows for each query.
+    blocks hands on k rows for each query. Blocks of vectors are dealt by hash, and queries go to each of DEALT parts, so
+    that no part holds all vectors of a value.
     """
     value = F.col(same).cast("long") if same else F.lit(0).cast("long")
 
@@ -77,7 +80,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: str = "l2", same
                 first = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
                 yield pd.DataFrame({"query_id": asked[qi[first]], "vec_id": ids[vi[first]], "s": near[qi[first], vi[first]]})
 
-    pairs = packed(queries, 256, "q_ids", "q").join(packed(vectors, rows, "c_ids", "c"), "value")  # blocks of stated queries with blocks of all rows
+    asked_blocks = packed(queries, 256, "q_ids", "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    pairs = asked_blocks.join(packed(vectors, rows, "c_ids", "c").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(DEALT)).cast("int")), ["value", "part"])  # blocks of stated queries with blocks of all rows
     found = pairs.select("q_ids", "q", "c_ids", "c").mapInPandas(run, "query_id long, vec_id long, s double")
     best = Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), "vec_id")
     score = F.col("s") if by == "dot" else -F.col("s")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from pantrygrid.operators import dialogue, planner
+from pantrygrid.operators import dialogue, logs, planner
 
 _STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = dt.date(1970, 1, 1)
@@ -210,3 +210,44 @@ def menus(asks: DataFrame, dishes: DataFrame, days: int, window: int = planner.V
     whole = planner.with_defaults(asks).select("person", *planner._ASK)
     out = "person long, day int, meal int, dish long, serving double, attempt int, failed int"
     return whole.groupBy("person").transformWithStateInPandas(_Menu(planner.known(dishes).toPandas(), days, window, retries, steps, pause_ms), out, "Append", "ProcessingTime")
+
+
+class _Slots(StatefulProcessor):
+    def __init__(self, limit: int, length: float):
+        self.limit, self.length = limit, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.leases = handle.getMapState("leases", "lease string", "until double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["ts", "id"])
+        seconds = [ts.timestamp() for ts in pdf["ts"]]
+        before = {lease: until for (lease,), (until,) in self.leases.iterator()}
+        leases = dict(before)
+        granted = logs.slots(list(zip(seconds, pdf["kind"], pdf["lease"])), leases, self.limit, self.length)
+        for lease in before.keys() - leases.keys():
+            self.leases.removeKey((lease,))
+        for lease, until in leases.items():
+            if before.get(lease) != until:
+                self.leases.updateValue((lease,), (until,))
+                self.handle.registerTimer(int(until * 1000) + 1)
+        out = pd.DataFrame({"key": key[0], "id": pdf["id"], "granted": pd.Series(granted, index=pdf.index, dtype=object)})
+        yield out[[x is not None for x in granted]].astype({"granted": bool})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Leases that ended and that no event has cleared away."""
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        for lease in [x for (x,), (until,) in list(self.leases.iterator()) if until <= now]:
+            self.leases.removeKey((lease,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def slots(events: DataFrame, limit: int, seconds: float, late: str = "1 minute") -> DataFrame:
+    """key, id, granted for each acquire of a stream of events (key, id, ts, kind: acquire or release, lease), as logs.slots decides; micro-batches come in order of time. A key's state is its open leases, limit at most; one that nobody releases goes when the watermark has passed its end."""
+    state_store(events.sparkSession)
+    own = events.select("key", "id", "ts", "kind", "lease").withWatermark("ts", late)
+    return own.groupBy("key").transformWithStateInPandas(_Slots(limit, seconds), "key long, id long, granted boolean", "Append", "EventTime")

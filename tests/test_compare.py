@@ -80,7 +80,7 @@ def test_profiles_memory_and_targets(spark):
     got = dg.memory(turns).first()
     assert (got["profile"], got["plan"], got["eaten"]) == ({"a": 2, "b": 3}, "p1", ["y"])
     est = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-01', 2500.0D), (1, DATE'2024-01-05', 1900.0D), (1, DATE'2024-01-08', 1900.0D) AS t(key, day, tdee)")
-    assert [x["tdee"] for x in dg.adapted(est, 2000.0).orderBy("day").collect()] == [2200.0, 2200.0, 1900.0]
+    assert [x["tdee"] for x in dg.adapted(est, 2000.0).orderBy("day").collect()] == [2200.0, 2200.0, 1980.0]
     plan = spark.createDataFrame([(1, 0, "завтрак", "Каша овсяная"), (1, 1, "обед", "Суп куриный")], "person int, place int, meal string, name string")
     asks = spark.createDataFrame([(1, "замени куриного друга")], "person int, text string")
     assert dg.swap_target(plan, asks).first()["place"] == 1

@@ -151,3 +151,35 @@ def test_a_large_catalogue_is_refused(spark, monkeypatch):
     dishes, people = q._dishes(spark, "/root/testdata/sf0.001"), q._people(spark, "/root/testdata/sf0.001")
     with pytest.raises(ValueError, match="more than a task holds"):
         state.menus(people, dishes, 2)
+
+
+class Places:
+    """A counter of places with leases, event by event."""
+
+    def __init__(self, limit, length):
+        self.limit, self.length, self.held = limit, length, {}
+
+    def acquire(self, t, lease):
+        self.held = {x: end for x, end in self.held.items() if end > t}
+        if lease in self.held or len(self.held) < self.limit:
+            self.held[lease] = t + self.length
+            return True
+        return False
+
+    def release(self, lease):
+        self.held.pop(lease, None)
+
+
+def test_places_with_leases_are_those_of_a_plain_counter(spark, tmp_path):
+    rnd = random.Random(4)
+    start = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
+    rows, want, places = [], {}, {k: Places(2, 60) for k in (1, 2)}
+    for i in range(120):
+        k, t, lease, kind = rnd.choice([1, 2]), 7 * i, f"l{rnd.randrange(6)}", rnd.choice(["acquire", "acquire", "release"])
+        rows.append((k, i, start + dt.timedelta(seconds=t), kind, lease))
+        if kind == "acquire":
+            want[i] = places[k].acquire(t, lease)
+        else:
+            places[k].release(lease)
+    got = streamed(spark, tmp_path, lambda s: state.slots(s, 2, 60), "key long, id long, ts timestamp, kind string, lease string", [rows[:50], rows[50:51], rows[51:]])
+    assert {r["id"]: r["granted"] for r in got} == want and set(want.values()) == {True, False}
