@@ -45,15 +45,23 @@ _STEP = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], U)
 
 
 def word_prints(lower: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit cryptographic fingerprint of each word; words are told apart byte by byte, and each distinct one is hashed once."""
-    inside = np.zeros(len(lower) + 1, np.int8)
-    inside[start] += 1
-    inside[stop] -= 1
-    packed = lower[np.cumsum(inside[:-1]) > 0]
-    at = np.append(0, np.cumsum(stop - start)).astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(packed))]).dictionary_encode()
-    distinct = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist())
-    return np.frombuffer(distinct, U)[np.asarray(words.indices)]
+    """A 64-bit fingerprint of each word. Words up to 8 bytes of one length never share one; up to 16 bytes both halves are scrambled in turn; longer words have a cryptographic one."""
+    size = stop - start
+    padded = np.append(lower, np.zeros(16, np.uint8))
+
+    def half(k: int) -> np.ndarray:
+        held = padded[np.minimum(start + k, len(lower))[:, None] + np.arange(8)]
+        held[np.arange(k, k + 8) >= size[:, None]] = 0
+        return np.ascontiguousarray(held).view(U)[:, 0]
+
+    out = shared.mix(half(0) + size.astype(U) * U(0xA24BAED4963EE407))
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        start, size, stop = start[more], size[more], stop[more]
+        out[more] = shared.mix(out[more] ^ shared.mix(half(8)))
+        for i in np.flatnonzero(size > 16):
+            out[more[i]] = int.from_bytes(hashlib.blake2b(lower[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
