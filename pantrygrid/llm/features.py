@@ -58,8 +58,8 @@ def count_features(data: np.ndarray, grams=GRAMS, bits: int = BITS) -> np.ndarra
     return out
 
 
-def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and targets of a bounded sample (text, y array<double>): its caller bounds the rows."""
+def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and targets of a bounded sample (text, y array<double>), and which features the columns are: those that any row has. The caller bounds the rows."""
 
     def run(batches):
         for b in batches:
@@ -69,13 +69,17 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(rows, found)], pa.list_(pa.float32())), b.column(1)], names=["at", "x", "y"])
 
     got = sample.select("text", "y").mapInArrow(run, "at array<int>, x array<float>, y array<double>").toArrow()
-    x = np.zeros((len(got), len(GRAMS) << BITS), np.float32)
+    seen = np.zeros(len(GRAMS) << BITS, bool)
+    for part in got.to_batches():
+        seen[np.asarray(part["at"].flatten())] = True
+    place = np.cumsum(seen) - 1
+    x = np.zeros((len(got), int(seen.sum())), np.float32)
     row = 0
     for part in got.to_batches():
         size = np.diff(np.asarray(part["at"].offsets))
-        x[row + np.repeat(np.arange(len(size)), size), np.asarray(part["at"].flatten())] = np.asarray(part["x"].flatten())
+        x[row + np.repeat(np.arange(len(size)), size), place[np.asarray(part["at"].flatten())]] = np.asarray(part["x"].flatten())
         row += len(size)
-    return x, np.asarray(got["y"].to_pylist(), float)
+    return x, np.asarray(got["y"].to_pylist(), float), np.flatnonzero(seen)
 
 
 def bounded_sample(df: DataFrame, key: str | Column, rows: int) -> DataFrame:
@@ -87,13 +91,15 @@ def bounded_sample(df: DataFrame, key: str | Column, rows: int) -> DataFrame:
     return df.limit(rows) if drawn.isEmpty() else drawn
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> np.ndarray:
-    """Weights (features, classes) of softmax regression on soft targets y (rows of classes), by Nesterov's gradient steps.
+def fit_softmax(x: np.ndarray, y: np.ndarray, which: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> np.ndarray:
+    """Weights (all features, classes) of softmax regression on soft targets y (rows of classes), by Nesterov's gradient steps.
 
-    Features are scaled to unit root mean square first, in place; the scale is folded into the weights. No rows: zero weights.
+    which: the features that the columns of x are; all others have zero weights, as no row has them. Features are scaled
+    to unit root mean square first, in place; the scale is folded into the weights. No rows: zero weights.
     """
+    whole = np.zeros((len(GRAMS) << BITS, y.shape[1] if y.ndim == 2 else 1))
     if not len(x):
-        return np.zeros((x.shape[1], y.shape[1] if y.ndim == 2 else 1))
+        return whole
     scale = (1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-3)).astype(np.float32)
     x *= scale  # in place: the sample is the largest thing that the driver holds
     y = y.astype(np.float32)
@@ -106,4 +112,5 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1
         new = v - rate * (x.T @ (p - y) / np.float32(len(x)) + np.float32(ridge) * v)
         v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w * scale[:, None]
+    whole[which] = w * scale[:, None]
+    return whole

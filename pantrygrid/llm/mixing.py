@@ -174,10 +174,10 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     few = features.bounded_sample(known, "id", SAMPLE_ROWS)
     y = F.array(*[(F.col("domain") == d).cast("double") for d in domains])
     sample = shared.texts(docs, id_col, text_col).join(F.broadcast(few), "id").dropDuplicates(["id"])  # SAMPLE_ROWS rows, but for the spread of the hash
-    x, target = features.sample_features(sample.select("text", y.alias("y")))
+    x, target, which = features.sample_features(sample.select("text", y.alias("y")))
     target = target.reshape(-1, len(domains))
     prior = (target.sum(axis=0) + 1) / (len(target) + len(domains))
-    mixer = Mixer(domains, share, features.fit_softmax(x, target), prior, max(1.0, least) if never_less else least)
+    mixer = Mixer(domains, share, features.fit_softmax(x, target, which), prior, max(1.0, least) if never_less else least)
     narrow = shared.written(narrow_table(docs, mixer, id_col, text_col))
     have = float(_passed(narrow, 0.0, np.zeros((1, len(domains))))[1].sum())
     whole = max(have, 1.0)

@@ -176,8 +176,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         return pd.Series([[1 - g, g] for g in good])
 
     sample = features.bounded_sample(own, F.xxhash64("id", "text"), sample_rows)
-    x, y = features.sample_features(sample.withColumn("y", F.pandas_udf(label, "array<double>")("text")))
-    return QualityModel(chances, share, features.fit_softmax(x, y.reshape(-1, 2)), threshold)
+    x, y, which = features.sample_features(sample.withColumn("y", F.pandas_udf(label, "array<double>")("text")))
+    return QualityModel(chances, share, features.fit_softmax(x, y.reshape(-1, 2), which), threshold)
 
 
 def scored(text: Column, model: QualityModel) -> Column:
