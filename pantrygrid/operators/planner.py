@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pantrygrid.operators import menus as m
 from pantrygrid.operators.dishes import SERVINGS
+from pantrygrid.sources import shared_checkpoints
 
 #: The meals of a day with the role that each takes and its share of the day's energy.
 MEALS = [("breakfast", "breakfast", 0.25), ("lunch", "main", 0.24), ("lunch, side", "side", 0.09), ("dinner", "main", 0.21), ("dinner, side", "side", 0.09), ("snack", "snack", 0.07), ("snack", "snack", 0.05)]
@@ -392,3 +393,42 @@ def repeats_within(eaten: DataFrame, days: int = VARIETY) -> DataFrame:
     daily = eaten.select("person", "day", "dish").distinct()
     before = F.lag("day").over(Window.partitionBy("person", "dish").orderBy("day"))
     return daily.select("person", "day", "dish", F.coalesce(F.col("day") - before <= days, F.lit(False)).alias("repeated"))
+
+
+#: How far a day is in its band, and how many swaps of one item are tried.
+BAND, CHAIN = 0.10, 3
+
+
+def swap_sweep(dishes: DataFrame, plan: DataFrame, goals: DataFrame, chain: int = CHAIN, tune: bool = False) -> DataFrame:
+    """One row on the swaps that plans (person, meal, dish, serving) are offered, place by place, up to chain each: swaps, in_band (share whose four main figures are within BAND), median and p90 (the value at nine tenths) of the new loss over the old one, variety (mean different dishes of a place), short (places with fewer than chain).
+
+    With tune the other servings may have moved too; those days are judged by their loss only, not by in_band.
+    """
+    made = items(plan, dishes, "person")
+    offered = None
+    for meal in range(len(MEALS)):
+        got = swaps(dishes, plan, goals, meal, tune).where(F.col("rank") <= chain).withColumn("meal", F.lit(meal))
+        offered = got if offered is None else offered.unionByName(got)
+    sums = made.groupBy("person").agg(*[F.sum(n).alias(n) for n in m.NUTRIENTS])
+    wanted = goals.select("person", *[F.col(g).alias(f"target_{g}") for g in GOALS])
+    old = sums.join(wanted, "person").select("person", *[F.col(n).alias(f"t_{n}") for n in m.NUTRIENTS], *[f"target_{g}" for g in GOALS], _loss().alias("before"))
+    gone = made.select("person", "meal", *[F.col(n).alias(f"o_{n}") for n in m.NUTRIENTS])
+    new = portions(dishes).select("dish", "serving", *[F.col(n).alias(f"n_{n}") for n in m.NUTRIENTS])
+    met = offered.join(old, "person").join(gone, ["person", "meal"]).join(new, ["dish", "serving"])
+    near = None
+    for g in GOALS[:4]:
+        ok = F.when(F.col(f"target_{g}") > 0, F.abs((F.col(f"t_{g}") - F.col(f"o_{g}") + F.col(f"n_{g}")) / F.col(f"target_{g}") - 1) <= BAND).otherwise(True)
+        near = ok if near is None else near & ok
+    shared_checkpoints(plan.sparkSession)
+    each = met.select("person", "meal", "dish", near.alias("near"), (F.col("loss") / F.greatest("before", F.lit(1e-9))).alias("growth")).checkpoint()  # seen four times below
+    places = plan.select("person", "meal").join(each.groupBy("person", "meal").agg(F.count_distinct("dish").alias("n")), ["person", "meal"], "left")
+    short = places.agg(F.avg("n").alias("variety"), F.count_if(F.coalesce("n", F.lit(0)) < chain).alias("short"))
+    whole = each.agg(F.count("*").alias("swaps"), F.avg(F.col("near").cast("int")).alias("in_band"), F.percentile("growth", F.lit(0.5)).alias("median"))
+    ninth = m.numbered(each.select("growth"), "growth", "at").join(F.broadcast(whole.select(F.floor(F.col("swaps") * 0.9).alias("at"))), "at").agg(F.max("growth").alias("p90"))  # one row
+    return whole.crossJoin(ninth).crossJoin(short).select("swaps", "in_band", "median", "p90", "variety", "short")  # three rows of one
+
+
+def replayed(dishes: DataFrame, log: DataFrame, **how) -> DataFrame:
+    """person, same of a log of days shown (person, GOALS, seed, shown: dishes in order of meals; if it holds them sodium, budget, shares, avoid, liked): whether planning again gives the same dishes. Same means that the catalogue and the search are still those that made the day."""
+    again = day_plans(dishes, log.drop("shown"), **how).groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("meal", "dish"))), lambda x: x["dish"]).alias("now"))  # seven dishes each
+    return log.select("person", "shown").join(again, "person", "left").select("person", F.coalesce(F.col("now") == F.col("shown"), F.lit(False)).alias("same"))

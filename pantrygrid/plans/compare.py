@@ -177,7 +177,7 @@ def mean_interval(spark, d):
 
 def latency_grid(spark, d):
     """Medians of every event type for every day of the week; 0 where there is none."""
-    e = table(spark, d, "events").where("user_id % 50 = 0").select((F.dayofmonth("ts") % 7).alias("day"), "event_type", "value")
+    e = table(spark, d, "events").select((F.dayofmonth("ts") % 7).alias("day"), "event_type", "value")
     grid = e.select("day").distinct().join(table(spark, d, "events").select("event_type").distinct(), how="cross")  # seven days, few types
     med = e.groupBy("day", "event_type").agg(F.percentile("value", F.lit(0.5)).alias("median"))
     return grid.join(med, ["day", "event_type"], "left").select("day", "event_type", F.round(F.coalesce("median", F.lit(0.0)), 6).alias("median"))
@@ -227,9 +227,9 @@ def eaten_grams(spark, d):
     """Lines as eaten items, by a table of portions for two of three parts."""
     key = F.col("l_partkey")
     pick = lambda values, c: F.array(*map(F.lit, values))[(c % len(values)).cast("int")]
-    items = table(spark, d, "lineitem").where("l_linenumber <= 4").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item"), key.alias("dish"), F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).alias("grams"), F.when(F.col("l_linenumber") == 2, F.col("l_quantity") * 10).alias("ml"),
-        F.when(F.col("l_linenumber") == 3, F.col("l_quantity")).alias("count"), pick(["bar", "slice", None], F.col("l_orderkey")).alias("unit"), (F.col("l_linenumber") == 4).alias("unspecified"), F.lit(90.0).alias("portion_g"),
+    items = table(spark, d, "lineitem").withColumn("kind", F.col("l_linenumber") % 4).select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item"), key.alias("dish"), F.when(F.col("kind") == 1, F.col("l_quantity")).alias("grams"), F.when(F.col("kind") == 2, F.col("l_quantity") * 10).alias("ml"),
+        F.when(F.col("kind") == 3, F.col("l_quantity")).alias("count"), pick(["bar", "slice", None], F.col("l_orderkey")).alias("unit"), (F.col("kind") == 0).alias("unspecified"), F.lit(90.0).alias("portion_g"),
     )
     parts = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("dish"))
     rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(x).alias("description"), F.lit(g).alias("grams")) for i, (x, g) in enumerate([("Guideline 1 bar", 1.0), ("1 bar", 40.0), ("1 fl oz, with ice", 10.0), ("1 fl oz", 59.14), ("1 slice, thin", 25.0), ("1 cup", 240.0), ("Quantity not specified", 70.0)])])
@@ -315,7 +315,7 @@ SQL = {
     "text_budget": f"WITH p AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), x AS (SELECT *, avg(n) OVER () AS mean FROM p) SELECT label, CAST(greatest(1, round_even({_D(4500)} / (300 + label * 150), 0)) AS INTEGER) AS k, round(abs(n - mean) / mean, 6) AS drift, abs(n - mean) / mean > {_D(0.15)} AS warn FROM x",
     "accept_rule": f"WITH x AS (SELECT event_type, avg(value) - 50 AS gain, {_D(0.5)} * stddev_samp(value) / sqrt(count(value)) AS h FROM events GROUP BY 1) SELECT event_type, round(gain - h, 6) AS low, gain - h > 0 AND gain > CAST(0.5 AS DOUBLE) AS taken, CASE WHEN gain - h > 0 OR gain + h < 0 THEN 'significant' ELSE 'within noise' END AS verdict FROM x",
     "mean_interval": "WITH g AS (SELECT source, doc_id % 20 = 0 AS k, count(quality) AS n, avg(quality) AS m, stddev_samp(quality) AS s FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT source, n, round(m, 6) AS mean, " + ", ".join(f"CASE WHEN n > 1 THEN round(least(greatest(m {op} {_D(z)} * s / sqrt(n), 0), 1), 6) END AS {side}_{level}" for z, level in ((1.96, 95), (2.576, 99)) for side, op in (("low", "-"), ("high", "+"))) + " FROM g",
-    "latency_grid": "WITH e AS (SELECT day(ts) % 7 AS day, event_type, value FROM events WHERE user_id % 50 = 0), g AS (SELECT * FROM (SELECT DISTINCT day FROM e), (SELECT DISTINCT event_type FROM events)) SELECT CAST(g.day AS INTEGER) AS day, g.event_type, round(coalesce(median(value), 0), 6) AS median FROM g LEFT JOIN e ON e.day = g.day AND e.event_type = g.event_type GROUP BY 1, 2",
+    "latency_grid": "WITH e AS (SELECT day(ts) % 7 AS day, event_type, value FROM events ), g AS (SELECT * FROM (SELECT DISTINCT day FROM e), (SELECT DISTINCT event_type FROM events)) SELECT CAST(g.day AS INTEGER) AS day, g.event_type, round(coalesce(median(value), 0), 6) AS median FROM g LEFT JOIN e ON e.day = g.day AND e.event_type = g.event_type GROUP BY 1, 2",
     "menu_averages": f"WITH c AS ({menus.SQL['day_plan_checks']}), k AS (SELECT l_orderkey AS plan, sum(l_quantity * 20) AS kcal FROM lineitem GROUP BY 1) SELECT o_orderstatus, round(avg(kcal), 6) AS kcal, " + ", ".join(f"count(*) FILTER (WHERE NOT {c}) AS failed_{c}" for c in [f"{n}_in_range" for n in m.TOLERANCES] + ["fiber_sufficient", "sodium_within_limit", "no_duplicates", "portions_sane"]) + " FROM c JOIN k USING (plan) JOIN orders ON o_orderkey = plan GROUP BY 1",
     "judged_pairs": f"{_TOPS}, p AS (SELECT query_id, vec_id AS doc_id FROM a WHERE rank <= 10 UNION SELECT query_id, vec_id FROM b WHERE rank <= 10 UNION SELECT vec_id, CAST(label AS BIGINT) FROM v WHERE vec_id % 20 = 0) SELECT query_id, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM p GROUP BY 1",
     "ordered_unique": "SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: lower(x)) AS w FROM conversations)",
@@ -323,8 +323,8 @@ SQL = {
     "food_candidates": f"""WITH {rules._P}, n AS (SELECT dish, lower(CASE WHEN dish % 90 = 5 THEN 'Bread, NFS' ELSE name END) AS name FROM d), w AS (SELECT dish, name, list_transform(list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda x: x <> ''), lambda x: regexp_replace(x, '(es|s)$', '')) AS ws FROM n),
         q AS (SELECT * FROM (VALUES (1, 'goat', ['goat']), (2, 'cookies', ['cooki']), (3, 'beef', ['beef']), (4, 'bread', ['bread']), (5, 'cheese goat', ['cheese', 'goat']), (6, 'tea', ['tea'])) x(item, query, asked)),
         m AS (SELECT item, dish, row_number() OVER (PARTITION BY item ORDER BY name = query || ', nfs' DESC, ws[1] = asked[1] DESC, length(name), dish) AS rank FROM q JOIN w ON list_has_all(ws, asked)) SELECT CAST(item AS INTEGER) AS item, CAST(rank AS INTEGER) AS rank, dish FROM m WHERE rank <= 12""",
-    "eaten_grams": f"""SELECT l_orderkey * 8 + l_linenumber AS item, round(CASE WHEN l_linenumber = 4 THEN CASE WHEN l_partkey % 3 <> 0 THEN 70 ELSE 90 END WHEN l_linenumber = 2 THEN l_quantity * 10 * CASE WHEN l_partkey % 3 <> 0 THEN {_D(59.14)} / {_D(29.57)} ELSE 1 END WHEN l_linenumber = 1 THEN l_quantity
-        ELSE CASE WHEN l_quantity <= 10 THEN l_quantity ELSE 1 END * CASE WHEN l_partkey % 3 = 0 THEN 90 WHEN l_orderkey % 3 = 0 THEN 40 WHEN l_orderkey % 3 = 1 THEN 25 ELSE 25 END END, 6) AS grams FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 4""",
+    "eaten_grams": f"""SELECT l_orderkey * 8 + l_linenumber AS item, round(CASE WHEN l_linenumber % 4 = 0 THEN CASE WHEN l_partkey % 3 <> 0 THEN 70 ELSE 90 END WHEN l_linenumber % 4 = 2 THEN l_quantity * 10 * CASE WHEN l_partkey % 3 <> 0 THEN {_D(59.14)} / {_D(29.57)} ELSE 1 END WHEN l_linenumber % 4 = 1 THEN l_quantity
+        ELSE CASE WHEN l_quantity <= 10 THEN l_quantity ELSE 1 END * CASE WHEN l_partkey % 3 = 0 THEN 90 WHEN l_orderkey % 3 = 0 THEN 40 WHEN l_orderkey % 3 = 1 THEN 25 ELSE 25 END END, 6) AS grams FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "budget_from_text": f"SELECT conv_id, turn, [{_D(666.67)}, 700, NULL, 500, NULL, {_D(1200.5)}][1 + (conv_id + turn) % 6] AS budget FROM conversations",
     "amounts_from_text": "SELECT conv_id, turn, ['3300ml,5000ml', '15000g', '15000ml', '3000ml', '', '1000g,5000ml'][1 + (conv_id + turn) % 6] AS amounts FROM conversations",
     "department_order": f"WITH x AS ({rules.SQL['departments']}) SELECT department, count(*) AS n, CAST(list_position([{', '.join(rules.quoted(n) for n in [a for a, _ in t.DEPARTMENTS] + [t.OTHER_DEPARTMENT])}], department) - 1 AS INTEGER) AS place FROM x GROUP BY 1",

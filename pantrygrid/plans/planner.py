@@ -40,6 +40,13 @@ def swap_rank(spark, d):
     return got.select("person", "rank", "dish", "serving", F.round("loss", 6).alias("loss"))
 
 
+def swap_quality(spark, d):
+    """Swaps of all places of the greedy days."""
+    dishes, people = _dishes(spark, d), _people(spark, d)
+    got = p.swap_sweep(dishes, p.greedy(dishes, people).select("person", "meal", "dish", "serving"), people)
+    return got.select("swaps", F.round("in_band", 6).alias("in_band"), F.round("median", 5).alias("median"), F.round("p90", 5).alias("p90"), F.round("variety", 6).alias("variety"), "short")
+
+
 def menu_variety_window(spark, d):
     """Orders of a customer are days, in order."""
     day = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
@@ -85,7 +92,7 @@ def solver_measure(spark, d):
     return rank.agg(F.count("*").alias("days"), F.count_if(F.col("failed") > 0).alias("failed"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("worst_gap"))
 
 
-QUERIES = [greedy_fill, swap_rank, menu_variety_window, residual_targets, day_plan_solver, day_plan_on_budget, menu_solver, rest_of_day, solver_measure]
+QUERIES = [greedy_fill, swap_rank, swap_quality, menu_variety_window, residual_targets, day_plan_solver, day_plan_on_budget, menu_solver, rest_of_day, solver_measure]
 _D = lambda e: e.replace("/ 256", "/ CAST(256 AS DOUBLE)").replace("/ 4", "/ CAST(4 AS DOUBLE)")
 _DISHES = f"""ds AS (SELECT p_partkey AS dish, [{', '.join(repr(r) for r in _ROLES)}][1 + p_partkey % 5] AS role, {', '.join(f'CAST({_D(e)} AS DOUBLE) AS {n}' for n, e in _DISH.items())} FROM part),
     pe AS (SELECT s_suppkey AS person, {', '.join(f'CAST(1600 + s_suppkey % 13 * 100 AS DOUBLE) * CAST({_D(e)} AS DOUBLE) AS {g}' for g, e in _GOAL.items())} FROM supplier),
@@ -98,7 +105,26 @@ _LOSS = " + ".join(
     + ["3 * greatest(x.sodium_mg - 2300, 0) / CAST(2300 AS DOUBLE)", "3 * greatest(x.sugar_g * 4 / greatest(x.kcal, 1) - CAST(0.1 AS DOUBLE), 0)"]
 )
 _PASS = " AND ".join([f"x.{n} / t.{n} - 1 BETWEEN CAST({a} AS DOUBLE) AND CAST({b} AS DOUBLE)" for n, (a, b) in m.TOLERANCES.items()] + ["x.fiber_g >= t.fiber_g * CAST(0.6 AS DOUBLE)", "x.sodium_mg <= 2300", "x.least >= 30", "x.most <= 600", "x.single"])
+
+
+def _swaps_of(meal: int) -> str:
+    """The first swaps of one place, with the figures of the new day."""
+    _, role, share = p.MEALS[meal]
+    return f"""re{meal} AS (SELECT person, {', '.join(f'sum(CASE WHEN meal <> {meal} THEN {n} ELSE 0 END) AS {n}' for n in _N)}, list(dish) AS taken, min(grams) FILTER (WHERE meal <> {meal}) AS low, max(grams) FILTER (WHERE meal <> {meal}) AS high, count(DISTINCT dish) FILTER (WHERE meal <> {meal}) = count(*) - 1 AS single FROM it GROUP BY 1),
+        x{meal} AS (SELECT r.person, po.dish, po.serving, {', '.join(f'r.{n} + po.{n} AS {n}' for n in _N)}, least(low, grams) AS least, greatest(high, grams) AS most, single FROM re{meal} r JOIN pe USING (person) JOIN po ON po.role = '{role}' AND NOT list_contains(taken, po.dish) AND po.kcal <= pe.kcal * CAST({share} AS DOUBLE) * CAST(2.5 AS DOUBLE)),
+        l{meal} AS (SELECT x.person, dish, serving, {_LOSS} AS loss, {' AND '.join(f'abs(x.{g} / t.{g} - 1) <= CAST(0.1 AS DOUBLE)' for g in p.GOALS[:4])} AS near FROM x{meal} x JOIN pe t ON x.person = t.person WHERE {_PASS}),
+        u{meal} AS (SELECT *, min(loss) OVER (PARTITION BY person) AS best FROM (SELECT *, row_number() OVER (PARTITION BY person, dish ORDER BY loss, serving) AS k FROM l{meal}) WHERE k = 1),
+        r{meal} AS (SELECT {meal} AS meal, * FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY round(loss, 9), dish) AS rank FROM u{meal} WHERE loss <= best * CAST(1.2 AS DOUBLE)) WHERE rank <= 3)"""
+
+
 SQL = {
+    "swap_quality": f"""WITH {_DISHES}, it AS (SELECT gr.person, gr.meal, po.* FROM gr JOIN po USING (dish, serving)), {', '.join(_swaps_of(k) for k in range(7))},
+        x AS (SELECT person, {', '.join(f'sum({n}) AS {n}' for n in _N)} FROM it GROUP BY 1), b AS (SELECT x.person, {_LOSS} AS before FROM x JOIN pe t ON x.person = t.person),
+        e AS (SELECT r.*, loss / greatest(before, CAST(1e-9 AS DOUBLE)) AS growth FROM ({' UNION ALL '.join(f'SELECT * FROM r{k}' for k in range(7))}) r JOIN b USING (person)),
+        n AS (SELECT gr.person, gr.meal, count(DISTINCT e.dish) AS n FROM gr LEFT JOIN e ON gr.person = e.person AND gr.meal = e.meal GROUP BY 1, 2),
+        o AS (SELECT growth, row_number() OVER (ORDER BY growth) - 1 AS place FROM e), w AS (SELECT count(*) AS swaps, avg(CASE WHEN near THEN 1 ELSE 0 END) AS in_band, median(growth) AS m FROM e)
+        SELECT swaps, round(in_band, 6) AS in_band, round(m, 5) AS median, (SELECT round(growth, 5) FROM o WHERE place = CAST(floor(swaps * CAST(0.9 AS DOUBLE)) AS BIGINT)) AS p90,
+               (SELECT round(avg(n), 6) FROM n WHERE n > 0) AS variety, (SELECT count(*) FROM n WHERE n < 3) AS short FROM w""",
     "greedy_fill": f"WITH {_DISHES} SELECT person, meal, dish, serving, kcal FROM gr",
     "swap_rank": f"""WITH {_DISHES}, it AS (SELECT gr.person, gr.meal, po.* FROM gr JOIN po USING (dish, serving)),
         re AS (SELECT person, {', '.join(f'sum({n}) FILTER (WHERE meal <> 4) AS {n}' for n in _N)}, list(dish) AS taken, min(grams) FILTER (WHERE meal <> 4) AS low, max(grams) FILTER (WHERE meal <> 4) AS high, count(DISTINCT dish) FILTER (WHERE meal <> 4) = count(*) - 1 AS single FROM it GROUP BY 1),

@@ -112,3 +112,12 @@ def test_swaps_leave_all_checks_passed(spark, tables):
     changed = plan.join(plain, "person").select("person", "meal", F.when(F.col("meal") == 1, F.col("d")).otherwise(F.col("dish")).alias("dish"), F.when(F.col("meal") == 1, F.col("s")).otherwise(F.col("serving")).alias("serving"))
     rank = p.judged(changed, dishes, people.withColumn("sodium", F.lit(m.SODIUM)), "person").collect()
     assert all(r["failed"] == 0 for r in rank)
+
+
+def test_a_log_of_days_is_planned_again(spark, tables):
+    dishes, people = tables
+    asks = people.withColumn("seed", F.col("person") * 3)
+    shown = p.day_plans(dishes, asks, retries=0).groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("meal", "dish"))), lambda x: x["dish"]).alias("shown"))
+    log = asks.join(shown, "person").withColumn("shown", F.when(F.col("person") == 2, F.reverse("shown")).otherwise(F.col("shown")))
+    assert {r["person"]: r["same"] for r in p.replayed(dishes, log, retries=0).collect()} == {r["person"]: r["person"] != 2 for r in people.collect()}
+    assert not p.replayed(dishes.where("role <> 'snack' or dish > 100"), log.where("person = 1"), retries=0).first()["same"]
