@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pantrygrid.functions import automaton as au
 from pantrygrid.functions import prices as pr
 from pantrygrid.functions import restrictions as rs
 from pantrygrid.functions import rules as ru
@@ -119,6 +120,11 @@ def price_rule_leftmost(spark, d):
     return dishes(spark, d).select("dish", pr.price_class_of(F.col("name"), F.col("section"), PRICES, FIRST).alias("price_class"))
 
 
+def price_rule_automaton(spark, d):
+    """The same classes by one pass over each name."""
+    return dishes(spark, d).select("dish", au.price_class(F.col("name"), F.col("section"), PRICES, FIRST).alias("price_class"))
+
+
 def cost_by_yield(spark, d):
     of = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     got = dishes(spark, d).withColumn("class", pr.price_class_of(F.col("name"), F.col("section"), PRICES, FIRST))
@@ -142,7 +148,7 @@ def translation_fixes(spark, d):
     return dishes(spark, d).select("dish", got.alias("name"), ru.has_cyrillic(F.when(F.col("dish") % 3 == 0, "Хлеб").otherwise(got)).alias("undone"))
 
 
-QUERIES = [role_classify, role_by_protein, per_portion_columns, mainstream_flag, food_search, departments, requested_days, refusal_markers, injection_guard, model_json, restricted_dishes, preferred_ids, candidate_filter, exclude_by_ingredient_anti, price_rule_leftmost, cost_by_yield, reader_text, translation_fixes]
+QUERIES = [role_classify, role_by_protein, per_portion_columns, mainstream_flag, food_search, departments, requested_days, refusal_markers, injection_guard, model_json, restricted_dishes, preferred_ids, candidate_filter, exclude_by_ingredient_anti, price_rule_leftmost, price_rule_automaton, cost_by_yield, reader_text, translation_fixes]
 
 
 def quoted(text: str) -> str:
@@ -198,6 +204,7 @@ SQL = {
         SELECT dish FROM l WHERE size * 10 BETWEEN 30 AND 600 AND dish % 4 <> 0 AND (dish % 7 = 0 OR dish % 5 <> 0) AND (dish % 11 = 0 OR dish % 13 <> 0) AND NOT ({_NOT_OFFERED}) AND NOT ({_sql_hits('pork')}) AND NOT ({_sql_hits('dairy')}) AND dish NOT IN (SELECT dish FROM bad)""",
     "exclude_by_ingredient_anti": f"WITH {_P}, {_LOW} SELECT o_orderkey AS dish FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN l ON l_partkey = l.dish WHERE {_sql_hits('nuts')} AND l.dish % 8 = 0)",
     "price_rule_leftmost": f"WITH {_P}, {_LOW}, {_PRICED} SELECT dish, class AS price_class FROM c",
+    "price_rule_automaton": f"WITH {_P}, {_LOW}, {_PRICED} SELECT dish, class AS price_class FROM c",
     "cost_by_yield": f"WITH {_P}, {_LOW}, {_PRICED} SELECT dish, round(size * 10 / CASE WHEN contains(n, 'raw') OR class IS NULL THEN 1 ELSE CAST(CASE class {' '.join(f'WHEN {quoted(c)} THEN {v}' for c, v in COOKED.items())} ELSE 1 END AS DOUBLE) END / 1000 * CAST(CASE class {' '.join(f'WHEN {quoted(c)} THEN {v}' for c, v in PER_KG.items())} END AS DOUBLE), 6) AS cost FROM c",
     "translation_fixes": f"WITH {_P}, x AS (SELECT dish, CASE WHEN starts_with(lower(name), 'goat') THEN replace(f, 'baked', 'roasted') ELSE f END AS name FROM (SELECT *, replace(replace(name, 'Bread', 'Loaf'), 'Loaf, g', 'Bread, g') AS f FROM d)) SELECT dish, name, dish % 3 = 0 AS undone FROM x",
 }
