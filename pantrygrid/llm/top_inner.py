@@ -3,16 +3,17 @@
 Vectors have integer components. Candidates lie in blocks by descending length. A rotation from the singular vectors of
 all candidates puts most of a vector's length into its first coordinates, so a partial product over those, plus the
 product of the two residual lengths, is a tight upper bound (Cauchy-Schwarz). A candidate is scored in full, in
-integers, only where that bound reaches the k-th best score so far. First every query meets the block of the longest
-vectors; its k-th best score there is its floor. Then blocks of the stated queries meet the other blocks of candidates:
-pairs of blocks in which no product of lengths reaches a floor are never formed, and all other work starts from the
-floors. A task keeps one running list of k for each query and hands on only that.
+integers, only where that bound reaches the k-th best score so far. First every query meets one block of the longest
+vectors; its k-th best score there is its floor. Then blocks of the stated queries meet the other blocks of candidates,
+which are dealt by hash: pairs of blocks in which no product of lengths reaches a floor are never formed, and all other
+work starts from the floors. A task keeps one running list of k for each query and hands on only that.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from pantrygrid.llm import shared
 
 #: Rows of a block of candidates and of queries, candidates looked at in one go, coordinates of the partial sums.
 CANDIDATES, QUERIES, STRIDE, PARTIAL = 8192, 256, 1024, (16, 32)
-_BLOCK = "longest double, ids binary, vectors binary"
+#: Parts that blocks of candidates are dealt to; blocks of queries go to each.
+DEALT = 16
+_BLOCK = "block long, longest double, ids binary, vectors binary"
 #: Largest size of a component that is held in 32 bits, and of an inner product that doubles add up exactly.
 NARROW, EXACT = 1 << 31, 1 << 53
 
@@ -63,14 +66,14 @@ def _gram(vectors: DataFrame, n: int) -> np.ndarray:
 
 
 def _packed(vectors: DataFrame, n: int, rows: int, kind=np.int32) -> DataFrame:
-    """Rows (id, v, length), in the order that they have, as blocks of at most so many; components as kind."""
-    schema = pa.schema([("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
+    """Rows (id, v, length), in the order that they have, as numbered blocks of at most so many; components as kind."""
+    schema = pa.schema([("block", pa.int64()), ("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
     def run(batches):
-        ids, vecs, have = [], [], 0
+        ids, vecs, have, made = [], [], 0, TaskContext.get().partitionId() << 32
         def block():
             i, m = np.concatenate(ids), np.concatenate(vecs)
-            return shared.packed([(float(np.sqrt((m.astype(float) ** 2).sum(1)).max()), i.tobytes(), m.astype(kind).tobytes())], schema)
+            return shared.packed([(made, float(np.sqrt((m.astype(float) ** 2).sum(1)).max()), i.tobytes(), m.astype(kind).tobytes())], schema)
         for b in batches:
             i, m = np.asarray(b.column(0), np.int64), _matrix(b, 1, n)
             while len(i):
@@ -81,7 +84,7 @@ def _packed(vectors: DataFrame, n: int, rows: int, kind=np.int32) -> DataFrame:
                 i, m = i[take:], m[take:]
                 if have == rows:
                     yield block()
-                    ids, vecs, have = [], [], 0
+                    ids, vecs, have, made = [], [], 0, made + 1
         if have:
             yield block()
 
@@ -195,15 +198,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: int = 6
             yield shared.packed(rows, pa.schema([("q_longest", pa.float64()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("floors", pa.binary()), ("least", pa.float64())]))
 
     shared.small_batches(queries.sparkSession)
-    top = blocks.agg(F.max("longest").alias("longest"))
-    longest = blocks.join(F.broadcast(top), "longest").select("ids", "vectors")  # one block, or those that tie
+    top = F.broadcast(blocks.agg(F.max(F.struct("longest", "block")).alias("t")).select("t.block"))  # one row
+    longest = blocks.join(top, "block").select("ids", "vectors")  # one block
     first = shared.written(heads.withColumn("floors", F.lit(None).cast("binary")).crossJoin(longest).select("q_ids", "q_vectors", "floors", "ids", "vectors").mapInArrow(run, found_fields))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     kth = first.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     members = heads.select("q_ids").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q, np.int64)), pa.array([q] * (len(q) // 8), pa.binary())], names=["query_id", "q_ids"]) for b in bs for q in b.column(0).to_pylist()), "query_id long, q_ids binary")
     by_block = members.join(kth, "query_id").groupBy("q_ids").agg(F.collect_list(F.struct("query_id", "floor")).alias("have"))  # QUERIES of a block at most
     floored = shared.written(heads.join(by_block, "q_ids", "left").select("q_longest", "q_ids", "q_vectors", "have").mapInArrow(floors_of, "q_longest double, q_ids binary, q_vectors binary, floors binary, least double"))
-    others = blocks.join(F.broadcast(top.withColumnRenamed("longest", "most")), F.col("longest") < F.col("most")).select("longest", "ids", "vectors")
-    pairs = floored.join(others, F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least"))  # blocks of the stated queries with blocks of all candidates
+    part = F.pmod(F.xxhash64("block"), F.lit(DEALT)).cast("int")
+    others = blocks.join(top, "block", "left_anti").select(part.alias("part"), "longest", "ids", "vectors")
+    asked_blocks = floored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    reached = F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least")
+    pairs = asked_blocks.join(others, "part").where(reached)  # blocks of the stated queries with blocks of all candidates
     found = first.unionByName(pairs.select("q_ids", "q_vectors", "floors", "ids", "vectors").mapInArrow(run, found_fields))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

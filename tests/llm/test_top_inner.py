@@ -55,3 +55,20 @@ def test_numbers_beyond_32_bits_and_beyond_doubles(spark):
 def test_products_beyond_64_bits_raise(spark):
     with pytest.raises(Exception, match="[Oo]verflow|too large"):
         got(spark, [(1, [2.0**50])], [(2, [2.0**50])])
+
+
+def test_equal_lengths_form_one_block_first(spark, monkeypatch):
+    """All blocks tie; the first pass still meets one of them, and the result is whole."""
+    monkeypatch.setattr(top_inner, "CANDIDATES", 16)
+    rows = [(k, [float((k >> b & 1) * 2 - 1) for b in range(7)]) for k in range(128)]
+    kept, met = top_inner.shared.written, []
+
+    def counted(df):
+        out = kept(df)
+        if out.columns == ["query_id", "vec_id", "score"]:
+            met.append(out.select("vec_id").distinct().count())
+        return out
+
+    monkeypatch.setattr(top_inner.shared, "written", counted)
+    assert got(spark, rows[::10], rows) == plain(whole(rows[::10]), whole(rows), 5)
+    assert met and met[0] <= 2 * 16
