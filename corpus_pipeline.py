@@ -15,8 +15,8 @@ from pantrygrid.llm import exact_dedup, mixing, ngram_join, quality, shared, tok
 from pantrygrid.llm.queries import MIX, labelled_domains
 
 
-#: The column of row numbers inside a dedup stage.
-ROW = "_corpus_row"
+#: The columns of row numbers, files and their numbers inside a dedup stage; most files whose numbers are sent to all tasks.
+ROW, FILE, NUMBER, FILES = "_corpus_row", "_corpus_file", "_corpus_number", 1_000_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -27,10 +27,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         docs = shared.written(docs)
         placed = docs.withColumn(ROW, F.expr(place))
-    files = placed.select(F.col(f"{ROW}.file").alias("_file")).distinct()
-    files = shared.written(files.withColumn("_no", F.row_number().over(Window.orderBy("_file")).cast("long")))  # one row a file
-    met = placed.join(F.broadcast(files), placed[f"{ROW}.file"] == files["_file"])
-    return met.withColumn(ROW, F.shiftleft("_no", 40) + F.col(f"{ROW}.at")).drop("_file", "_no")
+    files = placed.select(F.col(f"{ROW}.file").alias(FILE)).distinct()
+    files = shared.written(files.withColumn(NUMBER, F.row_number().over(Window.orderBy(FILE)).cast("long")))  # one row a file
+    met = placed.join(F.broadcast(files) if files.count() <= FILES else files, placed[f"{ROW}.file"] == files[FILE])
+    return met.withColumn(ROW, F.shiftleft(NUMBER, 40) + F.col(f"{ROW}.at")).drop(FILE, NUMBER)
 
 
 def _one_of_each(docs: DataFrame, grouped, best) -> DataFrame:

@@ -96,3 +96,13 @@ def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_of_other_names_stay(spark, docs, tmp_path):
+    named = docs.selectExpr("*", "1 AS _file", "2 AS _no", "3 AS file", "4 AS id", "'x' AS `group`", "5 AS keep_id")
+    named.write.parquet(str(tmp_path / "named"))
+    for source in (named, spark.read.parquet(str(tmp_path / "named"))):
+        got = corpus_pipeline.drop_exact_copies(spark, source, "")
+        assert got.columns == named.columns and got.count() == corpus_pipeline.drop_exact_copies(spark, docs, "").count()
+    near = corpus_pipeline.drop_near_copies(spark, named, "")
+    assert near.columns == named.columns and near.count() == corpus_pipeline.drop_near_copies(spark, docs, "").count()
