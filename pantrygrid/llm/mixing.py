@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     known = labelled.where(F.col(domain_col).isin(*domains) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(domain_col).alias("domain"))
     few = features.bounded_sample(known, "id", SAMPLE_ROWS)
     y = F.array(*[(F.col("domain") == d).cast("double") for d in domains])
-    sample = shared.texts(docs, id_col, text_col).join(F.broadcast(few), "id").dropDuplicates(["id"])  # SAMPLE_ROWS rows, but for the spread of the hash
+    sample = shared.texts(docs, id_col, text_col).join(F.broadcast(few), "id").groupBy("id", "domain").agg(F.min("text").alias("text"))  # SAMPLE_ROWS rows, but for the spread of the hash
     x, target, which = features.sample_features(sample.select("text", y.alias("y")))
     target = target.reshape(-1, len(domains))
     prior = (target.sum(axis=0) + 1) / (len(target) + len(domains))
@@ -193,7 +193,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     copies is the rate rounded down, plus one with the chance of its fraction, drawn from a hash of the id. Null texts
     are empty: no tokens, the domains' shares among the labelled rows as posteriors. A null id stays null (its draw is
     that of -1); repeated rows each give a row. An empty table gives an empty result; without labelled rows every
-    document has equal posteriors. An id with several labels has the first in alphabetical order; labels outside the
+    document has equal posteriors. An id with several labels has the first in alphabetical order, and one with several texts is learnt by the
+    least of them; labels outside the
     targets, and null ones, are not used. Other columns are not read.
     """
     mixer, narrow = fit(docs, labelled, targets, id_col, text_col, domain_col, **how)

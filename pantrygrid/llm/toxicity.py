@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = marked.withColumn("role", role).where(draw < share[F.col("role")])
     few = F.broadcast(chosen.limit(2 * sum(bound.values())))  # about the sum of the three bounds, and never over twice that
-    got = shared.texts(docs, id_col, text_col).where(F.length("text") > 0).join(few, "id").dropDuplicates(["id"])
+    got = shared.texts(docs, id_col, text_col).where(F.length("text") > 0).join(few, "id").groupBy("id", "y", "role").agg(F.min("text").alias("text"))
     cut = F.pandas_udf(lambda s: s.map(lambda t: pieces(lowered(t))), "array<binary>")
     rows = got.where("role <> 'calibration'").select("id", "role", cut("text").alias("pieces")).orderBy("id").toArrow()
     rows = list(zip(rows["role"].to_pylist(), rows["pieces"].to_pylist()))
@@ -180,7 +180,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row for every row of docs: id_col, held_out, score (0 to 1), predicted (1 from threshold on).
 
     Only the text enters a score. Null texts are empty; an empty text has the score of a text without any difference. A
-    null id stays null; repeated rows each give a row; labels that contradict each other for one id count as toxic;
+    null id stays null; repeated rows each give a row, and of texts that share an id the model learns from the least;
+    labels that contradict each other for one id count as toxic;
     null labels are no labels. Without labels of both classes every score is low and the same. An empty table gives an
     empty result; other columns of either table are not read.
     """

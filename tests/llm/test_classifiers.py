@@ -84,3 +84,13 @@ def test_samples_are_bounded_whatever_the_keys(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), "id")
     assert 0 < features.bounded_sample(df, "k", 100).count() <= 200
     assert 50 < features.bounded_sample(df, "id", 100).count() <= 200
+
+
+def test_ids_with_several_texts_are_learnt_by_the_least(spark):
+    say = ["you awful rotten fool go away", "the harbour was quiet and the boats came home"]
+    rows = [(k, f"{say[k % 2]} {k} {v}") for k in range(80) for v in ("b", "a", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(80)], "doc_id long, toxic int")
+    least = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    models = [toxicity.fit(d, labels) for d in (docs, docs.repartition(5, "text"), least)]
+    assert models[0] == models[1] == models[2]
