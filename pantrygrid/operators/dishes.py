@@ -131,3 +131,12 @@ def candidates(dishes: DataFrame, terms: list[str], priced: DataFrame | None, li
             raise ValueError("no dish has a price")
         out = out.join(priced, "dish", "left_semi")
     return without_items(out, lines, ingredients)
+
+
+#: Fixed value: how far the energy of a dish may be from that of what it is made of, in parts of it.
+ATWATER = 0.25
+
+
+def energy_fits(kcal: Column, protein_g: Column, fat_g: Column, carb_g: Column) -> Column:
+    """Whether the energy of a dish is about 4, 9 and 4 kcal for a gram of protein, fat and carbohydrates; null without energy."""
+    return F.abs(F.try_divide(protein_g * 4 + fat_g * 9 + carb_g * 4, kcal) - 1) <= ATWATER

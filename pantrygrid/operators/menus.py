@@ -117,3 +117,15 @@ def parents(hits: DataFrame, of: DataFrame) -> DataFrame:
     """query_id, rank, parent: the parents (child, parent) of ranked hits (query_id, rank, child), each once, in order of their first hit."""
     first = hits.join(of, "child").groupBy("query_id", "parent").agg(F.min("rank").alias("first"))
     return first.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "parent")).alias("rank"), "parent")
+
+
+#: Shares of a basket's weight with a price below which its cost is not said, and below which it is said to be partial; the step that costs are rounded to.
+SAID, WHOLE, STEP_OF_COST = 0.5, 0.95, 10
+
+
+def baskets(items: DataFrame, days: DataFrame) -> DataFrame:
+    """menu, grams, priced (share of the weight with a cost), cost and a_day (rounded to tens; null where too little is priced, a_day also for one day), partial: estimates of items (menu, grams, cost or null) for menus of days (menu, days)."""
+    sums = items.groupBy("menu").agg(F.sum("grams").alias("grams"), F.sum(F.when(F.col("cost").isNotNull(), F.col("grams"))).alias("known"), F.sum("cost").alias("paid"))
+    met = sums.join(days, "menu").withColumn("priced", F.coalesce(F.try_divide("known", "grams"), F.lit(0.0)))
+    tens = lambda c: F.when(F.col("priced") >= SAID, F.bround(c / STEP_OF_COST) * STEP_OF_COST)
+    return met.select("menu", "grams", "priced", tens(F.col("paid")).alias("cost"), F.when(F.col("days") > 1, tens(F.col("paid") / F.col("days"))).alias("a_day"), ((F.col("priced") >= SAID) & (F.col("priced") < WHOLE)).alias("partial"))

@@ -44,8 +44,10 @@ def portion_pick(spark, d):
 
 
 def catalog_quality(spark, d):
-    p = F.col("p_retailprice")
-    return table(spark, d, "part").agg(F.count("*").alias("n"), F.count_distinct("p_type").alias("types"), F.sum((p < 0).cast("int")).alias("negative"), F.round(F.percentile(p, F.lit(0.5)), 6).alias("median"), F.round(F.avg(p.between(1000, 1500).cast("int")), 6).alias("near"))
+    """With the share of dishes whose energy is that of their protein, fat and carbohydrates."""
+    p, key = F.col("p_retailprice"), F.col("p_partkey")
+    kcal = (40 + key * 53 % 560).cast("double")
+    return table(spark, d, "part").agg(F.count("*").alias("n"), F.count_distinct("p_type").alias("types"), F.sum((p < 0).cast("int")).alias("negative"), F.round(F.percentile(p, F.lit(0.5)), 6).alias("median"), F.round(F.avg(k.energy_fits(kcal, kcal * (14 + key % 8) / 256, kcal * (6 + key % 5) / 256, kcal * (15 + key % 30) / 256).cast("int")), 6).alias("near"))
 
 
 def composition_shares(spark, d):
@@ -111,7 +113,7 @@ SQL = {
     "star_assembly": "SELECT r_name, p_brand, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "nutrient_pivot": "SELECT user_id, " + ", ".join(f"arg_min(value, event_id) FILTER (WHERE event_type = '{x}') AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
     "portion_pick": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem) WHERE k = 1",
-    "catalog_quality": "SELECT count(*) AS n, count(DISTINCT p_type) AS types, CAST(sum(CASE WHEN p_retailprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, round(median(p_retailprice), 6) AS median, round(avg(CASE WHEN p_retailprice BETWEEN 1000 AND 1500 THEN 1 ELSE 0 END), 6) AS near FROM part",
+    "catalog_quality": "SELECT count(*) AS n, count(DISTINCT p_type) AS types, CAST(sum(CASE WHEN p_retailprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, round(median(p_retailprice), 6) AS median, round(avg(CASE WHEN abs((40 + p_partkey * 53 % 560) * ((14 + p_partkey % 8) * 4 + (6 + p_partkey % 5) * 9 + (15 + p_partkey % 30) * 4) / CAST(256 AS DOUBLE) / (40 + p_partkey * 53 % 560) - 1) <= CAST(0.25 AS DOUBLE) THEN 1 ELSE 0 END), 6) AS near FROM part",
     "composition_shares": f"WITH {_SHARES} SELECT dish, item, share FROM sh",
     "dish_cost": f"""WITH {_SHARES}, pr AS (SELECT p_partkey, CASE WHEN p_partkey % 8 < 4 THEN CAST(0.5 AS DOUBLE) ELSE p_retailprice END AS price FROM part WHERE p_partkey % 4 <> 0),
         c AS (SELECT dish, sum(CASE WHEN price < 1 THEN share ELSE 0 END) AS free, sum(CASE WHEN price < 1 THEN share * price ELSE 0 END) AS free_paid, sum(CASE WHEN price >= 1 THEN share ELSE 0 END) AS cover, sum(CASE WHEN price >= 1 THEN share * price ELSE 0 END) AS paid

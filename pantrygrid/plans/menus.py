@@ -139,7 +139,14 @@ def chunk_table(spark, d):
     return m.numbered(each.withColumn("key", F.struct("doc_id", "pos")), "key", "chunk_id").select("chunk_id", "doc_id", "pos", "section", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
 
 
-QUERIES = [day_plan_checks, day_plan_loss, cycled_targets, adaptive_expenditure, cleaned_text, corpus_chunks, chunk_table, document_numbers, relevance_pool, parent_expansion, nearest_servings, daily_pivot_mean, macro_average, judge_noise, wins_and_losses, breadth_buckets, priced_share, median_latency, bounded_store, sessions_by_gap]
+def basket_estimate(spark, d):
+    """Orders as menus of one to seven days; three of four parts have a cost."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("menu"), F.col("l_quantity").cast("double").alias("grams"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_quantity") * (F.col("l_partkey") % 64) / 8.0).alias("cost"))
+    days = table(spark, d, "orders").select(F.col("o_orderkey").alias("menu"), (F.col("o_orderkey") % 7 + 1).alias("days"))
+    return m.baskets(lines, days).select("menu", "grams", F.round("priced", 6).alias("priced"), "cost", "a_day", "partial")
+
+
+QUERIES = [basket_estimate, day_plan_checks, day_plan_loss, cycled_targets, adaptive_expenditure, cleaned_text, corpus_chunks, chunk_table, document_numbers, relevance_pool, parent_expansion, nearest_servings, daily_pivot_mean, macro_average, judge_noise, wins_and_losses, breadth_buckets, priced_share, median_latency, bounded_store, sessions_by_gap]
 
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 _DAY = f"""i AS (SELECT l_orderkey AS plan, l_partkey AS dish, l_quantity * 10 AS grams, {", ".join(f"{_D(e)} AS {n}" for n, e in _NUTRIENTS.items())} FROM lineitem),
@@ -151,6 +158,9 @@ _RULES = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in t.DEPA
 _WORDS = " ".join(f"WHEN regexp_matches(x, '{p}') THEN {k}" for p, k in t.SPANS)
 _POOL = f"{search._NEAR}, a AS (SELECT query_id, vec_id, {search._TOP} AS rank FROM s), b AS (SELECT query_id, vec_id, {search._TOP} AS rank FROM s WHERE ql = cl)"
 SQL = {
+    "basket_estimate": """WITH l AS (SELECT l_orderkey AS menu, CAST(l_quantity AS DOUBLE) AS grams, CASE WHEN l_partkey % 4 <> 0 THEN l_quantity * (l_partkey % 64) / CAST(8 AS DOUBLE) END AS cost FROM lineitem),
+        s AS (SELECT menu, sum(grams) AS grams, coalesce(sum(grams) FILTER (cost IS NOT NULL), 0) / sum(grams) AS priced, sum(cost) AS paid FROM l GROUP BY 1), o AS (SELECT s.*, o_orderkey % 7 + 1 AS days FROM s JOIN orders ON menu = o_orderkey)
+        SELECT menu, grams, round(priced, 6) AS priced, CASE WHEN priced >= 0.5 THEN round_even(paid / 10, 0) * 10 END AS cost, CASE WHEN days > 1 AND priced >= 0.5 THEN round_even(paid / days / 10, 0) * 10 END AS a_day, priced >= 0.5 AND priced < CAST(0.95 AS DOUBLE) AS partial FROM o""",
     "day_plan_checks": f"WITH {_DAY} SELECT plan, {_RANGES}, t_fiber_g <= 0 OR fiber_g >= t_fiber_g * {_D(0.6)} AS fiber_sufficient, sodium_mg <= 2300 AS sodium_within_limit, items = dishes AS no_duplicates, least >= 30 AND most <= 600 AS portions_sane FROM s JOIN g USING (plan)",
     "day_plan_loss": f"WITH {_DAY} SELECT plan, round({_LOSS} + 3 * greatest(sodium_mg - 2300, 0) / 2300 + 3 * greatest(sugar_g * 4 / greatest(kcal, 1) - {_D(0.1)}, 0), 6) AS loss, sodium_mg <= 2300 AS feasible FROM s JOIN g USING (plan)",
     "cycled_targets": f"""WITH {kitchen._PEOPLE}, base AS (SELECT person, [0, 1, 3, 4, 6][1 + person % 5] AS n, round_even(k, 0) AS kcal, round_even(p, 0) * 4 AS pk, round_even(f, 0) * 9 AS fk FROM g),
