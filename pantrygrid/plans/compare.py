@@ -17,7 +17,7 @@ from pantrygrid.sources import table
 
 BUDGETS = ["20 тысяч рублей в месяц на еду", "бюджет 700 рублей в день", "500 в день", "потратить 3500 ₽ в неделю", "не дороже 15 руб", "бюджет 1 200,50 руб"]
 AMOUNTS = ["выпил 330 мл колы и два стакана сока", "съел 1,5 кг мяса", "полтора литра воды", "кружку кофе", "ничего", "100 грамм творога, пол литра кефира"]
-WEIGHTS = [0.0, 0.5, 1.0]
+WEIGHTS = [0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0]
 
 
 def token_overlap_recall(spark, d):
@@ -102,14 +102,22 @@ def context_split(spark, d):
 
 
 def fusion_weight_sweep(spark, d):
-    """Weights of the second ranking: mean share of right labels among the first five."""
+    """Weights of the second ranking: means of precision, recall and NDCG of the first five, right labels being relevant."""
     v = table(spark, d, "embeddings")
     first, second = menus._rankings(spark, d)
-    parts = [r.fuse([(first, 1.0), (second, w)], 5).withColumn("weight", F.lit(w)) for w in WEIGHTS]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    asked = lambda i: F.col("query_id") * len(WEIGHTS) + i  # noqa: E731  a query for each weight
+    whole = None
+    for i, w in enumerate(WEIGHTS):
+        part = r.fuse([(first, 1.0), (second, w)], 5).withColumn("asked", asked(i))
+        whole = part if whole is None else whole.unionByName(part)
     label = v.select("vec_id", "label")
-    met = whole.join(label.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    return met.groupBy("weight").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("int")), 6).alias("precision"))
+    own = label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    met = whole.join(label.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(own, "query_id")
+    ranked = met.select(F.col("asked").alias("query_id"), "rank", (F.col("label") == F.col("own")).cast("int").alias("rel"))
+    total = label.groupBy("label").agg((F.count("*") - 1).alias("total")).join(label, "label").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "total")
+    relevant = total.select(F.explode(F.array(*[asked(i) for i in range(len(WEIGHTS))])).alias("query_id"), "total")
+    got = r.ranking_measures(ranked, relevant).withColumn("weight", F.array(*map(F.lit, WEIGHTS))[(F.col("query_id") % len(WEIGHTS)).cast("int")])
+    return got.groupBy("weight").agg(*[F.round(F.avg(c), 5).alias(c) for c in ("precision", "recall", "ndcg")])
 
 
 def rescored_runs(spark, d):
@@ -304,8 +312,12 @@ SQL = {
     "best_deltas": f"WITH {_RUNS}, {_PAIRS('purchase')} SELECT id, round(delta, 6) AS delta FROM p ORDER BY p.delta DESC, id LIMIT 4",
     "context_split": """WITH a AS (SELECT l_orderkey AS id, l_linenumber AS k, l_partkey % 10 AS c, CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey % 10 + 1) % 10 ELSE l_partkey % 10 END AS e FROM lineitem)
         SELECT id, list(c ORDER BY k, c) = list(e ORDER BY CASE WHEN id % 2 = 0 THEN -k ELSE k END, e) AS same_order, list(c ORDER BY c) = list(e ORDER BY e) AS same_set FROM a GROUP BY 1""",
-    "fusion_weight_sweep": f"""{_TOPS}, w AS (SELECT unnest(CAST([0, 0.5, 1] AS DOUBLE[])) AS weight), f AS (SELECT weight, query_id, vec_id, max(ql = cl) AS rel, sum(p) AS s FROM (SELECT weight, query_id, vec_id, ql, cl, {_D(1)} / (60 + rank) AS p FROM a, w WHERE rank <= 10 UNION ALL SELECT weight, query_id, vec_id, ql, cl, weight / (60 + rank) FROM b, w WHERE rank <= 10) GROUP BY 1, 2, 3),
-        r AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM f) SELECT weight, round(avg(CAST(rel AS INTEGER)), 6) AS precision FROM r WHERE rank <= 5 GROUP BY 1""",
+    "fusion_weight_sweep": f"""{_TOPS}, w AS (SELECT unnest(CAST([0, 0.1, 0.2, 0.3, 0.5, 0.75, 1] AS DOUBLE[])) AS weight), f AS (SELECT weight, query_id, vec_id, max(ql = cl) AS rel, sum(p) AS s FROM (SELECT weight, query_id, vec_id, ql, cl, {_D(1)} / (60 + rank) AS p FROM a, w WHERE rank <= 10 UNION ALL SELECT weight, query_id, vec_id, ql, cl, weight / (60 + rank) FROM b, w WHERE rank <= 10) GROUP BY 1, 2, 3),
+        r AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM f),
+        t AS (SELECT q.vec_id AS query_id, (SELECT count(*) - 1 FROM embeddings c WHERE c.label = q.label) AS total FROM embeddings q WHERE q.vec_id % 20 = 0),
+        m AS (SELECT weight, query_id, count(*) AS n, sum(CAST(rel AS INTEGER)) AS hit, sum(CAST(rel AS INTEGER) / log2(rank + 1)) AS dcg FROM r WHERE rank <= 5 GROUP BY 1, 2)
+        SELECT weight, round(avg(round(hit / CAST(n AS DOUBLE), 6)), 5) AS precision, round(avg(round(CASE WHEN total > 0 THEN hit / CAST(total AS DOUBLE) ELSE 0 END, 6)), 5) AS recall,
+               round(avg(round(CASE WHEN total > 0 THEN dcg / list_sum(list_transform(generate_series(1, least(n, total)), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6)), 5) AS ndcg FROM m JOIN t USING (query_id) GROUP BY 1""",
     "rescored_runs": f"{_TOPS}, q AS (SELECT query_id, avg(CAST(ql = cl AS INTEGER)) AS p, avg(CASE WHEN vec_id % 3 <> 0 AND ql % 5 = cl % 5 THEN 1 ELSE 0 END) AS q, avg(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) AS u, max(CASE WHEN rank <= 5 AND ql = cl THEN 1 ELSE 0 END) AS hit FROM a WHERE rank <= 10 GROUP BY 1) SELECT round(avg(p), 6) AS strict, round(avg(q), 6) AS loose, round(avg(u), 6) AS unjudged, round(avg(hit), 6) AS source_hit FROM q",
     "answer_rates": "WITH x AS (SELECT role AS mode, conv_id % 4 <> 0 AS i, CAST((conv_id + turn) % 3 = 0 AS INTEGER) AS r, turn > 1 AS h FROM conversations) SELECT mode, round(avg(1 - r) FILTER (WHERE i), 6) AS answered, round(avg(r) FILTER (WHERE NOT i), 6) AS refused_right, round(avg(1 - r) FILTER (WHERE i AND h), 6) AS hard FROM x GROUP BY 1",
     "refusal_agreement": "WITH x AS (SELECT event_id % 3 = 0 AS m, CASE WHEN event_id % 2 = 0 THEN event_id % 5 = 0 END AS v FROM events) SELECT count(*) FILTER (WHERE coalesce(v, m)) AS refused, count(v) AS judged, round(avg(CAST(v = m AS INTEGER)), 6) AS agreement FROM x",
