@@ -15,8 +15,11 @@ of a group of near copies one head, then for all signatures, where a node stands
 between different heads are left. What all of them connect is a cluster.
 
 Sets are compared exactly, also twice: first each node with the first node of its group, then, in clusters that this did
-not make one class, blocks of nodes of different classes by the sizes of their intersections. A pair of blocks hands on
-only links that connect something new. Pairs of documents are never rows, and blocks of one class never meet.
+not make one class, nodes of different classes that share a signature. A cluster may be a long chain of chance meetings,
+so it never meets as a whole. Where few nodes hold a signature, they meet as pairs: sizes and parities of the sets (one
+bit for each cell that tokens fall in) rule most of them out, the sets of the others are compared. What signatures of many
+nodes connect meets in blocks, by the sizes of intersections; a pair of blocks hands on only links that connect
+something new. Neither pairs nor blocks of one class meet.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from pantrygrid.llm.components import components, contracted
 SHARD_BYTES, FREQUENT_IN_SHARD, FREQUENT, MOST_FREQUENT = 8 << 20, 8, 64, 1 << 17
 #: Tokens of samples in a bucket; nodes in a block; bytes of sets in a bundle of blocks.
 BUCKET_TOKENS, BLOCK_NODES, BUNDLE_BYTES = 400_000, 1000, 8 << 20
-#: Signatures of a node in the first round.
-FIRST = 3
+#: Signatures of a node in the first round; most nodes of a signature that meet as pairs.
+FIRST, PAIRED = 3, 64
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 U = np.uint64
@@ -337,6 +340,83 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.stack([head[link], node[link]], axis=1), axis=0), columns=["a", "b"])
 
 
+def _still_apart(buckets: int):
+    """All signatures of one bucket of nodes, and the nodes (class, size) whose clusters have several classes, to the signatures of those nodes, packed by bucket of the signature."""
+
+    def run(pdf: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        sig, node = np.frombuffer(b"".join(pdf["signatures"]), U), np.frombuffer(b"".join(pdf["nodes"]), np.int64)
+        nodes = nodes.sort_values("node")
+        known = nodes["node"].to_numpy(np.int64)
+        at = np.searchsorted(known, node)
+        keep = np.append(known, 0)[at] == node if len(known) else np.zeros(len(node), bool)
+        keep &= at < len(known)
+        sig, node, at = sig[keep], node[keep], at[keep]
+        columns = {"signatures": sig, "nodes": node, "classes": nodes["class"].to_numpy(np.int64)[at], "sizes": nodes["size"].to_numpy(np.int64)[at]}
+        return _by_bucket((sig % U(buckets)).astype(np.int64), columns).to_pandas()
+
+    return run
+
+
+def _meetings(percent: int):
+    """The nodes of different classes in one bucket that share a signature: as pairs whose sizes allow a link where PAIRED nodes or fewer hold it, else (many) as links from the first of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, node, kind, size = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("signatures", U), ("nodes", np.int64), ("classes", np.int64), ("sizes", np.int64)))
+        order = np.lexsort((node, sig))
+        order = order[np.append(True, (sig[order][1:] != sig[order][:-1]) | (node[order][1:] != node[order][:-1]))]
+        sig, node, kind, size = sig[order], node[order], kind[order], size[order]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        count = np.diff(np.append(first, len(sig)))
+        apart = np.minimum.reduceat(kind, first) != np.maximum.reduceat(kind, first)
+        head = np.repeat(node[first], count)
+        many = np.repeat(apart & (count > PAIRED), count) & (node != head)
+        wide = np.unique(np.stack([head[many], node[many]], axis=1), axis=0)
+        few = np.repeat(apart & (count <= PAIRED), count)
+        sig, node, kind, size = sig[few], node[few], kind[few], size[few]
+        pairs = [np.empty((0, 2), np.int64)]
+        for d in range(1, PAIRED):
+            i = np.flatnonzero(sig[d:] == sig[:-d])
+            if not len(i):
+                break
+            i = i[(kind[i] != kind[i + d]) & (100 * np.minimum(size[i], size[i + d]) >= percent * np.maximum(size[i], size[i + d]))]
+            pairs.append(np.stack([node[i], node[i + d]], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        out = pd.DataFrame(np.concatenate([pairs, wide]), columns=["a", "b"])
+        return out.assign(many=np.arange(len(out)) >= len(pairs))
+
+    return run
+
+
+def parities(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each set one bit for each of twice as many cells or more (a power of two): whether an odd number of its tokens falls in it."""
+    size = np.diff(bounds)
+    cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    at = np.append(0, np.cumsum(cells))
+    place = np.repeat(at[:-1], size) + (tokens & np.repeat(cells - 1, size).astype(U)).astype(np.int64)
+    bits = np.packbits(np.bincount(place, minlength=at[-1]).astype(np.uint8) & 1, bitorder="little")
+    return [bits[i:j].tobytes() for i, j in zip(at[:-1] // 8, at[1:] // 8)]
+
+
+def may_link(one: list[bytes], other: list[bytes], total: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets with these parities and sums of sizes may be linked: cells whose parity differs hold a token of one set alone."""
+    out = np.zeros(len(total), bool)
+    sizes = pd.DataFrame({"x": [len(v) for v in one], "y": [len(v) for v in other]})
+    for (x, y), at in sizes.groupby(["x", "y"]).indices.items():
+        least = min(x, y)
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(v[i] for i in at), np.uint8).reshape(len(at), -1, least), axis=1) for v in (one, other)]
+        differ = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+        out[at] = differ * (100 + percent) <= total[at] * (100 - percent)
+    return out
+
+
+def _likely(percent: int):
+    def run(batches):
+        for pdf in batches:
+            yield pdf.loc[may_link(pdf["x"].tolist(), pdf["y"].tolist(), pdf["total"].to_numpy(), percent), ["a", "b"]]
+
+    return run
+
+
 def linked(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between sorted sets: (i, j) whose intersection is percent of the union or more.
 
@@ -425,7 +505,7 @@ def _token_rows(n: int):
             data, at = shared.buffers(b.column("text"))
             t, bounds = token_sets(data, at, n)
             sets = pa.array([t[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), sets], names=["node", "cluster", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(np.diff(bounds)), pa.array(parities(t, bounds), pa.binary()), sets], names=["node", "size", "parity", "tokens"])
 
     return run
 
@@ -464,6 +544,15 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     return dealt.select("node", "cluster", "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
+def _by_head(sets: DataFrame, heads: DataFrame, bundles: int, percent: int) -> DataFrame:
+    """a, b: the links between nodes and their heads (node, head; a node may have several)."""
+    parts = heads.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK_NODES)).cast("int").alias("parts"))
+    follow = heads.join(parts, "head").select("node", "head", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"))
+    lead = parts.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    meeting = sets.select("node", "tokens").join(follow.unionByName(lead).hint("merge"), "node").withColumn("bundle", _bundle(bundles, "head", "part"))
+    return meeting.groupBy("bundle").applyInPandas(_head_verified(percent), "a long, b long")
+
+
 def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
     """node, component of the nodes that links connect with others."""
     total = known.agg(F.sum("size").alias("n")).first()["n"] or 0
@@ -483,22 +572,27 @@ def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, perce
     chosen = shared.written(clusters.join(which, "node").select("id", "node", "size", F.col("component").alias("cluster")))
     size = chosen.agg(F.sum("size").alias("n")).first()["n"] or 0
     bundles = max(8, int(size * 8 / BUNDLE_BYTES) + 1)
-    sets = shared.written(own.join(chosen.hint("merge"), "id").select("text", "node", "cluster").mapInArrow(_token_rows(n), "node long, cluster long, tokens binary"))
+    sets = shared.written(own.join(chosen.hint("merge"), "id").select("text", "node").mapInArrow(_token_rows(n), "node long, size long, parity binary, tokens binary"))
 
     # Every node with its head.
-    parts = heads.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK_NODES)).cast("int").alias("parts"))
-    follow = heads.join(parts, "head").select("node", "head", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"))
-    lead = parts.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    meeting = sets.select("node", "tokens").join(follow.unionByName(lead).hint("merge"), "node").withColumn("bundle", _bundle(bundles, "head", "part"))
-    near = shared.written(meeting.groupBy("bundle").applyInPandas(_head_verified(percent), "a long, b long"))
+    near = shared.written(_by_head(sets, heads, bundles, percent))
     classes = components(near)
 
     # What is still apart in a cluster.
-    nodes = chosen.select("node", "cluster").join(classes, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("class"))
+    nodes = chosen.select("node", "cluster", "size").join(classes, "node", "left").select("node", "cluster", "size", F.coalesce("component", "node").alias("class"))
     several = nodes.groupBy("cluster").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("cluster")
-    dealt = _blocks(shared.written(nodes.join(several, "cluster")))
-    apart = sets.select("node", "tokens").join(dealt.hint("merge"), "node").withColumn("bundle", _bundle(bundles, "cluster", "i", "j"))
-    return contracted(classes, apart.groupBy("bundle").applyInPandas(_verified(percent), "a long, b long"))
+    apart = shared.written(nodes.join(several, "cluster").select("node", "class", "size", F.pmod("node", F.lit(buckets)).alias("bucket")))
+    held = signed.where(F.col("bucket") < buckets).groupBy("bucket").cogroup(apart.groupBy("bucket")).applyInPandas(_still_apart(buckets), "bucket long, signatures binary, nodes binary, classes binary, sizes binary")
+    meet = shared.written(held.groupBy("bucket").applyInPandas(_meetings(percent), "a long, b long, many boolean").distinct())
+    parity = lambda node, x: sets.select(F.col("node").alias(node), F.col("size").alias(f"{x}_size"), F.col("parity").alias(x))
+    pairs = meet.where("not many").join(parity("a", "x").hint("merge"), "a").join(parity("b", "y").hint("merge"), "b").select("a", "b", "x", "y", (F.col("x_size") + F.col("y_size")).alias("total"))
+    likely = shared.written(pairs.mapInPandas(_likely(percent), "a long, b long").select(F.col("a").alias("head"), F.col("b").alias("node")))
+    kind = lambda node, x: apart.select(F.col("node").alias(node), F.col("class").alias(x))
+    links = _by_head(sets, likely, bundles, percent).join(kind("a", "x"), "a").join(kind("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = components(meet.where("many").select("a", "b")).withColumnRenamed("component", "cluster").join(apart, "node")
+    dealt = _blocks(shared.written(groups.select("node", "cluster", "class")))
+    blocks = sets.select("node", "tokens").join(dealt.hint("merge"), "node").withColumn("bundle", _bundle(bundles, "cluster", "i", "j"))
+    return contracted(classes, links.unionByName(blocks.groupBy("bundle").applyInPandas(_verified(percent), "a long, b long")))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

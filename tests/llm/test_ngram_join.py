@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pantrygrid.llm import ngram_join as nj
 from pantrygrid.llm.components import components
@@ -91,3 +93,32 @@ def test_words_that_defeat_linear_hashes_are_told_apart(spark):
     rows = [(1, word), (2, other), (3, word.upper()), (4, f"{word} {other}"), (5, f"{other} {word}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in nj.ngram_join(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_a_chain_of_chance_meetings_meets_as_pairs():
+    """Each of 3000 nodes shares one signature with the next: as many pairs, not each node with all others."""
+    n = 3000
+    node = np.repeat(np.arange(n), 2)
+    sig = (node + np.tile([0, 1], n)).astype(np.uint64)
+    size = np.full(2 * n, 40)
+    size[node == 7] = 10
+    pdf = pd.DataFrame({"signatures": [sig.tobytes()], "nodes": [node.tobytes()], "classes": [(node // 2).tobytes()], "sizes": [size.tobytes()]})
+    got = nj._meetings(75)(pdf)
+    assert not got["many"].any()
+    assert {(a, b) for a, b in zip(got["a"], got["b"])} == {(a, a + 1) for a in range(1, n - 1, 2) if a != 7}
+
+
+def test_parities_rule_out_no_linked_sets():
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 3, 40, 500, 2100):
+        base = rng.integers(0, 1 << 63, size * 2).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[:size], base[size : size + int(size * x)]])) for x in (0, 0.1, 0.3, 0.9)] + [base[: max(1, size * 4 // 5)]]
+    bounds = np.append(0, np.cumsum([len(s) for s in sets]))
+    have = nj.parities(np.concatenate(sets), bounds)
+    i, j = np.triu_indices(len(sets), 1)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    total = np.array([len(sets[a]) + len(sets[b]) for a, b in zip(i, j)])
+    kept = nj.may_link([have[a] for a in i], [have[b] for b in j], total, 75)
+    linked = 100 * both >= 75 * (total - both)
+    assert linked.sum() > 5 and kept[linked].all() and not kept.all()
