@@ -26,6 +26,8 @@ RETRIES, LEAST_REST, SWAPS, SWAP_MARGIN, VARIETY = 4, 150.0, 5, 1.2, 2
 HELD, ASKS, OFFERS = 50_000, 512, 4096
 #: Dishes seen by a greedy pick and by a step, steps of a search.
 GREEDY_SAMPLE, STEP_SAMPLE, STEPS = 120, 40, 150
+#: Searches that step side by side.
+SIDE = 256
 GOALS = ["kcal", "protein_g", "fat_g", "carb_g", "fiber_g"]
 _ONE = ["grams", *m.NUTRIENTS]
 _ASK = [*GOALS, "sodium", "budget", "shares", "avoid", "liked", "seed"]
@@ -55,13 +57,29 @@ def greedy(dishes: DataFrame, people: DataFrame, tolerance: float = STRICT) -> D
 
 
 class Pool:
-    """What a search knows of the catalogue: for each role the dishes, their grams and nutrients, and costs of a gram (nan: unknown)."""
+    """What a search knows of the catalogue: dishes by role (from, to) and id, and of each in every serving its grams and nutrients, cost (nan: unknown) and whether it is a sane portion."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.roles = {}
+        self.roles, parts, at = {}, [rows.iloc[:0]], 0
         for role, part in rows.groupby("role"):
-            part = part.sort_values("dish")
-            self.roles[role] = (part["dish"].to_numpy(np.int64), part[["grams", *m.NUTRIENTS]].to_numpy(float), part["cost"].to_numpy(float))
+            parts.append(part.sort_values("dish"))
+            self.roles[role] = (at, at + len(part))
+            at += len(part)
+        own = pd.concat(parts)
+        self.dish = own["dish"].to_numpy(np.int64)
+        cost = own["cost"].to_numpy(float)
+        self.x = np.ascontiguousarray(own[["grams", *m.NUTRIENTS]].to_numpy(float).T)[:, :, None] * np.array(SERVINGS)
+        self.sane = (self.x[0] >= m.PORTION[0]) & (self.x[0] <= m.PORTION[1])
+        self.cost, self.priced = cost[:, None] * self.x[0], ~np.isnan(cost)
+        self.repeats = any(len(np.unique(self.dish[i:j])) < j - i for i, j in self.roles.values())
+
+    def usable(self, role: str, avoid: np.ndarray, priced: bool) -> np.ndarray:
+        """Positions of a role's dishes that are not avoided and, where asked for, have a cost."""
+        first, last = self.roles.get(role, (0, 0))
+        keep = self.priced[first:last].copy() if priced else np.ones(last - first, bool)
+        for i, j in zip(*(np.searchsorted(self.dish[first:last], avoid, side) for side in ("left", "right"))):
+            keep[i:j] = False
+        return first + np.flatnonzero(keep)
 
 
 def known(dishes: DataFrame) -> DataFrame:
@@ -71,149 +89,253 @@ def known(dishes: DataFrame) -> DataFrame:
 
 def losses(totals: np.ndarray, goals: np.ndarray, sodium: float) -> np.ndarray:
     """The loss of day plans from rows of their nutrients, as day_loss has it in columns."""
-    out = np.zeros(len(totals))
+    return _losses(totals.T, goals, sodium)
+
+
+def _losses(totals, goals, sodium) -> np.ndarray:
+    """losses() of nutrients in columns; goals may be of one day or of each."""
+    out = np.zeros(totals[0].shape)
     for k, (name, weight) in enumerate(m.WEIGHTS.items()):
-        if goals[k] > 0:
-            off = totals[:, k] / goals[k] - 1
-            out += weight * np.abs(off) * np.where(off < 0, m.SHORT.get(name, 1.0), 1.0)
-    out += 3 * np.maximum(totals[:, 6] - sodium, 0) / m.SODIUM
-    return out + 3 * np.maximum(totals[:, 5] * 4 / np.maximum(totals[:, 0], 1) - m.SUGAR, 0)
+        asked = goals[k] > 0
+        if np.any(asked):
+            off = totals[k] / np.where(asked, goals[k], 1.0) - 1
+            term = weight * np.abs(off) * np.where(off < 0, m.SHORT.get(name, 1.0), 1.0)
+            out += term if np.all(asked) else np.where(asked, term, 0.0)
+    out += 3 * np.maximum(totals[6] - sodium, 0) / m.SODIUM
+    return out + 3 * np.maximum(totals[5] * 4 / np.maximum(totals[0], 1) - m.SUGAR, 0)
 
 
-class _Search:
-    """One attempt at one day: a greedy start, then steps that keep what is better."""
+class _Draws:
+    """The draws of an attempt: they depend on how many dishes there are to draw from, not on what was found, so searches that differ in tolerance alone share them."""
 
-    def __init__(self, pool: Pool, ask: dict, attempt: int):
-        self.known, self.ask = pool, ask
+    def __init__(self, ask: dict, attempt: int):
         self.rng = np.random.default_rng([x & (2**63 - 1) for x in (ask["seed"], ask["person"], attempt)])
+        self.at, self.kept = (), {(): (None, self.rng.bit_generator.state)}
+        self.walks = {}
+
+    def _from(self, sizes: tuple) -> None:
+        if self.at != sizes:
+            self.rng.bit_generator.state = self.kept[sizes][1]
+        self.at = None
+
+    def permutation(self, sizes: tuple) -> np.ndarray:
+        """The first of a permutation of sizes[-1] dishes, after those of the sizes before."""
+        if sizes not in self.kept:
+            self._from(sizes[:-1])
+            got = self.rng.permutation(sizes[-1])[:GREEDY_SAMPLE].copy()
+            self.kept[sizes] = (got, self.rng.bit_generator.state)
+            self.at = sizes
+        return self.kept[sizes][0]
+
+    def walk(self, sizes: tuple, places: list[np.ndarray], priced: bool, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each step the meal, and the positions of the dishes that it looks at (-1: none; none at all: other servings of the dish at hand)."""
+        key = (sizes, priced)
+        if key not in self.walks:
+            self._from(sizes)
+            meal, at = np.zeros(steps, np.int64), np.full((steps, STEP_SAMPLE), -1, np.int64)
+            integers, random, n = self.rng.integers, self.rng.random, len(places)
+            for i in range(steps):
+                meal[i] = k = integers(n)
+                if random() < 0.5:
+                    own = places[k]
+                    some = min(STEP_SAMPLE, len(own))
+                    at[i, :some] = own[integers(len(own), size=some)]
+            self.walks[key] = meal, at
+        return self.walks[key]
+
+
+class _Search:
+    """One attempt at one day: a greedy start, and the day as it is."""
+
+    def __init__(self, pool: Pool, ask: dict, tolerance: float, budget: float | None, draws: _Draws, places: dict):
+        self.known, self.ask, self.budget, self.draws, self.places = pool, ask, budget, draws, places
         self.goals = np.array([ask[g] for g in GOALS], float)
         self.meals = [(i, MEALS[i][1], s) for i, s in enumerate(ask["shares"]) if s]
-        self.avoid, self.liked = np.array(ask["avoid"], np.int64), np.array(ask["liked"], np.int64)
-        self.cap = [s * self.goals[0] * ask["tolerance"] for _, _, s in self.meals]
-
-    def offers(self, role: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Dishes, servings, scaled grams and nutrients, and costs of some of a role's dishes in all servings."""
-        dish, x, cost = self.known.roles[role]
-        s = np.tile(SERVINGS, len(at))
-        at = np.repeat(at, len(SERVINGS))
-        scaled = x[at] * s[:, None]
-        ok = (scaled[:, 0] >= m.PORTION[0]) & (scaled[:, 0] <= m.PORTION[1])
-        return dish[at][ok], s[ok], scaled[ok], cost[at][ok] * scaled[ok, 0]
-
-    def usable(self, role: str) -> np.ndarray:
-        """Positions of a role's dishes that are not avoided and, where there is a budget, have a cost."""
-        dish, _, cost = self.known.roles.get(role, (np.empty(0, np.int64), None, np.empty(0)))
-        ok = ~np.isin(dish, self.avoid)
-        return np.flatnonzero(ok & ~np.isnan(cost) if self.ask["budget"] else ok)
+        self.cap = [s * self.goals[0] * tolerance for _, _, s in self.meals]
+        self.at, self.size, self.sizes = np.zeros(len(self.meals), np.int64), np.zeros(len(self.meals), np.int64), ()
 
     def start(self) -> bool:
         """Whether every meal found a dish near its share."""
-        self.places = {role: self.usable(role) for _, role, _ in self.meals}
-        n = len(self.meals)
-        self.dish, self.serving, self.x, self.cost = np.zeros(n, np.int64), np.zeros(n), np.zeros((n, 8)), np.zeros(n)
+        pool = self.known
         for k, (_, role, share) in enumerate(self.meals):
             at = self.places[role]
-            at = at[~np.isin(self.known.roles[role][0][at], self.dish[:k])] if len(at) else at
+            if k:
+                at = at[~np.isin(pool.dish[at], pool.dish[self.at[:k]])]
             if not len(at):
                 return False
-            dish, s, x, cost = self.offers(role, self.rng.permutation(at)[:GREEDY_SAMPLE])
-            fits = np.flatnonzero(x[:, 1] <= self.cap[k])
+            self.sizes += (len(at),)
+            at = at[self.draws.permutation(self.sizes)]
+            kcal = pool.x[1][at].ravel()
+            fits = np.flatnonzero(pool.sane[at].ravel() & (kcal <= self.cap[k]))
             if not len(fits):
                 return False
-            best = fits[np.argmin(np.abs(x[fits, 1] - share * self.goals[0]))]
-            self.put(k, dish[best], s[best], x[best], cost[best])
-        return True
-
-    def put(self, k, dish, serving, x, cost) -> None:
-        self.dish[k], self.serving[k], self.x[k], self.cost[k] = dish, serving, x, cost
-
-    def judged(self, k: int, dish: np.ndarray, x: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(within sodium, loss) of the day with each of some dishes in meal k."""
-        rest = np.arange(len(self.meals)) != k
-        totals = self.x[rest, 1:].sum(0) + x[:, 1:]
-        loss = losses(totals, self.goals, self.ask["sodium"])
-        strict = np.array([s * self.goals[0] * STRICT for _, _, s in self.meals])
-        if self.goals[0] > 0:
-            over = np.maximum(self.x[rest, 1] - strict[rest], 0).sum() + np.maximum(x[:, 1] - strict[k], 0)
-            loss += over / self.goals[0] * MEAL_WEIGHT
-        if len(self.liked):
-            share = (np.isin(self.dish[rest], self.liked).sum() + np.isin(dish, self.liked)) / len(self.meals)
-            loss += np.maximum(WISHES - share, 0) / WISHES * WISH_WEIGHT
-        if self.ask["budget"]:
-            loss += np.maximum((self.cost[rest].sum() + cost) / self.ask["budget"] - 1, 0) * MONEY_WEIGHT
-        return totals[:, 6] <= self.ask["sodium"], loss
-
-    def run(self, steps: int) -> bool:
-        """Whether there is a day; it is in dish, serving, x and cost."""
-        if not self.meals or not self.start():
-            return False
-        ok, loss = self.judged(0, self.dish[:1], self.x[:1], self.cost[:1])
-        best = (bool(ok[0]), -float(loss[0]))
-        for _ in range(steps):
-            k = int(self.rng.integers(len(self.meals)))
-            role = self.meals[k][1]
-            at = self.places[role]
-            if self.rng.random() < 0.5:
-                at = at[self.rng.integers(len(at), size=min(STEP_SAMPLE, len(at)))]
-                at = at[~np.isin(self.known.roles[role][0][at], np.delete(self.dish, k))]
-            else:
-                at = at[self.known.roles[role][0][at] == self.dish[k]]
-            dish, s, x, cost = self.offers(role, at)
-            fits = np.flatnonzero(x[:, 1] <= self.cap[k])
-            if not len(fits):
-                continue
-            ok, loss = self.judged(k, dish[fits], x[fits], cost[fits])
-            i = int(np.lexsort((loss, ~ok))[0])
-            if (bool(ok[i]), -float(loss[i])) > best:
-                best = (bool(ok[i]), -float(loss[i]))
-                self.put(k, dish[fits[i]], s[fits[i]], x[fits[i]], cost[fits[i]])
-        return True
+            best = fits[np.argmin(np.abs(kcal[fits] - share * self.goals[0]))]
+            self.at[k], self.size[k] = at[best // len(SERVINGS)], best % len(SERVINGS)
+        return bool(self.meals)
 
     def checked(self) -> dict:
         """What judged() says of the day: failed checks, gap of the energy, whether energy and protein are in range."""
-        total = self.x[:, 1:].sum(0)
+        x, dish = self.known.x[:, self.at, self.size].T, self.known.dish[self.at]
+        total = np.ascontiguousarray(x[:, 1:]).sum(0)
         off = {n: total[GOALS.index(n)] / self.goals[GOALS.index(n)] - 1 if self.goals[GOALS.index(n)] > 0 else np.inf for n in m.TOLERANCES}
         fits = {n: low <= off[n] <= high for n, (low, high) in m.TOLERANCES.items()}
         fiber = self.goals[4] <= 0 or total[4] >= self.goals[4] * m.FIBER
-        sane = (self.x[:, 0] >= m.PORTION[0]).all() and (self.x[:, 0] <= m.PORTION[1]).all()
-        others = [fiber, total[6] <= self.ask["sodium"], len(set(self.dish.tolist())) == len(self.dish), sane]
+        sane = (x[:, 0] >= m.PORTION[0]).all() and (x[:, 0] <= m.PORTION[1]).all()
+        others = [fiber, total[6] <= self.ask["sodium"], len(set(dish.tolist())) == len(dish), sane]
         return {"failed": int(sum(not x for x in [*fits.values(), *others])), "gap": abs(off["kcal"]), "kcal_ok": fits["kcal"], "protein_ok": fits["protein_g"]}
 
 
-def best_day(pool: Pool, ask: dict, retries: int, steps: int) -> tuple[int, int, list[tuple]] | None:
-    """(attempt, failed checks, [(meal, dish, serving)]) of the best day for an ask (person, GOALS, sodium, budget or None, shares, avoid, liked, seed); None where dishes run out.
+class _Days:
+    """The days of several searches side by side; meals that a search lacks are empty."""
+
+    def __init__(self, pool: Pool, searches: list[_Search]):
+        self.pool, n, wide = pool, len(searches), max(len(s.meals) for s in searches)
+        self.searches, self.count = searches, np.array([len(s.meals) for s in searches])
+        self.at, self.x, self.cost = np.zeros((n, wide), np.int64), np.zeros((8, n, wide)), np.zeros((n, wide))
+        self.dish, self.strict, self.cap = np.full((n, wide), np.iinfo(np.int64).min), np.zeros((n, wide)), np.zeros((n, wide))
+        for i, s in enumerate(searches):
+            k = len(s.meals)
+            self.at[i, :k], self.dish[i, :k], self.cap[i, :k] = s.at, pool.dish[s.at], s.cap
+            self.x[:, i, :k], self.cost[i, :k] = pool.x[:, s.at, s.size], pool.cost[s.at, s.size]
+            self.strict[i, :k] = [share * s.goals[0] * STRICT for _, _, share in s.meals]
+        self.goals, self.sodium = np.array([s.goals for s in searches]).T, np.array([s.ask["sodium"] for s in searches], float)
+        self.budget = np.array([s.budget or 0.0 for s in searches])
+        self.likes = np.array([len(s.ask["liked"]) > 0 for s in searches])
+        self.liked = {i: np.isin(pool.dish, s.ask["liked"]) for i, s in enumerate(searches) if self.likes[i]}
+
+    def judged(self, rows: np.ndarray, k: np.ndarray, at: np.ndarray, x: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(within sodium, loss) of the days of rows with each of some portions (x: figures, row, portion; at: their dishes) in meal k."""
+        rest, over, paid = np.zeros((7, len(rows))), np.zeros(len(rows)), np.zeros(len(rows))
+        for j in range(self.at.shape[1]):  # one meal after another, so that sums are those of a single day
+            other = k != j
+            rest += np.where(other, self.x[1:, rows, j], 0.0)
+            over += np.where(other, np.maximum(self.x[1, rows, j] - self.strict[rows, j], 0), 0.0)
+            paid += np.where(other, self.cost[rows, j], 0.0)
+        totals, goals = rest[:, :, None] + x[1:], self.goals[:, rows, None]
+        loss = _losses(totals, goals, self.sodium[rows, None])
+        asked = goals[0] > 0
+        over = over[:, None] + np.maximum(x[1] - self.strict[rows, k][:, None], 0)
+        loss += np.where(asked, over / np.where(asked, goals[0], 1.0) * MEAL_WEIGHT, 0.0)
+        for i in np.flatnonzero(self.likes[rows]):
+            liked, own = self.liked[rows[i]], self.at[rows[i], : self.count[rows[i]]]
+            share = (np.delete(liked[own], k[i]).sum() + np.repeat(liked[at[i]], x.shape[2] // at.shape[1])) / self.count[rows[i]]
+            loss[i] += np.maximum(WISHES - share, 0) / WISHES * WISH_WEIGHT
+        some = np.flatnonzero(self.budget[rows])
+        loss[some] += np.maximum((paid[some, None] + cost[some]) / self.budget[rows[some], None] - 1, 0) * MONEY_WEIGHT
+        return totals[6] <= self.sodium[rows, None], loss
+
+    def others(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The positions of the dish in meal k of each of rows: one, but where the catalogue repeats ids."""
+        if not self.pool.repeats:
+            return self.at[rows, k][:, None]
+        found = []
+        for i, meal in zip(rows, k):
+            own = self.searches[i].places[self.searches[i].meals[meal][1]]
+            found.append(own[self.pool.dish[own] == self.dish[i, meal]])
+        out = np.full((len(rows), max(map(len, found))), -1)
+        for i, own in enumerate(found):
+            out[i, : len(own)] = own
+        return out
+
+    def run(self, steps: int) -> None:
+        pool, every = self.pool, np.arange(len(self.searches))
+        walks = [s.draws.walk(s.sizes, [s.places[role] for _, role, _ in s.meals], s.budget is not None, steps) for s in self.searches]
+        meals, seen = np.stack([w[0] for w in walks]), np.stack([w[1] for w in walks])
+        ok, loss = self.judged(every, np.zeros(len(every), np.int64), self.at[:, :1], self.x[:, :, :1], self.cost[:, :1])
+        best_ok, best = ok[:, 0].copy(), loss[:, 0].copy()
+        size = np.stack([np.pad(s.size, (0, self.at.shape[1] - len(s.size))) for s in self.searches])
+        for t in range(steps):
+            far = seen[:, t, 0] >= 0
+            for rows in (np.flatnonzero(far), np.flatnonzero(~far)):
+                if not len(rows):
+                    continue
+                k = meals[rows, t]
+                at = seen[rows, t] if far[rows[0]] else self.others(rows, k)
+                free = at >= 0
+                if far[rows[0]]:
+                    taken, mine = self.dish[rows], pool.dish[at]
+                    for j in range(taken.shape[1]):
+                        free &= (mine != taken[:, j, None]) | (k == j)[:, None]
+                x, cost = pool.x[:, at].reshape(8, len(rows), -1), pool.cost[at].reshape(len(rows), -1)
+                ok, loss = self.judged(rows, k, at, x, cost)
+                fits = (pool.sane[at] & free[:, :, None]).reshape(len(rows), -1) & (x[1] <= self.cap[rows, k][:, None])
+                good = fits & ok
+                passed = good.any(axis=1)
+                pick = np.where(np.where(passed[:, None], good, fits), loss, np.inf).argmin(axis=1)
+                line = np.arange(len(rows))
+                won = loss[line, pick]
+                better = fits.any(axis=1) & ((passed & ~best_ok[rows]) | ((passed == best_ok[rows]) & (won < best[rows])))
+                line, pick, own, k = line[better], pick[better], rows[better], k[better]
+                best_ok[own], best[own] = passed[better], won[better]
+                place = at[line, pick // len(SERVINGS)]
+                self.at[own, k], self.dish[own, k], size[own, k] = place, pool.dish[place], pick % len(SERVINGS)
+                self.x[:, own, k], self.cost[own, k] = x[:, line, pick], cost[line, pick]
+        for i, s in enumerate(self.searches):
+            s.at, s.size = self.at[i, : len(s.meals)], size[i, : len(s.meals)]
+
+
+def best_days(pool: Pool, asks: list[dict], retries: int, steps: int) -> list[tuple[int, int, list[tuple]] | None]:
+    """For each ask (person, GOALS, sodium, budget or None, shares, avoid, liked, seed) (attempt, failed checks, [(meal, dish, serving)]) of its best day; None where dishes run out.
 
     An attempt is searched strictly and with larger meals; the strict day counts if its energy is right, else the nearer
     one. With a budget it is also searched without; that day counts if the other one misses energy or protein. Who fails a
     check is searched again, up to retries times; the day with the fewest failed checks stays, then the nearest, then the
-    earliest.
+    earliest. Searches step side by side, SIDE at a time, and none depends on the others.
     """
-    best = None
+    best, still, usable = [None] * len(asks), list(range(len(asks))), {}
     for attempt in range(retries + 1):
         tries = []
-        for tolerance in (STRICT, RELAXED):
-            for budget in (ask["budget"], None) if ask["budget"] and ask["budget"] > 0 else (None,):
-                one = _Search(pool, ask | {"tolerance": tolerance, "budget": budget}, attempt)
-                if one.run(steps):
-                    c = one.checked()
-                    broken = 1 if budget is None else 0 if c["kcal_ok"] and c["protein_ok"] else 2
-                    tries.append(((broken, not (tolerance == STRICT and c["kcal_ok"]), c["gap"], tolerance), c, one))
-        if not tries:
-            continue
-        _, c, one = min(tries, key=lambda t: t[0])
-        if best is None or (c["failed"], c["gap"], attempt) < best[0]:
-            best = (c["failed"], c["gap"], attempt), [(meal, int(d), float(s)) for (meal, _, _), d, s in zip(one.meals, one.dish, one.serving)]
-        if not c["failed"]:
+        for i in still:
+            ask, draws = asks[i], _Draws(asks[i], attempt)
+            for tolerance in (STRICT, RELAXED):
+                for budget in (ask["budget"], None) if ask["budget"] and ask["budget"] > 0 else (None,):
+                    if (i, budget) not in usable:
+                        roles = {MEALS[k][1] for k, s in enumerate(ask["shares"]) if s}
+                        usable[i, budget] = {role: pool.usable(role, np.array(ask["avoid"], np.int64), budget is not None) for role in roles}
+                    one = _Search(pool, ask, tolerance, budget, draws, usable[i, budget])
+                    if one.start():
+                        tries.append((i, tolerance, budget, one))
+        for at in range(0, len(tries), SIDE):
+            _Days(pool, [one for *_, one in tries[at : at + SIDE]]).run(steps)
+        judged = {}
+        for i, tolerance, budget, one in tries:
+            c = one.checked()
+            broken = 1 if budget is None else 0 if c["kcal_ok"] and c["protein_ok"] else 2
+            judged.setdefault(i, []).append(((broken, not (tolerance == STRICT and c["kcal_ok"]), c["gap"], tolerance), c, one))
+        for i, found in judged.items():
+            _, c, one = min(found, key=lambda t: t[0])
+            if best[i] is None or (c["failed"], c["gap"], attempt) < best[i][0]:
+                day = zip(one.meals, pool.dish[one.at].tolist(), one.size.tolist())
+                best[i] = (c["failed"], c["gap"], attempt), [(meal, dish, SERVINGS[s]) for (meal, _, _), dish, s in day]
+            if not c["failed"]:
+                still.remove(i)
+        if not still:
             break
-    return (best[0][2], best[0][0], best[1]) if best else None
+    return [(b[0][2], b[0][0], b[1]) if b else None for b in best]
+
+
+def best_day(pool: Pool, ask: dict, retries: int, steps: int) -> tuple[int, int, list[tuple]] | None:
+    """best_days of one ask."""
+    return best_days(pool, [ask], retries, steps)[0]
+
+
+def next_days(pool: Pool, asks: list[dict], day: int, recent: list[list[set[int]]], window: int, retries: int, steps: int) -> list[tuple[int, int, list[tuple]] | None]:
+    """The day of each ask's menu after its recent ones: a dish does not come again within window days, but for liked ones; where that leaves too few dishes, the day is planned without it."""
+    own = [ask | {"seed": ask["seed"] + day} for ask in asks]
+    gone = [set().union(*r[-window:]) - set(ask["liked"]) if window and r else set() for ask, r in zip(asks, recent)]
+    out = [None] * len(asks)
+    some = [i for i in range(len(asks)) if gone[i]]
+    for i, got in zip(some, best_days(pool, [own[i] | {"avoid": [*own[i]["avoid"], *sorted(gone[i])]} for i in some], retries, steps)):
+        out[i] = got
+    rest = [i for i in range(len(asks)) if out[i] is None]
+    for i, got in zip(rest, best_days(pool, [own[i] for i in rest], retries, steps)):
+        out[i] = got
+    return out
 
 
 def next_day(pool: Pool, ask: dict, day: int, recent: list[set[int]], window: int, retries: int, steps: int) -> tuple[int, int, list[tuple]] | None:
-    """The day of a menu after the recent ones: a dish does not come again within window days, but for liked ones; where that leaves too few dishes, the day is planned without it."""
-    own = ask | {"seed": ask["seed"] + day}
-    gone = set().union(*recent[-window:]) - set(ask["liked"]) if window and recent else set()
-    got = best_day(pool, own | {"avoid": [*ask["avoid"], *sorted(gone)]}, retries, steps) if gone else None
-    return got or best_day(pool, own, retries, steps)
+    """next_days of one ask."""
+    return next_days(pool, [ask], day, [recent], window, retries, steps)[0]
 
 
 def ask_of(row: dict) -> dict:
@@ -240,11 +362,11 @@ def menu(dishes: DataFrame, people: DataFrame, days: int, window: int = VARIETY,
 
     def run(mine: pd.DataFrame, catalogue: pd.DataFrame) -> pd.DataFrame:
         pool, out = Pool(catalogue), []
-        for row in mine.sort_values("person").to_dict("records"):
-            ask, recent = ask_of(row), []
-            for day in range(days):
-                got = next_day(pool, ask, day, recent, window, retries, steps)
-                recent.append({d for _, d, _ in got[2]} if got else set())
+        asks = [ask_of(row) for row in mine.sort_values("person").to_dict("records")]
+        recent = [[] for _ in asks]
+        for day in range(days):
+            for ask, past, got in zip(asks, recent, next_days(pool, asks, day, recent, window, retries, steps)):
+                past.append({d for _, d, _ in got[2]} if got else set())
                 out += [(ask["person"], day, meal, d, s, got[0], got[1]) for meal, d, s in got[2]] if got else []
         return pd.DataFrame(out, columns=["person", "day", "meal", "dish", "serving", "attempt", "failed"])
 

@@ -121,3 +121,15 @@ def test_a_log_of_days_is_planned_again(spark, tables):
     log = asks.join(shown, "person").withColumn("shown", F.when(F.col("person") == 2, F.reverse("shown")).otherwise(F.col("shown")))
     assert {r["person"]: r["same"] for r in p.replayed(dishes, log, retries=0).collect()} == {r["person"]: r["person"] != 2 for r in people.collect()}
     assert not p.replayed(dishes.where("role <> 'snack' or dish > 100"), log.where("person = 1"), retries=0).first()["same"]
+
+
+def test_searches_side_by_side_are_those_of_each_alone(spark, tables, monkeypatch):
+    dishes, people = tables
+    pool = p.Pool(p.known(dishes).toPandas())
+    asks = [p.ask_of(r) for r in p.with_defaults(people).toPandas().to_dict("records")]
+    asks += [asks[0] | {"budget": 9.0}, asks[1] | {"liked": [1, 6, 11]}, asks[2] | {"avoid": [3, 8, 13]}, asks[0] | {"shares": [0.0, 0.0, 0.4, 0.0, 0.3, 0.3, 0.0]}]
+    alone = [p.best_day(pool, ask, 1, 40) for ask in asks]
+    assert len({str(x) for x in alone}) == len(asks)
+    assert p.best_days(pool, asks, 1, 40) == alone
+    monkeypatch.setattr(p, "SIDE", 3)
+    assert p.best_days(pool, asks, 1, 40) == alone
