@@ -133,3 +133,35 @@ def test_searches_side_by_side_are_those_of_each_alone(spark, tables, monkeypatc
     assert p.best_days(pool, asks, 1, 40) == alone
     monkeypatch.setattr(p, "SIDE", 3)
     assert p.best_days(pool, asks, 1, 40) == alone
+
+
+def test_people_and_dishes_that_are_alike_are_judged_once(spark, tables):
+    """Copies of people and of dishes change neither greedy days nor swaps, and do not multiply the days that are judged."""
+    dishes, people = tables
+    many = people.unionByName(people.withColumn("person", F.col("person") + 1000))
+    wide = dishes.unionByName(dishes.withColumn("dish", F.col("dish") + 100_000))
+    plan = p.greedy(wide, many).drop("kcal")
+    assert sorted(p.greedy(dishes, people).drop("kcal").collect()) == sorted(plan.where("person < 1000").collect())
+    got = p.swaps(wide, plan, many, 4)
+    rows = {r[:4] for r in got.select("person", "rank", "dish", "serving").collect()}
+    own = {r for r in rows if r[0] < 1000}
+    assert own and {(r[0] + 1000, *r[1:]) for r in own} == rows - own
+    figures = ["grams", *m.NUTRIENTS]
+    pairs = p.portions(wide.where("role = 'side'")).alias("o")
+    taken = {(r["person"], r["dish"]) for r in plan.collect()}
+    slow = []
+    for r in plan.where("person < 1000 and meal <> 4").join(wide.select("dish", *figures), "dish").groupBy("person").agg(*[F.sum(F.col(n) * F.col("serving")).alias(f"r_{n}") for n in m.NUTRIENTS], F.count_distinct("dish").alias("kinds"), F.min(F.col("grams") * F.col("serving")).alias("low"), F.max(F.col("grams") * F.col("serving")).alias("high")).join(people, "person").collect():
+        for o in pairs.where(F.col("kcal") <= r["kcal"] * 0.09 * p.RELAXED).collect():
+            x = [r[f"r_{n}"] + o[n] for n in m.NUTRIENTS]
+            ok = (r["person"], o["dish"]) not in taken and r["kinds"] == 6 and r["low"] >= 30 and r["high"] <= 600 and x[6] <= m.SODIUM and x[4] >= r["fiber_g"] * m.FIBER
+            if ok and all(lo <= x[p.GOALS.index(n)] / r[n] - 1 <= hi for n, (lo, hi) in m.TOLERANCES.items()):
+                slow.append((r["person"], float(p.losses(p.np.array([x]), p.np.array([r[g] for g in p.GOALS]), m.SODIUM)[0]), o["dish"], o["serving"]))
+    want = set()
+    for person in {s[0] for s in slow}:
+        best = {}
+        for _, loss, dish, serving in sorted(s for s in slow if s[0] == person):
+            best.setdefault(dish, (loss, serving))
+        least = min(best.values())[0]
+        order = sorted((round(loss, 9), dish, serving) for dish, (loss, serving) in best.items() if loss <= least * p.SWAP_MARGIN)
+        want |= {(person, i + 1, dish, serving) for i, (_, dish, serving) in enumerate(order[: p.SWAPS])}
+    assert own == want
