@@ -119,3 +119,15 @@ def test_json_and_xml(spark, tmp_path):
     got = sources.articles(spark, f"file://{tmp_path}/a.xml").collect()
     assert [(r["pmid"], r["title"], r["journal"], r["year"]) for r in got] == [("1", "T", "J", "2020")] and got[0]["abstract"] == f"Background: {long.strip()}\n\n{long.strip()}"
     assert sources.missing_files(spark, f"file://{tmp_path}", ["a.xml", "b.csv"]) == ["b.csv"]
+
+
+def test_python_sees_long_rows_in_batches_bounded_by_bytes(spark):
+    """40 rows of a megabyte each, as blocks of vectors or long texts are, do not stand in a worker at once."""
+    import pandas as pd
+    from pantrygrid.sources import BATCH_BYTES, table
+
+    table(spark, "/root/testdata/sf0.001", "part")
+    long = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1 << 20) AS text")
+    seen = lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches)
+    most = max(r["n"] for r in long.mapInPandas(seen, "n long").collect())
+    assert most <= BATCH_BYTES / (1 << 20) + 1
