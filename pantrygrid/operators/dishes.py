@@ -49,43 +49,58 @@ def without_items(dishes: DataFrame, lines: DataFrame, items: DataFrame) -> Data
     return dishes.join(bad, "dish", "left_anti")
 
 
+#: Edges from which parts that stand in no other are opened after the rest, and the share of edges that must go with them; pairs that a task makes distinct, about.
+MANY, LESS, DISTINCT = 100_000, 0.25, 1 << 20
+
+
 def leaves(spark, edges: DataFrame) -> DataFrame:
-    """root, node: all that a node is made of, by edges (parent, child); cycles end, as a pair is met once.
+    """root, node: all that a node is made of, by edges (parent, child); cycles end, as a pair is met once."""
+    return expanded(edges).select("root", "node")
+
+
+def expanded(edges: DataFrame, stop: list | None = None, many: int = MANY) -> DataFrame:
+    """root, node, leaf: all that a node is made of, by edges (parent, child); cycles end, as a pair is met once.
 
-    Each round goes one step deeper from the pairs that the last one found. Rounds are checkpointed, in the shared folder
-    that the session names.
+    Parts that are recipes themselves are listed and opened; those of stop are listed and stay closed. leaf: whether nothing
+    stands below, or it stays closed. Of over so many edges those of parts that stand in no other are set aside, layer by
+    layer. What is left is opened in rounds, each one step deeper from the pairs that the last one found; then the layers
+    follow, the last one first, and what stands below their parts is known by then. Both are checkpointed, in the shared
+    folder that the session names. Joins are merged whatever the sizes, so that no table goes through the driver.
     """
-    shared_checkpoints(spark)
-    found = front = edges.select(F.col("parent").alias("root"), F.col("child").alias("node")).distinct().checkpoint()
+    shared_checkpoints(edges.sparkSession)
+    pairs = edges.select("parent", "child").dropna().distinct()
+    made = pairs.select(F.col("parent").alias("child"), F.lit(False).alias("leaf")).distinct().where(~F.col("child").isin(stop or []))
+    left = pairs.join(made.hint("merge"), "child", "left").select(F.col("parent").alias("root"), F.col("child").alias("node"), F.coalesce("leaf", F.lit(True)).alias("leaf")).checkpoint()
+
+    def below(top: DataFrame, known: DataFrame) -> DataFrame:
+        """What stands one step below the pairs of top, by those of known."""
+        opened = top.where("not leaf").select(F.col("root").alias("over"), F.col("node").alias("root"))
+        return opened.join(known.hint("merge"), "root").select(F.col("over").alias("root"), "node", "leaf")
+
+    def sized(edges: DataFrame):
+        return edges.agg(F.count("*"), F.approx_count_distinct("root")).first()
+
+    layers, (n, _) = [], sized(left)
+    while n > many:
+        inner = left.where("not leaf").select(F.col("node").alias("root")).distinct().hint("merge")
+        rest = left.join(inner, "root", "left_semi").checkpoint()
+        size, under = sized(rest)
+        if size > n * (1 - LESS):
+            break
+        layers.append((left.join(inner, "root", "left_anti").checkpoint(), n - size, under))
+        left, n = rest, size
+    found = front = left
     while not front.isEmpty():
-        step = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        front = step.join(found, ["root", "node"], "left_anti").checkpoint()
+        front = below(front, left).distinct().join(found.hint("merge"), ["root", "node"], "left_anti").checkpoint()
         found = found.unionByName(front)
+    while layers:
+        top, n, under = layers.pop()
+        rows = n + n * found.count() // max(under, 1)  # a part below has about as many pairs as the others
+        more = top.unionByName(below(top, found)).repartition(rows // DISTINCT + 1, "root", "node").distinct()
+        found = found.unionByName(more.checkpoint() if layers else more)
     return found
 
 
-def expanded(edges: DataFrame, stop: list | None = None) -> DataFrame:
-    """root, node, leaf: all that a node is made of, by edges (parent, child), in recursive SQL.
-
-    Parts that are recipes themselves are listed and opened; those of stop are listed and stay closed. A path never opens
-    a node twice, so that cycles end. leaf: whether nothing stands below, or it stays closed. Recipes are shallow: each path
-    is a row on the way, and more than 100 steps raise.
-    """
-    spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    closed = spark.createDataFrame([(x,) for x in stop or []], f"child {dict(edges.dtypes)['child']}")
-    return spark.sql(
-        """WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM {edges} WHERE parent IS NOT NULL AND child IS NOT NULL),
-        t AS (SELECT e.*, c.child IS NULL AS opens FROM e LEFT JOIN {closed} c ON e.child = c.child),
-        walk(root, node, opens, path) AS (
-            SELECT parent, child, opens AND child <> parent, array(parent, child) FROM t
-            UNION ALL SELECT w.root, t.child, t.opens AND NOT array_contains(w.path, t.child), array_append(w.path, t.child) FROM walk w JOIN t ON w.opens AND w.node = t.parent),
-        met AS (SELECT DISTINCT root, node FROM walk)
-        SELECT m.root, m.node, p.parent IS NULL OR c.child IS NOT NULL AS leaf FROM met m LEFT JOIN (SELECT DISTINCT parent FROM e) p ON m.node = p.parent LEFT JOIN {closed} c ON m.node = c.child""",
-        edges=edges, closed=closed,
-    )
-
-
 def targets(people: DataFrame) -> DataFrame:
     """person, kcal, protein_g, fat_g, carb_g, fiber_g of people (person, male, kg, cm, years, activity, goal; if wanted rate, kilograms a week, and tdee, energy spent as measured); under 18 has none.
 

@@ -14,6 +14,16 @@ def test_recipes_open_but_for_closed_parts_and_cycles_end(spark):
     whole = {(r["root"], r["node"]) for r in dishes.expanded(edges).collect()}
     assert whole == {(r["root"], r["node"]) for r in dishes.leaves(spark, edges.dropna()).collect()}
     assert dishes.expanded(edges.limit(0)).collect() == []
+    for stop in ([], [4]):  # in layers the same as in rounds
+        assert sorted(map(tuple, dishes.expanded(edges, stop, many=0).collect())) == sorted(map(tuple, dishes.expanded(edges, stop).collect()))
+
+
+def test_recipes_do_not_walk_each_path_nor_pass_the_driver(spark):
+    deep = spark.range(6).selectExpr("explode(array(3 * id, 3 * id + 1, 3 * id + 2)) AS parent").selectExpr("parent", "explode(array(3 * (parent div 3) + 3, 3 * (parent div 3) + 4, 3 * (parent div 3) + 5)) AS child")  # 3 ** 6 paths
+    for many in (0, dishes.MANY):
+        got = dishes.expanded(deep, many=many)
+        assert got.count() == 3 * sum(3 * k for k in range(1, 7)) and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert not got.where("leaf <> (node >= 18)").count()
 
 
 def test_traces_are_read_as_far_as_they_are_json(spark):
