@@ -98,9 +98,16 @@ def candidates_x_servings(spark, d):
     return k.servings(table(spark, d, "part").select(F.col("p_partkey").alias("dish"), (F.col("p_size") * 10.0).alias("grams"), F.col("p_retailprice").alias("kcal")))
 
 
+#: Lines of plans that a task holds, about.
+LINES = 1 << 20
+
+
 def plan_checks(spark, d):
+    """Plans are dealt by the number of lines, so that tasks do not grow with the tables."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    plans = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("l_orderkey").alias("plan"), F.col("l_partkey").alias("dish"), (F.col("l_quantity") * 10).alias("grams"), F.col("l_extendedprice").alias("kcal"), F.col("o_totalprice").alias("target"))
+    parts = lines.count() // LINES + 1
+    lines, orders = lines.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice").repartition(parts, "l_orderkey"), orders.select("o_orderkey", "o_totalprice").repartition(parts, "o_orderkey")
+    plans = lines.join(orders.hint("merge"), lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("l_orderkey").alias("plan"), F.col("l_partkey").alias("dish"), (F.col("l_quantity") * 10).alias("grams"), F.col("l_extendedprice").alias("kcal"), F.col("o_totalprice").alias("target"))
     return k.plan_checks(plans)
 
 

@@ -51,3 +51,10 @@ def test_chunks_in_sql_are_those_of_the_splitter(spark):
     assert {r["doc_id"] for r in got} == {1, 4} and next(r["text"] for r in got if r["doc_id"] == 4) == "x" * 200
     plain = spark.sql("SELECT c.text FROM {docs} d, LATERAL chunks(d.text, 900, 150) c WHERE d.doc_id = 1", docs=docs)
     assert plain.where(F.col("text").startswith("T\n\n")).count() == 0
+
+
+def test_plans_are_checked_without_distinct_pairs_in_memory(spark):
+    rows = [(1, 5, 100.0, 50.0, 100.0), (1, 6, 600.0, 50.0, 100.0), (2, 5, 30.0, 50.0, 100.0), (2, 7, 30.0, 40.0, 100.0), (2, 5, 29.0, 1.0, 100.0), (3, None, 30.0, 94.0, 100.0), (4, 5, 601.0, 93.9, 100.0)]
+    got = dishes.plan_checks(spark.createDataFrame(rows, "plan long, dish long, grams double, kcal double, target double"))
+    assert {tuple(r) for r in got.collect()} == {(1, 100.0, True, True, True), (2, 91.0, False, False, False), (3, 94.0, True, False, True), (4, 93.9, False, True, False)}
+    assert "distinct" not in got._jdf.queryExecution().executedPlan().toString()
