@@ -1,4 +1,6 @@
-"""The paired bootstrap next to plain resampling."""
+"""The paired bootstrap next to plain resampling; odd documents."""
+
+import math
 
 import numpy as np
 from pantrygrid.operators import retrieval
@@ -15,3 +17,13 @@ def test_paired_bootstrap_draws_as_often_as_the_reference(spark):
 
 def test_paired_bootstrap_of_one_pair(spark):
     assert [tuple(r) for r in retrieval.paired_bootstrap(spark.createDataFrame([(1, 2.0, 0.5)], "id long, a double, b double")).collect()] == [(1.5, 1.5, 1.5)]
+
+
+def test_bm25_reads_documents_once_and_adds_up_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "protein intake"), (1, "the Protein"), (2, "sodium an"), (None, "protein"), (3, None), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "protein, protein"), (8, "an of"), (9, None)], "item_id long, text string")
+    got = retrieval.bm25(docs, asked)
+    part = math.log(1 + (6 - 2 + 0.5) / 2.5) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / (5 / 3)))
+    assert [tuple(r) for r in got.collect()] == [(7, 1, 1, round(2 * part, 6))]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().executedPlan().toString()  # texts are not cut again
+    assert retrieval.bm25(docs.limit(0), asked).collect() == retrieval.bm25(docs, asked.limit(0)).collect() == []
