@@ -1,4 +1,4 @@
-"""The paired bootstrap next to plain resampling; odd documents."""
+"""The paired bootstrap next to plain resampling; odd documents; how vectors are dealt."""
 
 import math
 
@@ -27,3 +27,13 @@ def test_bm25_reads_documents_once_and_adds_up_rows_of_one_id(spark):
     assert [tuple(r) for r in got.collect()] == [(7, 1, 1, round(2 * part, 6))]
     assert "regexp_extract_all" not in got._jdf.queryExecution().executedPlan().toString()  # texts are not cut again
     assert retrieval.bm25(docs.limit(0), asked).collect() == retrieval.bm25(docs, asked.limit(0)).collect() == []
+
+
+def test_parts_of_vectors_and_queries_grow_in_number_not_in_size(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(300, 4))
+    v = spark.createDataFrame([(i, [float(y) for y in row], i % 2) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(60)
+    want = sorted(map(tuple, retrieval.nearest(v.where("vec_id % 3 = 0"), v, 4, same="label", rows=2).collect()))
+    monkeypatch.setattr(retrieval, "PART", 10)
+    got = retrieval.nearest(v.where("vec_id % 3 = 0"), v, 4, same="label", rows=2)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 400
+    assert "31)" in got._jdf.queryExecution().optimizedPlan().toString()  # 300 rows in 31 parts
