@@ -38,7 +38,7 @@ def _one_of_each(docs: DataFrame, grouped, best) -> DataFrame:
     numbered = _numbered(docs)
     groups = shared.written(grouped(numbered))
     stays = groups.join(numbered.select(ROW, "doc_id"), ROW).groupBy("group").agg(best.alias("best")).select(f"best.{ROW}")
-    gone = groups.select(ROW).join(stays, ROW, "left_anti")
+    gone = shared.written(groups.select(ROW).join(shared.written(stays), ROW, "left_anti"))
     return numbered.join(gone, ROW, "left_anti").select(*[numbered[f"`{c}`"] for c in docs.columns])
 
 

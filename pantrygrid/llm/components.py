@@ -18,20 +18,20 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that links reach) of every node of edges (a, b: long).
 
     Each round is two joins of the edges with one least neighbour for each node; rounds grow with the logarithm of the
-    size of a component. Edges never outnumber those of the input, and every round is written to the shared folder. A
-    node with very many links is one row after a partial minimum; the joins back are ones that Spark can split.
+    size of a component. Every round is written to the shared folder, and so is the result, so that the driver never holds
+    the plans and tasks of more than one step. A row of a join gives one edge at most. A node with very many links is one
+    row after a partial minimum.
     """
     now = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _only_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        large = shared.written(large)
+        # Larger neighbours go under the least one, and so does the node itself by the row of that neighbour.
+        large = shared.written(both.join(least, "a").where("b > a or b = m").select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        small = large.join(down, "a").select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
         now = shared.written(small.where("a <> b").distinct())
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return shared.written(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
 
 
 def contracted(groups: DataFrame, links: DataFrame) -> DataFrame:

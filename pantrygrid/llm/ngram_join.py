@@ -588,9 +588,10 @@ def _links(own: DataFrame, known: DataFrame, frequent: np.ndarray, n: int, perce
     pairs = meet.where("not many").join(parity("a", "x").hint("merge"), "a").join(parity("b", "y").hint("merge"), "b").select("a", "b", "x", "y", (F.col("x_size") + F.col("y_size")).alias("total"))
     likely = shared.written(pairs.mapInPandas(_likely(percent), "a long, b long").select(F.col("a").alias("head"), F.col("b").alias("node")))
     kind = lambda node, x: apart.select(F.col("node").alias(node), F.col("class").alias(x))
-    links = _by_head(sets, likely, bundles, percent).join(kind("a", "x"), "a").join(kind("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = shared.written(_by_head(sets, likely, bundles, percent))
+    links = shared.written(links.join(kind("a", "x"), "a").join(kind("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     groups = components(meet.where("many").select("a", "b")).withColumnRenamed("component", "cluster").join(apart, "node")
-    dealt = _blocks(shared.written(groups.select("node", "cluster", "class")))
+    dealt = shared.written(_blocks(shared.written(groups.select("node", "cluster", "class"))))
     blocks = sets.select("node", "tokens").join(dealt.hint("merge"), "node").withColumn("bundle", _bundle(bundles, "cluster", "i", "j"))
     return contracted(classes, links.unionByName(blocks.groupBy("bundle").applyInPandas(_verified(percent), "a long, b long")))
 
@@ -615,7 +616,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
         numbered = shared.written(own.select(F.monotonically_increasing_id().alias("id"), "text"))
         joined = _links(numbered, numbered.mapInArrow(_survey(n), "id long, node long, size long").where("size is not null"), frequent, n, percent)
     least = known.where("size > 0").groupBy("node").agg(F.min("id").alias("least"))
-    labelled = least.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = shared.written(least.join(shared.written(joined), "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = shared.written(labelled.join(ids, "component").select("node", "component_id"))
     out = known.join(by_node, "node", "left")

@@ -122,3 +122,32 @@ def test_parities_rule_out_no_linked_sets():
     kept = nj.may_link([have[a] for a in i], [have[b] for b in j], total, 75)
     linked = 100 * both >= 75 * (total - both)
     assert linked.sum() > 5 and kept[linked].all() and not kept.all()
+
+
+def test_components_of_random_graphs(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200 + 30 * seed)]
+        want = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in want:
+            for a, b in edges:
+                if a != b:
+                    want[a] = want[b] = min(want[a], want[b])
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+
+
+def test_the_driver_holds_no_large_plan(spark, monkeypatch):
+    """Plans of many shuffles are many stages at once, whose tasks and metrics fill the driver's memory where shuffles have many partitions."""
+    shuffles, write = [], nj.shared.written
+
+    def spy(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.append(len(re.findall(r"[ -]Exchange ", plan)))
+        return write(df)
+
+    monkeypatch.setattr(nj.shared, "written", spy)
+    rows = corpus(3)
+    got = nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert max(shuffles) <= 10
