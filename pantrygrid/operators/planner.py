@@ -30,6 +30,7 @@ GREEDY_SAMPLE, STEP_SAMPLE, STEPS = 120, 40, 150
 SIDE, TRIALS = 256, 30
 GOALS = ["kcal", "protein_g", "fat_g", "carb_g", "fiber_g"]
 _ONE = ["grams", *m.NUTRIENTS]
+_OFFER = ["dishes", "serving", *_ONE]
 _ASK = [*GOALS, "sodium", "budget", "shares", "avoid", "liked", "seed"]
 _PLAN = "person long, day int, meal int, dish long, serving double, attempt int, failed int"
 
@@ -49,13 +50,13 @@ def portions(dishes: DataFrame) -> DataFrame:
 def greedy(dishes: DataFrame, people: DataFrame, tolerance: float = STRICT) -> DataFrame:
     """person, meal, dish, serving, kcal: for each meal of people (person, kcal) the portion nearest to its share of the energy, none over tolerance times the share; ties to the smaller dish, then serving."""
     choice = portions(dishes).groupBy("role", "kcal").agg(F.min(F.struct("dish", "serving")).alias("first")).groupBy("role").agg(F.array_sort(F.collect_list(F.struct("kcal", "first.dish", "first.serving"))).alias("choice"))
-    # People of one energy have one answer.
+    # People of one energy have one answer. No side that grows with a table goes to all tasks: files may be far smaller than their rows, and Spark goes by the files.
     asked = people.select(F.col("kcal").alias("ask")).distinct().select("ask", F.explode(meals()).alias("x")).select("ask", "x.*", (F.col("ask") * F.col("x.share")).alias("goal"))
     # One row for each role, with one entry for each energy that its portions have.
     met = asked.join(choice, "role")
     near = F.transform(F.filter("choice", lambda c: c["kcal"] <= F.col("goal") * tolerance), lambda c: F.struct(F.abs(c["kcal"] - F.col("goal")).alias("off"), c["dish"].alias("dish"), c["serving"].alias("serving"), c["kcal"].alias("kcal")))
     best = met.withColumn("best", F.array_min(near)).where("best is not null").select("ask", "meal", "best.dish", "best.serving", "best.kcal")
-    return people.select("person", F.col("kcal").alias("ask")).join(best, "ask").select("person", "meal", "dish", "serving", "kcal")
+    return people.select("person", F.col("kcal").alias("ask")).hint("merge").join(best, "ask").select("person", "meal", "dish", "serving", "kcal")
 
 
 class Pool:
@@ -379,7 +380,7 @@ def menu(dishes: DataFrame, people: DataFrame, days: int, window: int = VARIETY,
 def items(plan: DataFrame, dishes: DataFrame, key: str) -> DataFrame:
     """The items of plans (key, meal, dish, serving) with grams, nutrients and cost."""
     scaled = {n: F.col(n) * F.col("serving") for n in ["grams", *m.NUTRIENTS]}
-    met = plan.join(dishes.select("dish", "role", "grams", *m.NUTRIENTS, F.col("cost").alias("gram")), "dish").withColumns(scaled)
+    met = plan.join(dishes.select("dish", "role", "grams", *m.NUTRIENTS, F.col("cost").alias("gram")).hint("merge"), "dish").withColumns(scaled)
     return met.withColumn("cost", F.col("gram") * F.col("grams")).withColumn("plan", F.col(key))
 
 
@@ -438,24 +439,36 @@ def swaps(dishes: DataFrame, plan: DataFrame, goals: DataFrame, meal: int, tune:
     People whose day and goals are alike have one answer, found once. Dishes whose figures are alike are judged once, and
     of those only as many are carried on as there are answers (the smallest ids, which come first).
     """
-    made = items(plan, dishes, "person").where(F.col("meal").isNotNull())
-    role, share = MEALS[meal][1:]
+    role = MEALS[meal][1]
+    return _swaps(dishes, items(plan, dishes, "person"), goals, meal, _offers(dishes, role), tune)
+
+
+def _offers(dishes: DataFrame, role: str) -> tuple[int, DataFrame]:
+    """How many arrays of about OFFERS portions of a role there are, and the arrays (part, offers)."""
+    own = portions(dishes.where(F.col("role") == role).groupBy("grams", *m.NUTRIENTS).agg(F.sort_array(F.collect_set("dish")).alias("dishes")))
+    parts = max(1, -(-own.count() // OFFERS))
+    return parts, own.withColumn("part", F.pmod(F.xxhash64("dishes", "serving"), F.lit(parts)).cast("int")).groupBy("part").agg(F.collect_list(F.struct(*_OFFER)).alias("offers"))
+
+
+def _swaps(dishes: DataFrame, made: DataFrame, goals: DataFrame, meal: int, offered: tuple[int, DataFrame], tune: bool) -> DataFrame:
+    """swaps() of the items of plans, from the _offers of the meal's role."""
+    made, share = made.where(F.col("meal").isNotNull()), MEALS[meal][2]
     sums = [F.sum(F.when(F.col("meal") != meal, F.col(n)).otherwise(0.0)).alias(f"r_{n}") for n in m.NUTRIENTS]
     rest = made.groupBy("person").agg(*sums, F.sort_array(F.collect_set("dish")).alias("taken"), F.min(F.when(F.col("meal") != meal, F.col("grams"))).alias("low"), F.max(F.when(F.col("meal") != meal, F.col("grams"))).alias("high"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("meal") != meal, F.col("dish"))).alias("kinds"), F.sort_array(F.collect_list(F.struct("meal", "dish", "serving", *[F.try_divide(F.col(n), "serving").alias(n) for n in _ONE]))).alias("day"))
     goals = goals.select("person", *[F.col(g).alias(f"target_{g}") for g in GOALS])
-    fields = ["dishes", "serving", "grams", *m.NUTRIENTS]
-    days = rest.join(goals, "person")
+    days = rest.join(goals.hint("merge"), "person")
     alike = [c for c in days.columns if c != "person"]
     days = days.withColumn("ask", F.sha2(F.to_json(F.struct(*alike)), 256))
     asks = days.groupBy("ask").agg(*[F.first(c).alias(c) for c in alike])
-    own = portions(dishes.where(F.col("role") == role).groupBy("grams", *m.NUTRIENTS).agg(F.sort_array(F.collect_set("dish")).alias("dishes")))
-    parts = max(1, -(-own.count() // OFFERS))  # arrays of about OFFERS portions; every ask meets each of them
-    offers = own.withColumn("part", F.pmod(F.xxhash64("dishes", "serving"), F.lit(parts)).cast("int")).groupBy("part").agg(F.collect_list(F.struct(*fields)).alias("offers"))
-    met = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(offers, "part")
+    parts, offers = offered  # every ask meets each of the arrays, in as many tasks as work side by side
+    sides = max(1, -(-2 * made.sparkSession.sparkContext.defaultParallelism // parts))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    side = F.pmod(F.xxhash64("ask"), F.lit(sides)).cast("int")
+    met = asks.withColumn("side", side).withColumn("part", each(parts)).join(offers.withColumn("side", each(sides)).hint("merge"), ["part", "side"])
     energy = [F.col("target_kcal") * (1 + x) - F.col("r_kcal") for x in m.TOLERANCES["kcal"]]  # nothing beyond it passes; a little more than that goes on to the checks
     near = lambda o: F.lit(True) if tune else o["kcal"].between(energy[0] - 1e-6 * F.col("target_kcal"), energy[1] + 1e-6 * F.col("target_kcal"))
     fits = F.filter("offers", lambda o: near(o) & (o["kcal"] <= F.col("target_kcal") * share * RELAXED))
-    met = met.withColumn("o", F.explode(fits)).select("*", *[F.col(f"o.{c}").alias(c) for c in fields])
+    met = met.withColumn("o", F.explode(fits)).select("*", *[F.col(f"o.{c}").alias(c) for c in _OFFER])
     met = met.withColumn("dish", F.explode(F.slice(F.array_except("dishes", "taken"), 1, TRIALS if tune else SWAPS)))
     day = met.select("ask", "dish", "serving", "day", *[(F.col(f"r_{n}") + F.col(n)).alias(n) for n in m.NUTRIENTS], F.least("low", "grams").alias("least"), F.greatest("high", "grams").alias("most"), (F.col("n") - 1 == F.col("kinds")).alias("distinct"), *[f"target_{g}" for g in GOALS])
     passed = day.where(_passes()).select("ask", "dish", "serving", _loss().alias("loss"))
@@ -465,11 +478,11 @@ def swaps(dishes: DataFrame, plan: DataFrame, goals: DataFrame, meal: int, tune:
         poor = bars.join(passed.groupBy("ask").agg(F.min("loss").alias("best")), "ask", "left").where("best is null or best > bar").select("ask")
         closest = Window.partitionBy("ask").orderBy(_loss(), "dish", "serving")
         trials = day.join(poor, "ask", "left_semi").withColumn("k", F.row_number().over(closest)).where(F.col("k") <= TRIALS)
-        passed = passed.unionByName(_tuned(trials.join(dishes.select(F.col("dish"), F.struct(*_ONE).alias("one")), "dish"), meal))
+        passed = passed.unionByName(_tuned(trials.join(dishes.select(F.col("dish"), F.struct(*_ONE).alias("one")).hint("merge"), "dish"), meal))
     unique = passed.groupBy("ask", "dish").agg(F.min(F.struct("loss", "serving")).alias("b")).select("ask", "dish", "b.serving", "b.loss")
     ranked = unique.withColumn("best", F.min("loss").over(Window.partitionBy("ask"))).where(F.col("loss") <= F.col("best") * SWAP_MARGIN)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy(F.round("loss", 9), "dish"))).where(F.col("rank") <= SWAPS)
-    return days.select("person", "ask").join(ranked, "ask").select("person", "rank", "dish", "serving", "loss")
+    return days.select("person", "ask").hint("merge").join(ranked, "ask").select("person", "rank", "dish", "serving", "loss")
 
 
 def _passes() -> Column:
@@ -538,24 +551,26 @@ def swap_sweep(dishes: DataFrame, plan: DataFrame, goals: DataFrame, chain: int
 
     With tune the other servings may have moved too; those days are judged by their loss only, not by in_band.
     """
-    made = items(plan, dishes, "person")
+    shared_checkpoints(plan.sparkSession)
+    made = items(plan, dishes, "person").checkpoint()  # seen at each place below
+    offers = {role: _offers(dishes, role) for role in {role for _, role, _ in MEALS}}
+    offers = {role: (parts, arrays.checkpoint()) for role, (parts, arrays) in offers.items()}
     offered = None
-    for meal in range(len(MEALS)):
-        got = swaps(dishes, plan, goals, meal, tune).where(F.col("rank") <= chain).withColumn("meal", F.lit(meal))
+    for meal, (_, role, _) in enumerate(MEALS):
+        got = _swaps(dishes, made, goals, meal, offers[role], tune).where(F.col("rank") <= chain).withColumn("meal", F.lit(meal))
         offered = got if offered is None else offered.unionByName(got)
     sums = made.groupBy("person").agg(*[F.sum(n).alias(n) for n in m.NUTRIENTS])
     wanted = goals.select("person", *[F.col(g).alias(f"target_{g}") for g in GOALS])
-    old = sums.join(wanted, "person").select("person", *[F.col(n).alias(f"t_{n}") for n in m.NUTRIENTS], *[f"target_{g}" for g in GOALS], _loss().alias("before"))
+    old = sums.join(wanted.hint("merge"), "person").select("person", *[F.col(n).alias(f"t_{n}") for n in m.NUTRIENTS], *[f"target_{g}" for g in GOALS], _loss().alias("before"))
     gone = made.select("person", "meal", *[F.col(n).alias(f"o_{n}") for n in m.NUTRIENTS])
-    new = portions(dishes).select("dish", "serving", *[F.col(n).alias(f"n_{n}") for n in m.NUTRIENTS])
-    met = offered.join(old, "person").join(gone, ["person", "meal"]).join(new, ["dish", "serving"])
+    new = dishes.select("dish", *[F.col(n).alias(f"one_{n}") for n in GOALS[:4]])
+    met = offered.hint("merge").join(old, "person").join(gone.hint("merge"), ["person", "meal"]).join(new.hint("merge"), "dish")
     near = None
     for g in GOALS[:4]:
-        ok = F.when(F.col(f"target_{g}") > 0, F.abs((F.col(f"t_{g}") - F.col(f"o_{g}") + F.col(f"n_{g}")) / F.col(f"target_{g}") - 1) <= BAND).otherwise(True)
+        ok = F.when(F.col(f"target_{g}") > 0, F.abs((F.col(f"t_{g}") - F.col(f"o_{g}") + F.col(f"one_{g}") * F.col("serving")) / F.col(f"target_{g}") - 1) <= BAND).otherwise(True)
         near = ok if near is None else near & ok
-    shared_checkpoints(plan.sparkSession)
     each = met.select("person", "meal", "dish", near.alias("near"), (F.col("loss") / F.greatest("before", F.lit(1e-9))).alias("growth")).checkpoint()  # seen four times below
-    places = plan.select("person", "meal").join(each.groupBy("person", "meal").agg(F.count_distinct("dish").alias("n")), ["person", "meal"], "left")
+    places = made.select("person", "meal").join(each.groupBy("person", "meal").agg(F.count_distinct("dish").alias("n")).hint("merge"), ["person", "meal"], "left")
     short = places.agg(F.avg("n").alias("variety"), F.count_if(F.coalesce("n", F.lit(0)) < chain).alias("short"))
     whole = each.agg(F.count("*").alias("swaps"), F.avg(F.col("near").cast("int")).alias("in_band"), F.percentile("growth", F.lit(0.5)).alias("median"))
     ninth = m.numbered(each.select("growth"), "growth", "at").join(F.broadcast(whole.select(F.floor(F.col("swaps") * 0.9).alias("at"))), "at").agg(F.max("growth").alias("p90"))  # one row

@@ -165,3 +165,14 @@ def test_people_and_dishes_that_are_alike_are_judged_once(spark, tables):
         order = sorted((round(loss, 9), dish, serving) for dish, (loss, serving) in best.items() if loss <= least * p.SWAP_MARGIN)
         want |= {(person, i + 1, dish, serving) for i, (_, dish, serving) in enumerate(order[: p.SWAPS])}
     assert own == want
+
+
+def test_no_table_goes_to_all_tasks(spark, tables, monkeypatch):
+    """Catalogue, plans and people meet by shuffles, however small their files are."""
+    dishes, people = tables
+    plan, seen = p.greedy(dishes, people).drop("kcal").checkpoint(), []
+    keep = type(dishes).checkpoint
+    monkeypatch.setattr(type(dishes), "checkpoint", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    row = p.swap_sweep(dishes, plan, people).first()
+    plans = [*seen, *(df._jdf.queryExecution().executedPlan().toString() for df in (p.items(plan, dishes, "person"), p.swaps(dishes, plan, people, 4)))]
+    assert row["swaps"] > 0 and len(plans) > 3 and not [x for x in plans if "Broadcast" in x]
