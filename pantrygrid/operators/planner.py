@@ -1,8 +1,10 @@
 """Day and menu plans: servings by role, greedy picks, search under targets, swaps, the rest of a day, menus that do not repeat.
 
 A person's day, or whole menu, is planned in one place: attempts, checks and the days before are state of a small loop in
-numpy. Spark deals people and catalogue to cells: a cell has about ASKS people and one shard of the catalogue, of about
-HELD dishes, so that neither grows with its table. One job plans all people and all days.
+numpy. Everybody is planned from the whole catalogue, at any size of it: a search looks at random places of the lists of
+dishes by role, and which places depends on the seed, the person's stream and the lengths of the lists alone. So they are
+drawn first, their dishes are joined to them, and a cell holds about ASKS people of one stream and the dishes that they may
+look at. Neither grows with its table. One job plans all people and all days.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ MEALS = [("breakfast", "breakfast", 0.25), ("lunch", "main", 0.24), ("lunch, sid
 STRICT, RELAXED, MEAL_WEIGHT, WISH_WEIGHT, WISHES, MONEY_WEIGHT = 2.0, 2.5, 1.5, 0.9, 0.4, 2.2
 #: Further attempts, the least energy left that is worth planning, swaps offered and how far they may be from the best, days without repeats.
 RETRIES, LEAST_REST, SWAPS, SWAP_MARGIN, VARIETY = 4, 150.0, 5, 1.2, 2
-#: Dishes of a shard and people of a cell (dealt by hash: about), portions of an array that swaps are looked for in (about).
+#: Most dishes that a task of a streamed menu holds, people of a cell (dealt by hash: about), portions of an array that swaps are looked for in (about).
 HELD, ASKS, OFFERS = 50_000, 512, 4096
+#: Streams of draws: people whose number leaves one remainder, and who have one seed, look at the same random places.
+STREAMS = 31
 #: Dishes seen by a greedy pick and by a step, steps of a search.
 GREEDY_SAMPLE, STEP_SAMPLE, STEPS = 120, 40, 150
 #: Searches that step side by side; swaps whose other servings may move.
@@ -60,34 +64,56 @@ def greedy(dishes: DataFrame, people: DataFrame, tolerance: float = STRICT) -> D
 
 
 class Pool:
-    """What a search knows of the catalogue: dishes by role (from, to) and id, and of each in every serving its grams and nutrients, cost (nan: unknown) and whether it is a sane portion."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.roles, parts, at = {}, [rows.iloc[:0]], 0
-        for role, part in rows.groupby("role"):
-            parts.append(part.sort_values("dish"))
-            self.roles[role] = (at, at + len(part))
-            at += len(part)
-        own = pd.concat(parts)
+    """What searches know of the catalogue: of each dish in every serving its grams and nutrients, cost (nan: unknown) and whether it is a sane portion.
+
+    Dishes stand in a list for each role, those with a cost first, in order of their ids; rows of one id have one place. So
+    who pays draws from the first part of a list.
+    """
+
+    def __init__(self, rows: pd.DataFrame, sizes: dict | None = None):
+        """rows: known() dishes, all; or, with the lengths of the lists (role, priced), those at some places (at)."""
+        if sizes is None:
+            rows = rows[rows["role"].notna() & rows["dish"].notna()]
+            ids = rows.groupby(["role", "dish"])["cost"].count().gt(0).rename("priced").reset_index().sort_values(["role", "priced", "dish"], ascending=[True, False, True])
+            ids["at"] = ids.groupby("role").cumcount()
+            sizes = {(role, priced): int(n) for priced, some in ((False, ids), (True, ids[ids["priced"]])) for role, n in some.groupby("role").size().items()}
+            rows = rows.merge(ids[["role", "dish", "at"]], on=["role", "dish"])
+        self.sizes, self.lists = sizes, {}
+        own = rows.assign(free=rows["cost"].isna()).sort_values(["role", "at", "free", *_ONE, "cost"]).reset_index(drop=True)
         self.dish = own["dish"].to_numpy(np.int64)
         cost = own["cost"].to_numpy(float)
-        self.x = np.ascontiguousarray(own[["grams", *m.NUTRIENTS]].to_numpy(float).T)[:, :, None] * np.array(SERVINGS)
+        self.x = np.ascontiguousarray(own[_ONE].to_numpy(float).T)[:, :, None] * np.array(SERVINGS)
         self.sane = (self.x[0] >= m.PORTION[0]) & (self.x[0] <= m.PORTION[1])
-        self.cost, self.priced = cost[:, None] * self.x[0], ~np.isnan(cost)
-        self.repeats = any(len(np.unique(self.dish[i:j])) < j - i for i, j in self.roles.values())
-
-    def usable(self, role: str, avoid: np.ndarray, priced: bool) -> np.ndarray:
-        """Positions of a role's dishes that are not avoided and, where asked for, have a cost."""
-        first, last = self.roles.get(role, (0, 0))
-        keep = self.priced[first:last].copy() if priced else np.ones(last - first, bool)
-        for i, j in zip(*(np.searchsorted(self.dish[first:last], avoid, side) for side in ("left", "right"))):
-            keep[i:j] = False
-        return first + np.flatnonzero(keep)
+        self.cost = cost[:, None] * self.x[0]
+        self.first, self.count = np.zeros(len(own), np.int64), np.ones((2, len(own)), np.int64)  # of a row's dish: its first row, its rows and those with a cost
+        for role, part in own.groupby("role"):
+            at, first, count = np.unique(part["at"].to_numpy(np.int64), return_index=True, return_counts=True)
+            self.lists[role] = at, first + part.index[0]
+            self.first[part.index], self.count[0, part.index] = np.repeat(first + part.index[0], count), np.repeat(count, count)
+            self.count[1, part.index] = np.repeat(np.add.reduceat((~part["free"]).to_numpy(np.int64), first), count)
+        self.repeats = bool((self.count[0] > 1).any())
+
+    def rows(self, role: str, at: np.ndarray) -> np.ndarray:
+        """The first rows of the dishes at places of a list."""
+        if not at.size:
+            return np.zeros(at.shape, np.int64)
+        have, first = self.lists[role]
+        i = np.minimum(np.searchsorted(have, at), len(have) - 1)
+        if (have[i] != at).any():
+            raise KeyError("a place that was not drawn")
+        return first[i]
+
+    def every(self, first: np.ndarray, priced: bool) -> np.ndarray:
+        """All rows of dishes, or those with a cost, one dish after another, by their first rows."""
+        if not self.repeats:
+            return first
+        count = self.count[int(priced), first]
+        return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
 def known(dishes: DataFrame) -> DataFrame:
     """The columns of dishes that a search reads."""
-    return dishes.select("dish", "role", "grams", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in m.NUTRIENTS], F.col("cost").cast("double").alias("cost"))
+    return dishes.select("dish", "role", "grams", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in m.NUTRIENTS], F.nanvl(F.col("cost").cast("double"), F.lit(None)).alias("cost"))
 
 
 def losses(totals: np.ndarray, goals: np.ndarray, sodium: float) -> np.ndarray:
@@ -108,66 +134,85 @@ def _losses(totals, goals, sodium) -> np.ndarray:
     return out + 3 * np.maximum(totals[5] * 4 / np.maximum(totals[0], 1) - m.SUGAR, 0)
 
 
-class _Draws:
-    """The draws of an attempt: they depend on how many dishes there are to draw from, not on what was found, so searches that differ in tolerance alone share them."""
-
-    def __init__(self, ask: dict, attempt: int):
-        self.rng = np.random.default_rng([x & (2**63 - 1) for x in (ask["seed"], ask["person"], attempt)])
-        self.at, self.kept = (), {(): (None, self.rng.bit_generator.state)}
-        self.walks = {}
-
-    def _from(self, sizes: tuple) -> None:
-        if self.at != sizes:
-            self.rng.bit_generator.state = self.kept[sizes][1]
-        self.at = None
-
-    def permutation(self, sizes: tuple) -> np.ndarray:
-        """The first of a permutation of sizes[-1] dishes, after those of the sizes before."""
-        if sizes not in self.kept:
-            self._from(sizes[:-1])
-            got = self.rng.permutation(sizes[-1])[:GREEDY_SAMPLE].copy()
-            self.kept[sizes] = (got, self.rng.bit_generator.state)
-            self.at = sizes
-        return self.kept[sizes][0]
-
-    def walk(self, sizes: tuple, places: list[np.ndarray], priced: bool, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each step the meal, and the positions of the dishes that it looks at (-1: none; none at all: other servings of the dish at hand)."""
-        key = (sizes, priced)
-        if key not in self.walks:
-            self._from(sizes)
-            meal, at = np.zeros(steps, np.int64), np.full((steps, STEP_SAMPLE), -1, np.int64)
-            integers, random, n = self.rng.integers, self.rng.random, len(places)
-            for i in range(steps):
-                meal[i] = k = integers(n)
-                if random() < 0.5:
-                    own = places[k]
-                    some = min(STEP_SAMPLE, len(own))
-                    at[i, :some] = own[integers(len(own), size=some)]
-            self.walks[key] = meal, at
-        return self.walks[key]
+class Draws:
+    """The draws of an attempt, places in lists of dishes. They depend on the seed, the stream, the attempt and the lengths of the lists, not on what a person avoids or a search finds, so that people of one stream share them."""
+
+    def __init__(self, sizes: dict, seed: int, stream: int, attempt: int):
+        self.sizes, self.key, self.kept = sizes, [x & (2**63 - 1) for x in (seed, stream, attempt)], {}
+
+    def permutation(self, meal: int, priced: bool, n: int) -> np.ndarray:
+        """The first n places of a random order of the list of a meal's role. They do not change with n."""
+        size, moved, out = self.sizes.get((MEALS[meal][1], priced), 0), {}, []
+        u = np.random.default_rng([*self.key, meal]).random(min(n, size)).tolist()
+        for i, x in enumerate(u):
+            j = i + int(x * (size - i))
+            out.append(moved.get(j, j))
+            moved[j] = moved.get(i, i)
+        return np.array(out, np.int64)
+
+    def walk(self, own: tuple[int, ...], priced: bool, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each step the number of its meal among a person's own, whether it looks at other dishes, the places that it then looks at, and draws for what a place leaves open."""
+        if ("u", steps) not in self.kept:
+            self.kept["u", steps] = np.random.default_rng([*self.key, len(MEALS)]).random((steps, len(MEALS) + 1 + 2 * STEP_SAMPLE))
+        u = self.kept["u", steps]
+        meal, rest = u[:, list(own)].argmax(axis=1), u[:, len(MEALS) + 1 :]
+        size = np.array([self.sizes.get((MEALS[k][1], priced), 0) for k in own])[meal]
+        return meal, u[:, len(MEALS)] < 0.5, (rest[:, :STEP_SAMPLE] * size[:, None]).astype(np.int64), rest[:, STEP_SAMPLE:]
+
+    def places(self, shapes: set[tuple[int, ...]], priced: bool, n: int, steps: int) -> dict[str, np.ndarray]:
+        """The places of each role's list that people with these meals may look at, where each needs n of a permutation at most."""
+        found = {}
+        for meal in set().union(*shapes):
+            found.setdefault(MEALS[meal][1], []).append(self.permutation(meal, priced, n))
+        for own in shapes:
+            meal, far, at, _ = self.walk(own, priced, steps)
+            for k, i in enumerate(own):
+                if self.sizes.get((MEALS[i][1], priced)):
+                    found[MEALS[i][1]].append(at[far & (meal == k)].ravel())
+        return {role: np.unique(np.concatenate(x)) for role, x in found.items()}
+
+    def rows(self, pool: Pool, meal: int, priced: bool, n: int) -> np.ndarray:
+        """permutation() as rows of pool."""
+        if (meal, priced, n) not in self.kept:
+            self.kept[meal, priced, n] = pool.rows(MEALS[meal][1], self.permutation(meal, priced, n))
+        return self.kept[meal, priced, n]
+
+    def steps(self, pool: Pool, own: tuple[int, ...], priced: bool, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """walk() with rows of pool for places; -1 where a step does not look at other dishes."""
+        if (own, priced, steps) not in self.kept:
+            meal, far, at, u = self.walk(own, priced, steps)
+            rows = np.full(at.shape, -1)
+            for k, i in enumerate(own):
+                some = far & (meal == k)
+                rows[some] = pool.rows(MEALS[i][1], at[some])
+            self.kept[own, priced, steps] = meal, rows, u
+        return self.kept[own, priced, steps]
 
 
 class _Search:
     """One attempt at one day: a greedy start, and the day as it is."""
 
-    def __init__(self, pool: Pool, ask: dict, tolerance: float, budget: float | None, draws: _Draws, places: dict):
-        self.known, self.ask, self.budget, self.draws, self.places = pool, ask, budget, draws, places
+    def __init__(self, pool: Pool, ask: dict, tolerance: float, budget: float | None, draws: Draws):
+        self.known, self.ask, self.budget, self.draws, self.priced = pool, ask, budget, draws, budget is not None
         self.goals = np.array([ask[g] for g in GOALS], float)
         self.meals = [(i, MEALS[i][1], s) for i, s in enumerate(ask["shares"]) if s]
         self.cap = [s * self.goals[0] * tolerance for _, _, s in self.meals]
-        self.at, self.size, self.sizes = np.zeros(len(self.meals), np.int64), np.zeros(len(self.meals), np.int64), ()
+        self.at, self.size, self.samples = np.zeros(len(self.meals), np.int64), np.zeros(len(self.meals), np.int64), []
+        self.avoid = np.unique(np.array(ask["avoid"], np.int64))
 
     def start(self) -> bool:
         """Whether every meal found a dish near its share."""
         pool = self.known
-        for k, (_, role, share) in enumerate(self.meals):
-            at = self.places[role]
+        for k, (meal, _, share) in enumerate(self.meals):
+            at = self.draws.rows(pool, meal, self.priced, GREEDY_SAMPLE + len(self.avoid) + len(MEALS))
+            if len(self.avoid):
+                at = at[~np.isin(pool.dish[at], self.avoid)]
+            self.samples.append(at[:GREEDY_SAMPLE])
             if k:
                 at = at[~np.isin(pool.dish[at], pool.dish[self.at[:k]])]
             if not len(at):
                 return False
-            self.sizes += (len(at),)
-            at = at[self.draws.permutation(self.sizes)]
+            at = pool.every(at[:GREEDY_SAMPLE], self.priced)
             kcal = pool.x[1][at].ravel()
             fits = np.flatnonzero(pool.sane[at].ravel() & (kcal <= self.cap[k]))
             if not len(fits):
@@ -176,6 +221,18 @@ class _Search:
             self.at[k], self.size[k] = at[best // len(SERVINGS)], best % len(SERVINGS)
         return bool(self.meals)
 
+    def walk(self, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each step the number of the meal, and the rows that it looks at (-1: other servings of the dish at hand). For a dish that is avoided one of the meal's sample stands in, so that each step sees as many."""
+        pool = self.known
+        meal, at, u = self.draws.steps(pool, tuple(i for i, *_ in self.meals), self.priced, steps)
+        if len(self.avoid):
+            at = at.copy()
+            gone = (at >= 0) & np.isin(pool.dish[at], self.avoid)
+            for k, sample in enumerate(self.samples):
+                mine = gone & (meal == k)[:, None]
+                at[mine] = sample[(u[mine] * len(sample)).astype(np.int64)]
+        return meal, np.where(at >= 0, at + (u * pool.count[int(self.priced), at]).astype(np.int64), at) if pool.repeats else at
+
     def checked(self) -> dict:
         """What judged() says of the day: failed checks, gap of the energy, whether energy and protein are in range."""
         x, dish = self.known.x[:, self.at, self.size].T, self.known.dish[self.at]
@@ -203,6 +260,7 @@ class _Days:
             self.strict[i, :k] = [share * s.goals[0] * STRICT for _, _, share in s.meals]
         self.goals, self.sodium = np.array([s.goals for s in searches]).T, np.array([s.ask["sodium"] for s in searches], float)
         self.budget = np.array([s.budget or 0.0 for s in searches])
+        self.priced = np.array([s.priced for s in searches]).astype(int)
         self.likes = np.array([len(s.ask["liked"]) > 0 for s in searches])
         self.liked = {i: np.isin(pool.dish, s.ask["liked"]) for i, s in enumerate(searches) if self.likes[i]}
 
@@ -228,21 +286,17 @@ class _Days:
         return totals[6] <= self.sodium[rows, None], loss
 
     def others(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The positions of the dish in meal k of each of rows: one, but where the catalogue repeats ids."""
+        """The rows of the dish in meal k of each of rows: one, but where the catalogue repeats ids."""
+        at = self.at[rows, k]
         if not self.pool.repeats:
-            return self.at[rows, k][:, None]
-        found = []
-        for i, meal in zip(rows, k):
-            own = self.searches[i].places[self.searches[i].meals[meal][1]]
-            found.append(own[self.pool.dish[own] == self.dish[i, meal]])
-        out = np.full((len(rows), max(map(len, found))), -1)
-        for i, own in enumerate(found):
-            out[i, : len(own)] = own
-        return out
+            return at[:, None]
+        first, count = self.pool.first[at], self.pool.count[self.priced[rows], at]
+        out = first[:, None] + np.arange(count.max())
+        return np.where(out < (first + count)[:, None], out, -1)
 
     def run(self, steps: int) -> None:
         pool, every = self.pool, np.arange(len(self.searches))
-        walks = [s.draws.walk(s.sizes, [s.places[role] for _, role, _ in s.meals], s.budget is not None, steps) for s in self.searches]
+        walks = [s.walk(steps) for s in self.searches]
         meals, seen = np.stack([w[0] for w in walks]), np.stack([w[1] for w in walks])
         ok, loss = self.judged(every, np.zeros(len(every), np.int64), self.at[:, :1], self.x[:, :, :1], self.cost[:, :1])
         best_ok, best = ok[:, 0].copy(), loss[:, 0].copy()
@@ -285,17 +339,15 @@ def best_days(pool: Pool, asks: list[dict], retries: int, steps: int) -> list[tu
     check is searched again, up to retries times; the day with the fewest failed checks stays, then the nearest, then the
     earliest. Searches step side by side, SIDE at a time, and none depends on the others.
     """
-    best, still, usable = [None] * len(asks), list(range(len(asks))), {}
+    best, still = [None] * len(asks), list(range(len(asks)))
     for attempt in range(retries + 1):
-        tries = []
+        tries, drawn = [], {}
         for i in still:
-            ask, draws = asks[i], _Draws(asks[i], attempt)
+            ask, key = asks[i], (asks[i]["seed"], asks[i]["person"] % STREAMS)
+            draws = drawn.setdefault(key, Draws(pool.sizes, *key, attempt))
             for tolerance in (STRICT, RELAXED):
                 for budget in (ask["budget"], None) if ask["budget"] and ask["budget"] > 0 else (None,):
-                    if (i, budget) not in usable:
-                        roles = {MEALS[k][1] for k, s in enumerate(ask["shares"]) if s}
-                        usable[i, budget] = {role: pool.usable(role, np.array(ask["avoid"], np.int64), budget is not None) for role in roles}
-                    one = _Search(pool, ask, tolerance, budget, draws, usable[i, budget])
+                    one = _Search(pool, ask, tolerance, budget, draws)
                     if one.start():
                         tries.append((i, tolerance, budget, one))
         for at in range(0, len(tries), SIDE):
@@ -350,33 +402,64 @@ def ask_of(row: dict) -> dict:
 def menu(dishes: DataFrame, people: DataFrame, days: int, window: int = VARIETY, retries: int = RETRIES, steps: int = STEPS) -> DataFrame:
     """person, day, meal, dish, serving, attempt, failed: for each of people (person, GOALS; if wanted sodium, budget, shares, avoid, liked, seed) a menu of so many days.
 
-    Nobody gets a day where a role has too few dishes. Plans do not depend on how rows are dealt. With over HELD dishes
-    each person is planned from one shard of the catalogue, by hash of the person.
+    Nobody gets a day where a role has too few dishes. Plans do not depend on how rows are dealt: they are those of
+    next_days with a Pool of the whole catalogue.
     """
-    whole = with_defaults(people).select("person", *_ASK)
-    spark = people.sparkSession
-    many, asks = dishes.count(), whole.count()
-    shards = max(1, -(-many // HELD))
-    slices = max(1, min(asks, max(2 * spark.sparkContext.defaultParallelism, -(-asks // ASKS))) // shards)
-    cell = lambda shard, slice_: shard * F.lit(slices) + slice_
-    part = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n))
-    rows = known(dishes).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda x: cell(part("dish", shards, "shard"), x))))
-    dealt = whole.withColumn("cell", cell(part("person", shards, "shard"), part("person", slices, "slice")))
+    keys = ["seed", "stream"]
+    whole = with_defaults(people).select("person", *_ASK).withColumns({"seed": F.col("seed").cast("long"), "stream": F.pmod(F.col("person").cast("long"), F.lit(STREAMS))})
+    mine = F.transform("shares", lambda s: F.coalesce(s, F.lit(0.0)) != 0)
+    drawn = whole.groupBy(keys).agg(F.collect_set(mine).alias("shapes"), F.max(F.size(F.array_distinct("avoid"))).alias("avoided"), F.max(F.coalesce(F.col("budget") > 0, F.lit(False))).alias("paying"), F.count("*").alias("n"))
+    many, most = drawn.agg(F.count("*"), F.max("n")).first()
+    side = people.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, -(-(most or 0) // ASKS), min(most or 0, -(-2 * side // max(many, 1))))  # of the people of one stream
+    listed, sizes = _lists(dishes)
+    past = len(MEALS) * (1 + max(0, min(window, days - 1)))  # dishes that may be taken by other meals, or by the days before
+
+    def draw(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                shapes = {tuple(i for i, x in enumerate(shape) if x) for shape in row["shapes"]}
+                found = {}
+                for priced in (False, True)[: 1 + row["paying"]]:
+                    for day in range(days):
+                        for attempt in range(retries + 1):
+                            for role, at in Draws(sizes, row["seed"] + day, row["stream"], attempt).places(shapes, priced, GREEDY_SAMPLE + row["avoided"] + past, steps).items():
+                                found.setdefault(role, []).append(at)
+                for role, at in found.items():
+                    at = np.unique(np.concatenate(at))
+                    yield pd.DataFrame({"seed": np.full(len(at), row["seed"], np.int64), "stream": row["stream"], "role": role, "at": at})
+
+    places = drawn.repartition(min(max(many, 1), 2 * side), *keys).mapInPandas(draw, "seed long, stream long, role string, at long")
+    rows = places.hint("merge").join(listed.hint("merge"), ["role", "at"]).select(*keys, "role", "at", "dish", F.inline("own"))
 
     def run(mine: pd.DataFrame, catalogue: pd.DataFrame) -> pd.DataFrame:
-        pool, out = Pool(catalogue), []
+        out = []
         asks = [ask_of(row) for row in mine.sort_values("person").to_dict("records")]
+        pool = Pool(catalogue, sizes) if asks else None
         recent = [[] for _ in asks]
-        for day in range(days):
+        for day in range(days if asks else 0):
             for ask, past, got in zip(asks, recent, next_days(pool, asks, day, recent, window, retries, steps)):
                 past.append({d for _, d, _ in got[2]} if got else set())
                 out += [(ask["person"], day, meal, d, s, got[0], got[1]) for meal, d, s in got[2]] if got else []
         return pd.DataFrame(out, columns=["person", "day", "meal", "dish", "serving", "attempt", "failed"])
 
-    deal = lambda df: df.repartition(shards * slices, "cell").groupBy("cell")
+    dealt = whole.withColumn("slice", F.pmod(F.xxhash64("person"), F.lit(slices)).cast("int"))
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    deal = lambda df: df.repartition(min(max(many, 1) * slices, 32 * side), *keys, "slice").groupBy(*keys, "slice")
     return deal(dealt).cogroup(deal(rows)).applyInPandas(run, _PLAN)
 
 
+def _lists(dishes: DataFrame) -> tuple[DataFrame, dict]:
+    """The lists that searches draw from, as Pool has them (role, at, dish, own: its rows), and how long they are."""
+    roles = sorted({role for _, role, _ in MEALS})
+    ids = known(dishes).where(F.col("role").isin(roles) & F.col("dish").isNotNull()).groupBy("role", "dish").agg(F.collect_list(F.struct(*_ONE, "cost")).alias("own"), F.max(F.col("cost").isNotNull()).alias("priced"))
+    rows = m.numbered(ids.withColumn("place", F.struct("role", ~F.col("priced"), "dish")), "place", "at")
+    found = rows.groupBy("role").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.count_if("priced").alias("some")).collect()  # a row for each role
+    start = F.coalesce(*[F.when(F.col("role") == r["role"], F.lit(r["first"])) for r in found], F.lit(0))
+    sizes = {(r["role"], False): r["n"] for r in found} | {(r["role"], True): r["some"] for r in found}
+    return rows.select("role", (F.col("at") - start).alias("at"), "dish", "own"), sizes
+
+
 def items(plan: DataFrame, dishes: DataFrame, key: str) -> DataFrame:
     """The items of plans (key, meal, dish, serving) with grams, nutrients and cost."""
     scaled = {n: F.col(n) * F.col("serving") for n in ["grams", *m.NUTRIENTS]}

@@ -176,3 +176,25 @@ def test_no_table_goes_to_all_tasks(spark, tables, monkeypatch):
     row = p.swap_sweep(dishes, plan, people).first()
     plans = [*seen, *(df._jdf.queryExecution().executedPlan().toString() for df in (p.items(plan, dishes, "person"), p.swaps(dishes, plan, people, 4)))]
     assert row["swaps"] > 0 and len(plans) > 3 and not [x for x in plans if "Broadcast" in x]
+
+
+def test_everybody_is_planned_from_the_whole_catalogue(spark, tables, monkeypatch):
+    """Cells hold the dishes that were drawn, and plan what the whole catalogue in one place does, at any size of it."""
+    dishes, people = tables
+    wide = dishes.unionByName(dishes.withColumn("dish", F.col("dish") + 100_000)).unionByName(dishes.where("dish < 20").withColumn("grams", F.col("grams") * 0.5))
+    asks = p.with_defaults(people.unionByName(people.withColumn("person", F.col("person") + 100)))
+    asks = asks.withColumn("budget", F.when(F.col("person") % 2 == 0, F.lit(9.0))).withColumn("avoid", F.when(F.col("person") == 1, F.sequence(F.lit(0), F.lit(150)).cast("array<long>")).otherwise(F.col("avoid")))
+    asks = asks.withColumn("shares", F.when(F.col("person") == 3, F.array(*map(F.lit, [0.0, 0.0, 0.4, 0.0, 0.3, 0.3, 0.0]))).otherwise(F.col("shares"))).withColumn("seed", F.when(F.col("person") > 100, F.lit(5)).otherwise(F.lit(0)))
+    pool, want, recent = p.Pool(p.known(wide).toPandas()), set(), {}
+    monkeypatch.setattr(p, "HELD", 100)
+    for row in asks.toPandas().to_dict("records"):
+        ask = p.ask_of(row)
+        for day in range(3):
+            got = p.next_day(pool, ask, day, recent.setdefault(ask["person"], []), p.VARIETY, 1, 30)
+            recent[ask["person"]].append({d for _, d, _ in got[2]})
+            want |= {(ask["person"], day, meal, d, s, got[0], got[1]) for meal, d, s in got[2]}
+    assert {tuple(r) for r in p.menu(wide, asks, 3, retries=1, steps=30).collect()} == want and len(want) > 100
+    assert max(d for _, _, _, d, *_ in want) >= 100_000 > min(d for _, _, _, d, *_ in want)
+    draws, n = p.Draws({("main", False): 10**7}, 0, 1, 0), 10**7
+    assert len(set(draws.permutation(1, False, 500).tolist())) == 500 and draws.permutation(1, False, 500)[:120].tolist() == draws.permutation(1, False, 120).tolist()
+    assert sorted(p.Draws({("main", False): 9}, 0, 1, 0).permutation(1, False, 50).tolist()) == list(range(9))
