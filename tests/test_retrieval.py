@@ -37,3 +37,30 @@ def test_parts_of_vectors_and_queries_grow_in_number_not_in_size(spark, monkeypa
     got = retrieval.nearest(v.where("vec_id % 3 = 0"), v, 4, same="label", rows=2)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 400
     assert "31)" in got._jdf.queryExecution().optimizedPlan().toString()  # 300 rows in 31 parts
+
+
+def test_the_nearest_are_those_of_differences_and_only_few_pairs_are_summed(monkeypatch):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(400, 8)) * 4).astype(float) / 1024 + 3  # many ties, and norms far above distances
+    v[50:90], v[7, 3], v[399] = v[10:50], 3 + 1e-7, v[0]
+    ids, asked = rng.permutation(400), np.arange(60)
+    for odd in (False, True):
+        if odd:
+            v[5, 2], v[8, 1] = np.nan, np.inf
+        w = v[np.argsort(ids)[asked]]
+        for by in ("l2", "dot"):
+            want = []
+            for q, one in zip(asked, w):
+                near = v @ one if by == "dot" else -((v - one) ** 2).sum(1)
+                want += [(q, i) for _, i in sorted((-round(s, 9), i) for s, i in zip(near, ids) if i != q and np.isfinite(s))[:6]]
+            qi, vi, near = retrieval._closest(w, v, asked, ids, 6, by)
+            assert [(asked[x], ids[y]) for x, y in zip(qi, vi)] == want and len(want) > 300
+            assert by == "dot" or near.tolist() == [-((v[y] - w[x]) ** 2).sum() for x, y in zip(qi, vi)]
+    assert [len(x) for x in retrieval._closest(w[:1], v[:3], asked[:1], ids[:3], 6, "l2")] == [3 - (0 in ids[:3])] * 3
+
+
+def test_the_weight_sweep_ranks_once(spark):
+    from pantrygrid.plans import compare
+
+    got = compare.fusion_weight_sweep(spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == len(compare.WEIGHTS)
