@@ -640,7 +640,7 @@ def swap_sweep(dishes: DataFrame, plan: DataFrame, goals: DataFrame, chain: int
     offers = {role: (parts, arrays.checkpoint()) for role, (parts, arrays) in offers.items()}
     offered = None
     for meal, (_, role, _) in enumerate(MEALS):
-        got = _swaps(dishes, made, goals, meal, offers[role], tune).where(F.col("rank") <= chain).withColumn("meal", F.lit(meal))
+        got = _swaps(dishes, made, goals, meal, offers[role], tune).where(F.col("rank") <= chain).withColumn("meal", F.lit(meal)).checkpoint()  # one place at a time: the plan of all at once fills the driver
         offered = got if offered is None else offered.unionByName(got)
     sums = made.groupBy("person").agg(*[F.sum(n).alias(n) for n in m.NUTRIENTS])
     wanted = goals.select("person", *[F.col(g).alias(f"target_{g}") for g in GOALS])
